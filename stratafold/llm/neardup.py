@@ -150,14 +150,49 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return wanted.join(texts, "id").groupBy("b", "part").applyInPandas(compare, "a long, b long")
 
 
+def linked_to_anchors(anchored: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between ``anchored`` (id, anchor) and ``members`` (id, component) of the component that is the anchor.
+
+    Both sides of an anchor are dealt into blocks of about ``GROUP_MEMBERS``, and each block of one side
+    meets each of the other. A document needs one link to a component, so a block gives one at most.
+    """
+    sides = []
+    for side, key in ((anchored.select("id", "anchor"), "x"), (members.select("id", F.col("component").alias("anchor")), "m")):
+        size = side.groupBy("anchor").agg((F.count("*") / GROUP_MEMBERS + 1).cast("long").alias(f"{key}_blocks"))
+        sides.append((side, size))
+    (x, x_size), (m, m_size) = sides
+    sizes = stored(x_size.join(m_size, "anchor"), "sizes")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = x.join(sizes, "anchor").select("id", "anchor", F.lit(True).alias("open"), block("x_blocks").alias("xb"), every("m_blocks").alias("mb"))
+    m = m.join(sizes, "anchor").select("id", "anchor", F.lit(False).alias("open"), every("x_blocks").alias("xb"), block("m_blocks").alias("mb"))
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set(t, width) for t in rows["text"]]
+        sign = np.stack([signature(s) for s in sets])
+        ids, open_ = rows["id"].to_numpy(), rows["open"].to_numpy(bool)
+        inside, found = np.flatnonzero(~open_), []
+        for i in np.flatnonzero(open_):
+            agree = (sign[inside] == sign[i]).sum(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            for j in inside[order[: int((agree >= LEAST_AGREEMENT).sum())]]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    found.append((ids[i], ids[j]))
+                    break
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return x.unionByName(m).join(texts, "id").groupBy("anchor", "xb", "mb").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
     Rows with equal shingle sets form classes first. Class representatives that share a chunk key with
     one value left out are candidates. In each bucket all are compared with its smallest id on full
-    sets; then, in buckets whose members are still in several components, every pair across components
-    is compared. So a bucket of copies costs one comparison each, and no pair of a bucket stays open
-    unless it is in one component already.
+    sets. In buckets whose members are then still in several components, members outside the largest
+    one are searched against all of it in blocks, and against each other in pairs. So a bucket of
+    copies costs one comparison each, and no pair of a bucket stays open unless it is in one component.
 
     Null, empty and wordless texts are linked with nothing and kept. A row with
     a null id takes the component of its set, if any has an id; of rows that share an id but not a text
@@ -179,11 +214,16 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
     labelled = shared.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_ = labelled.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket))
     open_ = stored(open_.filter(F.col("low") < F.col("high")).select("key", "id", "component"), "open")
-    other = open_.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    across = open_.withColumnRenamed("id", "a").join(other, "key").filter((F.col("a") > F.col("b")) & (F.col("component") != F.col("other")))
-    across = across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    across = stored(_agreement(across, classes), "candidates")
-    more = stored(confirmed(across, texts, width, percent), "links")
+    # The component with most members in a bucket is its anchor; the others are held against it in blocks.
+    share = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
+    anchor = share.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("anchor"))
+    outside = stored(open_.join(anchor, "key").filter("component <> anchor"), "outside")
+    anchored = outside.select("id", "anchor").distinct()
+    more = linked_to_anchors(anchored, open_.select("id", "component").distinct(), texts, width, percent)
+    other = outside.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
+    across = outside.withColumnRenamed("id", "a").join(other, "key").filter((F.col("a") > F.col("b")) & (F.col("component") != F.col("other")))
+    across = stored(_agreement(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), classes), "candidates")
+    more = stored(more.union(confirmed(across, texts, width, percent)), "links")
     if not more.isEmpty():
         joined = components(links.union(more))
 
