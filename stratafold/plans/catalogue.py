@@ -1,4 +1,4 @@
-"""Registered queries over the supplied tables, each with DuckDB SQL for the same rows."""
+"""All registered queries over the supplied tables, each with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratafold.plans import agg_demos, graph_demos, job_demos, join_demos, registry, scalar_demos, window_demos  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
