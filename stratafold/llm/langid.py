@@ -17,13 +17,13 @@ WINDOW = 64
 #: Hidden units of each direction.
 HIDDEN = 8
 #: Windows that are labelled at once.
-LANES = 4096
+LANES = 2048
 #: Texts of each language that the network is fitted on, about, and windows taken from each text.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 600, 8
 #: Optimiser steps and windows in each.
 STEPS, BATCH = 500, 128
 #: Bytes of text that a task holds as windows at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 UNDETERMINED = "und"
 
 Weights = dict[str, np.ndarray]

@@ -25,7 +25,7 @@ LEAST_AGREEMENT = 49
 #: Members that are compared with their leader in one task's group.
 GROUP_MEMBERS = 256
 #: Distinct words whose hashes a Python worker keeps.
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 250_000
 
 
 @functools.cache

@@ -18,7 +18,7 @@ from stratafold.llm.merging import PairTable, merge_ragged
 
 #: Fixed value: the marker that stands for a space in pieces.
 MARK = "▁"
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 200_000
 SLICE_CHARS = 2_000_000
 
 

@@ -19,7 +19,7 @@ from stratafold.llm.merging import PairTable, merge_ragged
 #: Fixed value: the published split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries that a task's tables of distinct words keep before they start anew.
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 200_000
 #: Characters of text that are split at once, which bounds a task's memory.
 SLICE_CHARS = 2_000_000
 #: Stands for a chunk whose text must be split as a whole; no ids have one byte.
