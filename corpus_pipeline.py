@@ -12,7 +12,7 @@ from stratafold.llm import langid, lines, neardup, packing
 from stratafold.llm.storage import shared_folder
 
 #: A text whose best language has a lower probability than this, averaged over its bytes, is rejected.
-LEAST_LANGUAGE_SCORE = 0.4
+LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
