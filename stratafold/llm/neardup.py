@@ -206,6 +206,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
     bucket = Window.partitionBy("key")
     shared = chunk_keys(classes).withColumn("lead", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket))
     shared = stored(shared.filter(F.col("lead") < F.col("last")).select("key", "id", "lead"), "buckets")
+    # Texts of documents that no bucket joins with another are not moved again.
+    texts = stored(texts.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
     first = shared.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     first = stored(_agreement(first, classes), "candidates")
     links = stored(confirmed(first, texts, width, percent), "links")
