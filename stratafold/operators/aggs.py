@@ -34,13 +34,13 @@ def peer_median(df: DataFrame, build: str, metric: str, least_peers: int = 3) ->
     Rows are numbered in order; leaving one out moves the middle by a place at most, so the four rows
     around the middle tell every row's median.
     """
-    known = numbered_rows(df.filter(F.col(metric).isNotNull()).select(build, metric), [metric, build], "__r")
+    known = numbered_rows(df.filter(F.col(metric).isNotNull()).select(build, metric), [metric, build], "__place")
     m = known.count() - 1
     if m < max(1, least_peers):
         return known.limit(0).select(build, metric, F.col(metric).cast("double").alias("peer"), F.lit(None).cast("double").alias("ratio"))
     low, high = (m + 1) // 2, (m + 2) // 2
-    middle = {r["__r"]: float(r[metric]) for r in known.filter(F.col("__r").between(low, high + 1)).collect()}
-    at = lambda k: F.when(F.col("__r") <= k, middle[k + 1]).otherwise(middle[k])
+    middle = {r["__place"]: float(r[metric]) for r in known.filter(F.col("__place").between(low, high + 1)).collect()}
+    at = lambda k: F.when(F.col("__place") <= k, middle[k + 1]).otherwise(middle[k])
     out = known.withColumn("peer", (at(low) + at(high)) / 2)
     return out.select(build, metric, "peer", F.try_divide(F.col(metric), F.col("peer")).alias("ratio"))
 

@@ -104,9 +104,9 @@ def jon14_declared_vs_present(t):
     return J.declared_vs_present(needs, "entry", "needs", t.part.filter("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("needs")))
 
 
-@demo("SELECT n_nationkey, k FROM nation JOIN (VALUES ('fr-ance', 1), ('UNITED_states', 2), ('Kenya', 3)) v(q, k) ON regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(q), '[^a-z0-9]', '', 'g')")
+@demo("SELECT n_nationkey, k FROM nation JOIN (VALUES ('nation-1', 1), ('NATION 2', 2), ('Nation_17', 3)) v(q, k) ON regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(q), '[^a-z0-9]', '', 'g')")
 def jon15_name_lookup(t):
-    asked = t.spark.createDataFrame([("fr-ance", 1), ("UNITED_states", 2), ("Kenya", 3)], "q string, k int")
+    asked = t.spark.createDataFrame([("nation-1", 1), ("NATION 2", 2), ("Nation_17", 3)], "q string, k int")
     return J.name_lookup(t.nation, "n_name", asked, "q").select("n_nationkey", "k")
 
 

@@ -130,11 +130,11 @@ def prj15_bundle_name(t):
     return t.supplier.select("s_suppkey", group.alias("grp"), label.alias("label"))
 
 
-@demo("""WITH a(alias, name, grp) AS (VALUES ('france', 'Gaul', 'west'), ('china', 'Cathay', 'east'))
-SELECT n_nationkey, coalesce(a.name, n_name) AS n_name, a.grp FROM nation LEFT JOIN a ON lower(n_name) = a.alias WHERE lower(n_name) NOT IN ('brazil', 'kenya')""")
+@demo("""WITH a(alias, name, grp) AS (VALUES ('nation_1', 'Gaul', 'west'), ('nation_2', 'Cathay', 'east'))
+SELECT n_nationkey, coalesce(a.name, n_name) AS n_name, a.grp FROM nation LEFT JOIN a ON lower(n_name) = a.alias WHERE lower(n_name) NOT IN ('nation_3', 'nation_4')""")
 def prj17_apply_rules(t):
-    aliases = t.spark.createDataFrame([("France", "Gaul", "west"), ("CHINA", "Cathay", "east")], "alias string, name string, grp string")
-    return S.apply_rules(t.nation, "n_name", aliases, ["brazil", "kenya"]).select("n_nationkey", "n_name", "grp")
+    aliases = t.spark.createDataFrame([("Nation_1", "Gaul", "west"), ("NATION_2", "Cathay", "east")], "alias string, name string, grp string")
+    return S.apply_rules(t.nation, "n_name", aliases, ["nation_3", "nation_4"]).select("n_nationkey", "n_name", "grp")
 
 
 @demo("SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'R' WHEN bool_or(l_returnflag = 'N') THEN 'N' ELSE min(l_returnflag) END AS flag FROM lineitem GROUP BY l_orderkey")
