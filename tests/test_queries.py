@@ -19,7 +19,7 @@ def con():
 
 
 def rows(df):
-    plain = lambda x: "NULL" if x is None or x is pd.NaT or x != x else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    plain = lambda x: "NULL" if x is None or x is pd.NA or x is pd.NaT or x != x else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     df = df[sorted(df.columns)].astype(object)
     return sorted(tuple(map(plain, r)) for r in df.itertuples(index=False))
 
