@@ -185,13 +185,63 @@ def linked_to_anchors(anchored: DataFrame, members: DataFrame, texts: DataFrame,
     return x.unionByName(m).join(texts, "id").groupBy("anchor", "xb", "mb").applyInPandas(compare, "a long, b long")
 
 
+def _without_repeats(groups: DataFrame, name: str) -> DataFrame:
+    """``groups`` (``name``, id, ...) with one group of those that hold the same ids, told by 128 bits of hash and their number."""
+    both = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    held = groups.groupBy(name).agg(F.count("*").alias("n"), *both)
+    return groups.join(held.groupBy("n", "h0", "h1").agg(F.min(name).alias(name)).select(name), name, "left_semi")
+
+
+def linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between ``members`` (key, id, component) of one key and several components.
+
+    The members of a key are dealt into blocks of about ``GROUP_MEMBERS``, and each two blocks meet in
+    one group, where arrays hold all pairs. Signatures meet first; only members near one of another
+    component bring their texts. Links that join nothing new in a group are left out.
+    """
+    several = members.groupBy("key").agg((F.count("*") / GROUP_MEMBERS + 1).cast("long").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
+    members = members.join(several.filter("low < high").select("key", "blocks"), "key")
+    rows = _without_repeats(stored(members, "across"), "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    place = F.concat_ws("/", F.col("key").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
+    rows = rows.select(place.alias("place"), "id", "component", "block").join(classes.select("id", "signature"), "id")
+
+    def apart(rows: pd.DataFrame) -> np.ndarray:
+        component, block = rows["component"].to_numpy(), rows["block"].to_numpy()
+        one = (block == block[0]).all()
+        return (component[:, None] != component) & (one | (block[:, None] != block))
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        sign, open_ = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(-1, VALUES), apart(rows)
+        hit = [bool((open_[i] & ((sign == sign[i]).sum(axis=1) >= LEAST_AGREEMENT)).any()) for i in range(len(rows))]
+        return rows.loc[hit, ["place", "id", "component", "block"]]
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set(t, width) for t in rows["text"]]
+        sign, open_ = np.stack([signature(s) for s in sets]), apart(rows)
+        ids, label, found = rows["id"].to_numpy(), rows["component"].to_numpy().copy(), []
+        for i in range(len(ids)):
+            agree = (sign[:i] == sign[i]).sum(axis=1) >= LEAST_AGREEMENT
+            for j in np.flatnonzero(agree & open_[i, :i]):
+                if label[i] == label[j]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    found.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    rows = stored(rows.groupBy("place").applyInPandas(near, "place string, id long, component long, block long"), "across_near")
+    return _without_repeats(rows, "place").join(texts, "id").groupBy("place").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
     Rows with equal shingle sets form classes first. Class representatives that share a chunk key with
     one value left out are candidates. In each bucket all are compared with its smallest id on full
     sets. In buckets whose members are then still in several components, members outside the largest
-    one are searched against all of it in blocks, and against each other in pairs. So a bucket of
+    one are searched against all of it in blocks, and then against each other in blocks. So a bucket of
     copies costs one comparison each, and no pair of a bucket stays open unless it is in one component.
 
     Null, empty and wordless texts are linked with nothing and kept. A row with
@@ -221,11 +271,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
     anchor = share.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("anchor"))
     outside = stored(open_.join(anchor, "key").filter("component <> anchor"), "outside")
     anchored = outside.select("id", "anchor").distinct()
-    more = linked_to_anchors(anchored, open_.select("id", "component").distinct(), texts, width, percent)
-    other = outside.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    across = outside.withColumnRenamed("id", "a").join(other, "key").filter((F.col("a") > F.col("b")) & (F.col("component") != F.col("other")))
-    across = stored(_agreement(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), classes), "candidates")
-    more = stored(more.union(confirmed(across, texts, width, percent)), "links")
+    more = stored(linked_to_anchors(anchored, open_.select("id", "component").distinct(), texts, width, percent), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        joined = components(links)
+        outside = outside.drop("component").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = stored(linked_across(outside.select("key", "id", "component"), classes, texts, width, percent), "links")
     if not more.isEmpty():
         joined = components(links.union(more))
 
