@@ -37,6 +37,13 @@ def union_builds(builds: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
 
 
+def schema_evolve(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of both with the columns of both; a column that one lacks is null in its rows. Columns of other types than before take those of ``new``."""
+    kinds = {f.name: f.dataType for f in new.schema.fields}
+    moved = old.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in old.columns])
+    return new.unionByName(moved, allowMissingColumns=True)
+
+
 def same_content(df: DataFrame, path: str, content: list[str], order: str) -> DataFrame:
     """(path, n, kept, conflict): one row stays for each path; a conflict is a path with several contents."""
     g = df.groupBy(path).agg(F.count("*").alias("n"), F.min(order).alias("kept"), F.count_distinct(F.struct(*content)).alias("contents"))

@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to a folder under ``spark.checkpoint.dir`` and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, as in tests, a folder of our own becomes it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="stratafold-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to a folder under ``spark.checkpoint.dir`` and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
