@@ -37,3 +37,10 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         moved = live.join(a, "a").join(b, "b").select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"))
         live = stored(moved.filter("a <> b").distinct(), "links")
     raise RuntimeError("links do not settle")
+
+
+def without_repeats(groups: DataFrame, name: str) -> DataFrame:
+    """``groups`` (``name``, id, ...) with one group of those that hold the same ids, told by 128 bits of hash and their number."""
+    both = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    held = groups.groupBy(name).agg(F.count("*").alias("n"), *both)
+    return groups.join(held.groupBy("n", "h0", "h1").agg(F.min(name).alias(name)).select(name), name, "left_semi")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.llm.components import components
+from stratafold.llm.components import components, without_repeats
 from stratafold.llm.storage import stored
 
 #: A signature: chunks of 16-bit minima. A chunk may hold one error, so signatures that differ in at
@@ -185,13 +185,6 @@ def linked_to_anchors(anchored: DataFrame, members: DataFrame, texts: DataFrame,
     return x.unionByName(m).join(texts, "id").groupBy("anchor", "xb", "mb").applyInPandas(compare, "a long, b long")
 
 
-def _without_repeats(groups: DataFrame, name: str) -> DataFrame:
-    """``groups`` (``name``, id, ...) with one group of those that hold the same ids, told by 128 bits of hash and their number."""
-    both = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
-    held = groups.groupBy(name).agg(F.count("*").alias("n"), *both)
-    return groups.join(held.groupBy("n", "h0", "h1").agg(F.min(name).alias(name)).select(name), name, "left_semi")
-
-
 def linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between ``members`` (key, id, component) of one key and several components.
 
@@ -201,7 +194,7 @@ def linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame, widt
     """
     several = members.groupBy("key").agg((F.count("*") / GROUP_MEMBERS + 1).cast("long").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
     members = members.join(several.filter("low < high").select("key", "blocks"), "key")
-    rows = _without_repeats(stored(members, "across"), "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = without_repeats(stored(members, "across"), "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     place = F.concat_ws("/", F.col("key").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
     rows = rows.select(place.alias("place"), "id", "component", "block").join(classes.select("id", "signature"), "id")
@@ -232,7 +225,7 @@ def linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame, widt
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     rows = stored(rows.groupBy("place").applyInPandas(near, "place string, id long, component long, block long"), "across_near")
-    return _without_repeats(rows, "place").join(texts, "id").groupBy("place").applyInPandas(compare, "a long, b long")
+    return without_repeats(rows, "place").join(texts, "id").groupBy("place").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
