@@ -33,13 +33,14 @@ def src8_resolve_packages(t):
 
 @demo("""WITH r AS (SELECT 'text' AS schema, avg(CASE WHEN p_size IS NOT NULL AND p_retailprice IS NOT NULL AND p_brand IS NOT NULL THEN 1.0 END) AS score, 3 AS fields FROM part
 UNION ALL SELECT 'number', avg((2 + CASE WHEN try_cast(p_brand AS BIGINT) IS NULL THEN 0 ELSE 1 END) / 3), 3 FROM part UNION ALL SELECT 'narrow', avg(CASE WHEN p_brand IS NULL THEN 1.0 ELSE 0.0 END), 2 FROM part)
-SELECT schema, score, CAST(fields AS BIGINT) AS fields, row_number() OVER (ORDER BY score DESC, fields, schema) = 1 AND score >= 0.9 AS chosen FROM r""")
+SELECT schema, round(score, 9) AS score, CAST(fields AS BIGINT) AS fields, row_number() OVER (ORDER BY score DESC, fields, schema) = 1 AND score >= 0.9 AS chosen FROM r""")
 def src16_fit_schema(t):
     fields = {"size": "p_size", "price": "p_retailprice", "brand": "p_brand"}
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(c).cast("string").alias("value")) for k, c in fields.items()]))
     samples = t.part.select(F.col("p_partkey").alias("sample"), values.alias("s")).select("sample", "s.*")
     kinds = {"text": {"size": "long", "price": "double", "brand": "string"}, "number": {"size": "long", "price": "double", "brand": "long"}, "narrow": {"size": "long", "price": "double"}}
-    return R.fit_schema(samples, t.spark.createDataFrame([(s, f, k) for s, c in kinds.items() for f, k in c.items()], "schema string, field string, kind string"))
+    rows = R.fit_schema(samples, t.spark.createDataFrame([(s, f, k) for s, c in kinds.items() for f, k in c.items()], "schema string, field string, kind string"))
+    return rows.withColumn("score", F.round("score", 9))
 
 
 @demo("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN l_tax * 100 ELSE l_quantity END AS foot_w, CASE WHEN l_linenumber % 2 = 1 THEN l_quantity ELSE l_tax * 100 END AS foot_h,
@@ -51,7 +52,7 @@ def prj13_placing(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", foot_w.alias("foot_w"), foot_h.alias("foot_h"), inside.alias("inside"))
 
 
-@demo("""SELECT p_partkey, p_size * least(100 / p_size, 40 / (p_size + 10)) AS w, (p_size + 10) * least(100 / p_size, 40 / (p_size + 10)) AS h, 200 * 0.5 + p_size - (200 * 0.5 + 10) * 0.5 AS start, 200 * 0.5 + 10 AS length FROM part""")
+@demo("""SELECT p_partkey, p_size * least(100 / p_size, 40 / (p_size + 10)) AS w, (p_size + 10) * least(100 / p_size, 40 / (p_size + 10)) AS h, CAST(p_size + 45 AS DOUBLE) AS start, CAST(110 AS DOUBLE) AS length FROM part""")
 def prj19_layout(t):
     size = F.col("p_size").cast("double")
     w, h = E.placed_size(size, size + 10, F.lit(100), F.lit(40))
