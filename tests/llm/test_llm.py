@@ -200,3 +200,38 @@ def test_pipeline_stages(spark):
             assert kept == want
         docs_in = out
     assert public_tokenizers.path("byte_bpe_50k.json") == queries.BPE
+
+
+def test_turned_noisy_and_cropped_copies_are_compared(spark):
+    rng = np.random.default_rng(6)
+
+    def turned(a, degrees):
+        t, (y, x), m = np.deg2rad(degrees), np.mgrid[: len(a), : len(a)], (len(a) - 1) / 2
+        at = [np.clip(c, 0, len(a) - 1.001) for c in (np.cos(t) * (y - m) - np.sin(t) * (x - m) + m, np.sin(t) * (y - m) + np.cos(t) * (x - m) + m)]
+        (j, i), (v, u) = (c.astype(int) for c in at), (c % 1 for c in at)
+        return a[j, i] * (1 - v) * (1 - u) + a[j + 1, i] * v * (1 - u) + a[j, i + 1] * (1 - v) * u + a[j + 1, i + 1] * v * u
+
+    rows, copies = [], {}
+    for k in range(40):
+        a = np.kron(rng.uniform(0, 255, (24, 24)), np.ones((4, 4)))
+        rows.append((10 * k, a))
+        for n, edit in enumerate((turned(a, 17), turned(a, 45), a + rng.normal(0, 20, a.shape), a[20:76, 16:72])):
+            rows.append((10 * k + n + 1, edit))
+    rows = [(i, np.clip(a, 0, 255).astype(np.uint8)) for i, a in rows]
+    points = {i: media.keypoints(a) for i, a in rows}
+    alike = {i for i, _ in rows if i % 10 and max(media.consensus(points[i], points[i - i % 10]), media.consensus(points[i - i % 10], points[i])) >= media.CONSENSUS}
+    copies = Counter(i % 10 for i in alike)
+    df = spark.createDataFrame([(i, *a.shape, bytearray(a.tobytes())) for i, a in rows], "image_id long, height int, width int, pixels binary")
+    got = {r["image_id"]: r["class_id"] for r in media.media_copies(df, "image_id").collect()}
+    assert copies[1] >= 36 and copies[3] >= 38 and copies[4] >= 20
+    assert sum(got[i] == i - i % 10 for i in alike) >= 0.98 * len(alike)
+    assert all(got[i] == i for i, _ in rows if i % 10 == 0)
+
+
+def test_crowded_keys_go_on_as_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    a = np.kron(rng.uniform(0, 255, (24, 24)), np.ones((4, 4)))
+    images = [np.clip(a + rng.normal(0, 2, a.shape), 0, 255).astype(np.uint8) for _ in range(80)]
+    df = spark.createDataFrame([(i, *x.shape, bytearray(x.tobytes())) for i, x in enumerate(images)], "image_id long, height int, width int, pixels binary")
+    monkeypatch.setattr(media, "KEY_MEMBERS", 50)
+    assert {r["class_id"] for r in media.media_copies(df, "image_id").collect()} == {0}
