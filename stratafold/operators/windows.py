@@ -45,11 +45,12 @@ def hold_time(df: DataFrame, group: str, t: str, end: Column, least: float = 0.0
 
 
 def dense_labels(df: DataFrame, root: str, prefix: str, label: str = "label") -> DataFrame:
-    """Adds a label such as dup_0001 for each distinct root, numbered by order of roots."""
+    """Adds a label such as dup_0001 for each distinct root, numbered by order of roots; longer numbers stay whole."""
     from stratafold.operators.aggs import numbered_rows
 
     roots = numbered_rows(df.select(root).distinct(), [root], "__k")
-    return df.join(roots, root).withColumn(label, F.concat(F.lit(prefix), F.lpad(F.col("__k").cast("string"), 4, "0"))).drop("__k")
+    number = F.col("__k").cast("string")
+    return df.join(roots, root).withColumn(label, F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0")))).drop("__k")
 
 
 def draw_order(df: DataFrame, group: str, keys: list, name: str = "place") -> DataFrame:

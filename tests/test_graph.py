@@ -5,6 +5,7 @@ import random
 from stratafold.operators import graph as G
 from stratafold.operators import incremental as I
 from stratafold.operators import joins as J
+from stratafold.operators import windows as W
 
 
 def test_components_equal_union_find(spark):
@@ -56,3 +57,8 @@ def test_asof_clamps_outside(spark):
     keys = spark.createDataFrame([(1, 10, 1.0), (1, 20, 3.0)], "e long, t long, v double")
     at = spark.createDataFrame([(1, 5), (1, 15), (1, 20), (1, 30)], "e long, t long")
     assert {r["t"]: r["v"] for r in J.asof_interpolate(keys, at, "e", "t", "v").collect()} == {5: 1.0, 15: 2.0, 20: 3.0, 30: 3.0}
+
+
+def test_dense_labels_stay_distinct_beyond_four_digits(spark):
+    got = W.dense_labels(spark.range(12_000), "id", "dup_").collect()
+    assert {r["id"]: r["label"] for r in got} == {k: f"dup_{k + 1:04d}" for k in range(12_000)}
