@@ -81,17 +81,22 @@ def flatten_to_root(nodes: DataFrame, node: str, parent: str, rounds: int = 40)
     return new.withColumnRenamed("up", "root").join(top, "root", "left_anti").select("node", "root", F.col("hops").alias("depth"))
 
 
-def walk_down(nodes: DataFrame, node: str, parent: str, name: str, depth: int = 64) -> DataFrame:
-    """(node, path, level): names joined from the root; each level's nodes join their parents' results."""
+def walk_down(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
+    """(node, path, level): names joined from the root; each level's nodes join their parents' results.
+
+    Levels go on until one is empty. A walk longer than the number of nodes is a cycle, and raises.
+    """
     base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).alias("name"))
     front = cut(base.filter("parent is null").select("node", F.col("name").alias("path"), F.lit(0).alias("level")))
-    done = front
-    for level in range(1, depth + 1):
+    done, total = front, base.count()
+    for level in range(1, total + 1):
         above = front.select(F.col("node").alias("parent"), F.col("path").alias("above"))
         front = cut(base.join(above, "parent").select("node", F.concat_ws("/", "above", "name").alias("path"), F.lit(level).alias("level")))
         if front.isEmpty():
-            break
+            return done
         done = cut(done.unionByName(front))
+    if total:
+        raise ValueError("nodes below a root form a cycle")
     return done
 
 

@@ -32,8 +32,9 @@ def _spans(tokens: Column, longest: int) -> Column:
     )
 
 
-def contains_join(left: DataFrame, left_id: str, name: str, right: DataFrame, stem: str, order: str, longest: int = 4) -> DataFrame:
+def contains_join(left: DataFrame, left_id: str, name: str, right: DataFrame, stem: str, order: str) -> DataFrame:
     """(left_id, stem): the first stem, by ``order``, that is a run of whole words of the name."""
+    longest = right.agg(F.max(F.size(name_tokens(stem, digits=False)))).first()[0] or 1
     spans = left.select(left_id, F.explode(_spans(name_tokens(name, digits=False), longest)).alias("s")).select(left_id, F.col("s.text").alias("__stem")).distinct()
     small = right.select(F.array_join(name_tokens(stem, digits=False), "").alias("__stem"), F.col(stem), F.col(order))
     return spans.join(small, "__stem").groupBy(left_id).agg(F.min_by(stem, F.struct(order, stem)).alias(stem))

@@ -62,3 +62,16 @@ def test_asof_clamps_outside(spark):
 def test_dense_labels_stay_distinct_beyond_four_digits(spark):
     got = W.dense_labels(spark.range(12_000), "id", "dup_").collect()
     assert {r["id"]: r["label"] for r in got} == {k: f"dup_{k + 1:04d}" for k in range(12_000)}
+
+
+def test_walk_down_passes_64_levels(spark, monkeypatch):
+    monkeypatch.setattr(G, "cut", lambda df: spark.createDataFrame(df.collect(), df.schema))
+    nodes = [(k, k - 1 if k else None, "n") for k in range(70)]
+    got = G.walk_down(spark.createDataFrame(nodes, "n long, p long, name string"), "n", "p", "name").collect()
+    assert {r["node"]: r["level"] for r in got} == {k: k for k in range(70)}
+
+
+def test_contains_join_finds_stems_of_any_length(spark):
+    names = spark.createDataFrame([(1, "old red oak tall tree house wall"), (2, "red oak")], "id long, name string")
+    stems = spark.createDataFrame([("red oak tall tree house", 1), ("red oak", 2)], "stem string, k long")
+    assert {r["id"]: r["stem"] for r in J.contains_join(names, "id", "name", stems, "stem", "k").collect()} == {1: "red oak tall tree house", 2: "red oak"}
