@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.llm import langid, lines, neardup, packing
-from stratafold.llm.storage import shared_folder
+from stratafold.llm.storage import shared_folder, stored
 
 #: A text whose best language has a lower probability than this, averaged over its bytes, is rejected.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -31,9 +31,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    kept = neardup.near_duplicates(docs, "doc_id", "text", width=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    """One row of each group of near duplicates, the one with the smallest id; a null id is the largest.
+
+    Rows are told apart by a hash of id and text, so null ids and ids of several texts do no harm. Of rows
+    that repeat both, one stays. Texts without words are in no group and stay.
+    """
+    rows = docs.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    near = stored(neardup.near_duplicates(rows, "row", "text", width=5, percent=80).select("row", "component_id", "n_shingles"), "near")
+    copies = rows.groupBy("row", "doc_id").agg(F.count("*").alias("copies")).join(near.filter("n_shingles > 0").distinct(), "row")
+    best = copies.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "copies")).alias("b")).select("b.row", "b.copies")
+    wordless = near.filter("n_shingles = 0").select("row", F.lit(1).cast("long").alias("copies")).distinct()
+    kept = rows.join(stored(best.unionByName(wordless), "kept"), "row")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    one = kept.filter("copies > 1").groupBy("row").agg(F.min(F.struct(*columns)).alias("r")).select("r.*")
+    return kept.filter("copies = 1").select(*columns).unionByName(one)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

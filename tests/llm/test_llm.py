@@ -235,3 +235,12 @@ def test_crowded_keys_go_on_as_buckets(spark, monkeypatch):
     df = spark.createDataFrame([(i, *x.shape, bytearray(x.tobytes())) for i, x in enumerate(images)], "image_id long, height int, width int, pixels binary")
     monkeypatch.setattr(media, "KEY_MEMBERS", 50)
     assert {r["class_id"] for r in media.media_copies(df, "image_id").collect()} == {0}
+
+
+def test_near_dedup_keeps_null_ids_and_one_row_of_each(spark):
+    text = lambda n: " ".join(f"t{n}w{k}" for k in range(30))
+    rows = [(None, text(0)), (None, text(1)), (1, text(1)), (2, text(2)), (2, text(2)), (3, text(3)), (3, text(4)), (4, text(4)), (None, text(5)), (None, text(5)), (5, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.minhash_near_dedup(spark, df, SF).collect())
+    want = [(None, text(0)), (1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (None, text(5)), (5, None), (None, "")]
+    assert got == Counter(want)
