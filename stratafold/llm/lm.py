@@ -24,8 +24,10 @@ TAIL = 28
 HIDDEN = 16
 #: Steps of a window; the state goes on from window to window, gradients do not.
 WINDOW = 32
-#: Texts that the network is fitted on, about; optimiser steps at most; lanes of a step.
+#: Texts that the first weights are fitted on, about; steps up to which passes repeat; lanes of a step.
 FIT_TEXTS, FIT_STEPS, FIT_LANES = 2000, 500, 64
+#: Bytes of a block of training texts, about, lanes of its steps, and its first rate; weights averaged in one group.
+FIT_BYTES, BLOCK_LANES, BLOCK_RATE, AVERAGED = 6_000_000, 256, 0.004, 64
 #: Bytes of text that are scored together, about.
 BLOCK_BYTES = 24_000_000
 LANES = 1024
@@ -188,23 +190,22 @@ def _fresh(owner: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((1, owner.shape[1]), bool), owner[1:] != owner[:-1]])
 
 
-def fit_network(texts: list[np.ndarray], seed: int = 11) -> Weights:
-    """Weights fitted to symbol sequences by truncated backpropagation through time."""
-    w = _start(np.random.default_rng(seed), HEAD // CLASS_WORDS)
+def fit_network(texts: list[np.ndarray], seed: int = 11, start: Weights | None = None, most_lanes: int = FIT_LANES, top_rate: float = 0.02, most_passes: int = 4) -> Weights:
+    """Weights fitted to every window of symbol sequences by truncated backpropagation through time, from ``start`` if given."""
+    w = {k: a.copy() for k, a in start.items()} if start else _start(np.random.default_rng(seed), HEAD // CLASS_WORDS)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    x, owner = _grid(texts, min(FIT_LANES, len(texts)))
+    x, owner = _grid(texts, min(most_lanes, len(texts)))
     fresh, step = _fresh(owner), 0
-    passes = max(1, min(4, FIT_STEPS * WINDOW // len(x)))
+    passes = max(1, min(most_passes, FIT_STEPS * WINDOW // len(x)))
+    steps = max(FIT_STEPS, passes * -(-len(x) // WINDOW))
     for _ in range(passes):
         h = np.zeros((HIDDEN, x.shape[1]), np.float32)
         for s in range(0, len(x), WINDOW):
             rows = slice(s, s + WINDOW)
-            if step >= FIT_STEPS:
-                break
             step += 1
             _, g, h = _gradients(w, x[rows], fresh[rows], owner[rows] >= 0, h)
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            rate = 0.02 * (1 - 0.9 * step / FIT_STEPS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = top_rate * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, a in g.items():
                 a = a * min(1.0, 1.0 / (norm + 1e-9))
                 m[k] += 0.1 * (a - m[k])
@@ -248,10 +249,11 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def train_model(train: DataFrame, counts: DataFrame, id_col: str, text_col: str) -> Model:
-    """Head, totals and masses from the counts of all training texts; weights from about ``FIT_TEXTS`` texts.
+    """Head, totals and masses from the counts of all training texts, and weights fitted to all of them.
 
-    Counts cover the whole corpus. The bounded sample, drawn by a hash of the id, is for the weights
-    alone, and is fitted by one task. Without training texts the weights are the untrained ones.
+    One task fits first weights to about ``FIT_TEXTS`` texts, drawn by a hash of the id. From these each
+    block of about ``FIT_BYTES`` of all training texts is fitted on its own, whole texts and every window,
+    and the blocks' weights are averaged by their tokens. Without training texts weights are untrained.
     """
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()
@@ -275,7 +277,36 @@ def train_model(train: DataFrame, counts: DataFrame, id_col: str, text_col: str)
     got = drawn.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy().applyInPandas(fit, "weights binary").first()
     if got is None:
         np.savez(held := io.BytesIO(), **_start(np.random.default_rng(11), HEAD // CLASS_WORDS))
-    return Model(head, int(tokens), int(distinct), mass, bytes(got[0]) if got else held.getvalue())
+        if not texts:
+            return Model(head, int(tokens), int(distinct), mass, held.getvalue())
+    first_weights = bytes(got[0]) if got else held.getvalue()
+    blocks = int((train.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // FIT_BYTES) + 1
+
+    def fit_block(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [np.array([*(_symbol(x, head) for x in words_of(t)), 0], np.int32) for t in rows["text"].sort_values()]
+        total, longest = sum(map(len, own)), max(map(len, own))
+        lanes = max(1, min(BLOCK_LANES, total // longest))
+        w = fit_network(own, start=dict(np.load(io.BytesIO(first_weights))), most_lanes=lanes, top_rate=BLOCK_RATE, most_passes=1)
+        np.savez(held := io.BytesIO(), **w)
+        return pd.DataFrame({"part": [int(rows["block"].iloc[0]) // AVERAGED], "n": [total], "weights": [held.getvalue()]})
+
+    def average(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, total = rows.sort_values(["n", "weights"]), rows["n"].sum()
+        mean: dict[str, np.ndarray] = {}
+        for n, raw in zip(rows["n"], rows["weights"], strict=True):
+            for k, a in np.load(io.BytesIO(raw)).items():
+                mean[k] = mean.get(k, 0) + a.astype(np.float64) * (n / total)
+        np.savez(held := io.BytesIO(), **{k: a.astype(np.float32) for k, a in mean.items()})
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // AVERAGED], "n": [total], "weights": [held.getvalue()]})
+
+    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks))
+    schema = "part long, n long, weights binary"
+    dealt = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), block.alias("block"))
+    fitted = stored(dealt.groupBy("block").applyInPandas(fit_block, schema), "weights")
+    while blocks > 1:
+        blocks = -(-blocks // AVERAGED)
+        fitted = stored(fitted.groupBy("part").applyInPandas(average, schema), "weights")
+    return Model(head, int(tokens), int(distinct), mass, bytes(fitted.first()["weights"]))
 
 
 def score_documents(df: DataFrame, id_col: str, text_col: str, counts: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

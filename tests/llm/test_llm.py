@@ -237,6 +237,26 @@ def test_crowded_keys_go_on_as_buckets(spark, monkeypatch):
     assert {r["class_id"] for r in media.media_copies(df, "image_id").collect()} == {0}
 
 
+def test_network_learns_from_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FIT_TEXTS", 0)
+    monkeypatch.setattr(lm, "FIT_BYTES", 3000)
+    rows = [(k, " ".join(f"w{(k + j) % 50}" for j in range(100))) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    counts = lm.word_counts(df, "text").cache()
+    seen = []
+    for part in (df, df.withColumn("text", F.when(F.col("id") == 79, F.reverse("text")).otherwise(F.col("text")))):
+        seen.append({k: a.copy() for k, a in np.load(lm.io.BytesIO(lm.train_model(part, counts, "id", "text").weights)).items()})
+    assert any((seen[0][k] != seen[1][k]).any() for k in seen[0])
+
+
+def test_network_fit_has_no_step_break():
+    long = np.random.default_rng(1).integers(0, 3, 40_000).astype(np.int32)
+    other = long.copy()
+    other[-3000:] = 5
+    a, b = lm.fit_network([long], most_passes=1), lm.fit_network([other], most_passes=1)
+    assert any((a[k] != b[k]).any() for k in a)
+
+
 def test_near_dedup_keeps_null_ids_and_one_row_of_each(spark):
     text = lambda n: " ".join(f"t{n}w{k}" for k in range(30))
     rows = [(None, text(0)), (None, text(1)), (1, text(1)), (2, text(2)), (2, text(2)), (3, text(3)), (3, text(4)), (4, text(4)), (None, text(5)), (None, text(5)), (5, None), (None, "")]
