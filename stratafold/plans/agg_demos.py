@@ -129,6 +129,13 @@ def agg17_decomposition(t):
     return A.decomposition_filter(parts, "p_brand", "p_type", "p_size", "whole")
 
 
+@demo("""SELECT part_group, count(DISTINCT p_type) AS kinds, count(*) AS members FROM (SELECT concat(p_brand, '/', CAST(p_size // 10 AS VARCHAR)) AS part_group, p_type, p_size, 50 AS whole FROM part) GROUP BY 1
+HAVING count(DISTINCT p_type) >= 2 AND count(*) <= 3 * count(DISTINCT p_type) AND max(p_size - whole) <= 0 AND min(p_size - whole) < 0""")
+def agg17_decomposition_of_all_parts(t):
+    parts = t.part.withColumn("part_group", F.concat("p_brand", F.lit("/"), F.expr("p_size div 10").cast("string"))).withColumn("whole", F.lit(50))
+    return A.decomposition_filter(parts, "part_group", "p_type", "p_size", "whole")
+
+
 @demo("""WITH n AS (SELECT DISTINCT p_brand, p_type, p_name FROM part), w AS (SELECT DISTINCT p_brand, p_type, string_split(p_name, ' ') AS w FROM n), c AS (SELECT p_brand, count(*) AS total FROM (SELECT DISTINCT p_brand, w FROM w) GROUP BY 1),
 d AS (SELECT DISTINCT p_brand, w FROM w), p AS (SELECT p_brand, k, array_to_string(w[1:k], ' ') AS prefix FROM d, range(1, 3) r(k) WHERE k <= len(w)), g AS (SELECT p_brand, k, prefix, count(*) AS n FROM p GROUP BY ALL)
 SELECT g.p_brand, max_by(prefix, struct_pack(k := k, n := n, p := prefix)) AS prefix FROM g JOIN c ON g.p_brand = c.p_brand WHERE n >= 2 AND n >= 0.1 * total GROUP BY 1""")

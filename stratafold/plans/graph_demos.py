@@ -85,3 +85,9 @@ SELECT src, dst FROM e UNION SELECT b.src, e.dst FROM b JOIN e ON e.src = b.base
 def grf10_one_hop_closure(t):
     bases = t.nation.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("base"))
     return G.one_hop_closure(t.sql(EDGES), bases)
+
+
+@demo()
+def grf4_components_of_all_orders(t):
+    pairs = t.orders.select("o_custkey", (F.col("o_orderkey") % 97 + 10000000).alias("hub"))
+    return G.connected_components(pairs, "o_custkey", "hub")

@@ -89,6 +89,13 @@ def jon12_asof_interpolate(t):
     return J.asof_interpolate(keys, t.sql(TIMES), "entity", "t", "v").withColumn("v", F.round("v", 9))
 
 
+@demo(f"WITH k AS (SELECT user_id AS entity, event_id AS t, value AS v FROM events), w AS (SELECT o_custkey AS entity, o_orderkey AS t FROM orders WHERE o_custkey IN (SELECT user_id FROM events)) {ASOF_SQL}")
+def jon12_asof_of_all_orders(t):
+    keys = t.events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("v"))
+    wanted = t.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("t")).join(keys.select("entity").distinct(), "entity", "left_semi")
+    return J.asof_interpolate(keys, wanted, "entity", "t", "v").withColumn("v", F.round("v", 9))
+
+
 @demo(f"""WITH a AS (SELECT user_id AS entity, event_id AS t, value AS v FROM events WHERE event_type = 'view'), b AS (SELECT user_id AS entity, event_id AS t, value AS v FROM events WHERE event_type = 'click'),
 w AS (SELECT entity, t FROM a UNION SELECT entity, t FROM b), x AS (WITH k AS (SELECT * FROM a) {ASOF_SQL}), y AS (WITH k AS (SELECT * FROM b) {ASOF_SQL})
 SELECT x.entity, x.t, x.v AS a, round(y.v + 5, 9) AS b FROM x JOIN y ON x.entity = y.entity AND x.t = y.t""")

@@ -6,6 +6,7 @@ from stratafold.operators import graph as G
 from stratafold.operators import incremental as I
 from stratafold.operators import joins as J
 from stratafold.operators import windows as W
+from stratafold.plans import catalogue
 
 
 def test_components_equal_union_find(spark):
@@ -75,3 +76,24 @@ def test_contains_join_finds_stems_of_any_length(spark):
     names = spark.createDataFrame([(1, "old red oak tall tree house wall"), (2, "red oak")], "id long, name string")
     stems = spark.createDataFrame([("red oak tall tree house", 1), ("red oak", 2)], "stem string, k long")
     assert {r["id"]: r["stem"] for r in J.contains_join(names, "id", "name", stems, "stem", "k").collect()} == {1: "red oak tall tree house", 2: "red oak"}
+
+
+def test_queries_over_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    root = {x: x for r in orders for x in (r[0], r[1] % 97 + 10000000)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in orders:
+        a, b = find(r[0]), find(r[1] % 97 + 10000000)
+        root[max(a, b)] = min(a, b)
+    got = catalogue.queries()["grf4_components_of_all_orders"](spark, sf).collect()
+    assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in root}
+    users = {r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
+    wanted = sum(r[0] in users for r in orders)
+    assert wanted and catalogue.queries()["jon12_asof_of_all_orders"](spark, sf).count() == wanted
+    assert sum(r["members"] for r in catalogue.queries()["agg17_decomposition_of_all_parts"](spark, sf).collect()) > 100
