@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratafold.operators.scalar import numbering_pattern
+from stratafold.operators.storage import cut
 
 
 def top_counts(df: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -111,16 +112,20 @@ def list_item_frequency(df: DataFrame, col: str, separator: str, least: int = 2)
 
 
 def numbered_rows(df: DataFrame, order: list[str], number: str) -> DataFrame:
-    """Adds each row's place, from 1, in a total order: ranked within ranges, which are then added up."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    ranked = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = {r["__p"]: r["n"] for r in ranked.groupBy("__p").agg(F.max("__r").alias("n")).collect()}  # one number for each partition
+    """Adds each row's place, from 1, in a total order: ranked within ranges, which are then added up.
+
+    Rows are dealt into ranges once and stored with their range, so that counting and ranking see the
+    same ranges. No range is ranked in one task with another; rows that are equal in ``order`` get
+    neighbouring numbers in any order.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sizes = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one number for each range
     before, starts = 0, []
     for p in sorted(sizes):
         starts.append((p, before))
         before += sizes[p]
-    offsets = spark.createDataFrame(starts or [(0, 0)], "__p int, __o long")
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "__p int, __o long")
+    ranked = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     return ranked.join(F.broadcast(offsets), "__p").withColumn(number, F.col("__o") + F.col("__r")).drop("__p", "__r", "__o")
 
 

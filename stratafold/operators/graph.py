@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.operators.storage import cut
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def build_edges(links: DataFrame, src: str, dst: str, known: DataFrame, key: str) -> DataFrame:
     """(src, dst): distinct links to known targets, none to itself."""
     rows = links.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null and src <> dst").distinct()
@@ -17,29 +23,38 @@ def build_edges(links: DataFrame, src: str, dst: str, known: DataFrame, key: str
 def bounded_reach(edges: DataFrame, sources: DataFrame, key: str, depth: int) -> DataFrame:
     """(source, node, hops): every node within ``depth`` hops of a source but itself, with the fewest hops."""
     step = edges.select(F.col("src").alias("node"), "dst")
-    front = cut(sources.select(F.col(key).alias("source"), F.col(key).alias("node"), F.lit(0).alias("hops")))
-    seen = front
+    fronts = [cut(sources.select(F.col(key).alias("source"), F.col(key).alias("node"), F.lit(0).alias("hops")).distinct())]
     for hop in range(1, depth + 1):
-        new = front.join(step, "node").select("source", F.col("dst").alias("node")).distinct()
-        front = cut(new.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        new = fronts[-1].join(step, "node").select("source", F.col("dst").alias("node")).distinct()
+        front = cut(new.join(_all(fronts).select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen.filter("hops > 0")
+        fronts.append(front)
+    return _all(fronts).filter("hops > 0")
+
+
+def inherited_roles(reach: DataFrame, holders: DataFrame, key: str, role: str, priority: list[str]) -> DataFrame:
+    """(node, holders, roles) of every node that ``reach`` (source, node) names: its holders, and their roles in order of priority.
+
+    holders holds (``key``, ``role``), one row for each role of a holder; a holder without a role counts as one.
+    """
+    held = holders.select(F.col(key).alias("source"), F.col(role).alias("__role")).distinct()
+    g = reach.join(held, "source", "left").groupBy("node").agg(F.count_distinct("source").alias("holders"), *[F.bool_or(F.col("__role") == p).alias(f"__{k}") for k, p in enumerate(priority)])
+    roles = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"__{k}"), F.lit(p)) for k, p in enumerate(priority)])), "+")
+    return g.select("node", "holders", roles.alias("roles"))
 
 
 def nearest_label(edges: DataFrame, roots: DataFrame, key: str, label: str, depth: int) -> DataFrame:
     """(node, label, hops): labels flow along edges; the nearest root wins, then the smaller label."""
     step = edges.select(F.col("src").alias("node"), "dst")
-    front = cut(roots.groupBy(F.col(key).alias("node")).agg(F.min(label).alias("label")).withColumn("hops", F.lit(0)))
-    seen = front
+    fronts = [cut(roots.groupBy(F.col(key).alias("node")).agg(F.min(label).alias("label")).withColumn("hops", F.lit(0)))]
     for hop in range(1, depth + 1):
-        new = front.join(step, "node").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
-        front = cut(new.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
+        new = fronts[-1].join(step, "node").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+        front = cut(new.join(_all(fronts).select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        fronts.append(front)
+    return _all(fronts)
 
 
 def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -62,42 +77,89 @@ def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         live = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct())
 
 
-def flatten_to_root(nodes: DataFrame, node: str, parent: str, rounds: int = 40) -> DataFrame:
+def flatten_to_root(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, root, depth) by doubling pointers; a parent that is not a node itself is the root above it.
 
-    Nodes of a cycle have no root and are left out.
+    Nodes of a cycle and those below one have no root and are left out: after as many doublings as the
+    number of nodes has binary digits, whatever still moves hangs on a cycle.
     """
     base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"))
-    start = base.select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("int").alias("hops"))
-    state = cut(start)
-    for _ in range(rounds):
+    state = cut(base.select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("long").alias("hops")))
+    for _ in range(state.count().bit_length()):
         above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"))
-        new = cut(state.join(above, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops")))
-        if new.join(state.select("node", F.col("up").alias("was")), "node").filter("up <> was").isEmpty():
+        moved = F.coalesce(F.col("up2") != F.col("up"), F.lit(False))
+        state = cut(state.join(above, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), moved.alias("moved")))
+        if state.filter("moved").isEmpty():
             break
-        state = new
-    new = state
-    top = base.filter("up is not null").select(F.col("node").alias("root"))
-    return new.withColumnRenamed("up", "root").join(top, "root", "left_anti").select("node", "root", F.col("hops").alias("depth"))
+    inner = base.filter("up is not null").select(F.col("node").alias("root"))
+    return state.withColumnRenamed("up", "root").join(inner, "root", "left_anti").select("node", "root", F.col("hops").cast("int").alias("depth"))
+
+
+def path_of(nodes: DataFrame, node: str, parent: str, name: str, separator: str = "/") -> DataFrame:
+    """(node, path): the names from below the root down to the node itself, by doubling pointers; a root's path is empty.
+
+    A parent that is not a node itself ends the walk, and its children's paths start with their own name.
+    A null name counts as an empty one. Nodes of a cycle and below one are left out.
+    """
+    base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.coalesce(F.col(name), F.lit("")).alias("name"))
+    state = cut(base.select("node", "up", F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array("name")).alias("path")))
+    for _ in range(state.count().bit_length() + 1):
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.lit(True).alias("met"))
+        # A row whose pointer is null, or points at no node, has its whole path.
+        state = cut(state.join(above, "up", "left").select("node", F.col("up2").alias("up"), F.when(F.col("met"), F.concat("path2", "path")).otherwise(F.col("path")).alias("path")))
+        if state.filter("up is not null").isEmpty():
+            break
+    return state.filter("up is null").select("node", F.array_join("path", separator).alias("path"))
+
+
+def compose(outer: Column, inner: Column) -> Column:
+    """The affine map (a, b, c, d, e, f), x' = a x + b y + c and y' = d x + e y + f, that applies ``inner`` first."""
+    o, i = [outer[k] for k in range(6)], [inner[k] for k in range(6)]
+    row = lambda p, q, r: [p * i[0] + q * i[3], p * i[1] + q * i[4], p * i[2] + q * i[5] + r]
+    return F.array(*row(*o[:3]), *row(*o[3:]))
+
+
+def _inherit(how: str, above: Column, own: Column) -> Column:
+    """A node's value from its parent's and its own."""
+    if how == "all":
+        return above & own
+    if how == "nearest":
+        return F.coalesce(own, above)
+    if how == "affine":
+        return compose(above, own)
+    if how == "span":
+        length = above["length"] * (own["high"] - own["low"]) + own["size"]
+        start = above["start"] + above["length"] * (own["low"] + (own["high"] - own["low"]) * own["pivot"]) + own["at"] - length * own["pivot"]
+        return F.struct(start.alias("start"), length.alias("length"))
+    raise ValueError(f"unknown way to inherit: {how}")
+
 
+def walk_down(nodes: DataFrame, node: str, parent: str, name: str, inherit: dict[str, str] | None = None) -> DataFrame:
+    """(node, path, level, inherited columns): names joined from the root; each level's nodes join their parents' results.
 
-def walk_down(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
-    """(node, path, level): names joined from the root; each level's nodes join their parents' results.
+    ``inherit`` names columns and how a node's value follows from its parent's: ``all`` (true where it and
+    all ancestors are), ``nearest`` (the nearest value that is not null, its own first), ``affine`` (maps of
+    six numbers, the node's own applied first), ``span`` (start and length on one axis; a root's own struct
+    has these, other nodes' low, high, size, at and pivot, and start counts from the root).
 
     Levels go on until one is empty. A walk longer than the number of nodes is a cycle, and raises.
     """
-    base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).alias("name"))
-    front = cut(base.filter("parent is null").select("node", F.col("name").alias("path"), F.lit(0).alias("level")))
-    done, total = front, base.count()
+    inherit = inherit or {}
+    base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).alias("name"), *inherit)
+    root = lambda c: F.struct(F.col(c)["start"].alias("start"), F.col(c)["length"].alias("length")).alias(c) if inherit[c] == "span" else F.col(c)
+    front = cut(base.filter("parent is null").select("node", F.col("name").alias("path"), F.lit(0).alias("level"), *map(root, inherit)))
+    parts, total = [front], base.count()
     for level in range(1, total + 1):
-        above = front.select(F.col("node").alias("parent"), F.col("path").alias("above"))
-        front = cut(base.join(above, "parent").select("node", F.concat_ws("/", "above", "name").alias("path"), F.lit(level).alias("level")))
+        above = front.select(F.col("node").alias("parent"), F.col("path").alias("above"), *[F.col(c).alias(f"above_{c}") for c in inherit])
+        values = [_inherit(how, F.col(f"above_{c}"), F.col(c)).alias(c) for c, how in inherit.items()]
+        front = cut(base.join(above, "parent").select("node", F.concat_ws("/", "above", "name").alias("path"), F.lit(level).alias("level"), *values))
         if front.isEmpty():
-            return done
-        done = cut(done.unionByName(front))
+            return _all(parts)
+        # A long walk's levels are put together now and then, so that no plan names thousands of tables.
+        parts = [cut(_all([*parts, front]))] if len(parts) >= 32 else [*parts, front]
     if total:
         raise ValueError("nodes below a root form a cycle")
-    return done
+    return _all(parts)
 
 
 def one_hop_closure(edges: DataFrame, bases: DataFrame) -> DataFrame:
@@ -141,3 +203,64 @@ def subtree_signature(nodes: DataFrame, node: str, parent: str, item: str) -> Da
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("node", "size", "signature")
+
+
+def subtree_shapes(nodes: DataFrame, node: str, parent: str, item: str) -> DataFrame:
+    """(node, parent, depth, drawn, shape): items in a node's subtree, and a hash of what these are and how they nest.
+
+    Bottom-up by levels. Children add up as hashes, so neither their order nor their number matters to
+    memory. A null item draws nothing. Nodes of a cycle are left out.
+    """
+    level = flatten_to_root(nodes, node, parent).select("node", "depth")
+    base = cut(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(item).cast("string").alias("item")).join(level, "node"))
+    own = F.col("item").isNotNull().cast("long")
+    below, parts = None, []
+    for depth in range(base.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        rows = base.filter(F.col("depth") == depth)
+        if below is None:
+            rows = rows.select("*", F.lit(0).cast("long").alias("under"), *[F.lit(0).cast("long").alias(f"h{k}") for k in (0, 1)])
+        else:
+            # Values below 2^40 add up without overflow over 2^23 children of one node.
+            sums = [F.sum(F.pmod(F.xxhash64("shape", F.lit(k)), F.lit(1 << 40))).alias(f"h{k}") for k in (0, 1)]
+            kids = below.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.sum("drawn").alias("under"), *sums)
+            rows = rows.join(kids, "node", "left").fillna(0, ["under", "h0", "h1"])
+        shape = F.concat(*[F.hex(F.xxhash64("item", F.lit(k), "h0", "h1")) for k in (0, 1)])
+        below = cut(rows.select("node", "parent", "depth", (F.col("under") + own).alias("drawn"), shape.alias("shape")))
+        parts = [cut(_all([*parts, below]))] if len(parts) >= 32 else [*parts, below]
+    return _all(parts)
+
+
+def repeated_subtrees(nodes: DataFrame, node: str, parent: str, item: str, name: str, most: int = 16) -> DataFrame:
+    """(shape, name, speaker, drawn, placements) of the subtrees that a forest is cut into.
+
+    From the roots down, a subtree is one object if its shape occurs again, or if it draws ``most`` items
+    at most and no shape below it occurs again; else its children are looked at. Subtrees without items
+    are left out. Of each shape the node with the shortest name, then the smaller one, then the smaller
+    id speaks for the others; placements counts them.
+    """
+    shapes = subtree_shapes(nodes, node, parent, item).filter("drawn > 0")
+    again = shapes.groupBy("shape").agg(F.count("*").alias("__n"))
+    shapes = cut(shapes.join(again, "shape").withColumn("again", F.col("__n") > 1).drop("__n"))
+    front = cut(shapes.filter("again and parent is not null").select(F.col("parent").alias("node")).distinct())
+    above = [front]
+    while not front.isEmpty():
+        up = shapes.join(front, "node", "left_semi").filter("parent is not null").select(F.col("parent").alias("node")).distinct()
+        front = cut(up.join(_all(above), "node", "left_anti"))
+        above = [cut(_all([*above, front]))] if len(above) >= 32 else [*above, front]
+    marked = cut(shapes.join(_all(above).withColumn("below", F.lit(True)), "node", "left").withColumn("whole", F.col("again") | ((F.col("drawn") <= most) & F.col("below").isNull())))
+    front, found = marked.filter("parent is null"), []
+    while True:
+        found.append(front.filter("whole").select("node", "shape", "drawn"))
+        open_ = front.filter("not whole").select(F.col("node").alias("parent"))
+        front = cut(marked.join(open_, "parent", "left_semi"))
+        if front.isEmpty():
+            break
+        found = [cut(_all(found))] if len(found) >= 32 else found
+    names = nodes.select(F.col(node).alias("node"), F.coalesce(F.col(name), F.lit("")).alias("name"))
+    g = _all(found).join(names, "node").groupBy("shape").agg(F.min(F.struct(F.length("name").alias("n"), "name", "node")).alias("s"), F.max("drawn").alias("drawn"), F.count("*").alias("placements"))
+    return g.select("shape", F.col("s.name").alias("name"), F.col("s.node").alias("speaker"), "drawn", "placements")
+
+
+def merge_units(units: DataFrame, file: str, signature: str = "signature", placements: str = "placements") -> DataFrame:
+    """(signature, placements, files, first): units of several files that share a signature add up; the smallest file keeps them."""
+    return units.groupBy(signature).agg(F.sum(placements).alias("placements"), F.count_distinct(file).alias("files"), F.min(file).alias("first"))

@@ -7,19 +7,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STORED: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a folder of our own becomes it."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset and Spark runs in one local process, as in tests, a folder of our own becomes it.
+    On a cluster an unset folder is an error, for executors do not see each other's disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="stratafold-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to a folder under ``spark.checkpoint.dir`` and read back."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back: later reads depend on no executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.add(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` stored under a name of no meaning."""
+    return stored(df, "cut")
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes all tables that this process has stored so far, and returns their number.
+
+    Results that are still to be computed may read them, so call it once results are written or collected.
+    """
+    number = len(_STORED)
+    for path in sorted(_STORED):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _STORED.clear()
+    return number

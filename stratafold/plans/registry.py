@@ -30,9 +30,11 @@ class Tables:
 
 
 def demo(sql: str | None = None) -> Callable:
-    """Registers ``f(tables)`` as a query under its name, with DuckDB SQL for the same rows."""
+    """Registers ``f(tables)`` as a query under its name, which must be new, with DuckDB SQL for the same rows."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = sql

@@ -37,11 +37,6 @@ def src4_infer_type(t):
     return t.pages.select("page_id", F.regexp_extract("url", "[.]([a-z]+)([?#]|$)", 1).alias("ext"), kind.alias("kind"))
 
 
-@demo("SELECT p_name, min_by(p_partkey, struct_pack(a := p_size, b := p_partkey)) AS p_partkey, count(*) AS n FROM part GROUP BY p_name")
-def src8_resolve_packages(t):
-    return t.part.groupBy("p_name").agg(F.min_by("p_partkey", F.struct("p_size", "p_partkey")).alias("p_partkey"), F.count("*").alias("n"))
-
-
 @demo("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def src14_manifest_entries(t):
     return t.events.select(F.from_json("props", "map<string,bigint>").alias("m")).select(F.col("m")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))

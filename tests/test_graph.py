@@ -2,6 +2,7 @@
 
 import random
 
+from stratafold.operators import aggs as A
 from stratafold.operators import graph as G
 from stratafold.operators import incremental as I
 from stratafold.operators import joins as J
@@ -25,10 +26,51 @@ def test_components_equal_union_find(spark):
     assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in root}
 
 
-def test_flatten_a_deep_chain_and_leave_out_a_cycle(spark):
-    nodes = [(0, None), *((k, k - 1) for k in range(1, 300)), (900, 901), (901, 900)]
-    got = {r["node"]: (r["root"], r["depth"]) for r in G.flatten_to_root(spark.createDataFrame(nodes, "n long, p long"), "n", "p", rounds=12).collect()}
-    assert got == {k: (0, k) for k in range(300)}
+def test_flatten_a_deep_chain_and_leave_out_cycles(spark):
+    nodes = [(0, None), *((k, k - 1) for k in range(1, 300)), (900, 901), (901, 900), (910, 911), (911, 912), (912, 910), (920, 910), (950, 951)]
+    got = {r["node"]: (r["root"], r["depth"]) for r in G.flatten_to_root(spark.createDataFrame(nodes, "n long, p long"), "n", "p").collect()}
+    assert got == {k: (0, k) for k in range(300)} | {950: (951, 1)}
+
+
+def test_path_of_stops_at_roots_and_leaves_out_cycles(spark):
+    nodes = [(0, None, "root"), *((k, k - 1, f"n{k}") for k in range(1, 40)), (50, 49, "lost"), (60, 61, "a"), (61, 62, "b"), (62, 60, "c"), (63, 62, "d"), (70, None, None), (71, 70, None)]
+    got = {r["node"]: r["path"] for r in G.path_of(spark.createDataFrame(nodes, "n long, p long, name string"), "n", "p", "name").collect()}
+    assert got == {k: "/".join(f"n{j}" for j in range(1, k + 1)) for k in range(40)} | {50: "lost", 70: "", 71: ""}
+
+
+def test_walk_down_inherits(spark):
+    schema = "n long, p long, name string, shown boolean, mask string, m array<double>, x struct<start: double, length: double, low: double, high: double, size: double, at: double, pivot: double>"
+    rows = [
+        (1, None, "a", True, "A", [2.0, 0.0, 1.0, 0.0, 2.0, 0.0], (10.0, 100.0, None, None, None, None, None)),
+        (2, 1, "b", False, None, [1.0, 0.0, 3.0, 0.0, 1.0, 4.0], (None, None, 0.5, 1.0, -10.0, 5.0, 0.5)),
+        (3, 2, "c", True, "C", [0.0, -1.0, 0.0, 1.0, 0.0, 0.0], (None, None, 0.0, 0.0, 8.0, 0.0, 0.0)),
+    ]
+    got = {r["node"]: r for r in G.walk_down(spark.createDataFrame(rows, schema), "n", "p", "name", {"shown": "all", "mask": "nearest", "m": "affine", "x": "span"}).collect()}
+    assert [(got[k]["shown"], got[k]["mask"]) for k in (1, 2, 3)] == [(True, "A"), (False, "A"), (False, "C")]
+    assert got[2]["m"] == [2.0, 0.0, 7.0, 0.0, 2.0, 8.0] and got[3]["m"] == [0.0, -2.0, 7.0, 2.0, 0.0, 8.0]
+    assert tuple(got[1]["x"]) == (10.0, 100.0) and tuple(got[2]["x"]) == (70.0, 40.0) and tuple(got[3]["x"]) == (70.0, 8.0)
+
+
+def test_subtrees_are_cut_where_they_repeat(spark):
+    # Two benches of two planks each below rooms, a lone lamp, and a marker that draws nothing.
+    rows = [(0, None, "scene", None), (1, 0, "room", None), (2, 0, "hall", None), (10, 1, "Bench (1)", "legs"), (11, 10, "x", "plank"), (12, 10, "y", "seat"), (20, 2, "Bench", "legs"), (21, 20, "p", "seat"), (22, 20, "q", "plank"), (30, 2, "lamp", "bulb"), (40, 0, "marker", None)]
+    got = {(r["name"], r["drawn"], r["placements"]) for r in G.repeated_subtrees(spark.createDataFrame(rows, "n long, p long, name string, item string"), "n", "p", "item", "name").collect()}
+    # The room draws a bench alone and the hall a bench and the lamp, so both are cut further.
+    assert got == {("Bench", 3, 2), ("lamp", 1, 1)}
+    assert G.repeated_subtrees(spark.createDataFrame([], "n long, p long, name string, item string"), "n", "p", "item", "name").count() == 0
+
+
+def test_numbered_rows_keep_every_row(spark):
+    from pyspark.sql import functions as F
+
+    for parts in ("8", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        for df in (spark.range(600_000).select((F.col("id") * 7919 % 600_000).alias("k")), spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("k"), F.repeat(F.col("id").cast("string"), 20).alias("wide"))):
+            n = df.count()
+            got = A.numbered_rows(df, ["k"], "number").agg(F.count("*"), F.count_distinct("number"), F.min(F.col("number") - F.col("k")), F.max(F.col("number") - F.col("k"))).first()
+            assert tuple(got) == (n, n, 1, 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert A.numbered_rows(spark.range(0), ["id"], "number").count() == 0
 
 
 def test_subtree_signature_ignores_the_order_of_children(spark):
