@@ -24,10 +24,10 @@ TAIL = 28
 HIDDEN = 16
 #: Steps of a window; the state goes on from window to window, gradients do not.
 WINDOW = 32
-#: Texts that the first weights are fitted on, about; steps up to which passes repeat; lanes of a step.
-FIT_TEXTS, FIT_STEPS, FIT_LANES = 2000, 500, 64
-#: Bytes of a block of training texts, about, lanes of its steps, and its first rate; weights averaged in one group.
-FIT_BYTES, BLOCK_LANES, BLOCK_RATE, AVERAGED = 6_000_000, 256, 0.004, 64
+#: Bytes of a block of training texts, about; rounds, each over its share of the blocks; weights averaged in one group.
+FIT_BYTES, ROUNDS, AVERAGED = 24_000_000, 2, 64
+#: Lanes of a step at most; steps of a block at least, for which small blocks are passed again; first rate of a round.
+FIT_LANES, LEAST_STEPS, RATES = 512, 400, (0.02, 0.008)
 #: Bytes of text that are scored together, about.
 BLOCK_BYTES = 24_000_000
 LANES = 1024
@@ -190,14 +190,17 @@ def _fresh(owner: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((1, owner.shape[1]), bool), owner[1:] != owner[:-1]])
 
 
-def fit_network(texts: list[np.ndarray], seed: int = 11, start: Weights | None = None, most_lanes: int = FIT_LANES, top_rate: float = 0.02, most_passes: int = 4) -> Weights:
-    """Weights fitted to every window of symbol sequences by truncated backpropagation through time, from ``start`` if given."""
+def fit_network(texts: list[np.ndarray], seed: int = 11, start: Weights | None = None, top_rate: float = 0.02) -> Weights:
+    """Weights fitted to every window of symbol sequences by truncated backpropagation through time, from ``start`` if given.
+
+    Texts lie end to end in as many lanes as the longest one allows without gaps.
+    """
     w = {k: a.copy() for k, a in start.items()} if start else _start(np.random.default_rng(seed), HEAD // CLASS_WORDS)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    x, owner = _grid(texts, min(most_lanes, len(texts)))
+    x, owner = _grid(texts, max(1, min(FIT_LANES, len(texts), sum(map(len, texts)) // max(map(len, texts)))))
     fresh, step = _fresh(owner), 0
-    passes = max(1, min(most_passes, FIT_STEPS * WINDOW // len(x)))
-    steps = max(FIT_STEPS, passes * -(-len(x) // WINDOW))
+    each = -(-len(x) // WINDOW)
+    passes = -(-LEAST_STEPS // each)
     for _ in range(passes):
         h = np.zeros((HIDDEN, x.shape[1]), np.float32)
         for s in range(0, len(x), WINDOW):
@@ -205,7 +208,7 @@ def fit_network(texts: list[np.ndarray], seed: int = 11, start: Weights | None =
             step += 1
             _, g, h = _gradients(w, x[rows], fresh[rows], owner[rows] >= 0, h)
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            rate = top_rate * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = top_rate * (1 - 0.9 * step / (passes * each)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, a in g.items():
                 a = a * min(1.0, 1.0 / (norm + 1e-9))
                 m[k] += 0.1 * (a - m[k])
@@ -251,9 +254,10 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
 def train_model(train: DataFrame, counts: DataFrame, id_col: str, text_col: str) -> Model:
     """Head, totals and masses from the counts of all training texts, and weights fitted to all of them.
 
-    One task fits first weights to about ``FIT_TEXTS`` texts, drawn by a hash of the id. From these each
-    block of about ``FIT_BYTES`` of all training texts is fitted on its own, whole texts and every window,
-    and the blocks' weights are averaged by their tokens. Without training texts weights are untrained.
+    Texts are dealt into blocks of about ``FIT_BYTES`` by a hash, and blocks to rounds. In a round each of
+    its blocks is fitted on its own from the last round's weights, whole texts and every window, and the
+    blocks' weights are averaged by their tokens. Repeated rows are spread over blocks. Without training
+    texts weights are untrained.
     """
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()
@@ -264,31 +268,24 @@ def train_model(train: DataFrame, counts: DataFrame, id_col: str, text_col: str)
         mass[tail_class(int(byte, 16))] += weight
     for r in top:
         mass[tail_class(r["word"][0])] -= r["n"] + 1
-    texts = train.count()
-    scale = 1 << 30
-    drawn = train.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(scale)) < min(scale, scale * FIT_TEXTS // max(1, texts) + 1))
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("text")
-        own = [np.array([*(_symbol(x, head) for x in words_of(t)), 0], np.int32) for t in rows["text"]]
-        np.savez(held := io.BytesIO(), **fit_network(own))
-        return pd.DataFrame({"weights": [held.getvalue()]})
-
-    got = drawn.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy().applyInPandas(fit, "weights binary").first()
-    if got is None:
-        np.savez(held := io.BytesIO(), **_start(np.random.default_rng(11), HEAD // CLASS_WORDS))
-        if not texts:
-            return Model(head, int(tokens), int(distinct), mass, held.getvalue())
-    first_weights = bytes(got[0]) if got else held.getvalue()
+    np.savez(held := io.BytesIO(), **_start(np.random.default_rng(11), HEAD // CLASS_WORDS))
+    weights = held.getvalue()
     blocks = int((train.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // FIT_BYTES) + 1
+    rounds = min(ROUNDS, blocks)
+    blocks = -(-blocks // rounds) * rounds
+    # The round follows from id and text alone; rows equal in both fall into several blocks of it, by where they are read.
+    own_hash = F.xxhash64(F.col(id_col), F.col(text_col))
+    dealt = train.select(
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.pmod(own_hash, F.lit(rounds)).alias("round"), F.pmod(own_hash + F.spark_partition_id() * rounds, F.lit(blocks)).alias("block")
+    )
+
+    def fitting(start: bytes, rate: float) -> object:
+        def fit_block(rows: pd.DataFrame) -> pd.DataFrame:
+            own = [np.array([*(_symbol(x, head) for x in words_of(t)), 0], np.int32) for t in rows["text"].sort_values()]
+            np.savez(held := io.BytesIO(), **fit_network(own, start=dict(np.load(io.BytesIO(start))), top_rate=rate))
+            return pd.DataFrame({"part": [int(rows["block"].iloc[0]) // AVERAGED], "n": [sum(map(len, own))], "weights": [held.getvalue()]})
 
-    def fit_block(rows: pd.DataFrame) -> pd.DataFrame:
-        own = [np.array([*(_symbol(x, head) for x in words_of(t)), 0], np.int32) for t in rows["text"].sort_values()]
-        total, longest = sum(map(len, own)), max(map(len, own))
-        lanes = max(1, min(BLOCK_LANES, total // longest))
-        w = fit_network(own, start=dict(np.load(io.BytesIO(first_weights))), most_lanes=lanes, top_rate=BLOCK_RATE, most_passes=1)
-        np.savez(held := io.BytesIO(), **w)
-        return pd.DataFrame({"part": [int(rows["block"].iloc[0]) // AVERAGED], "n": [total], "weights": [held.getvalue()]})
+        return fit_block
 
     def average(rows: pd.DataFrame) -> pd.DataFrame:
         rows, total = rows.sort_values(["n", "weights"]), rows["n"].sum()
@@ -299,14 +296,17 @@ def train_model(train: DataFrame, counts: DataFrame, id_col: str, text_col: str)
         np.savez(held := io.BytesIO(), **{k: a.astype(np.float32) for k, a in mean.items()})
         return pd.DataFrame({"part": [int(rows["part"].iloc[0]) // AVERAGED], "n": [total], "weights": [held.getvalue()]})
 
-    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks))
     schema = "part long, n long, weights binary"
-    dealt = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), block.alias("block"))
-    fitted = stored(dealt.groupBy("block").applyInPandas(fit_block, schema), "weights")
-    while blocks > 1:
-        blocks = -(-blocks // AVERAGED)
-        fitted = stored(fitted.groupBy("part").applyInPandas(average, schema), "weights")
-    return Model(head, int(tokens), int(distinct), mass, bytes(fitted.first()["weights"]))
+    for number in range(rounds):
+        own = dealt.filter(F.col("round") == number)
+        fitted = stored(own.groupBy("block").applyInPandas(fitting(weights, RATES[min(number, len(RATES) - 1)]), schema), "weights")
+        left = blocks
+        while left > 1:
+            left = -(-left // AVERAGED)
+            fitted = stored(fitted.groupBy("part").applyInPandas(average, schema), "weights")
+        got = fitted.first()
+        weights = bytes(got["weights"]) if got else weights
+    return Model(head, int(tokens), int(distinct), mass, weights)
 
 
 def score_documents(df: DataFrame, id_col: str, text_col: str, counts: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
