@@ -12,7 +12,7 @@ from stratafold.llm import langid, lines, lm, media, neardup, packing, pieces, t
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-#: The URL rules, and hosts that the method lists.
+#: The URL rules, and hosts that the method lists besides the addresses of pages whose title strings keywords together.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 LISTED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com"]
 
@@ -28,40 +28,52 @@ def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text."""
     return tokens.token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", BPE)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors of each hundredth one, by integer inner product."""
     return topk.top_inner_products(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
 
 
 def op4_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the pieces of every whole text and of what they decode to."""
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), "doc_id", "text", PIECES)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 1024 ids."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), "doc_id", "text", BPE)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string")
-    return urls.judge_urls(_table(spark, sf_dir, "pages"), "page_id", "url", RULES, listed)
+    """Verdicts on every page; listed are two hosts and the addresses of all pages whose title holds two bars at least."""
+    pages = _table(spark, sf_dir, "pages")
+    host, path = urls.url_parts("url")
+    stuffed = pages.filter(F.regexp_extract("html", "<title>([^<]*)</title>", 1).rlike(r"\|.*\|")).select(F.concat(host, path).alias("key"))
+    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string").union(stuffed)
+    return urls.judge_urls(pages, "page_id", "url", RULES, listed)
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text; one fold of seven is held out of learning."""
     return lm.lm_scores(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups over sets of four-word shingles."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", width=4, percent=80)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and removed lines of every document, and a digest of what is left; a line on ten sources goes but once."""
     kept = lines.dedup_lines(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5("text").alias("text_md5"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; one fold of three is held out of learning."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", held)
     languages, weights = langid.train_language_model(docs.filter(~F.col("held_out")), "doc_id", "text", "lang")
@@ -93,12 +105,12 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10""",
         "op6_url_filter": f"""
-WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) LIKE '%|%|%' AS stuffed, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 r AS (SELECT *, CASE {_RULE_CASES} AS rule FROM p)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-       WHEN {" OR ".join(f"host = '{h}' OR suffix(host, '.{h}')" for h in LISTED_HOSTS)} THEN 'block' ELSE 'allow' END AS verdict
+       WHEN {" OR ".join(f"host = '{h}' OR suffix(host, '.{h}')" for h in LISTED_HOSTS)} OR (host <> '' AND host || path IN (SELECT host || path FROM p WHERE stuffed)) THEN 'block' ELSE 'allow' END AS verdict
 FROM r""",
         "op9_line_dedup": """
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

@@ -14,8 +14,11 @@ from stratafold.llm.storage import stored
 BITS_PER_KEY, HASHES = 10, 5
 #: Bits of one stretch of a filter, as the built-in bitmap aggregate makes it.
 STRETCH = 32_768
-#: The filters of a cascade travel inside the plan, so their size is checked against this bound.
-MAX_FILTER_BYTES = 4_000_000
+#: Filters travel inside the plan: a cascade is built for so many keys that its filters stay below this, about,
+#: and a plan holds so many cascades.
+FILTER_BYTES, PLAN_CASCADES = 4_000_000, 8
+#: One in so many keys of the universe passes a filter of five hash functions and ten bits a key wrongly, at most.
+WRONGLY = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,8 +51,6 @@ def _positions(key: Column, level: int, size: int) -> Column:
 def bloom_level(keys: DataFrame, level: int, count: int) -> Level:
     """The filter of ``count`` rows of ``keys`` (key): bitmaps are built and merged by aggregation."""
     size = -(-max(64, count * BITS_PER_KEY) // 8) * 8
-    if size // 8 > MAX_FILTER_BYTES:
-        raise ValueError(f"a filter of {count} keys is larger than {MAX_FILTER_BYTES} bytes")
     at = keys.select(F.explode(_positions(F.col("key"), level, size)).alias("at"))
     rows = at.groupBy(F.expr(f"at div {STRETCH}").alias("stretch")).agg(F.expr(f"bitmap_construct_agg(at % {STRETCH})").alias("bits")).collect()
     bits = bytearray(-(-size // STRETCH) * STRETCH // 8)
@@ -90,23 +91,54 @@ def in_cascade(key: Column, levels: list[Level]) -> Column:
     return answer
 
 
+def _share(key: Column, shares: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(shares))
+
+
+def build_cascades(listed: DataFrame, universe: DataFrame) -> list[list[Level]]:
+    """Cascades over shares of the keys, drawn by a hash, as many as keep each one's filters small."""
+    listed, universe = (stored(df.select("key").filter("key is not null").distinct(), name) for df, name in ((listed, "listed"), (universe, "universe")))
+    shares = int((listed.count() + universe.count() // WRONGLY) * BITS_PER_KEY // 8 // FILTER_BYTES) + 1
+    return [build_cascade(*(df.filter(_share(F.col("key"), shares) == k) for df in (listed, universe))) for k in range(shares)]
+
+
+def with_membership(rows: DataFrame, keys: Column, cascades: list[list[Level]], name: str) -> DataFrame:
+    """``rows`` with a boolean: whether one of the array ``keys``, all of the universe, is listed.
+
+    Long lists have many cascades; a plan tests some of them, and the rows that pass none yet are held
+    against the next ones after a table has been stored between.
+    """
+    shares, rows = len(cascades), rows.withColumn(name, F.lit(False))
+    for start in range(0, shares, PLAN_CASCADES):
+        if start:
+            rows = stored(rows, "judged")
+        for k in range(start, min(start + PLAN_CASCADES, shares)):
+            own = (lambda key: in_cascade(key, cascades[k])) if shares == 1 else (lambda key, k=k: (_share(key, shares) == k) & in_cascade(key, cascades[k]))  # noqa: B023
+            rows = rows.withColumn(name, F.col(name) | F.exists(keys, own))
+    return rows
+
+
 def judge_urls(df: DataFrame, id_col: str, url_col: str, rules: list[tuple[str, str, str]], listed: DataFrame) -> DataFrame:
     """(id, host, path, rule, verdict) for every row.
 
     rules: (verdict, host, path); a rule fits its host and the host's subdomains if the path starts with
-    its path; the longest host + path wins, the first of equals. Without a rule a page is blocked if
-    its host or a parent domain is one of ``listed`` (key), and allowed if not. Null URLs have an empty
-    host and path and are allowed. Repeated rows get equal results; an empty table gives none.
+    its path; the longest host + path wins, the first of equals. Without a rule a page is blocked if its
+    address (host and path), its host or a parent domain is one of ``listed`` (key), and allowed if not.
+    Null URLs have an empty host and path and are allowed. Null ids and repeated rows pass through with
+    equal results; other columns are not read; an empty table gives none, an empty list blocks nothing.
     """
     host, path = url_parts(url_col)
     rows = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    suffixes = host_suffixes("host")
-    levels = build_cascade(listed, rows.select("host").distinct().select(F.explode(suffixes).alias("key")))
+    address = F.when((F.col("host") != "") & (F.col("path") != ""), F.array(F.concat("host", "path"))).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(address, host_suffixes("host"))
+    domains = rows.select("host").distinct().select(F.explode(host_suffixes("host")).alias("key"))
+    cascades = build_cascades(listed, domains.union(rows.select(F.explode(address).alias("key"))))
     order = sorted(range(len(rules)), key=lambda k: (-len(rules[k][1] + rules[k][2]), k))
     ranked = [rules[k] for k in order]
     fits = [((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p) for _, h, p in ranked]
     pick = lambda values, end: reduce(lambda rest, k: F.when(fits[k], F.lit(values[k])).otherwise(rest), range(len(ranked) - 1, -1, -1), end)
-    method = F.when(F.exists(suffixes, lambda s: in_cascade(s, levels)), "block").otherwise("allow")
+    rows = with_membership(rows, keys, cascades, "__listed")
+    method = F.when(F.col("__listed"), "block").otherwise("allow")
     return rows.select(
         id_col, "host", "path", pick([h + p for _, h, p in ranked], F.lit(None).cast("string")).alias("rule"), pick([v for v, _, _ in ranked], method).alias("verdict")
     )

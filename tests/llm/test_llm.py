@@ -150,6 +150,18 @@ def test_cascade_is_exact_and_rules_win(spark):
     assert got == [("example.net/en/", "allow"), ("net/", "block"), (None, "allow"), ("example.com/de/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "block"), ("org/fr/", "allow")]
 
 
+def test_long_lists_are_split_into_cascades(spark, monkeypatch):
+    monkeypatch.setattr(urls, "FILTER_BYTES", 200)
+    monkeypatch.setattr(urls, "PLAN_CASCADES", 2)
+    cases = [f"http://a{k}.example.org/p{k % 7}" for k in range(600)] + [None, None, "", "http://a1.example.org/p1", "http://a1.example.org/p1"]
+    listed = spark.createDataFrame([(f"a{k}.example.org/p{k % 7}",) for k in range(0, 600, 3)] + [(None,), ("a1.example.org",)], "key string")
+    df = spark.createDataFrame([(k if k % 50 else None, u, "x") for k, u in enumerate(cases)], "page_id long, url string, host string")
+    got = Counter((r["page_id"], r["verdict"]) for r in urls.judge_urls(df, "page_id", "url", [], listed).collect())
+    assert got == Counter((k if k % 50 else None, "block" if (k < 600 and k % 3 == 0) or (u or "").startswith("http://a1.") else "allow") for k, u in enumerate(cases))
+    assert urls.judge_urls(df.filter("1 = 0"), "page_id", "url", [], listed).count() == 0
+    assert {r["verdict"] for r in urls.judge_urls(df, "page_id", "url", [], listed.filter("1 = 0")).collect()} == {"allow"}
+
+
 def test_language_model_base_score_and_gradients(spark):
     df, rows = docs(spark)
     got = lm.lm_scores(df, "doc_id", "text").collect()
