@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.llm.storage import stored
+
 #: Relative width, around the threshold, in which sketches leave the decision to exact counts. It is
 #: six standard errors of a sketch of 2 ** 12 registers.
 BAND = 0.1
 REGISTERS_LOG2 = 12
+#: Rows of a table of line hashes up to which it is broadcast, at most 60 bytes each; larger ones are joined by shuffles.
+BROADCAST_ROWS = 400_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it is small; else a join shuffles, and splits hot lines at run time."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -35,9 +44,10 @@ def shared_lines(df: DataFrame, id_col: str, text_col: str, site_col: str, min_s
     # Missing and blank site names share one entry of the sketch; a missing name alone is no site.
     only_unknown = (F.col("unknown") == 1) & (F.coalesce("blank", F.lit(0)) == 0)
     spread = spread.select("hash", "first", (F.col("sites") - only_unknown.cast("int")).alias("sites")).filter(F.col("sites") >= min_sites * (1 - BAND))
-    near = spread.filter(F.col("sites") <= min_sites * (1 + BAND))
-    pairs = lines.filter("site is not null").select("hash", "site").distinct()
-    exact = pairs.join(near, "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("exact"))
+    spread = stored(spread, "spread")
+    near = _small(spread.filter(F.col("sites") <= min_sites * (1 + BAND)).select("hash"))
+    pairs = lines.filter("site is not null").select("hash", "site").join(near, "hash", "left_semi").distinct()
+    exact = pairs.groupBy("hash").agg(F.count("*").alias("exact"))
     return spread.join(exact, "hash", "left").filter(F.coalesce("exact", "sites") >= min_sites).select("hash", "first")
 
 
@@ -49,7 +59,7 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str, site_col: str, min_si
     its other places go, within texts as well. A null text stays null with 0 lines. Repeated rows lose
     the same lines. Columns named n_lines or n_removed are replaced. An empty table stays empty.
     """
-    shared = shared_lines(df, id_col, text_col, site_col, min_sites)
+    shared = _small(stored(shared_lines(df, id_col, text_col, site_col, min_sites), "shared"))
     places = _lines(df, id_col, text_col, site_col).join(shared, "hash")
     here = F.struct("id", "content", "pos")
     drops = places.filter(~here.eqNullSafe(F.col("first"))).groupBy("id", "content").agg(F.collect_set("pos").alias("__drop"))
