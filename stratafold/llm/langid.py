@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-#: Bytes that one window holds; windows of a text are labelled side by side.
-WINDOW = 64
+#: Bytes that one window labels, and bytes on each side of these that it reads as well.
+WINDOW, CONTEXT = 64, 16
+SPAN = WINDOW + 2 * CONTEXT
 #: Hidden units of each direction.
 HIDDEN = 8
 #: Windows that are labelled at once.
 LANES = 2048
 #: Texts of each language that the network is fitted on, about, and windows taken from each text.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 600, 8
+#: Languages that are learned at most: those of most texts, ties by name. It bounds the labelled rows in one task.
+MOST_LANGUAGES = 200
 #: Optimiser steps and windows in each.
 STEPS, BATCH = 500, 128
 #: Bytes of text that a task holds as windows at once.
@@ -122,15 +125,15 @@ def _gradients(w: Weights, x: np.ndarray, mask: np.ndarray, label: np.ndarray) -
 
 
 def fit_network(windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, languages: int, seed: int = 7) -> Weights:
-    """Weights fitted to byte windows (rows, WINDOW) with their lengths and language numbers."""
+    """Weights fitted to byte windows (rows, SPAN) with their lengths and language numbers."""
     rng = np.random.default_rng(seed)
     w = _start(languages, rng)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    by_label = [np.flatnonzero(labels == k) for k in range(languages)]
+    by_label = [np.flatnonzero(labels == k) for k in range(languages)]  # a label without windows would have no text at all
     for step in range(1, STEPS + 1):
         label = rng.integers(0, languages, BATCH)
         rows = np.array([rng.choice(by_label[k]) for k in label])
-        mask = (np.arange(WINDOW)[:, None] < lengths[rows]).astype(np.float32)
+        mask = (np.arange(SPAN)[:, None] < lengths[rows]).astype(np.float32)
         _, g = _gradients(w, windows[rows].T, mask, label)
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
         rate = 0.02 * min(1.0, 2 * (1 - (step - 1) / STEPS)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -142,58 +145,82 @@ def fit_network(windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, la
     return w
 
 
-def to_windows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all texts one after another, their lengths, and the first window of each text; texts must not be empty."""
+def to_windows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all texts one after another, where in each the text begins and ends, and each text's first window.
+
+    Every byte is in the labelled middle of one window. Texts must not be empty.
+    """
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     count = -(-size // WINDOW)
     first = np.cumsum(count) - count
-    flat = np.frombuffer(b"".join(r + bytes(-len(r) % WINDOW) for r in raw), np.uint8).reshape(-1, WINDOW)
-    lengths = np.full(len(flat), WINDOW)
-    lengths[first + count - 1] = size - (count - 1) * WINDOW
-    return flat, lengths, first
+    side = bytes(CONTEXT)
+    flat = np.frombuffer(b"".join(x for r in raw for x in (side, r, bytes(-len(r) % WINDOW), side)), np.uint8)
+    number = np.arange(count.sum()) - np.repeat(first, count)
+    starts = np.repeat(first * WINDOW + np.arange(len(raw)) * 2 * CONTEXT, count) + number * WINDOW
+    windows = np.lib.stride_tricks.sliding_window_view(flat, SPAN)[starts]
+    begin = np.maximum(0, CONTEXT - number * WINDOW)
+    end = np.minimum(SPAN, CONTEXT + np.repeat(size, count) - number * WINDOW)
+    return windows, begin, end, first
 
 
 def pooled(w: Weights, raw: list[bytes]) -> np.ndarray:
-    """Mean probabilities over every byte of each text: (texts, languages)."""
-    x, lengths, first = to_windows(raw)
+    """Mean probabilities over every byte of each text: (texts, labels)."""
+    x, begin, end, first = to_windows(raw)
     sums = np.empty((len(x), len(w["bias"])))
+    at = np.arange(SPAN)[:, None]
     for s in range(0, len(x), LANES):
-        mask = (np.arange(WINDOW)[:, None] < lengths[s : s + LANES]).astype(np.float32)
-        sums[s : s + LANES] = position_probabilities(w, np.ascontiguousarray(x[s : s + LANES].T), mask).sum(axis=0).T
+        own = slice(s, s + LANES)
+        mask = ((at >= begin[own]) & (at < end[own])).astype(np.float32)
+        sums[own] = position_probabilities(w, np.ascontiguousarray(x[own].T), mask)[CONTEXT : CONTEXT + WINDOW].sum(axis=0).T
     return np.add.reduceat(sums, first, axis=0) / np.fromiter(map(len, raw), np.int64, len(raw))[:, None]
 
 
-def train_language_model(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], bytes]:
+def scrambled(texts: list[str], rng: np.random.Generator) -> list[bytes]:
+    """Letters without a language, in turn: a text's characters in any order, and its letters each replaced by any of all texts'."""
+    letters = sorted({c for t in texts for c in t if c.isalpha()}) or ["?"]
+    out = []
+    for k, t in enumerate(texts):
+        mixed = rng.permutation(list(t)) if k % 2 else [letters[rng.integers(len(letters))] if c.isalpha() else c for c in t]
+        out.append("".join(mixed).encode("utf-8")[:SPAN])
+    return out
+
+
+def train_language_model(df: DataFrame, id_col: str, text_col: str, lang_col: str, noise: bool = False) -> tuple[list[str], bytes]:
     """Languages in order and the fitted weights, from rows whose text and language are not null.
 
-    Of each language about ``TEXTS_PER_LANGUAGE`` texts are drawn by a hash of the id, and from each
-    ``WINDOWS_PER_TEXT`` windows spread over its whole length. One task fits the network on these.
+    Of each language, ``MOST_LANGUAGES`` at most, about ``TEXTS_PER_LANGUAGE`` texts are drawn by a hash of
+    the id, and from each ``WINDOWS_PER_TEXT`` windows spread over its whole length. One task fits the
+    network on these. With ``noise`` one label more is learned, of the same windows scrambled.
     Without any such row there are no languages and no weights.
     """
     known = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = dict(known.groupBy(lang_col).count().collect())  # one row for each language
+    counts = {k: n for k, n in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}  # noqa: C416
     languages = sorted(counts)
     if not languages:
         return [], b""
     scale = 1 << 30
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(scale, scale * TEXTS_PER_LANGUAGE // n + 1)))])
-    drawn = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(scale)) < share[F.col(lang_col)])
+    drawn = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(scale)) < F.coalesce(share[F.col(lang_col)], F.lit(0)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for text, lang in zip(b["text"], b["lang"], strict=True):
                 raw = text.encode("utf-8")
-                for s in np.unique(np.linspace(0, max(0, len(raw) - WINDOW), WINDOWS_PER_TEXT).astype(int)):
-                    out.append((raw[s : s + WINDOW], lang))
+                for s in np.unique(np.linspace(0, max(0, len(raw) - SPAN), WINDOWS_PER_TEXT).astype(int)):
+                    out.append((raw[s : s + SPAN], lang))
             yield pd.DataFrame(out, columns=["window", "lang"])
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["lang", "window"])
         raw = rows["window"].tolist()
-        x = np.frombuffer(b"".join(r.ljust(WINDOW, b"\0") for r in raw), np.uint8).reshape(-1, WINDOW)
-        labels = np.array([languages.index(k) for k in rows["lang"]])
-        np.savez(held := io.BytesIO(), **fit_network(x, np.array([len(r) for r in raw]), labels, len(languages)))
+        number = {k: i for i, k in enumerate(languages)}
+        labels = [number[k] for k in rows["lang"]]
+        if noise:
+            wild = [r for r in scrambled([r.decode("utf-8", "ignore") for r in raw], np.random.default_rng(3)) if r]
+            raw, labels = raw + wild, labels + [len(languages)] * len(wild)
+        x = np.frombuffer(b"".join(r.ljust(SPAN, b"\0") for r in raw), np.uint8).reshape(-1, SPAN)
+        np.savez(held := io.BytesIO(), **fit_network(x, np.array([len(r) for r in raw]), np.array(labels), max(labels) + 1))
         return pd.DataFrame({"weights": [held.getvalue()]})
 
     windows = drawn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInPandas(cut, "window binary, lang string")
@@ -201,11 +228,13 @@ def train_language_model(df: DataFrame, id_col: str, text_col: str, lang_col: st
 
 
 def identify_language(df: DataFrame, id_col: str, text_col: str, languages: list[str], weights: bytes, keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to (id, text and ``keep`` columns); every byte of every text is labelled.
+    """Adds lang_pred, score and noise to (id, text and ``keep`` columns); every byte of every text is labelled.
 
     ``und`` with score 0 if the text is null or has no letter, or no language has been learned. The
     score is the predicted language's probability averaged over the text's bytes; ties go to the first
-    language by name. Nothing is shuffled; repeated rows get equal results.
+    language by name. noise is the probability of scrambled letters so averaged, 0 unless it has been
+    learned. Nothing is shuffled; repeated rows get equal results; an empty table gives none; columns
+    named lang_pred, score or noise may not be kept.
     """
     columns = [id_col, text_col, *(keep or [])]
     source = df.select(*columns)
@@ -213,13 +242,14 @@ def identify_language(df: DataFrame, id_col: str, text_col: str, languages: list
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = dict(np.load(io.BytesIO(weights))) if weights else {}
         for b in batches:
-            pred, score = [UNDETERMINED] * len(b), [0.0] * len(b)
+            pred, score, wild = [UNDETERMINED] * len(b), [0.0] * len(b), [0.0] * len(b)
             held: list[tuple[int, bytes]] = []
 
             def flush() -> None:
                 p = pooled(w, [r for _, r in held])
-                for (i, _), k, s in zip(held, p.argmax(axis=1), p.max(axis=1), strict=True):
-                    pred[i], score[i] = languages[k], min(1.0, float(s))
+                own, other = p[:, : len(languages)], p[:, len(languages) :].sum(axis=1)
+                for (i, _), k, s, n in zip(held, own.argmax(axis=1), own.max(axis=1), other, strict=True):
+                    pred[i], score[i], wild[i] = languages[k], min(1.0, float(s)), float(n)
                 held.clear()
 
             size = 0
@@ -232,7 +262,7 @@ def identify_language(df: DataFrame, id_col: str, text_col: str, languages: list
                     size = 0
             if held:
                 flush()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(wild, pa.float64())], names=[*b.schema.names, "lang_pred", "score", "noise"])
 
-    schema = StructType([*source.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*source.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("noise", DoubleType())])
     return source.mapInArrow(label, schema)
