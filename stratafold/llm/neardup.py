@@ -150,11 +150,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return wanted.join(texts, "id").groupBy("b", "part").applyInPandas(compare, "a long, b long")
 
 
-def linked_to_anchors(anchored: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def linked_to_anchors(anchored: DataFrame, members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between ``anchored`` (id, anchor) and ``members`` (id, component) of the component that is the anchor.
 
     Both sides of an anchor are dealt into blocks of about ``GROUP_MEMBERS``, and each block of one side
-    meets each of the other. A document needs one link to a component, so a block gives one at most.
+    meets each of the other. Signatures meet first; only documents near one of the other side bring their
+    texts. A document needs one link to a component, so a block gives one at most.
     """
     sides = []
     for side, key in ((anchored.select("id", "anchor"), "x"), (members.select("id", F.col("component").alias("anchor")), "m")):
@@ -167,7 +168,18 @@ def linked_to_anchors(anchored: DataFrame, members: DataFrame, texts: DataFrame,
     x = x.join(sizes, "anchor").select("id", "anchor", F.lit(True).alias("open"), block("x_blocks").alias("xb"), every("m_blocks").alias("mb"))
     m = m.join(sizes, "anchor").select("id", "anchor", F.lit(False).alias("open"), every("x_blocks").alias("xb"), block("m_blocks").alias("mb"))
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        sign = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(-1, VALUES)
+        open_ = rows["open"].to_numpy(bool)
+        hit = np.zeros(len(rows), bool)
+        inside = np.flatnonzero(~open_)
+        for i in np.flatnonzero(open_):
+            agree = inside[(sign[inside] == sign[i]).sum(axis=1) >= LEAST_AGREEMENT]
+            hit[agree] = True
+            hit[i] = len(agree) > 0
+        return rows.loc[hit, ["id", "anchor", "open", "xb", "mb"]]
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(t, width) for t in rows["text"]]
         sign = np.stack([signature(s) for s in sets])
         ids, open_ = rows["id"].to_numpy(), rows["open"].to_numpy(bool)
@@ -182,7 +194,9 @@ def linked_to_anchors(anchored: DataFrame, members: DataFrame, texts: DataFrame,
                     break
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return x.unionByName(m).join(texts, "id").groupBy("anchor", "xb", "mb").applyInPandas(compare, "a long, b long")
+    places = ["anchor", "xb", "mb"]
+    met = x.unionByName(m).join(classes.select("id", "signature"), "id").groupBy(*places).applyInPandas(near, "id long, anchor long, open boolean, xb long, mb long")
+    return stored(met, "anchored").join(texts, "id").groupBy(*places).applyInPandas(compare, "a long, b long")
 
 
 def linked_across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -257,14 +271,14 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
     joined = components(links)
 
     labelled = shared.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = labelled.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket))
-    open_ = stored(open_.filter(F.col("low") < F.col("high")).select("key", "id", "component"), "open")
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    open_ = stored(labelled.join(several, "key", "left_semi"), "open")
     # The component with most members in a bucket is its anchor; the others are held against it in blocks.
     share = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
     anchor = share.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("anchor"))
     outside = stored(open_.join(anchor, "key").filter("component <> anchor"), "outside")
     anchored = outside.select("id", "anchor").distinct()
-    more = stored(linked_to_anchors(anchored, open_.select("id", "component").distinct(), texts, width, percent), "links")
+    more = stored(linked_to_anchors(anchored, open_.select("id", "component").distinct(), classes, texts, width, percent), "links")
     if not more.isEmpty():
         links = links.union(more)
         joined = components(links)
