@@ -216,11 +216,12 @@ def top_inner_products(df: DataFrame, id_col: str, vector_col: str, is_query: ob
     sought = stored(placed.join(queries.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "sought")
     blocks = int(sought.count() // BLOCK_QUERIES) + 1
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-    dealt = pages.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def searched(asked: DataFrame) -> DataFrame:
+        # A tree travels to those blocks of queries alone that have one for its cell.
+        wanted = asked.select("cell", block).distinct()
         left = asked.select("id", "v", "floor", "cell", block).groupBy("cell", "block")
-        return left.cogroup(dealt.groupBy("cell", "block")).applyInPandas(_search_rows(space, k + 1), "id long, score long, vec_id long")
+        return left.cogroup(pages.join(wanted, "cell").groupBy("cell", "block")).applyInPandas(_search_rows(space, k + 1), "id long, score long, vec_id long")
 
     lowest = F.lit(-float(1 << 62))
     first = searched(sought.withColumn("cell", cell).withColumn("floor", lowest))
@@ -241,7 +242,7 @@ def top_inner_products(df: DataFrame, id_col: str, vector_col: str, is_query: ob
             yield pd.DataFrame(out, columns=["id", "v", "floor", "cells"])
 
     wide = start.mapInPandas(spread, "id long, v array<long>, floor double, cells array<long>")
-    found = searched(wide.select("id", "v", "floor", F.explode("cells").alias("cell")))
+    found = searched(stored(wide.select("id", "v", "floor", F.explode("cells").alias("cell")), "reach"))
     found = found.withColumn("n", F.row_number().over(in_order)).filter(F.col("n") <= k + 1)
     result = queries.join(found.withColumnRenamed("id", "rep"), "rep").filter("vec_id <> query_id")
     ranked = result.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
