@@ -54,6 +54,16 @@ def majority(df: DataFrame, group: str, value: str, weight: str) -> DataFrame:
     return votes.withColumn("share", share).withColumn("__r", F.row_number().over(best)).filter("__r = 1").select(group, value, "share")
 
 
+def vote(df: DataFrame, group: str, value: str, weight: str, most: int = 5) -> DataFrame:
+    """(group, value, share, others): the value of ``majority`` and up to ``most`` of the others, in the same order, joined by commas."""
+    votes = df.groupBy(group, value).agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    best = Window.partitionBy(group).orderBy(F.desc("n"), F.desc("w"), value)
+    ranked = votes.withColumn("__s", F.col("n") / F.sum("n").over(Window.partitionBy(group))).withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= most + 1)
+    listed = F.array_sort(F.collect_list(F.when(F.col("__r") > 1, F.struct("__r", F.col(value).cast("string").alias("v")))))
+    first = lambda c: F.max(F.when(F.col("__r") == 1, F.col(c)))
+    return ranked.groupBy(group).agg(first(value).alias(value), first("__s").alias("share"), F.array_join(F.transform(listed, lambda x: x["v"]), ",").alias("others"))
+
+
 def unanimous(df: DataFrame, group: str, value: str, least: int = 2) -> DataFrame:
     """(group, value) of groups of ``least`` rows at least that agree on one value."""
     out = df.groupBy(group).agg(F.min(value).alias(value), F.max(value).alias("__max"), F.count("*").alias("__n"))
@@ -100,6 +110,21 @@ def numbered_corpora(df: DataFrame, folder: str, name: str, least: int) -> DataF
     return rows.groupBy(folder, "pattern").agg(F.count("*").alias("n"), F.min(name).alias("example")).filter(F.col("n") >= least)
 
 
+def corpora(df: DataFrame, folder: str, name: str, order: str, least_group: int = 4, least_corpus: int = 12, sample: Column | None = None, heads: int = 3, most: int = 6) -> DataFrame:
+    """(pattern, folders, n, example): numbered names that share a pattern in groups of one folder, put together over folders.
+
+    A group has ``least_group`` names at least, a corpus ``least_corpus``; a corpus of which none of the
+    first ``heads`` rows, by ``order``, passes ``sample`` is left out. The ``most`` largest, ties by pattern.
+    """
+    passes = F.lit(True) if sample is None else F.coalesce(sample, F.lit(False))
+    rows = df.select(F.col(folder).alias("__f"), F.col(name).alias("__n"), numbering_pattern(name).alias("pattern"), F.struct(F.col(order), F.col(name)).alias("__o"), passes.alias("__ok")).filter(F.contains("pattern", F.lit("#")))
+    groups = rows.groupBy("__f", "pattern").agg(F.count("*").alias("n"), F.min("__n").alias("example")).filter(F.col("n") >= least_group)
+    whole = groups.groupBy("pattern").agg(F.count("*").alias("folders"), F.sum("n").alias("n"), F.min("example").alias("example")).filter(F.col("n") >= least_corpus)
+    first = rows.join(groups.select("__f", "pattern"), ["__f", "pattern"], "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy("pattern").orderBy("__o"))).filter(F.col("__r") <= heads)
+    good = first.groupBy("pattern").agg(F.bool_or("__ok").alias("__ok")).filter("__ok")
+    return whole.join(good, "pattern", "left_semi").orderBy(F.desc("n"), "pattern").limit(most)
+
+
 def key_frequency(df: DataFrame, config: str | Column) -> DataFrame:
     """(key, n): how often each key of a map column occurs."""
     return df.select(F.explode(F.map_keys(config)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
@@ -175,6 +200,15 @@ def content_roots(df: DataFrame, path: str | Column, size: str | Column, depth:
     return df.groupBy(root.alias("root")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
 
 
+def described_roots(df: DataFrame, path: str, size: str, package: str, depth: int = 2, examples: int = 3) -> DataFrame:
+    """(root, n, bytes, packages, examples): rows by the first parts of their path, distinct packages, and the smallest paths joined by commas."""
+    root = F.array_join(F.slice(F.split(path, "/"), 1, depth), "/")
+    rows = df.select(root.alias("root"), F.col(path).alias("__p"), F.col(size).alias("__s"), F.col(package).alias("__k"))
+    first = rows.select("root", "__p").distinct().withColumn("__r", F.row_number().over(Window.partitionBy("root").orderBy("__p"))).filter(F.col("__r") <= examples)
+    shown = first.groupBy("root").agg(F.array_join(F.array_sort(F.collect_list("__p")), ",").alias("examples"))
+    return rows.groupBy("root").agg(F.count("*").alias("n"), F.sum("__s").alias("bytes"), F.count_distinct("__k").alias("packages")).join(shown, "root")
+
+
 def intern_values(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """(values with ref, rows with ref): distinct values numbered from 1 by their order."""
     values = numbered_rows(df.select(*cols).distinct(), cols, "ref")
@@ -187,6 +221,14 @@ def stage_stats(df: DataFrame, counters: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.count_if(c).alias(k) for k, c in counters.items()])
 
 
+def cluster_share(nodes: DataFrame, group: str, cluster: str, least: int = 2, share: float = 0.25) -> DataFrame:
+    """(group, clusters, figures, main): a group's clusters, those of max(``least``, ``share`` of its nodes) at least, and the largest one's share."""
+    sizes = nodes.groupBy(group, cluster).agg(F.count("*").alias("__n"))
+    total = sizes.groupBy(group).agg(F.sum("__n").alias("__t"))
+    counted = F.count_if(F.col("__n") >= F.greatest(F.lit(least), share * F.col("__t")))
+    return sizes.join(total, group).groupBy(group).agg(F.count("*").alias("clusters"), counted.alias("figures"), (F.max("__n") / F.max("__t")).alias("main"))
+
+
 def largest_member(df: DataFrame, group: str, member: str, area: str | Column, whole: Column) -> DataFrame:
     """(group, member): the whole, if the group has one, else its largest member; the smaller id of equals."""
     best = F.max_by(member, F.struct(whole.cast("int"), F.col(area) if isinstance(area, str) else area, -F.col(member)))

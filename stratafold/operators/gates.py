@@ -44,3 +44,27 @@ def capabilities(checks: DataFrame, group: str, name: str, needs: Column, helps:
     """(group, capability, state): unavailable without its needs, degraded without its helps, else available."""
     g = checks.groupBy(group).agg(F.bool_and(needs).alias("__n"), F.bool_and(helps).alias("__h"))
     return g.select(group, F.lit(name).alias("capability"), F.when(~F.col("__n"), "unavailable").when(~F.col("__h"), "degraded").otherwise("available").alias("state"))
+
+
+def check_rows(df: DataFrame, subject: str, tests: list[tuple[str, Column, Column, str, str, bool]]) -> DataFrame:
+    """(subject, check, status, message, remedy, blocking): a row for each subject and test.
+
+    A test is its name, a fail and a warn condition (null counts as false), a message in which ``{column}``
+    stands for that column's value, a remedy and whether a failure blocks. The remedy is null where all is well.
+    """
+
+    def filled(message: str) -> Column:
+        parts = message.replace("}", "{").split("{")
+        return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("nothing")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+    rows = []
+    for name, fail, warn, message, remedy, blocking in tests:
+        status = F.when(fail, "fail").when(warn, "warn").otherwise("ok")
+        rows.append(F.struct(F.lit(name).alias("check"), status.alias("status"), filled(message).alias("message"), F.when(status != "ok", remedy).alias("remedy"), F.lit(blocking).alias("blocking")))
+    return df.select(F.col(subject), F.explode(F.array(*rows)).alias("__c")).select(subject, "__c.*")
+
+
+def per_total(df: DataFrame, group: str, total: Column, counts: dict[str, Column]) -> DataFrame:
+    """(group, total, a column for each count, and one of its share of the total; null shares of nothing)."""
+    g = df.groupBy(group).agg(total.alias("total"), *[c.alias(k) for k, c in counts.items()])
+    return g.select("*", *[F.try_divide(F.col(k), F.col("total")).alias(f"{k}_share") for k in counts])

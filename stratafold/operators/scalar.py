@@ -24,11 +24,11 @@ def name_tokens(name: str | Column, digits: bool = True) -> Column:
     return F.filter(F.split(F.lower(seams), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def normalise_key(name: str | Column, suffix: str = "") -> Column:
-    """Letters and digits alone, lower-cased, without trailing digits, one known suffix and a plural s."""
+def normalise_key(name: str | Column, suffix: str | list[str] = "") -> Column:
+    """Letters and digits alone, lower-cased, without trailing digits, one known suffix (the first that fits) and a plural s."""
     key = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), "[0-9]+$", "")
     if suffix:
-        key = F.regexp_replace(key, f"(?<=.){suffix}$", "")
+        key = F.regexp_replace(key, f"(?<=.)(?:{suffix if isinstance(suffix, str) else '|'.join(suffix)})$", "")
     plural = (F.length(key) > 4) & key.rlike("s$") & ~key.rlike("(ss|us|is|as)$")
     return F.when(plural, F.regexp_replace(key, "s$", "")).otherwise(key)
 
@@ -39,6 +39,18 @@ def deepest_label(path: str | Column, skip: list[str]) -> Column:
     return F.try_element_at(parts, F.lit(-1))
 
 
+def label_and_parent(path: str | Column, skip: list[str]) -> tuple[Column, Column]:
+    """The last folder of a path that is not one to skip, and the last but one; null where there is none."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & ~F.lower(p).isin(skip))
+    return F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
+
+
+def container_label(path: str | Column, generic: list[str]) -> Column:
+    """The last folder of a file's path that is neither generic nor opens with an underscore; null if there is none."""
+    folders = F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    return F.try_element_at(F.filter(folders, lambda p: (p != "") & ~F.startswith(p, F.lit("_")) & ~F.lower(p).isin(generic)), F.lit(-1))
+
+
 def folder_after(path: str | Column, marker: str, generic: list[str]) -> Column:
     """The folder that follows ``marker``; null without one, or if it is generic."""
     parts = F.split(path, "/")
@@ -54,10 +66,18 @@ def first_keyword(text: str | Column, rules: list[tuple[str, list[str]]]) -> Col
     return reduce(lambda rest, t: F.when(t[0], F.lit(t[1])).otherwise(rest), reversed(tests), F.lit(None).cast("string"))
 
 
+#: Words that number what they name, with or without digits behind them.
+NUMBERED_WORDS = ["level", "levelset", "stage", "scene", "chapter", "part", "page"]
+
+
 def prefix_label(name: str | Column, generic: list[str], seam: str = "_") -> Column:
-    """The lower-case word of three letters at least before the first seam, unless generic."""
+    """The lower-case word of three letters at least before the first seam.
+
+    Null if it is generic, eight or more hexadecimal digits, a word that numbers, or a letter with digits.
+    """
     word = F.regexp_extract(F.lower(name), f"^([a-z][a-z0-9]{{2,}}){seam}", 1)
-    return F.when((word != "") & ~word.isin(generic) & ~word.rlike("^[0-9a-f]+$"), word)
+    numbered = f"^((?:{'|'.join(NUMBERED_WORDS)})[0-9]*|[a-z][0-9]+)$"
+    return F.when((word != "") & ~word.isin(generic) & ~word.rlike("^[0-9a-f]{8,}$") & ~word.rlike(numbered), word)
 
 
 def numbering_pattern(name: str | Column) -> Column:
@@ -111,6 +131,18 @@ def name_fields(name: str | Column, seam: str = "_") -> tuple[Column, Column]:
     return F.substring_index(name, seam, 1), F.when(F.instr(name, seam) > 0, F.expr(f"substring(`{name}`, instr(`{name}`, '{seam}') + {len(seam)})"))
 
 
+def bundle_parts(name: str | Column, marker: str = "_assets_") -> tuple[Column, Column, Column]:
+    """(group, label, hash) of a file name ``group_assets_label_hash.ext``; a hash is 32 hexadecimal digits.
+
+    Without the marker the whole stem is the group; label and hash are null where they are missing.
+    """
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    digest = F.nullif(F.regexp_extract(stem, "_([0-9a-f]{32})$", 1), F.lit(""))
+    plain = F.regexp_replace(stem, "_[0-9a-f]{32}$", "")
+    at = F.instr(plain, marker)
+    return F.when(at > 0, F.substring_index(plain, marker, 1)).otherwise(plain), F.when(at > 0, F.nullif(F.substr(plain, at + len(marker)), F.lit(""))), digest
+
+
 def apply_rules(df: DataFrame, label: str, aliases: DataFrame, ignored: list[str]) -> DataFrame:
     """Renames labels by ``aliases`` (alias, name, grp), adds their group, and drops ignored labels; adds no label."""
     kept = df.filter(~F.lower(label).isin(ignored))
@@ -125,19 +157,36 @@ def choose_preferred(available: str | Column, order: list[str]) -> Column:
     return F.coalesce(F.try_element_at(listed, F.lit(1)), F.array_min(available))
 
 
-def affine_box(m: tuple, size: tuple, pivot: tuple) -> dict[str, Column]:
-    """Axis-aligned box of a rectangle under x' = a x + b y + c, y' = d x + e y + f, about its pivot."""
+def affine_box(m: tuple, size: tuple, pivot: tuple, flip: tuple = (False, False)) -> dict[str, Column]:
+    """Axis-aligned box of a rectangle under x' = a x + b y + c, y' = d x + e y + f, about its pivot.
+
+    flip: whether each axis is mirrored about the pivot first, as booleans or columns.
+    """
     a, b, c, d, e, f = m
-    xs = [(u - pivot[0]) * size[0] for u in (F.lit(0.0), F.lit(1.0))]
-    ys = [(u - pivot[1]) * size[1] for u in (F.lit(0.0), F.lit(1.0))]
+    sign = [F.when(F.lit(k) if isinstance(k, bool) else k, -1.0).otherwise(1.0) for k in flip]
+    xs = [(u - pivot[0]) * size[0] * sign[0] for u in (F.lit(0.0), F.lit(1.0))]
+    ys = [(u - pivot[1]) * size[1] * sign[1] for u in (F.lit(0.0), F.lit(1.0))]
     px = [a * x + b * y + c for x in xs for y in ys]
     py = [d * x + e * y + f for x in xs for y in ys]
     return {"x0": F.least(*px), "y0": F.least(*py), "x1": F.greatest(*px), "y1": F.greatest(*py)}
 
 
-def browse_filter(df: DataFrame, equal: dict[str, object] | None = None, size: tuple[str, float, float] | None = None, contains: tuple[list[str], str] | None = None) -> DataFrame:
-    """Rows that pass all criteria: equalities, a range, and a text that one of the columns holds, without case."""
+def window_box(box: dict[str, Column], window: tuple) -> dict[str, Column]:
+    """A box cut to a window (x0, y0, x1, y1); null corners where nothing is left."""
+    x0, y0, x1, y1 = F.greatest(box["x0"], window[0]), F.greatest(box["y0"], window[1]), F.least(box["x1"], window[2]), F.least(box["y1"], window[3])
+    left = (x0 < x1) & (y0 < y1)
+    return {k: F.when(left, c) for k, c in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))}
+
+
+def browse_filter(
+    df: DataFrame, equal: dict[str, object] | None = None, size: tuple[str, float, float] | None = None, contains: tuple[list[str], str] | None = None, toggles: dict[str, bool] | None = None
+) -> DataFrame:
+    """Rows that pass all criteria: equalities, a range, a text that one of the columns holds, without case, and toggles.
+
+    A toggle asks a boolean column to hold, or not to; null counts as not.
+    """
     tests = [F.col(c) == v for c, v in (equal or {}).items()]
+    tests += [F.coalesce(F.col(c), F.lit(False)) == on for c, on in (toggles or {}).items()]
     if size:
         tests.append(F.col(size[0]).between(size[1], size[2]))
     if contains:

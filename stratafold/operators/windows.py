@@ -39,6 +39,12 @@ def budget_prefix(df: DataFrame, group: str, size: str, order: list, budget: flo
     return df.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= budget)
 
 
+def excerpt_rows(df: DataFrame, group: str, size: str, order: list, budget: float) -> DataFrame:
+    """The rows of each group, in order, before which budget is left; the last of them may exceed it."""
+    before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("used", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("used") < budget)
+
+
 def hold_time(df: DataFrame, group: str, t: str, end: Column, least: float = 0.03) -> DataFrame:
     """Adds ``hold``: the time to the group's next row, and from the last row to ``end``; ``least`` at least."""
     return df.withColumn("hold", F.greatest(F.coalesce(F.lead(t).over(Window.partitionBy(group).orderBy(t)), end) - F.col(t), F.lit(least)))
@@ -65,6 +71,28 @@ def median_row(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
     return rows.filter(F.col("__r") == F.floor((F.col("__n") + 1) / 2)).drop("__n", "__r")
 
 
+def median_instant(keys: DataFrame, entity: str, t: str, axes: list[str], sizes: tuple[str, str], samples: int = 13) -> DataFrame:
+    """(entity, t, area, follow): of evenly spaced times over an entity's keys, the one where it has its median area.
+
+    keys: one row for each entity and time, with places ``axes`` and extents ``sizes``, straight between
+    times. follow tells whether a place travels farther than the extent at that time.
+    """
+    from stratafold.operators.joins import asof_interpolate
+
+    ends = keys.groupBy(entity).agg(F.min(t).cast("double").alias("__a"), F.max(t).cast("double").alias("__b"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    times = ends.select(entity, "__a", "__b", step.alias("__k")).select(entity, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__k") / (samples - 1)).alias(t), "__k")
+    rows = times.select(entity, t).distinct()
+    for c in [*axes, *sizes]:
+        own = keys.select(entity, F.col(t).cast("double").alias(t), F.col(c).cast("double").alias(c))
+        rows = rows.join(asof_interpolate(own, times.select(entity, t).distinct(), entity, t, c), [entity, t])
+    rows = times.join(rows, [entity, t]).withColumn("area", F.col(sizes[0]) * F.col(sizes[1]))
+    w = Window.partitionBy(entity)
+    travel = [F.max(c).over(w) - F.min(c).over(w) > F.col(s) for c, s in zip(axes, sizes, strict=True)]
+    ranked = rows.withColumn("follow", travel[0] | travel[-1]).withColumn("__r", F.row_number().over(w.orderBy("area", "__k")))
+    return ranked.filter(F.col("__r") == (samples + 1) // 2).select(entity, t, "area", "follow")
+
+
 def carry_down(df: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
     """Adds the last non-null value so far in each group."""
     return df.withColumn(name, F.last(value, True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
