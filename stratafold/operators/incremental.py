@@ -31,6 +31,20 @@ def prune(children: dict[str, DataFrame], parent: DataFrame, key: str) -> dict[s
     return {name: df.join(live, key, "left_semi") for name, df in children.items()}
 
 
+def prune_regions(assets: DataFrame, path: str, source: DataFrame, seam: str = "#") -> DataFrame:
+    """``assets`` whose file is still in ``source`` (path); a row ``file#region`` stays while its file stays."""
+    live = source.select(F.col(path).alias("__file")).distinct()
+    return assets.withColumn("__file", F.substring_index(path, seam, 1)).join(live, "__file", "left_semi").drop("__file")
+
+
+def release_holders(children: DataFrame, holder: str, parent: DataFrame, key: str) -> DataFrame:
+    """``children`` with the links to holders that are gone set to null."""
+    live = parent.select(F.col(key).alias("__held")).distinct()
+    kind = children.schema[holder].dataType
+    joined = children.join(live, children[holder] == F.col("__held"), "left")
+    return joined.select(*[F.col("__held").cast(kind).alias(holder) if c == holder else F.col(c) for c in children.columns])
+
+
 def union_builds(builds: dict[str, DataFrame]) -> DataFrame:
     """All builds in one table with a build_id; columns that a build lacks are null."""
     rows = [df.withColumn("build_id", F.lit(b)) for b, df in builds.items()]

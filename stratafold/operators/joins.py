@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +43,15 @@ def contains_join(left: DataFrame, left_id: str, name: str, right: DataFrame, st
     return spans.join(small, "__stem").groupBy(left_id).agg(F.min_by(stem, F.struct(order, stem)).alias(stem))
 
 
-def longest_ngram_match(df: DataFrame, id_col: str, name: str, vocabulary: DataFrame, key: str, display: str, span: int = 3) -> DataFrame:
-    """(id, display): the longest run of words whose text is a key; the leftmost on ties."""
-    runs = df.select(id_col, F.explode(_spans(name_tokens(name), span)).alias("s")).select(id_col, "s.start", "s.span", F.col("s.text").alias(key))
+def longest_ngram_match(
+    df: DataFrame, id_col: str, name: str, vocabulary: DataFrame, key: str, display: str, span: int = 3, fold: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """(id, display): the longest run of words whose text is a key; the leftmost on ties.
+
+    ``fold`` changes a run's text before it is looked up, as the keys have been, so that ``Crates`` finds ``crate``.
+    """
+    text = fold(F.col("s.text")) if fold else F.col("s.text")
+    runs = df.select(id_col, F.explode(_spans(name_tokens(name), span)).alias("s")).select(id_col, "s.start", "s.span", text.alias(key))
     hit = runs.join(vocabulary.select(key, display), key)
     return hit.groupBy(id_col).agg(F.max_by(display, F.struct(F.col("span"), -F.col("start"))).alias(display))
 
@@ -110,6 +119,27 @@ def asof_interpolate(keys: DataFrame, times: DataFrame, entity: str, t: str, v:
     return rows.select(entity, t, value.alias(v))
 
 
+def asof_rotation(keys: DataFrame, times: DataFrame, entity: str, t: str, rotation: str) -> DataFrame:
+    """(entity, t, rotation) at each wanted time: rotations are arrays of four, mixed straight over the shorter arc and normalised.
+
+    Clamped outside the keys; keys hold one rotation for each entity and time.
+    """
+    rows = keys.select(entity, t, rotation, F.lit(0).alias("__wanted")).unionByName(times.select(entity, t, F.lit(None).cast("array<double>").alias(rotation), F.lit(1).alias("__wanted")))
+    back = Window.partitionBy(entity).orderBy(t, "__wanted").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(entity).orderBy(F.desc(t), "__wanted").rowsBetween(Window.unboundedPreceding, 0)
+    key = F.when(F.col("__wanted") == 0, F.struct(F.col(t).alias("t"), F.col(rotation).alias("q")))
+    rows = rows.withColumn("__low", F.last(key, True).over(back)).withColumn("__high", F.last(key, True).over(ahead)).filter("__wanted = 1")
+    low, high = F.col("__low"), F.col("__high")
+    share = F.coalesce(F.try_divide(F.col(t) - low["t"], high["t"] - low["t"]), F.lit(0.0))
+    dot = reduce(lambda a, b: a + b, [low["q"][k] * high["q"][k] for k in range(4)])
+    side = F.when(dot < 0, -1.0).otherwise(1.0)
+    mixed = [low["q"][k] + (high["q"][k] * side - low["q"][k]) * share for k in range(4)]
+    length = F.sqrt(reduce(lambda a, b: a + b, [m * m for m in mixed]))
+    between = F.array(*[m / length for m in mixed])
+    value = F.when(low.isNull(), high["q"]).when(high.isNull(), low["q"]).otherwise(between)
+    return rows.select(entity, t, value.alias(rotation))
+
+
 def merge_two_series(a: DataFrame, b: DataFrame, entity: str, t: str, v: str, offset: float = 0.0) -> DataFrame:
     """(entity, t, a, b): both series on the union of their times, and b moved by ``offset``."""
     times = a.select(entity, t).union(b.select(entity, t)).distinct()
@@ -136,3 +166,28 @@ def sharing_pairs(df: DataFrame, holder: str, item: str, least: int = 2) -> Data
     rows = df.select(F.col(holder).alias("a"), F.col(item).alias("i")).distinct()
     pairs = rows.join(rows.withColumnRenamed("a", "b"), "i").filter("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+
+
+def declared_states(declared: DataFrame, bundle: str, remote: Column, files: DataFrame, file: str) -> DataFrame:
+    """(bundle, state) of each declared bundle: local if it is shipped, else remote if it is loaded from elsewhere, else missing."""
+    have = files.select(F.col(file).alias(bundle)).distinct().withColumn("__have", F.lit(True))
+    rows = declared.groupBy(bundle).agg(F.bool_or(F.coalesce(remote, F.lit(False))).alias("__remote")).join(have, bundle, "left")
+    return rows.select(bundle, F.when(F.col("__have"), "local").when(F.col("__remote"), "remote").otherwise("missing").alias("state"))
+
+
+def unreachable_entries(needs: DataFrame, entry: str, bundle: str, states: DataFrame, most: int = 200) -> DataFrame:
+    """(entry, missing): the first ``most`` entries, by name, that need a missing bundle, and how many such each needs."""
+    gone = states.filter("state = 'missing'").select(bundle)
+    return needs.select(entry, bundle).distinct().join(gone, bundle, "left_semi").groupBy(entry).agg(F.count("*").alias("missing")).orderBy(entry).limit(most)
+
+
+def clip_candidates(objects: DataFrame, obj: str, clips: DataFrame, clip: str, item: str, least: int = 2) -> DataFrame:
+    """(obj, clip, shared, covers, share) of clips that share ``least`` distinct items with an object at least.
+
+    covers is the shared part of the object's items, share that of the clip's, rounded to twentieths.
+    """
+    a, b = objects.select(obj, item).distinct(), clips.select(clip, item).distinct()
+    held, used = a.groupBy(obj).agg(F.count("*").alias("__a")), b.groupBy(clip).agg(F.count("*").alias("__b"))
+    both = a.join(b, item).groupBy(obj, clip).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    share = F.round(F.col("shared") / F.col("__b") * 20) / 20
+    return both.join(held, obj).join(used, clip).select(obj, clip, "shared", (F.round(F.col("shared") / F.col("__a") * 20) / 20).alias("covers"), share.alias("share"))

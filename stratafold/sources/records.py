@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NUMBER = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
@@ -44,7 +45,7 @@ def fit_schema(samples: DataFrame, candidates: DataFrame, hint: str = "", least:
     total = filled.groupBy("sample").agg(F.count("*").alias("n"))
     kinds = ("long", "double", "date", "boolean")
     reads = reduce(lambda c, k: c.when(F.col("kind") == k, F.col("value").try_cast(k).isNotNull()), kinds, F.when(F.col("kind").isNull(), True)).otherwise(True)
-    held = filled.join(F.broadcast(candidates), "field").groupBy("sample", "schema").agg(F.count("*").alias("declared"), F.count_if(reads).alias("good"))
+    held = filled.join(candidates, "field").groupBy("sample", "schema").agg(F.count("*").alias("declared"), F.count_if(reads).alias("good"))
     share = F.when(F.col("declared") == F.col("n"), F.col("good") / F.col("n")).otherwise(0.0)
     sums = held.join(total, "sample").groupBy("schema").agg(F.sum(share).alias("sum"))
     known = total.count()
@@ -79,17 +80,19 @@ def parse_region_descriptor(lines: DataFrame, file: str, number: str, line: str)
 def parse_materials(df: DataFrame, id_col: str, text: str, albedo: list[str], colours: list[str]) -> DataFrame:
     """(id, slots, r, g, b, a): the bound texture slots as (slot, guid), and the colour that is stated.
 
-    Unbound slots (file id 0) do not count. The colour is the first of ``colours`` whose channels all lie
-    in 0..1; there is none where textures are bound but no slot of ``albedo`` is.
+    Slots and colours stand one to a line, with or without a list dash and a leading underscore, which
+    names do not keep. Unbound slots (file id 0) do not count. The colour is the first of ``colours``
+    whose red, green and blue all lie in 0..1; there is none where textures are bound but no slot of
+    ``albedo``, compared without case, is.
     """
-    slot = r"- (\w+):\s+m_Texture: \{fileID: (?!0[,}])-?\d+, guid: ([0-9a-f]{32})"
+    slot = r"(?m)^\s*(?:- )?_?(\w+):\s*\n\s*m_Texture:\s*\{fileID:\s*(?!0[,}])-?\d+,\s*guid:\s*([0-9a-f]{32})"
     slots = F.arrays_zip(F.regexp_extract_all(text, F.lit(slot), 1).alias("slot"), F.regexp_extract_all(text, F.lit(slot), 2).alias("guid"))
     rows = df.select(F.col(id_col), F.col(text).alias("__text"), slots.alias("slots"))
-    channel = lambda c, k: F.regexp_extract("__text", rf"- {c}: \{{[^}}]*\b{k}: ({NUMBER})", 1).try_cast("double")
+    channel = lambda c, k: F.regexp_extract("__text", rf"(?m)^\s*(?:- )?_?{c.lstrip('_')}:\s*\{{[^}}]*\b{k}:\s*({NUMBER})", 1).try_cast("double")
     struct = lambda c: F.struct(*[channel(c, k).alias(k) for k in "rgba"])
-    good = lambda s: reduce(lambda x, y: x & y, [s[k].between(0, 1) for k in "rgba"])
+    good = lambda s: reduce(lambda x, y: x & y, [s[k].between(0, 1) for k in "rgb"])
     stated = F.coalesce(*[F.when(good(struct(c)), struct(c)) for c in colours])
-    hidden = (F.size("slots") > 0) & ~F.exists("slots", lambda s: s["slot"].isin(albedo))
+    hidden = (F.size("slots") > 0) & ~F.exists("slots", lambda s: F.lower(s["slot"]).isin([a.lower().lstrip("_") for a in albedo]))
     return rows.select(id_col, "slots", F.when(~hidden, stated).alias("c")).select(id_col, "slots", *[F.col("c")[k].alias(k) for k in "rgba"])
 
 
@@ -135,3 +138,96 @@ def mesh_metrics(text: str | Column) -> tuple[Column, Column]:
     vertices = F.regexp_extract(text, r"m_VertexCount: (\d+)", 1).try_cast("long")
     width = F.when(F.regexp_extract(text, r"m_IndexFormat: (\d)", 1) == "1", 4).otherwise(2)
     return vertices, F.floor(F.length(F.regexp_extract(text, r"m_IndexBuffer: ([0-9a-fA-F]*)", 1)) / 2 / width / 3)
+
+
+def manifest_entries(df: DataFrame, text: str, stem: str | Column) -> DataFrame:
+    """(bundle, project_path) of each key of ``m_Container`` of each manifest in JSON.
+
+    The bundle is ``m_AssetBundleName``, or ``stem`` where that is missing or empty. Text that does not
+    parse, and manifests without a container, give no rows.
+    """
+    m = F.from_json(text, "m_AssetBundleName string, m_Container map<string, string>")
+    rows = df.select(F.col(stem).alias("__stem") if isinstance(stem, str) else stem.alias("__stem"), m.alias("__m")).filter("__m.m_Container is not null")
+    bundle = F.coalesce(F.nullif(F.col("__m.m_AssetBundleName"), F.lit("")), F.col("__stem"))
+    return rows.select(bundle.alias("bundle"), F.explode(F.map_keys("__m.m_Container")).alias("project_path"))
+
+
+def read_manifest_entries(spark: SparkSession, root: str) -> DataFrame:
+    """(bundle, project_path) of all manifests ``*.json`` below ``root``, each one JSON object."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
+    return manifest_entries(files.select("value", F.regexp_extract("_metadata.file_path", r"([^/]*)\.json$", 1).alias("stem")), "value", "stem")
+
+
+def hierarchy_details(docs: DataFrame) -> dict[str, DataFrame]:
+    """meshes, materials and local places of documents (path, class_id, file_id, body), beside ``hierarchy_tables``.
+
+    meshes: (path, node, mesh) with the mesh's guid. materials: (path, node, slot, material), slots from 0,
+    without unbound ones. places: (path, transform, node, position, rotation, scale) as arrays; the identity
+    where a record states none.
+    """
+    node = F.regexp_extract("body", r"m_GameObject: \{fileID: (-?\d+)", 1).try_cast("long").alias("node")
+    mesh = F.regexp_extract("body", r"m_Mesh:\s*\{fileID:\s*-?\d+,\s*guid:\s*([0-9a-f]{32})", 1)
+    meshes = docs.filter(F.col("class_id").isin(33, 137)).select("path", node, mesh.alias("mesh")).filter("mesh <> ''")
+    listed = F.regexp_extract("body", r"m_Materials:\s*\n((?:\s*- \{fileID:[^\n]*\n?)*)", 1)
+    slots = docs.filter(F.col("class_id").isin(23, 137)).select("path", node, F.posexplode(F.regexp_extract_all(listed, F.lit(r"- (\{fileID:[^\n]*)"), 1)).alias("slot", "ref"))
+    materials = slots.select("path", "node", "slot", F.regexp_extract("ref", "guid:\\s*([0-9a-f]{32})", 1).alias("material")).filter("material <> ''")
+    part = lambda k, axes, other: F.coalesce(
+        F.when(F.col("body").rlike(rf"{k}:\s*\{{"), F.array(*[F.regexp_extract("body", rf"{k}:\s*\{{[^}}]*\b{a}:\s*({NUMBER})", 1).try_cast("double") for a in axes])), F.array(*map(F.lit, other))
+    )
+    places = docs.filter(F.col("class_id").isin(*TRANSFORMS)).select(
+        "path", F.col("file_id").alias("transform"), node, part("m_LocalPosition", "xyz", (0.0, 0.0, 0.0)).alias("position"),
+        part("m_LocalRotation", "xyzw", (0.0, 0.0, 0.0, 1.0)).alias("rotation"), part("m_LocalScale", "xyz", (1.0, 1.0, 1.0)).alias("scale"),
+    )
+    return {"meshes": meshes, "materials": materials, "places": places}
+
+
+def scoped(text: str | Column, opens: str, closes: str) -> Column:
+    """What stands between the first ``opens`` and the next ``closes``, or the end; null without ``opens``."""
+    text = F.col(text) if isinstance(text, str) else text
+    rest = F.substr(text, F.instr(text, opens) + len(opens))
+    return F.when(F.instr(text, opens) > 0, F.when(F.instr(rest, closes) > 0, F.substring_index(rest, closes, 1)).otherwise(rest))
+
+
+def extract_fields(df: DataFrame, keep: list[str], text: str | Column, fields: dict[str, tuple[str, str, object]]) -> DataFrame:
+    """(``keep`` columns, a column for each field): field -> (pattern with one group, type, default for no match or no such value)."""
+    text = F.col(text) if isinstance(text, str) else text
+    got = lambda p, kind, other: F.coalesce(F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast(kind), F.lit(other).cast(kind))
+    return df.select(*keep, *[got(*spec).alias(k) for k, spec in fields.items()])
+
+
+def harvest_enums(df: DataFrame, id_col: str, text: str, body: str, member: str, buckets: list[tuple[str, str]], stop: list[str], stem: Callable[[str], Column]) -> DataFrame:
+    """(id, bucket, name, member, stem): members of each named body, put in the first bucket (label, name pattern) that fits.
+
+    ``body`` has two groups, the name and what it holds; ``member`` finds a member in that. Bodies of no
+    bucket and members among ``stop`` are left out; ``stem`` folds a member's spelling.
+    """
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(body), 1).alias("name"), F.regexp_extract_all(text, F.lit(body), 2).alias("held"))
+    rows = df.select(id_col, F.explode(pairs).alias("e")).select(id_col, "e.name", "e.held")
+    bucket = reduce(lambda rest, b: F.when(F.rlike("name", F.lit(b[1])), b[0]).otherwise(rest), reversed(buckets), F.lit(None).cast("string"))
+    rows = rows.withColumn("bucket", bucket).filter("bucket is not null").withColumn("member", F.explode(F.regexp_extract_all("held", F.lit(member), 1)))
+    return rows.filter(~F.col("member").isin(stop)).select(id_col, "bucket", "name", "member", stem("member").alias("stem"))
+
+
+def content_markers(text: str | Column, markers: dict[str, str], span: int = 512) -> Column:
+    """The names, joined by commas, of the markers that occur in the first or last ``span`` characters."""
+    text = F.col(text) if isinstance(text, str) else text
+    edges = F.concat(F.substring(text, 1, span), F.lit("\0"), F.right(text, F.lit(span)))
+    return F.array_join(F.array_compact(F.array(*[F.when(edges.contains(m), F.lit(k)) for k, m in markers.items()])), ",")
+
+
+def scan_matches(spark: SparkSession, root: str, pattern: str, group: int = 0, separator: str = "\n") -> DataFrame:
+    """(path, match) of each match in each file below ``root``, read record by record; a record is never held with another."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("lineSep", separator).text(root)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.explode(F.regexp_extract_all("value", F.lit(pattern), group)).alias("match"))
+
+
+def feature_totals(df: DataFrame, id_col: str, structural: list[str], suffix: str = "Count") -> DataFrame:
+    """(id, features, total): fields that are neither null nor zero nor structural, in order, and the sum of those that count.
+
+    A field counts if its name ends in ``suffix``, without case.
+    """
+    fields = [f for f in df.schema.fields if f.name not in (id_col, *structural)]
+    empty = lambda f: F.col(f.name).cast("string") == "" if f.dataType.simpleString() == "string" else F.col(f.name).cast("double") == 0
+    held = [F.when(F.col(f.name).isNotNull() & ~empty(f), F.lit(f.name)) for f in fields]
+    counts = [F.coalesce(F.col(f.name).try_cast("double"), F.lit(0.0)) for f in fields if f.name.lower().endswith(suffix.lower())]
+    return df.select(id_col, F.array_join(F.array_compact(F.array(*held)), ",").alias("features"), reduce(lambda a, b: a + b, counts, F.lit(0.0)).alias("total"))
