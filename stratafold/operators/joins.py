@@ -87,19 +87,27 @@ def hamming_join(df: DataFrame, id_col: str, hash_col: str, bucket: str, most: i
 
 
 def box_overlap_join(df: DataFrame, group: str, box: str, gap: float = 0.0) -> DataFrame:
-    """(group, a, b) of pairs of boxes (x0, y0, x1, y1) of one group that overlap or lie within ``gap``.
+    """(group, a, b) of pairs of boxes (x0, y0, x1, y1) of one group that overlap or lie within ``gap``, a < b.
 
-    Boxes are dealt to grid cells as wide as the mean box, so a large group is not compared pair by pair.
+    Each box has a level: the power of two that its longer side, with the gap, does not exceed. It lies in
+    four cells of its level's grid at most, and meets smaller boxes there, which look up the grids of all
+    higher levels of their group. So neither large groups nor a few huge boxes are compared pair by pair.
+    A pair is claimed by one cell. Boxes with a null corner overlap nothing.
     """
-    cell = df.groupBy(group).agg(F.greatest(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))) + gap, F.lit(1e-9)).alias("__w"))
-    at = lambda c, s: F.floor((F.col(c) + s) / F.col("__w")).cast("long")
-    dealt = df.join(cell, group).withColumn("__x", F.explode(F.sequence(at("x0", -gap), at("x1", gap)))).withColumn("__y", F.explode(F.sequence(at("y0", -gap), at("y1", gap))))
-    left = dealt.select(group, "__x", "__y", F.col(box).alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    right = dealt.select(group, "__x", "__y", F.col(box).alias("b"), "x0", "y0", "x1", "y1")
-    pairs = left.join(right, [group, "__x", "__y"]).filter(
-        (F.col("a") < F.col("b")) & (F.col("a_x0") - gap <= F.col("x1")) & (F.col("x0") - gap <= F.col("a_x1")) & (F.col("a_y0") - gap <= F.col("y1")) & (F.col("y0") - gap <= F.col("a_y1"))
-    )
-    return pairs.select(group, "a", "b").distinct()
+    half = gap / 2
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + gap
+    rows = df.select(group, F.col(box).alias("id"), *[(F.col(c).cast("double") + s).alias(c) for c, s in (("x0", -half), ("y0", -half), ("x1", half), ("y1", half))], F.ceil(F.log2(F.greatest(size, F.lit(1e-9)))).cast("int").alias("own"))
+    rows = rows.filter("x0 <= x1 and y0 <= y1")
+    levels = rows.groupBy(group).agg(F.collect_set("own").alias("levels"))  # tens of numbers at most
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    spread = lambda d: d.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    home = spread(rows.withColumn("level", F.col("own"))).select(group, "level", "cx", "cy", *[F.col(c).alias(f"h_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
+    seek = spread(rows.join(levels, group).withColumn("level", F.explode(F.filter("levels", lambda k: k >= F.col("own")))))
+    # The boxes are already wider by half a gap on each side.
+    met = (F.col("x0") <= F.col("h_x1")) & (F.col("h_x0") <= F.col("x1")) & (F.col("y0") <= F.col("h_y1")) & (F.col("h_y0") <= F.col("y1"))
+    once = (F.col("cx") == F.greatest(at("x0"), at("h_x0"))) & (F.col("cy") == F.greatest(at("y0"), at("h_y0")))
+    pairs = seek.join(home, [group, "level", "cx", "cy"]).filter(met & once & ((F.col("own") < F.col("level")) | (F.col("id") < F.col("h_id"))))
+    return pairs.select(group, F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"))
 
 
 def asof_interpolate(keys: DataFrame, times: DataFrame, entity: str, t: str, v: str) -> DataFrame:

@@ -11,7 +11,7 @@ from stratafold.operators import joins as J
 from stratafold.operators import scalar as S
 from stratafold.operators import windows as W
 from stratafold.plans.graph_demos import EDGES, EDGES_SQL
-from stratafold.plans.job_demos import DUPLICATES_SQL, FIGURES_SQL
+from stratafold.plans.job_demos import DUPLICATES_SQL, FIGURES_SQL, duplicate_rows
 from stratafold.plans.join_demos import ASOF_SQL, BOXES
 from stratafold.plans.registry import demo
 from stratafold.sources import files as D
@@ -310,14 +310,10 @@ def job4_mark_origin_by_holders(t):
     return C.mark_origin(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", holds, "holder", "[0-4]$", "^[a-m]")
 
 
-def duplicate_rows(t):
-    docs = t.documents.select(key("d", "doc_id").alias("id"), F.sha2("text", 256).alias("digest"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("grp"))
-    return docs.unionByName(t.embeddings.select(key("v", "vec_id").alias("id"), F.lit(None).cast("string").alias("digest"), S.difference_bits("embedding", 16).alias("h"), F.col("label").cast("string").alias("grp")))
-
-
-@demo(DUPLICATES_SQL)
-def job5_groups_by_class(t):
-    return C.duplicate_groups(C.duplicate_links(duplicate_rows(t), "id", "digest", "h", ["grp"], 2, 16))
+@demo(f"WITH g AS ({DUPLICATES_SQL}), e AS (SELECT sum(n - 1) AS exact FROM (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY sha256(text))) SELECT count(DISTINCT component) AS groups, count(*) AS members, CAST(max(exact) AS BIGINT) AS exact_links FROM g, e")
+def job5_duplicate_stats(t):
+    links = C.duplicate_links(duplicate_rows(t), "id", "digest", "h", ["grp"], 2, 16)
+    return C.duplicate_stats(C.duplicate_groups(links), links).drop("near_links")
 
 
 @demo("""SELECT coalesce(p_brand, 'unlabelled') AS family, count(*) AS n, count(DISTINCT o) AS objects, count(*) FILTER (o IS NULL) AS loose, max(p_size) AS largest FROM part LEFT JOIN (SELECT l_partkey, min(l_orderkey) AS o FROM lineitem WHERE l_quantity > 30 GROUP BY 1) ON l_partkey = p_partkey GROUP BY 1""")

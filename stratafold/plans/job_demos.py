@@ -2,12 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from stratafold.operators import catalog as C
 from stratafold.operators import gates as K
-from stratafold.operators import graph as G
 from stratafold.operators import incremental as I
-from stratafold.operators import joins as J
 from stratafold.operators import scalar as S
-from stratafold.operators import windows as W
 from stratafold.plans.join_demos import BOXES, BOXES_SQL, HASHES_SQL
 from stratafold.plans.registry import both, demo
 
@@ -113,14 +111,16 @@ e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w(node, c) AS (SELECT DISTIN
 SELECT node, component, 'dup_' || lpad(CAST(dense_rank() OVER (ORDER BY component) AS VARCHAR), 4, '0') AS label FROM r"""
 
 
+def duplicate_rows(t):
+    """Documents by digest of their text, embeddings by a hash of 16 bits beside those of their label."""
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    docs = t.documents.select(key("d", "doc_id").alias("id"), F.sha2("text", 256).alias("digest"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("grp"))
+    return docs.unionByName(t.embeddings.select(key("v", "vec_id").alias("id"), F.lit(None).cast("string").alias("digest"), S.difference_bits("embedding", 16).alias("h"), F.col("label").cast("string").alias("grp")))
+
+
 @demo(DUPLICATES_SQL)
 def job5_duplicate_groups(t):
-    near = J.hamming_join(t.embeddings.select("vec_id", "label", S.difference_bits("embedding", 16).alias("h")), "vec_id", "h", "label", 2, 16)
-    near = near.select(F.concat(F.lit("v"), F.col("id_a").cast("string")).alias("a"), F.concat(F.lit("v"), F.col("id_b").cast("string")).alias("b"))
-    docs = t.documents.select("doc_id", F.sha2("text", 256).alias("sha"))
-    first = docs.groupBy("sha").agg(F.min("doc_id").alias("m"))
-    exact = docs.join(first, "sha").filter("m < doc_id").select(F.concat(F.lit("d"), F.col("m").cast("string")).alias("a"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("b"))
-    return W.dense_labels(G.connected_components(near.unionByName(exact), "a", "b"), "component", "dup_")
+    return C.duplicate_groups(C.duplicate_links(duplicate_rows(t), "id", "digest", "h", ["grp"], 2, 16))
 
 
 FIGURES_SQL = f"""WITH RECURSIVE b AS ({BOXES_SQL}), k AS (SELECT CAST(grp AS VARCHAR) || '/' || CAST(box AS VARCHAR) AS k, * FROM b),
@@ -131,14 +131,7 @@ SELECT CAST(grp AS BIGINT) AS grp, CAST(count(*) FILTER (n >= greatest(2, 0.25 *
 
 @demo(FIGURES_SQL)
 def job8_figure_stats(t):
-    from pyspark.sql import Window
-
-    boxes = t.sql(BOXES)
-    key = lambda c: F.concat_ws("/", F.col("grp").cast("string"), F.col(c).cast("string"))
-    joined = G.connected_components(J.box_overlap_join(boxes, "grp", "box", 1.0).select(key("a").alias("a"), key("b").alias("b")), "a", "b")
-    nodes = boxes.select("grp", key("box").alias("node")).join(joined, "node", "left").select("grp", F.coalesce("component", "node").alias("c"))
-    sizes = nodes.groupBy("grp", "c").agg(F.count("*").alias("n")).withColumn("t", F.sum("n").over(Window.partitionBy("grp")))
-    return sizes.groupBy("grp").agg(F.count_if(F.col("n") >= F.greatest(F.lit(2), 0.25 * F.col("t"))).alias("figures"), F.round(F.max("n") / F.max("t"), 9).alias("main"))
+    return C.figure_stats(t.sql(BOXES), "grp", "box", 1.0).withColumn("main", F.round("main", 9)).drop("clusters")
 
 
 @demo("""SELECT coalesce(p_brand, 'unlabelled') AS family, count(*) AS n, count(DISTINCT p_name) AS objects, max(p_size) AS largest FROM part GROUP BY 1""")
