@@ -18,7 +18,7 @@ from stratafold.llm.storage import stored
 #: The token that ends every text.
 END = b""
 #: Frequent words with an output of their own, the end among them, and words in each of their classes.
-HEAD, CLASS_WORDS = 1024, 32
+HEAD, CLASS_WORDS = 1024, 64
 #: Classes of the other words: by first letter, other ASCII, all else.
 TAIL = 28
 HIDDEN = 16
@@ -26,8 +26,8 @@ HIDDEN = 16
 WINDOW = 32
 #: Bytes of a block of training texts, about; rounds, each over its share of the blocks; weights averaged in one group.
 FIT_BYTES, ROUNDS, AVERAGED = 24_000_000, 2, 64
-#: Lanes of a step at most; steps of a block at least, for which small blocks are passed again; first rate of a round.
-FIT_LANES, LEAST_STEPS, RATES = 512, 400, (0.02, 0.008)
+#: Lanes of a step, at least and at most; steps of a block at least, for which small blocks are passed again; first rate of a round.
+FEW_LANES, FIT_LANES, LEAST_STEPS, RATES = 16, 512, 500, (0.02, 0.008)
 #: Bytes of text that are scored together, about.
 BLOCK_BYTES = 24_000_000
 LANES = 1024
@@ -94,10 +94,15 @@ def _window(w: Weights, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, tape: l
     return before, h
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a -= a.max(axis=0)
-    a -= np.log(np.exp(a).sum(axis=0))
-    return a
+def _picked(logits: np.ndarray, rows: np.ndarray, chances: bool) -> np.ndarray:
+    """Log probability of one row in each column; with ``chances``, logits become probabilities, else they are spoilt."""
+    at = np.arange(logits.shape[1])
+    logits -= logits.max(axis=0)
+    got = logits[rows, at]
+    total = np.exp(logits, out=logits).sum(axis=0)
+    if chances:
+        logits /= total
+    return got - np.log(total)
 
 
 def _log_probability(w: Weights, states: np.ndarray, symbols: np.ndarray, grads: Weights | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -105,32 +110,42 @@ def _log_probability(w: Weights, states: np.ndarray, symbols: np.ndarray, grads:
 
     With ``grads``, adds the gradients of their negative mean and returns those of the states as well.
     """
-    classes, at = len(w["word"]), np.arange(len(symbols))
+    classes, n = len(w["word"]), len(symbols)
     label = np.where(symbols < HEAD, symbols // CLASS_WORDS, symbols - HEAD + classes)
-    logits = _log_softmax(w["out"] @ states + w["out_b"])
-    got = logits[label, at].astype(np.float64)
-    d_states = np.empty(0)
+    # Symbols of one class lie side by side, so that each class is a slice.
+    order = np.argsort(label, kind="stable")
+    label, own, at = label[order], states[:, order], np.arange(n)
+    logits = w["out"] @ own
+    logits += w["out_b"]
+    got = np.empty(n)
+    got[order] = _picked(logits, label, grads is not None)
+    d_own = np.empty(0)
     if grads is not None:
-        p = np.exp(logits)
+        p = logits
         p[label, at] -= 1
-        p /= len(symbols)
-        grads["out"] += p @ states.T
+        p /= n
+        grads["out"] += p @ own.T
         grads["out_b"] += p.sum(axis=1, keepdims=True)
-        d_states = w["out"].T @ p
-    order = np.argsort(label, kind="stable")
-    edges = np.searchsorted(label[order], np.arange(classes + 1))
+        d_own = w["out"].T @ p
+    edges = np.searchsorted(label, np.arange(classes + 1))
+    inside = symbols[order] % CLASS_WORDS
     for k in np.flatnonzero(np.diff(edges)):
-        rows = order[edges[k] : edges[k + 1]]
-        inside, own = symbols[rows] % CLASS_WORDS, states[:, rows]
-        logits = _log_softmax(w["word"][k] @ own + w["word_b"][k])
-        got[rows] += logits[inside, np.arange(len(rows))]
+        rows = slice(edges[k], edges[k + 1])
+        mine, word, at = own[:, rows], inside[rows], np.arange(edges[k + 1] - edges[k])
+        logits = w["word"][k] @ mine
+        logits += w["word_b"][k]
+        got[order[rows]] += _picked(logits, word, grads is not None)
         if grads is not None:
-            p = np.exp(logits)
-            p[inside, np.arange(len(rows))] -= 1
-            p /= len(symbols)
-            grads["word"][k] += p @ own.T
+            p = logits
+            p[word, at] -= 1
+            p /= n
+            grads["word"][k] += p @ mine.T
             grads["word_b"][k] += p.sum(axis=1, keepdims=True)
-            d_states[:, rows] += w["word"][k].T @ p
+            d_own[:, rows] += w["word"][k].T @ p
+    if grads is None:
+        return got, d_own
+    d_states = np.empty_like(d_own)
+    d_states[:, order] = d_own
     return got, d_states
 
 
@@ -143,21 +158,37 @@ def _gradients(w: Weights, x: np.ndarray, fresh: np.ndarray, live: np.ndarray, h
     got, d = _log_probability(w, states, x[live], g)
     d_before = np.zeros_like(before)
     d_before.transpose(1, 0, 2)[:, live] = d
-    d_pre = np.zeros((3 * HIDDEN, *x.shape), np.float32)
-    dh = np.zeros_like(h)
+    zr, c = np.stack([t[0] for t in tape]), np.stack([t[1] for t in tape])
+    slope = 0.5 * np.square(1 - np.abs(2 * zr - 1))
+    keep, r = 1 - zr[:, :HIDDEN], zr[:, HIDDEN:]
+    # What a step's gradient is multiplied by on its way to the candidate, and to the gates.
+    to_c, to_zr = zr[:, :HIDDEN] * np.square(1 - np.abs(c)), slope
+    to_zr[:, :HIDDEN] *= c - before
+    to_zr[:, HIDDEN:] *= before
+    d_pre = np.empty((len(x), 3 * HIDDEN, x.shape[1]), np.float32)
+    back_c, back_zr, dh, open_ = np.ascontiguousarray(w["c"].T), np.ascontiguousarray(w["g"].T), np.zeros_like(h), ~fresh
+    broken = fresh.any(axis=1)
     for t in range(len(x) - 1, -1, -1):
-        zr, c = tape[t]
-        z, r, prev = zr[:HIDDEN], zr[HIDDEN:], before[t]
-        dc = dh * z * (1 - np.abs(c)) ** 2
-        d_rh = w["c"].T @ dc
-        slope = 0.5 * (1 - np.abs(2 * zr - 1)) ** 2
-        dzr = np.concatenate([dh * (c - prev), d_rh * prev]) * slope
-        g["g"] += dzr @ prev.T
-        g["c"] += dc @ (r * prev).T
-        d_pre[: 2 * HIDDEN, t], d_pre[2 * HIDDEN :, t] = dzr, dc
-        dh = (dh * (1 - z) + d_rh * r + w["g"].T @ dzr + d_before[t]) * ~fresh[t]
-    flat = x.ravel()
-    g["x"] += np.stack([np.bincount(flat, row, w["x"].shape[1]) for row in d_pre.reshape(3 * HIDDEN, -1)])
+        dzr, dc = d_pre[t, : 2 * HIDDEN], d_pre[t, 2 * HIDDEN :]
+        np.multiply(dh, to_c[t], out=dc)
+        d_rh = back_c @ dc
+        np.multiply(dh, to_zr[t, :HIDDEN], out=dzr[:HIDDEN])
+        np.multiply(d_rh, to_zr[t, HIDDEN:], out=dzr[HIDDEN:])
+        d_rh *= r[t]
+        dh = dh * keep[t]
+        dh += d_rh
+        dh += back_zr @ dzr
+        dh += d_before[t]
+        if broken[t]:
+            dh *= open_[t]
+    rows = lambda a: a.transpose(1, 0, 2).reshape(a.shape[1], -1)
+    flat, wide = x.ravel(), rows(d_pre)
+    g["g"] += wide[: 2 * HIDDEN] @ rows(before).T
+    g["c"] += wide[2 * HIDDEN :] @ rows(r * before).T
+    order = np.argsort(flat, kind="stable")
+    symbols = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+    g["x"][:, symbols[first]] = np.add.reduceat(wide[:, order], first, axis=1)
     return float(-got.mean()), g, after
 
 
@@ -174,16 +205,25 @@ def _lanes(sizes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     return lane, start
 
 
-def _grid(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and text numbers (-1: none) as (time, lanes)."""
+def _grid(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and text numbers (-1: none) as (time, lanes), and each lane's length; the longest lanes come first."""
     sizes = np.array([len(t) for t in texts])
     lane, start = _lanes(sizes, lanes)
-    shape = (int((start + sizes).max()), lanes)
-    x, owner = np.zeros(shape, np.int32), np.full(shape, -1, np.int32)
+    ends = np.zeros(lanes, np.int64)
+    np.maximum.at(ends, lane, start + sizes)
+    place = np.empty(lanes, np.int64)
+    place[np.argsort(-ends, kind="stable")] = np.arange(lanes)
+    x, owner = np.zeros((int(ends.max()), lanes), np.int32), np.full((int(ends.max()), lanes), -1, np.int32)
     for i, t in enumerate(texts):
-        x[start[i] : start[i] + len(t), lane[i]] = t
-        owner[start[i] : start[i] + len(t), lane[i]] = i
-    return x, owner
+        rows, k = slice(start[i], start[i] + len(t)), place[lane[i]]
+        x[rows, k], owner[rows, k] = t, i
+    return x, owner, -np.sort(-ends)
+
+
+def _windows(ends: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """(rows, lanes) of each window: only lanes that are not over yet take part."""
+    for s in range(0, int(ends[0]), WINDOW):
+        yield slice(s, s + WINDOW), slice(0, int((ends > s).sum()))
 
 
 def _fresh(owner: np.ndarray) -> np.ndarray:
@@ -193,48 +233,64 @@ def _fresh(owner: np.ndarray) -> np.ndarray:
 def fit_network(texts: list[np.ndarray], seed: int = 11, start: Weights | None = None, top_rate: float = 0.02) -> Weights:
     """Weights fitted to every window of symbol sequences by truncated backpropagation through time, from ``start`` if given.
 
-    Texts lie end to end in as many lanes as the longest one allows without gaps.
+    Texts lie end to end in lanes. A step is taken once as many symbols have been seen as a full window holds,
+    so the ends of long lanes count by their symbols.
     """
     w = {k: a.copy() for k, a in start.items()} if start else _start(np.random.default_rng(seed), HEAD // CLASS_WORDS)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    x, owner = _grid(texts, max(1, min(FIT_LANES, len(texts), sum(map(len, texts)) // max(map(len, texts)))))
-    fresh, step = _fresh(owner), 0
-    each = -(-len(x) // WINDOW)
+    total = sum(map(len, texts))
+    x, owner, ends = _grid(texts, min(len(texts), max(FEW_LANES, min(FIT_LANES, total // (WINDOW * LEAST_STEPS)))))
+    fresh, full, step = _fresh(owner), x.shape[1] * WINDOW, 0
+    each = -(-total // full)
     passes = -(-LEAST_STEPS // each)
     for _ in range(passes):
-        h = np.zeros((HIDDEN, x.shape[1]), np.float32)
-        for s in range(0, len(x), WINDOW):
-            rows = slice(s, s + WINDOW)
+        h, held, seen = np.zeros((HIDDEN, x.shape[1]), np.float32), None, 0
+        for rows, lanes in _windows(ends):
+            live = owner[rows, lanes] >= 0
+            _, g, h = _gradients(w, x[rows, lanes], fresh[rows, lanes], live, h[:, lanes])
+            n = int(live.sum())
+            held, seen = ({k: a * n for k, a in g.items()} if held is None else {k: held[k] + a * n for k, a in g.items()}), seen + n
+            if seen < full // 2 and rows.stop < ends[0]:
+                continue
             step += 1
-            _, g, h = _gradients(w, x[rows], fresh[rows], owner[rows] >= 0, h)
+            g = {k: a / seen for k, a in held.items()}
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            rate = top_rate * (1 - 0.9 * step / (passes * each)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = top_rate * max(0.1, 1 - 0.9 * step / (passes * each)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, a in g.items():
                 a = a * min(1.0, 1.0 / (norm + 1e-9))
                 m[k] += 0.1 * (a - m[k])
                 v[k] += 0.001 * (a * a - v[k])
                 w[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
+            held, seen = None, 0
     return w
 
 
 def network_scores(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each symbol sequence, the state carried from its first symbol to its last."""
     total, longest = sum(map(len, texts)), max(map(len, texts))
-    x, owner = _grid(texts, int(min(len(texts), LANES, max(32, total // longest))))
+    x, owner, ends = _grid(texts, int(min(len(texts), LANES, max(32, 4 * total // longest))))
     fresh, out = _fresh(owner), np.zeros(len(texts))
     h = np.zeros((HIDDEN, x.shape[1]), np.float32)
-    for s in range(0, len(x), WINDOW):
-        rows = slice(s, s + WINDOW)
-        before, h = _window(w, x[rows], fresh[rows], h)
-        live = owner[rows] >= 0
-        got, _ = _log_probability(w, before.transpose(1, 0, 2)[:, live], x[rows][live])
-        out += np.bincount(owner[rows][live], got, len(texts))
+    for rows, lanes in _windows(ends):
+        before, h = _window(w, x[rows, lanes], fresh[rows, lanes], h[:, lanes])
+        live = owner[rows, lanes] >= 0
+        got, _ = _log_probability(w, before.transpose(1, 0, 2)[:, live], x[rows, lanes][live])
+        out += np.bincount(owner[rows, lanes][live], got, len(texts))
     return out
 
 
+_TAIL_OF = [HEAD + tail_class(b) for b in range(256)]
+
+
 def _symbol(word: bytes, head: dict[bytes, int]) -> int:
     k = head.get(word)
-    return HEAD + tail_class(word[0]) if k is None else k
+    return _TAIL_OF[word[0]] if k is None else k
+
+
+def _symbols(text: str, head: dict[bytes, int]) -> np.ndarray:
+    """The symbols of a text's words and of its end."""
+    get = head.get
+    return np.array([*(_TAIL_OF[x[0]] if (k := get(x)) is None else k for x in words_of(text)), 0], np.int32)
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -281,7 +337,7 @@ def train_model(train: DataFrame, counts: DataFrame, id_col: str, text_col: str)
 
     def fitting(start: bytes, rate: float) -> object:
         def fit_block(rows: pd.DataFrame) -> pd.DataFrame:
-            own = [np.array([*(_symbol(x, head) for x in words_of(t)), 0], np.int32) for t in rows["text"].sort_values()]
+            own = [_symbols(t, head) for t in rows["text"].sort_values()]
             np.savez(held := io.BytesIO(), **fit_network(own, start=dict(np.load(io.BytesIO(start))), top_rate=rate))
             return pd.DataFrame({"part": [int(rows["block"].iloc[0]) // AVERAGED], "n": [sum(map(len, own))], "weights": [held.getvalue()]})
 
