@@ -80,19 +80,19 @@ def parse_region_descriptor(lines: DataFrame, file: str, number: str, line: str)
 def parse_materials(df: DataFrame, id_col: str, text: str, albedo: list[str], colours: list[str]) -> DataFrame:
     """(id, slots, r, g, b, a): the bound texture slots as (slot, guid), and the colour that is stated.
 
-    Slots and colours stand one to a line, with or without a list dash and a leading underscore, which
-    names do not keep. Unbound slots (file id 0) do not count. The colour is the first of ``colours``
+    Slots and colours stand one to a line, with or without a list dash; a leading underscore of a name
+    is kept, and does not matter to ``albedo`` and ``colours``. Unbound slots (file id 0) do not count. The colour is the first of ``colours``
     whose red, green and blue all lie in 0..1; there is none where textures are bound but no slot of
     ``albedo``, compared without case, is.
     """
-    slot = r"(?m)^\s*(?:- )?_?(\w+):\s*\n\s*m_Texture:\s*\{fileID:\s*(?!0[,}])-?\d+,\s*guid:\s*([0-9a-f]{32})"
+    slot = r"(?m)^\s*(?:- )?(\w+):\s*\n\s*m_Texture:\s*\{fileID:\s*(?!0[,}])-?\d+,\s*guid:\s*([0-9a-f]{32})"
     slots = F.arrays_zip(F.regexp_extract_all(text, F.lit(slot), 1).alias("slot"), F.regexp_extract_all(text, F.lit(slot), 2).alias("guid"))
     rows = df.select(F.col(id_col), F.col(text).alias("__text"), slots.alias("slots"))
     channel = lambda c, k: F.regexp_extract("__text", rf"(?m)^\s*(?:- )?_?{c.lstrip('_')}:\s*\{{[^}}]*\b{k}:\s*({NUMBER})", 1).try_cast("double")
     struct = lambda c: F.struct(*[channel(c, k).alias(k) for k in "rgba"])
     good = lambda s: reduce(lambda x, y: x & y, [s[k].between(0, 1) for k in "rgb"])
     stated = F.coalesce(*[F.when(good(struct(c)), struct(c)) for c in colours])
-    hidden = (F.size("slots") > 0) & ~F.exists("slots", lambda s: F.lower(s["slot"]).isin([a.lower().lstrip("_") for a in albedo]))
+    hidden = (F.size("slots") > 0) & ~F.exists("slots", lambda s: F.ltrim(F.lower(s["slot"]), F.lit("_")).isin([a.lower().lstrip("_") for a in albedo]))
     return rows.select(id_col, "slots", F.when(~hidden, stated).alias("c")).select(id_col, "slots", *[F.col("c")[k].alias(k) for k in "rgba"])
 
 

@@ -8,6 +8,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from stratafold.operators import objects as O
+from stratafold.operators import scalar as S
+from stratafold.sources import files as D
 from stratafold.sources import media as M
 from stratafold.sources import packages as P
 from stratafold.sources import records as R
@@ -130,3 +132,71 @@ def test_stream_keeps_ids_over_restarts(spark, tmp_path):
     stream = spark.readStream.schema("path string, guid string").parquet(data)
     again = T.stream_upsert(stream, folder, "id", "path", "guid").select(F.count("*")).first()[0]
     assert again == 3
+
+
+def test_materials_of_both_shapes(spark):
+    flat = """Material:
+  m_SavedProperties:
+    m_TexEnvs:
+      _BaseMap:
+        m_Texture: {fileID: 0}
+        m_Scale: {x: 1, y: 1}
+    m_Colors:
+      _BaseColor: {r: 0.25, g: 0.5, b: 0.75, a: 2}
+      _Glow: {r: 4, g: 0, b: 0, a: 0}
+"""
+    bound = flat.replace("m_Texture: {fileID: 0}", "m_Texture: {fileID: 2800000, guid: aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa, type: 3}")
+    mask = bound.replace("_BaseMap", "_NoiseMask")
+    listed = "  - _MainTex:\n      m_Texture: {fileID: 28, guid: bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb, type: 3}\n  - _Color: {r: 1.5, g: 0, b: 0, a: 1}\n  - _Tint: {r: 0, g: 1, b: 0, a: 1}\n"
+    df = spark.createDataFrame([(1, flat), (2, bound), (3, mask), (4, listed), (5, None)], "id long, text string")
+    got = {r["id"]: ([(s["slot"], s["guid"][0]) for s in r["slots"] or []], r["r"], r["a"]) for r in R.parse_materials(df, "id", "text", ["MainTex", "basemap"], ["BaseColor", "_Color", "_Tint"]).collect()}
+    assert got == {1: ([], 0.25, 2.0), 2: ([("_BaseMap", "a")], 0.25, 2.0), 3: ([("_NoiseMask", "a")], None, None), 4: ([("_MainTex", "b")], 0.0, 1.0), 5: ([], None, None)}
+
+
+def test_manifests_are_read(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps({"m_AssetBundleName": "first", "m_Container": {"a/b.png": {"x": 1}, "c.txt": 2}}, indent=1))
+    (tmp_path / "two.json").write_text(json.dumps({"m_AssetBundleName": "", "m_Container": {"d": None}}))
+    (tmp_path / "bad.json").write_text("{oops")
+    (tmp_path / "none.json").write_text("{}")
+    assert {(r["bundle"], r["project_path"]) for r in R.read_manifest_entries(spark, str(tmp_path)).collect()} == {("first", "a/b.png"), ("first", "c.txt"), ("two", "d")}
+    (tmp_path / "log.txt").write_text("x=1;y=2;z\nx=3")
+    assert sorted(r["match"] for r in R.scan_matches(spark, str(tmp_path / "log.txt"), r"(\w)=\d", 1, ";").collect()) == ["x", "x", "y"]
+
+
+def test_types_by_extension_header_folder(spark):
+    rows = [("a/x.prefab", None), ("Sprite/x.asset", "--- !u!213 &1"), ("Scenes/l.asset", "--- !u!999 &1"), ("Scenes/l.asset", None), ("Sprite/x.json", "{}"), ("q/x.json", "{}"), ("q/x", "?")]
+    df = spark.createDataFrame(rows, "path string, head string")
+    kind = D.infer_type("path", "head", {"prefab": "Prefab"}, {213: "Sprite"}, {"sprite": "Sprite", "scenes": "Scene"}, loose={"json": "TextAsset"})
+    assert [r[0] for r in df.select(kind).collect()] == ["Prefab", "Sprite", "SerializedAsset", "Scene", "Sprite", "TextAsset", "Other"]
+
+
+def test_hierarchy_details(spark):
+    docs = [
+        ("p", 33, 1, "  m_GameObject: {fileID: 9}\n  m_Mesh: {fileID: 43, guid: cccccccccccccccccccccccccccccccc, type: 2}\n"),
+        ("p", 23, 2, "  m_GameObject: {fileID: 9}\n  m_Materials:\n  - {fileID: 21, guid: dddddddddddddddddddddddddddddddd, type: 2}\n  - {fileID: 0}\n  - {fileID: 21, guid: eeeeeeeeeeeeeeeeeeeeeeeeeeeeeeee, type: 2}\n  m_Other: 1\n"),
+        ("p", 4, 3, "  m_GameObject: {fileID: 9}\n  m_LocalRotation: {x: 0, y: 0, z: 1, w: -0.5}\n  m_LocalPosition: {x: 1e2, y: -2, z: 3}\n"),
+    ]
+    got = {k: [tuple(r) for r in d.collect()] for k, d in R.hierarchy_details(spark.createDataFrame(docs, "path string, class_id int, file_id long, body string")).items()}
+    assert got["meshes"] == [("p", 9, "c" * 32)] and sorted(got["materials"]) == [("p", 9, 0, "d" * 32), ("p", 9, 2, "e" * 32)]
+    assert got["places"] == [("p", 3, 9, [100.0, -2.0, 3.0], [0.0, 0.0, 1.0, -0.5], [1.0, 1.0, 1.0])]
+
+
+def test_packages_keep_the_shallowest_and_loose(spark):
+    rows = [("a", "x/y/a.zip", True, 3), ("a", "x/a", False, 3), ("b", "b.zip", True, 1), ("b", "q/b", False, 2), ("c", "1/2/3/4/5/c", False, 1)]
+    df = spark.createDataFrame(rows, "name string, path string, packed boolean, size long")
+    got = {r["name"]: (r["path"], r["conflict"], r["copies"]) for r in P.resolve_packages(df, "name", "path", F.col("packed"), "size").collect()}
+    assert got == {"a": ("x/a", False, 2), "b": ("b.zip", True, 2)}
+
+
+def test_empty_files_are_added(spark, tmp_path):
+    (tmp_path / "a.TXT").write_text("hi")
+    (tmp_path / "b.png").write_bytes(b"")
+    files = D.file_inventory(spark, str(tmp_path))
+    listed = spark.createDataFrame([(f"file:{tmp_path}/{n}",) for n in ("a.TXT", "b.png")], "path string")
+    assert {(r["stem"], r["extension"], r["size"]) for r in D.with_empty_files(files, listed, "path").collect()} == {("a", "txt", 2), ("b", "png", 0)}
+
+
+def test_labels_without_hexadecimal_words(spark):
+    names = ["face_1", "feed_x", "deadbeef_1", "level4_a", "m139_b", "gem_x", "ab_c", "new_x"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(S.prefix_label("n", ["new"])).collect()
+    assert [r[0] for r in got] == ["face", "feed", None, None, None, "gem", None, None]
