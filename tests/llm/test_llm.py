@@ -197,21 +197,127 @@ def test_media_copies_are_found_and_others_left(spark):
     assert media.media_copies(odd.filter("1 = 0"), "image_id").count() == 0
 
 
-def test_pipeline_stages(spark):
+def plain_line_dedup(rows, least=10):
+    """Rows (doc_id, text, lang, source, n_chars) without lines on ``least`` sources but each one's first place."""
+    sites, first = defaultdict(set), {}
+    for i, text, _, source, _ in rows:
+        for pos, line in enumerate((text or "").split("\n") if text is not None else []):
+            if line.strip(" "):
+                sites[line.strip(" ")].add(source)
+                first[line.strip(" ")] = min(first.get(line.strip(" "), (i, pos)), (i, pos))
+    out = []
+    for i, text, lang, source, n in rows:
+        lines_ = text.split("\n")
+        kept = [x for pos, x in enumerate(lines_) if not x.strip(" ") or len(sites[x.strip(" ")]) < least or first[x.strip(" ")] == (i, pos)]
+        if len(kept) == len(lines_):
+            out.append((i, text, lang, source, n))
+        elif "".join(kept).strip(" "):
+            out.append((i, "\n".join(kept), lang, source, len("\n".join(kept))))
+    return out
+
+
+def plain_near_dedup(rows):
+    """The row of the smallest id of each group of texts whose sets of five-word shingles are alike to 0.8."""
+    sets = []
+    for r in rows:
+        w = r[1].lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    label, at = list(range(len(rows))), defaultdict(list)
+    for k, x in enumerate(sets):
+        for shingle in x:
+            at[shingle].append(k)
+    for k, x in enumerate(sets):
+        for j, both in Counter(j for shingle in x for j in at[shingle] if j < k).items():
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                old, new = max(label[k], label[j]), min(label[k], label[j])
+                label = [new if y == old else y for y in label]
+    best = {}
+    for k, r in enumerate(rows):
+        key_ = label[k] if sets[k] else -1 - k
+        best[key_] = min(best.get(key_, r), r)
+    return sorted(best.values())
+
+
+def test_pipeline_stages_equal_plain_ones(spark):
     docs_in = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs_in.columns
+    got = {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs_in, SF)
-        if name == "best_fit_packing":
-            assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in docs_in.select("doc_id").collect()}
-            break
-        assert out.columns == columns
-        if name == "minhash_near_dedup":
-            kept = {r["doc_id"] for r in out.select("doc_id").collect()}
-            want = {r["doc_id"] for r in neardup.near_duplicates(docs_in, "doc_id", "text", 5).filter("kept").collect()}
-            assert kept == want
-        docs_in = out
-    assert public_tokenizers.path("byte_bpe_50k.json") == queries.BPE
+        before, out = docs_in, stage(spark, docs_in, SF)
+        if name != "best_fit_packing":
+            assert out.columns == before.columns
+            docs_in = spark.createDataFrame(out.collect(), before.schema)
+        got[name] = (sorted(map(tuple, before.collect())), sorted(map(tuple, out.collect())))
+    before, after = got["language_id"]
+    assert set(after) <= set(before) and len(after) >= 0.99 * len(before)
+    before, after = got["line_dedup"]
+    assert after == sorted(plain_line_dedup(before))
+    before, after = got["minhash_near_dedup"]
+    assert after == plain_near_dedup(before)
+    before, after = got["best_fit_packing"]
+    lib = Tokenizer.from_file(queries.BPE)
+    assert {r[0] for r in after} == {r[0] for r in before} and sum(r[3] for r in after) == sum(len(lib.encode(r[1], add_special_tokens=False).ids) + 1 for r in before)
+
+
+def test_language_stage_rejects_letters_without_a_language(spark):
+    docs_in = spark.read.parquet(f"{SF}/documents.parquet")
+    rnd = random.Random(8)
+    junk = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9))) for _ in range(60)) for _ in range(20)]
+    rows = [(100_000 + k, t, None, "s", len(t)) for k, t in enumerate(junk)] + [(200_000, None, None, None, 0), (200_001, "", "en", "s", 0), (200_002, "123 !?", "en", "s", 6), (None, "The and of that, the and of it is the and for this.", None, None, None)]
+    out = corpus_pipeline.language_id(spark, docs_in.unionByName(spark.createDataFrame(rows, docs_in.schema)), SF).collect()
+    ids = Counter(r["doc_id"] for r in out)
+    assert not [i for i in ids if i is not None and i >= 100_000] and ids[None] == 1
+    assert len(out) >= 0.99 * docs_in.filter(F.col("text").rlike(r"\p{L}")).count()
+    few = spark.createDataFrame(rows, docs_in.schema).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, few, SF).count() == 21  # nothing is learned, so letters are enough
+    nothing = docs_in.filter("1 = 0")
+    assert [stage(spark, nothing, SF).count() for _, stage in corpus_pipeline.STAGES] == [0, 0, 0, 0]
+
+
+def test_packing_uses_few_sequences(spark):
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(1024, rng.geometric(0.004, 3000))
+    assert packing.best_two_fit(lengths, 1024).max() + 1 <= -(-lengths.sum() // 1024) * 1.01 + 1
+    df, rows = docs(spark)
+    got = packing.pack_documents(df.withColumn("sequence_id", F.lit(1)).withColumn("offset", F.lit("x")), "doc_id", "text", queries.BPE).collect()
+    lib = Tokenizer.from_file(queries.BPE)
+    want = Counter()
+    for r in rows:
+        want[r[0]] += len(lib.encode(r[1] or "", add_special_tokens=False).ids) + 1
+    held = Counter()
+    for r in got:
+        held[r["doc_id"]] += r["length"]
+    assert held == want
+    used = defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= 1024 and sorted(o for o, _ in x) == sorted(np.cumsum([0, *(n for _, n in sorted(x))])[:-1]) for x in used.values())
+
+
+def test_rows_with_gaps_and_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "s0", 0, "x"), (1, text, "s0", 0, "x"), (None, text, "s1", 0, "x"), (None, None, None, 0, "x"), (2, text + " more", "s2", 0, "x"), (3, "", "s3", 0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_shingles int, key string")
+    near = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, "doc_id", "text", 4).collect())
+    assert near == Counter({(1, 1, True): 2, (None, 1, True): 1, (None, None, True): 1, (2, 1, False): 1, (3, 3, True): 1})
+    same = spark.createDataFrame([(k, "menu\nown", f"s{k}", "h", 1) for k in range(3)] * 2, "doc_id long, text string, source string, hash string, first int")
+    got = Counter((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup_lines(same, "doc_id", "text", "source", 3).collect())
+    # Repeated rows share their places, so both rows of the first document keep their lines.
+    assert got == Counter({(0, "menu\nown", 0): 2, (1, "", 2): 2, (2, "", 2): 2})
+    vectors = spark.createDataFrame([(k, [float(k), 1.0], "x", 1.0) for k in (0, 0, 1, 2, 100)], "vec_id long, embedding array<double>, cell string, score double")
+    top = topk.top_inner_products(vectors, "vec_id", "embedding", F.col("id") % 100 == 0).collect()
+    assert Counter((r["query_id"], r["vec_id"]) for r in top) == Counter({(0, 1): 1, (0, 2): 1, (0, 100): 1, (100, 0): 1, (100, 1): 1, (100, 2): 1})
+
+
+def test_language_of_gaps(spark):
+    rows = [(k, ("le la les des une que " if k % 2 else "the and of that is was ") * 20, "fr" if k % 2 else "en", "x") for k in range(40)]
+    df = spark.createDataFrame([*rows, (None, "the and of that", None, "x"), (50, "", "en", "x"), (51, None, "fr", "x"), (52, "12 34 !", "en", "x"), rows[0]], "doc_id long, text string, lang string, score string")
+    languages, weights = langid.train_language_model(df, "doc_id", "text", "lang")
+    assert languages == ["en", "fr"]
+    got = langid.identify_language(df.drop("score"), "doc_id", "text", languages, weights).collect()
+    assert all(r["lang_pred"] == ("fr" if r["doc_id"] % 2 else "en") for r in got if r["doc_id"] is not None and r["doc_id"] < 40)
+    assert {r["doc_id"]: r["lang_pred"] for r in got if r["doc_id"] is None or r["doc_id"] >= 50} == {None: "en", 50: "und", 51: "und", 52: "und"}
+    assert len(got) == 45 and all(0 <= r["score"] <= 1 for r in got)
+    assert langid.train_language_model(df.filter("1 = 0"), "doc_id", "text", "lang") == ([], b"")
 
 
 def test_resized_turned_noisy_and_cropped_copies_are_found(spark):
