@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +97,85 @@ def vocabulary(words: DataFrame, owner: str, token: str, evidence: DataFrame, le
     known = words.groupBy(token).agg(F.count_distinct(owner).alias("n")).filter(F.col("n") >= least)
     seen = evidence.select(token).distinct().withColumn("__seen", F.lit(True))
     return known.join(seen, token, "left").select(token, "n", F.coalesce("__seen", F.lit(False)).alias("confirmed"))
+
+
+def confirmed_enums(members: DataFrame, enum: str, assembly: str, stem: str, names: DataFrame, least: int = 6) -> DataFrame:
+    """(enum, stem) of the enums of which ``least`` distinct members name something, all members of such an enum.
+
+    members: (enum, assembly, stem). Only those of the assembly with most enums count, ties to the smaller
+    name: it is the project's own. names: (stem) of what exists.
+    """
+    rows = members.select(enum, assembly, stem).distinct()
+    own = rows.groupBy(assembly).agg(F.count_distinct(enum).alias("__n")).orderBy(F.desc("__n"), assembly).limit(1).select(assembly)
+    rows = rows.join(own, assembly, "left_semi").select(enum, stem).distinct()
+    hit = rows.join(names.select(stem).distinct(), stem, "left_semi").groupBy(enum).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
+    return rows.join(hit.select(enum), enum, "left_semi")
+
+
+def merged_vocabulary(sources: list[DataFrame], key: str, display: str) -> DataFrame:
+    """(key, display, source) over tables (key, display), strongest first: the first table that has a key names it, by its smallest display."""
+    rows = reduce(DataFrame.unionByName, [d.select(key, display, F.lit(k).alias("source")) for k, d in enumerate(sources)])
+    best = F.min(F.struct("source", display))
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(best.alias("__b")).select(key, f"__b.{display}", "__b.source")
+
+
+def assemble_objects(sprites: DataFrame, declared: DataFrame, clips: DataFrame, most: int = 49) -> DataFrame:
+    """(sprite, object, part, clip): each sprite's object, whether it is a part of a whole, and the first clip that shows the object.
+
+    sprites: (sprite, name, area); declared: (sprite, marker); clips: (clip, sprite); ids are numbers.
+    Sets that are declared for two sprites at least come first. Then a sprite whose name's words open those
+    of others is their whole, if these have two kinds at least, three of a kind on average at most, none is
+    larger and one is smaller. A kind is the words behind the whole's without numbers. Then clips in order:
+    one of 2 to ``most`` sprites of which half are one object's (most of them, ties to the smaller object)
+    shows that object; else its sprites that have no object yet, two at least, become one. The rest stand alone.
+    Only clips that share sprites without an object wait for each other; each such component is one group.
+    """
+    base = sprites.select("sprite", "name", "area").dropDuplicates(["sprite"])
+    marked = declared.join(base.select("sprite"), "sprite", "left_semi").groupBy("sprite").agg(F.min("marker").alias("marker"))
+    sets = marked.groupBy("marker").agg(F.count("*").alias("n")).filter("n >= 2").select("marker")
+    home = marked.join(sets, "marker", "left_semi").select("sprite", F.concat(F.lit("set:"), "marker").alias("object"), F.lit(True).alias("part"))
+
+    parents = joins.longest_prefix_parent(base, "sprite", "name")
+    up = base.select("sprite").join(parents, "sprite", "left")
+    roots = graph.flatten_to_root(up, "sprite", "parent").filter("depth > 0").select(F.col("node").alias("sprite"), F.col("root").alias("whole"))
+    top = base.select(F.col("sprite").alias("whole"), F.size(joins.name_tokens("name")).alias("words"), F.col("area").alias("whole_area"))
+    parts = roots.join(base, "sprite").join(top, "whole")
+    kind = F.array_join(F.filter(F.slice(joins.name_tokens("name"), F.col("words") + 1, F.greatest(F.size(joins.name_tokens("name")) - F.col("words"), F.lit(0))), lambda w: ~w.rlike("^[0-9]+$")), " ")
+    parts = parts.withColumn("kind", kind)
+    g = parts.groupBy("whole").agg(F.count_distinct("kind").alias("kinds"), F.count("*").alias("n"), F.max(F.col("area") - F.col("whole_area")).alias("over"), F.min(F.col("area") - F.col("whole_area")).alias("under"))
+    good = g.filter("kinds >= 2 and n <= 3 * kinds and over <= 0 and under < 0").select("whole")
+    pairs = parts.join(good, "whole", "left_semi").select("whole", "sprite")
+    every = pairs.unionByName(pairs.select("whole", F.col("whole").alias("sprite")).distinct())
+    taken = every.join(home.select("sprite"), "sprite", "left_semi").select("whole").distinct()
+    free = every.join(taken, "whole", "left_anti").select("sprite", F.concat(F.lit("whole:"), F.col("whole").cast("string")).alias("object"), (F.col("sprite") != F.col("whole")).alias("part"))
+    home = cut(home.unionByName(free))
+
+    drawn = clips.select("clip", "sprite").distinct().join(base.select("sprite"), "sprite", "left_semi")
+    sized = drawn.groupBy("clip").agg(F.count("*").alias("drawn")).filter(F.col("drawn").between(2, most))
+    drawn = cut(drawn.join(sized, "clip").join(home.select("sprite", "object"), "sprite", "left"))
+    shared = drawn.filter("object is null").select(F.concat(F.lit("c"), F.col("clip").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("sprite").cast("string")).alias("b"))
+    component = graph.connected_components(shared, "a", "b").filter(F.startswith("node", F.lit("c"))).select(F.substr("node", F.lit(2)).cast("long").alias("clip"), "component")
+    rows = drawn.join(component, "clip", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("c"), F.col("clip").cast("string"))))
+
+    def seat(rows: pd.DataFrame) -> pd.DataFrame:
+        placed, out = {}, []
+        for clip, own in rows.sort_values(["clip", "sprite"]).groupby("clip", sort=True):
+            seats = Counter(x for s, o in zip(own["sprite"], own["object"], strict=True) if (x := o or placed.get(s)))
+            if seats:
+                best = min(seats, key=lambda o: (-seats[o], o))
+                if 2 * seats[best] >= len(own):
+                    out.append((None, best, clip))
+                    continue
+            loose = [s for s, o in zip(own["sprite"], own["object"], strict=True) if not o and s not in placed]
+            if len(loose) >= 2:
+                placed |= dict.fromkeys(loose, f"clip:{clip}")
+                out += [(s, f"clip:{clip}", clip) for s in loose]
+        got = pd.DataFrame(out, columns=["sprite", "object", "clip"])
+        return got.astype({"sprite": "Int64", "clip": "int64"})
+
+    seated = cut(rows.select("component", "clip", "sprite", "object").groupBy("component").applyInPandas(seat, "sprite long, object string, clip long"))
+    home = home.unionByName(seated.filter("sprite is not null").select("sprite", "object", F.lit(True).alias("part")))
+    shown = seated.groupBy("object").agg(F.min("clip").alias("clip"))
+    out = base.select("sprite").join(home, "sprite", "left")
+    out = out.select("sprite", F.coalesce("object", F.concat(F.lit("alone:"), F.col("sprite").cast("string"))).alias("object"), F.coalesce("part", F.lit(False)).alias("part"))
+    return out.join(shown, "object", "left").select("sprite", "object", "part", "clip")

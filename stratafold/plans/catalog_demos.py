@@ -8,11 +8,12 @@ from stratafold.operators import gates as K
 from stratafold.operators import graph as G
 from stratafold.operators import incremental as I
 from stratafold.operators import joins as J
+from stratafold.operators import objects as O
 from stratafold.operators import scalar as S
 from stratafold.operators import windows as W
 from stratafold.plans.graph_demos import EDGES, EDGES_SQL
 from stratafold.plans.job_demos import DUPLICATES_SQL, FIGURES_SQL, duplicate_rows
-from stratafold.plans.join_demos import ASOF_SQL, BOXES
+from stratafold.plans.join_demos import ASOF_SQL, BOXES, NAMES
 from stratafold.plans.registry import demo
 from stratafold.sources import files as D
 from stratafold.sources import records as R
@@ -372,3 +373,26 @@ def job16_visibility_at(t):
     keys = t.events.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("toggle"), F.col("event_id").alias("t"), (F.col("value") / 100).alias("v"))
     times = t.lineitem.groupBy(F.col("l_suppkey").alias("unit")).agg(F.max("l_orderkey").cast("long").alias("t"))
     return C.visibility_at(items, "item", "unit", "flag", "alpha", toggles, keys, times, "t").withColumn("alpha", F.round("alpha", 6))
+
+
+@demo("""WITH m AS (SELECT DISTINCT p_brand AS e, split_part(p_type, ' ', 1) AS a, split_part(p_name, ' ', 2) AS stem FROM part), o AS (SELECT a FROM m GROUP BY a ORDER BY count(DISTINCT e) DESC, a LIMIT 1), r AS (SELECT DISTINCT e, stem FROM m WHERE a = (SELECT a FROM o)),
+n AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS stem FROM part WHERE p_size <= 25), h AS (SELECT e FROM r WHERE stem IN (SELECT stem FROM n) GROUP BY e HAVING count(*) >= 2) SELECT e, stem FROM r WHERE e IN (SELECT e FROM h)""")
+def job3_confirmed_enums(t):
+    stem = F.split_part("p_name", F.lit(" "), F.lit(2)).alias("stem")
+    members = t.part.select(F.col("p_brand").alias("e"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("a"), stem)
+    return O.confirmed_enums(members, "e", "a", "stem", t.part.filter("p_size <= 25").select(stem), 2)
+
+
+@demo("""WITH v AS (SELECT c_mktsegment AS k, min(c_name) AS d, 0 AS s FROM customer WHERE c_acctbal > 9000 GROUP BY 1 UNION ALL SELECT split_part(p_name, ' ', 1), min(p_name), 1 FROM part GROUP BY 1 UNION ALL SELECT lang, min(source), 2 FROM documents GROUP BY 1)
+SELECT k, min_by(d, s) AS d, CAST(min(s) AS INTEGER) AS source FROM v GROUP BY k""")
+def job3_merged_vocabulary(t):
+    first = F.split_part("p_name", F.lit(" "), F.lit(1)).alias("k")
+    tables = [t.customer.filter("c_acctbal > 9000").select(F.col("c_mktsegment").alias("k"), F.col("c_name").alias("d")), t.part.select(first, F.col("p_name").alias("d")), t.documents.select(F.col("lang").alias("k"), F.col("source").alias("d"))]
+    return O.merged_vocabulary(tables, "k", "d")
+
+
+@demo()
+def job6_assembled_objects(t):
+    sprites = t.sql(NAMES).select(F.col("id").alias("sprite"), "name", (F.col("w") * F.col("h")).alias("area"))
+    declared = t.part.filter("p_size > 48").select(F.col("p_partkey").alias("sprite"), F.col("p_brand").alias("marker"))
+    return O.assemble_objects(sprites, declared, t.lineitem.select(F.col("l_orderkey").alias("clip"), F.col("l_partkey").alias("sprite")))

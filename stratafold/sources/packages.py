@@ -55,28 +55,39 @@ def header_words(content: str, n: int = 4) -> Column:
     return F.when(F.length(content) >= 4 * n, F.array(*[word(k) for k in range(n)]))
 
 
-def explode_archives(df: DataFrame, path: str, content: str) -> DataFrame:
+def _members(where: str, raw: bytes | None, depth: int, largest: int) -> Iterator[tuple]:
+    """Rows of one archive; those of archives inside it follow their own row, as ``archive!member``."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
+            for m in z.infolist():
+                if m.is_dir():
+                    continue
+                steps = m.filename.replace("\\", "/").split("/")
+                with z.open(m) as f:
+                    head = f.read(HEAD)
+                    inner = depth > 0 and head[:4] == b"PK\x03\x04"
+                    body = head + f.read() if inner and m.file_size <= largest else None
+                warning = f"an archive of more than {largest} bytes is not opened" if inner and body is None else None
+                yield where, m.filename, m.file_size, m.CRC, head, ".." in steps or steps[0] == "" or ":" in steps[0], warning
+                if body is not None:
+                    yield from _members(f"{where}!{m.filename}", body, depth - 1, largest)
+    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError) as e:
+        yield where, None, None, None, None, None, str(e)
+
+
+def explode_archives(df: DataFrame, path: str, content: str, nested: int = 0, largest: int = 256_000_000) -> DataFrame:
     """(path, member, size, crc, head, escapes, warning) of each file in each zip; unreadable ones give one row with a warning.
 
     A member escapes if its path is absolute or climbs out of its archive. Only the head of a member is
-    unpacked. A null content is unreadable; an archive without files gives no row.
+    unpacked, but members that are archives themselves are opened down to ``nested`` levels, unless they
+    are larger than ``largest`` bytes, which a warning tells. A null content is unreadable; an archive
+    without files gives no row.
     """
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "member", "size", "crc", "head", "escapes", "warning"]
         for b in batches:
-            out = []
-            for where, raw in zip(b["path"], b["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
-                        for m in z.infolist():
-                            if m.is_dir():
-                                continue
-                            steps = m.filename.replace("\\", "/").split("/")
-                            with z.open(m) as f:
-                                out.append((where, m.filename, m.file_size, m.CRC, f.read(HEAD), ".." in steps or steps[0] == "" or ":" in steps[0], None))
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError) as e:
-                    out.append((where, None, None, None, None, None, str(e)))
+            out = [row for where, raw in zip(b["path"], b["content"], strict=True) for row in _members(where, raw, nested, largest)]
             got = pd.DataFrame(out, columns=columns)
             yield got.astype({"size": "Int64", "crc": "Int64", "escapes": "boolean"})
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,3 +27,25 @@ def provenance(inputs: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(input, n, low, high): rows of each input, and the smallest and largest digest of its content column."""
     one = lambda name, df, c: df.agg(F.count("*").alias("n"), F.min(F.sha2(c, 256)).alias("low"), F.max(F.sha2(c, 256)).alias("high")).select(F.lit(name).alias("input"), "n", "low", "high")
     return reduce(DataFrame.unionByName, [one(name, df, c) for name, (df, c) in inputs.items()])
+
+
+def run_stages(spark: SparkSession, stages: list[tuple[str, Callable[[], object]]], code: str, log: str | None = None) -> DataFrame:
+    """(stage, place, status, seconds, error, code) of stages run one after another; ``code`` names the version that ran.
+
+    A stage that raises has failed, and those after it are skipped. With ``log`` the rows are added to the
+    Parquet table there.
+    """
+    rows, failed = [], False
+    for place, (name, stage) in enumerate(stages):
+        began, status, error = time.time(), "skipped", None
+        if not failed:
+            try:
+                stage()
+                status = "done"
+            except Exception as e:  # noqa: BLE001 - whatever a stage raises is its result
+                failed, status, error = True, "failed", f"{type(e).__name__}: {e}"[:500]
+        rows.append((name, place, status, round(time.time() - began, 3), error, code))
+    out = spark.createDataFrame(rows, "stage string, place int, status string, seconds double, error string, code string")
+    if log:
+        out.write.mode("append").parquet(log)
+    return out

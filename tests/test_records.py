@@ -200,3 +200,46 @@ def test_labels_without_hexadecimal_words(spark):
     names = ["face_1", "feed_x", "deadbeef_1", "level4_a", "m139_b", "gem_x", "ab_c", "new_x"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(S.prefix_label("n", ["new"])).collect()
     assert [r[0] for r in got] == ["face", "feed", None, None, None, "gem", None, None]
+
+
+def test_nested_archives_are_opened(spark):
+    def packed(files):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for name, body in files.items():
+                z.writestr(name, body)
+        return held.getvalue()
+
+    raw = packed({"a.txt": "hi", "in.zip": packed({"b.txt": "yo", "deep.apk": packed({"c.txt": "!"})})})
+    df = spark.createDataFrame([("x", bytearray(raw))], "path string, content binary")
+    names = lambda n, largest=10**6: [(r["path"], r["member"], r["warning"] is None) for r in P.explode_archives(df, "path", "content", n, largest).collect()]
+    assert names(0) == [("x", "a.txt", True), ("x", "in.zip", True)]
+    assert names(1) == [("x", "a.txt", True), ("x", "in.zip", True), ("x!in.zip", "b.txt", True), ("x!in.zip", "deep.apk", True)]
+    assert names(2)[-1] == ("x!in.zip!deep.apk", "c.txt", True) and names(2, 10)[-1] == ("x", "in.zip", False)
+
+
+def test_picture_hash(spark):
+    image = lambda a: (len(a), len(a[0]), 1, bytearray(bytes(x for row in a for x in row)))
+    fall, rise = [[200 - 20 * x for x in range(9)] for _ in range(8)], [[20 * x for x in range(9)] for _ in range(8)]
+    wide = [[200 - 20 * (x // 2) for x in range(18)] for _ in range(24)]
+    df = spark.createDataFrame([(1, image(fall)), (2, image(rise)), (3, image(wide)), (4, None)], "id long, image struct<height: int, width: int, nChannels: int, data: binary>")
+    assert {r["id"]: r["hash"] for r in M.difference_hash(df, "id").collect()} == {1: -1, 2: 0, 3: -1, 4: None}
+
+
+def test_stages_stop_at_a_failure(spark, tmp_path):
+    from stratafold.sources import sinks as K
+
+    got = K.run_stages(spark, [("a", lambda: 1), ("b", lambda: 1 / 0), ("c", lambda: 1)], "v1", str(tmp_path / "log")).collect()
+    assert [(r["stage"], r["status"], (r["error"] or "")[:4]) for r in got] == [("a", "done", ""), ("b", "failed", "Zero"), ("c", "skipped", "")]
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 3
+
+
+def test_objects_are_assembled(spark):
+    sprites = spark.createDataFrame([(1, "dog", 100), (2, "dog nose", 10), (3, "dog tail", 20), (4, "cube", 50), (5, "cube 1", 50), (6, "cube 2", 50), (10, "p", 1), (11, "q", 1), (12, "r", 1), (13, "s", 1), (20, "x", 1), (21, "y", 1)], "sprite long, name string, area long")
+    declared = spark.createDataFrame([(20, "A"), (21, "A"), (13, "B")], "sprite long, marker string")
+    clips = spark.createDataFrame([(100, 1), (100, 2), (100, 10), (101, 10), (101, 11), (102, 11), (102, 12), (103, 12), (103, 13), (104, 4)], "clip long, sprite long")
+    got = {r["sprite"]: (r["object"], r["part"], r["clip"]) for r in O.assemble_objects(sprites, declared, clips).collect()}
+    assert got[1] == ("whole:1", False, 100) and got[2] == got[3] == ("whole:1", True, 100)  # cubes of one kind are no parts
+    assert {got[k][0] for k in (4, 5, 6)} == {"alone:4", "alone:5", "alone:6"} and got[20] == got[21] == ("set:A", True, None)
+    # 101 takes 10 and 11; 102 then shows that object; 103 takes what is still loose.
+    assert got[10] == got[11] == ("clip:101", True, 101) and got[12] == got[13] == ("clip:103", True, 103)
