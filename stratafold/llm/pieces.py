@@ -19,6 +19,9 @@ from stratafold.llm.merging import PairTable, merge_ragged
 #: Fixed value: the marker that stands for a space in pieces.
 MARK = "▁"
 TABLE_ENTRIES = 200_000
+#: Texts on which a table is held against its model once: spaces, marks, wide, joined and odd characters, which other
+#: normalisers or prefixes than those that the table takes for granted would change.
+PROBES = ["", " ", "  a  b ", "\ta\n", "ﬁ ａ① e\u0301 ½", "▁ ▁▁a", "\u00a0\u3000\u200b", "A.B,c-1234", "\x00<s>", "😀é漢"]
 SLICE_CHARS = 2_000_000
 
 
@@ -49,6 +52,10 @@ class PieceTable:
         )
         self.word = regex.compile(f"{MARK}+[^{MARK}]*")
         self.table: dict[str, tuple[int, str, str]] = {}
+        for probe, (_, ids, text) in zip(PROBES, self.encode(PROBES), strict=True):
+            own = sp.encode(probe)
+            if ids != ",".join(map(str, own)) or text != sp.decode(own):
+                raise ValueError("this model changes texts in a way that the table of words does not know")
 
     def _learn(self, words: Iterable[str]) -> None:
         new = list(words)
