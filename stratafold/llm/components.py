@@ -1,42 +1,19 @@
-"""Connected components of undirected links, by label contraction over joins."""
+"""Connected components of undirected links, and groups without repeats."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.storage import stored
+from stratafold.operators.graph import connected_components
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of ``links`` (a, b): the smallest id it can reach.
 
-    Each round points every node at its smallest neighbour, then follows the pointers of pointers, and
-    contracts the links to what they point at; rounds grow with the logarithm of the longest chain. The
-    tables of each round are written to the shared folder. Self links, repeated links and nulls do no
-    harm; no links give no rows.
+    Self links, repeated links and nulls do no harm; no links give no rows.
     """
-    both = links.filter("a is not null and b is not null")
-    live = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    nodes = live.select(F.col("a").alias("id")).union(live.select("b")).distinct()
-    label = stored(nodes.select("id", F.col("id").alias("component")), "labels")
-    for _ in range(rounds):
-        live = live.filter("a <> b")
-        if live.isEmpty():
-            return label
-        near = live.select(F.col("b").alias("id"), F.col("a").alias("to")).union(live.select(F.col("a").alias("id"), F.col("b").alias("to")))
-        # Each node points at its smallest neighbour or itself; a second hop halves what is left of a chain.
-        point = stored(near.groupBy("id").agg(F.least("id", F.min("to")).alias("to")), "pointers")
-        second = point.select(F.col("id").alias("to"), F.col("to").alias("up"))
-        point = stored(point.join(second, "to").select("id", F.least("to", "up").alias("to")), "pointers")
-        label = stored(
-            label.join(point.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels"
-        )
-        a = point.select(F.col("id").alias("a"), F.col("to").alias("new_a"))
-        b = point.select(F.col("id").alias("b"), F.col("to").alias("new_b"))
-        moved = live.join(a, "a").join(b, "b").select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"))
-        live = stored(moved.filter("a <> b").distinct(), "links")
-    raise RuntimeError("links do not settle")
+    return connected_components(links, "a", "b").withColumnRenamed("node", "id")
 
 
 def without_repeats(groups: DataFrame, name: str) -> DataFrame:
