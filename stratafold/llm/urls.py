@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -109,12 +110,15 @@ def with_membership(rows: DataFrame, keys: Column, cascades: list[list[Level]],
     against the next ones after a table has been stored between.
     """
     shares, rows = len(cascades), rows.withColumn(name, F.lit(False))
+
+    def listed_in(k: int) -> Callable[[Column], Column]:
+        return lambda key: in_cascade(key, cascades[k]) if shares == 1 else (_share(key, shares) == k) & in_cascade(key, cascades[k])
+
     for start in range(0, shares, PLAN_CASCADES):
         if start:
             rows = stored(rows, "judged")
         for k in range(start, min(start + PLAN_CASCADES, shares)):
-            own = (lambda key: in_cascade(key, cascades[k])) if shares == 1 else (lambda key, k=k: (_share(key, shares) == k) & in_cascade(key, cascades[k]))  # noqa: B023
-            rows = rows.withColumn(name, F.col(name) | F.exists(keys, own))
+            rows = rows.withColumn(name, F.col(name) | F.exists(keys, listed_in(k)))
     return rows
 
 
