@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import langid, lines, lm, media, neardup, packing, pieces, tokens, topk, urls
+from stratafold.llm import langid, lexical, lines, lm, media, merkle, mixture, neardup, packing, pieces, tokens, topk, urls
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: The URL rules, and hosts that the method lists besides the addresses of pages whose title strings keywords together.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -81,10 +82,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in windows of 2048 ids that mirror the sources' shares of all ids."""
+    return mixture.pack_mixture(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", WORD_BPE)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in a tree of the trees of its sources; one fold of five is checked with its text tampered with."""
+    tamper = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.dataset_manifest(_table(spark, sf_dir, "documents"), "doc_id", "source", ["lang", "n_chars"], "text", tamper)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_media_copies, op2_token_counts, op3_exact_topk, op4_piece_coding, op5_best_fit_packing,
         op6_url_filter, op7_lm_scores, op8_near_duplicates, op9_line_dedup, op10_language,
+        op11_mixture_packing, op12_merkle_manifest, op13_ranked_search,
     )}
 
 
@@ -95,8 +113,55 @@ _RULE_CASES = """
   WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END"""
 
 
+def _tree_sql(leaves: str, name: str, depth: int) -> str:
+    """CTEs: levels of the trees of ``leaves`` (tree, pos, node, folded, doc, proof) of 16 children each, and each doc's node, fold and proof above them."""
+    ctes = [f"""{name}n0 AS (SELECT tree, pos, min(node) AS node, count(*) OVER (PARTITION BY tree) AS c FROM {leaves} GROUP BY tree, pos),
+{name}f0 AS (SELECT doc, tree, pos, folded, proof FROM {leaves})"""]
+    for k in range(depth):
+        n, f = f"{name}n{k}", f"{name}f{k}"
+        ctes.append(f"""{name}n{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM
+  (SELECT tree, pos // 16 AS pos, CASE WHEN any_value(c) > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE min(node) END AS node FROM {n} GROUP BY tree, pos // 16)),
+{name}f{k + 1} AS (SELECT f.doc, f.tree, f.pos // 16 AS pos,
+    CASE WHEN any_value(n.c) > 1 THEN sha256(string_agg(CASE WHEN n.pos = f.pos THEN f.folded ELSE n.node END, '' ORDER BY n.pos)) ELSE any_value(f.folded) END AS folded,
+    any_value(f.proof) || coalesce(string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos <> f.pos), '') AS proof
+  FROM {f} f JOIN {n} n ON f.tree = n.tree AND f.pos // 16 = n.pos // 16 GROUP BY f.doc, f.tree, f.pos)""")
+    return ",\n".join(ctes)
+
+
+_SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SIZED = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_SIZED.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: CRC-32 of the digits of doc_id: one step for each bit.
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [CAST(ascii(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda x, i: xor(xor(x, i) >> 1, 3988292384 * (xor(x, i) & 1))), CAST(4294967295 AS BIGINT))"""
+_MANIFEST_SQL = f"""
+WITH l AS (SELECT row_number() OVER () AS doc, doc_id, source, sha256({_LEAF} || {_SIZED.format("text")}) AS leaf,
+           CASE WHEN {_CRC} % 5 = 0 THEN sha256({_LEAF} || {_SIZED.format(_SMALL.format("text"))}) END AS changed FROM documents),
+r AS (SELECT doc, coalesce('=' || source, '-') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS node, coalesce(changed, leaf) AS folded, '' AS proof FROM l),
+{_tree_sql("r", "a", 6)},
+s AS (SELECT tree AS name, node, '*' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos FROM an6),
+t AS (SELECT f.doc, s.tree, s.pos, s.node, f.folded, f.proof FROM af6 f JOIN s ON s.name = f.tree),
+{_tree_sql("t", "b", 4)}
+SELECT doc_id, leaf, an6.node AS subroot, bn4.node AS root, sha256(proof) AS proof_sha256, bf4.folded AS folded_root, bf4.folded = bn4.node AS verified
+FROM l JOIN bf4 USING (doc) JOIN bn4 ON true JOIN an6 ON an6.tree = coalesce('=' || source, '-')"""
+_TERMS = "regexp_extract_all(" + _SMALL + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, {_TERMS.format("text")} AS terms FROM documents),
+n AS (SELECT doc, doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark),
+p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p JOIN s ON true GROUP BY term, docs),
+g AS (SELECT item_id, doc_id, doc, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN n USING (doc) JOIN s ON true GROUP BY ALL)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM g WHERE score > 0) WHERE r <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_merkle_manifest": _MANIFEST_SQL,
+        "op13_ranked_search": _SEARCH_SQL,
         "op3_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
