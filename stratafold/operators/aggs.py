@@ -22,11 +22,17 @@ def share_where(condition: Column, base: Column | None = None) -> Column:
     return F.try_divide(F.count_if(base & condition), F.count_if(base))
 
 
-def weighted_score(signals: DataFrame, group: str, score: str, weight: str, low: float = 0.30, high: float = 0.55, names: tuple = ("2d", "mixed", "3d")) -> DataFrame:
-    """(group, total, verdict): the weighted mean of a group's scores, and where it falls."""
+def weighted_score(
+    signals: DataFrame, group: str, score: str, weight: str, low: float = 0.30, high: float = 0.55, names: tuple = ("2d", "mixed", "3d"), signal: str | None = None
+) -> DataFrame:
+    """(group, total, verdict): the weighted mean of a group's scores; up to ``low`` the first name, from ``high`` the last.
+
+    With ``signal``, the column that names a group's few signals, also signals: (signal, score, weight) by name.
+    """
     total = F.try_divide(F.sum(F.col(score) * F.col(weight)), F.sum(F.when(F.col(score).isNotNull(), F.col(weight))))
-    out = signals.groupBy(group).agg(total.alias("total"))
-    return out.withColumn("verdict", F.when(F.col("total") < low, names[0]).when(F.col("total") < high, names[1]).otherwise(names[2]))
+    kept = [F.array_sort(F.collect_list(F.struct(F.col(signal).alias("signal"), F.col(score).alias("score"), F.col(weight).alias("weight")))).alias("signals")] if signal else []
+    out = signals.groupBy(group).agg(total.alias("total"), *kept)
+    return out.withColumn("verdict", F.when(F.col("total") >= high, names[2]).when(F.col("total") <= low, names[0]).when(F.col("total").isNotNull(), names[1]))
 
 
 def peer_median(df: DataFrame, build: str, metric: str, least_peers: int = 3) -> DataFrame:
@@ -110,19 +116,25 @@ def numbered_corpora(df: DataFrame, folder: str, name: str, least: int) -> DataF
     return rows.groupBy(folder, "pattern").agg(F.count("*").alias("n"), F.min(name).alias("example")).filter(F.col("n") >= least)
 
 
-def corpora(df: DataFrame, folder: str, name: str, order: str, least_group: int = 4, least_corpus: int = 12, sample: Column | None = None, heads: int = 3, most: int = 6) -> DataFrame:
-    """(pattern, folders, n, example): numbered names that share a pattern in groups of one folder, put together over folders.
+def corpora(df: DataFrame, folder: str, name: str, least_group: int = 4, least_corpus: int = 12, sample: Column | None = None, heads: int = 3, most: int = 6) -> DataFrame:
+    """(folder, extension, pattern, n, files, example, corpus): numbered names of one folder and extension that share a pattern.
 
-    A group has ``least_group`` names at least, a corpus ``least_corpus``; a corpus of which none of the
-    first ``heads`` rows, by ``order``, passes ``sample`` is left out. The ``most`` largest, ties by pattern.
+    A group has ``least_group`` names at least, and is a corpus from ``least_corpus``; files counts all of
+    its folder and extension. Groups of a folder and extension of which one of the first ``heads`` files, by
+    name, fails ``sample`` are left out. The ``most`` largest, ties by folder and pattern.
     """
     passes = F.lit(True) if sample is None else F.coalesce(sample, F.lit(False))
-    rows = df.select(F.col(folder).alias("__f"), F.col(name).alias("__n"), numbering_pattern(name).alias("pattern"), F.struct(F.col(order), F.col(name)).alias("__o"), passes.alias("__ok")).filter(F.contains("pattern", F.lit("#")))
-    groups = rows.groupBy("__f", "pattern").agg(F.count("*").alias("n"), F.min("__n").alias("example")).filter(F.col("n") >= least_group)
-    whole = groups.groupBy("pattern").agg(F.count("*").alias("folders"), F.sum("n").alias("n"), F.min("example").alias("example")).filter(F.col("n") >= least_corpus)
-    first = rows.join(groups.select("__f", "pattern"), ["__f", "pattern"], "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy("pattern").orderBy("__o"))).filter(F.col("__r") <= heads)
-    good = first.groupBy("pattern").agg(F.bool_or("__ok").alias("__ok")).filter("__ok")
-    return whole.join(good, "pattern", "left_semi").orderBy(F.desc("n"), "pattern").limit(most)
+    extension = F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
+    stem = F.regexp_replace(name, r"\.[^./]*$", "")
+    rows = df.select(F.col(folder), extension.alias("extension"), F.concat(numbering_pattern(stem), extension).alias("pattern"), F.col(name).alias("__n"), passes.alias("__ok"))
+    first = Window.partitionBy(folder, "extension").orderBy("__n")
+    heads_of = rows.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= heads).groupBy(folder, "extension").agg(F.bool_and("__ok").alias("__ok"))
+    groups = rows.groupBy(folder, "extension", "pattern").agg(F.count("*").alias("n"), F.min("__n").alias("example"))
+    files = groups.groupBy(folder, "extension").agg(F.sum("n").alias("files"))
+    sides = files.join(heads_of, [folder, "extension"]).filter("__ok").drop("__ok").withColumnsRenamed({folder: "__f", "extension": "__e"})
+    good = groups.filter((F.col("n") >= least_group) & F.contains("pattern", F.lit("#")))
+    met = good.join(sides, F.col(folder).eqNullSafe(F.col("__f")) & (F.col("extension") == F.col("__e")))
+    return met.select(folder, "extension", "pattern", "n", "files", "example", (F.col("n") >= least_corpus).alias("corpus")).orderBy(F.desc("n"), folder, "pattern").limit(most)
 
 
 def key_frequency(df: DataFrame, config: str | Column) -> DataFrame:

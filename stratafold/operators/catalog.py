@@ -30,13 +30,13 @@ def label_by_evidence(items: DataFrame, id_col: str, sources: list[tuple[str, st
 
 
 def mark_origin(assets: DataFrame, asset: str, name: str, holds: DataFrame, holder: str, held_by: str, own: str) -> DataFrame:
-    """(asset, origin, hold_count): engine if all its holders' names match ``held_by``; without holders, if its own name matches ``own``; else game.
+    """(asset, origin, hold_count): engine if it has holders whose names all match ``held_by``, or if its own name matches ``own``; else game.
 
     holds has (asset, holder), a row for each link; a holder counts once.
     """
     links = holds.select(asset, holder).distinct()
     g = links.groupBy(asset).agg(F.count("*").alias("__n"), F.bool_and(F.coalesce(F.rlike(holder, F.lit(held_by)), F.lit(False))).alias("__all"))
-    engine = F.when(F.col("__n").isNotNull(), F.col("__all")).otherwise(F.coalesce(F.rlike(name, F.lit(own)), F.lit(False)))
+    engine = F.coalesce("__all", F.lit(False)) | F.coalesce(F.rlike(name, F.lit(own)), F.lit(False))
     return assets.join(g, asset, "left").select(asset, F.when(engine, "engine").otherwise("game").alias("origin"), F.coalesce("__n", F.lit(0)).alias("hold_count"))
 
 

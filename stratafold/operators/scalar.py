@@ -66,18 +66,16 @@ def first_keyword(text: str | Column, rules: list[tuple[str, list[str]]]) -> Col
     return reduce(lambda rest, t: F.when(t[0], F.lit(t[1])).otherwise(rest), reversed(tests), F.lit(None).cast("string"))
 
 
-#: Words that number what they name, with or without digits behind them.
-NUMBERED_WORDS = ["level", "levelset", "stage", "scene", "chapter", "part", "page"]
-
-
-def prefix_label(name: str | Column, generic: list[str], seam: str = "_") -> Column:
+def prefix_label(name: str | Column, generic: list[str], numbering: list[str], seam: str = "_") -> Column:
     """The lower-case word of three letters at least before the first seam.
 
-    Null if it is generic, eight or more hexadecimal digits, a word that numbers, or a letter with digits.
+    Null if it is generic, eight or more hexadecimal digits, a letter with digits, or one of the caller's
+    words ``numbering``, which count what they name, alone or with digits behind it.
     """
     word = F.regexp_extract(F.lower(name), f"^([a-z][a-z0-9]{{2,}}){seam}", 1)
-    numbered = f"^((?:{'|'.join(NUMBERED_WORDS)})[0-9]*|[a-z][0-9]+)$"
-    return F.when((word != "") & ~word.isin(generic) & ~word.rlike("^[0-9a-f]{8,}$") & ~word.rlike(numbered), word)
+    counted = F.regexp_replace(word, "[0-9]+$", "")
+    code = word.rlike("^[0-9a-f]{8,}$") | (F.length(counted) == 1)
+    return F.when((word != "") & ~word.isin(generic) & ~code & ~counted.isin(numbering), word)
 
 
 def numbering_pattern(name: str | Column) -> Column:
@@ -214,8 +212,22 @@ def difference_bits(vector: str | Column, bits: int) -> Column:
 
 
 def position_code(name: str | Column, words: dict[str, str]) -> tuple[Column, Column]:
-    """(stem, position): words of the name without position words, and the codes of those, in order."""
-    tokens = name_tokens(name)
-    codes = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
-    stem = F.array_join(F.filter(tokens, lambda w: ~w.isin(list(words)) & ~w.rlike("^[0-9]+$")), "_")
-    return stem, F.array_join(F.transform(F.filter(tokens, lambda w: w.isin(list(words))), lambda w: codes[w]), "")
+    """(stem, position): the name's words without position words, and the code of the first of those; null without one, or without a stem.
+
+    Two neighbouring words that make a position word together, such as ``top_left`` where ``topleft`` is
+    one, count as that if the first is one by itself. Numbers at the end of the stem go; others tell names apart and stay.
+    """
+    tokens, codes = name_tokens(name), F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    known = list(words)
+    state = lambda code, stem: F.struct(code.alias("code"), stem.alias("stem"))
+
+    def step(s: Column, k: Column) -> Column:
+        word, pair = F.get(tokens, k), F.concat(F.get(tokens, k), F.coalesce(F.get(tokens, k + 1), F.lit("")))
+        code = F.when(s["code"].isNotNull(), s["code"]).when(word.isin(known) & pair.isin(known), codes[pair]).otherwise(codes[word])
+        return state(code, F.when(word.isin(known), s["stem"]).otherwise(F.array_append(s["stem"], word)))
+
+    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+    end = F.aggregate(places, state(F.lit(None).cast("string"), F.array().cast("array<string>")), step)
+    stem = F.regexp_replace(F.array_join(end["stem"], "_"), "(^|_)[0-9]+(_[0-9]+)*$", "")
+    good = end["code"].isNotNull() & (stem != "")
+    return F.when(good, stem), F.when(good, end["code"])

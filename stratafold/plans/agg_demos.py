@@ -44,6 +44,13 @@ def job1_profile(t):
     return A.weighted_score(supplier_signals(t), "s_suppkey", "score", "weight").withColumn("total", F.round("total", 6))
 
 
+@demo("""SELECT s_suppkey, (s_suppkey % 10) / 10.0 AS total, CASE WHEN s_suppkey % 10 >= 6 THEN '3d' WHEN s_suppkey % 10 <= 3 THEN '2d' ELSE 'mixed' END AS verdict, 'balance,key' AS signals FROM supplier""")
+def agg5_kept_signals(t):
+    rows = t.supplier.select("s_suppkey", F.explode(F.array(F.struct(F.lit("key").alias("signal"), (F.col("s_suppkey") % 10 / 10).alias("score"), F.lit(1.0).alias("weight")), F.struct(F.lit("balance").alias("signal"), S.ramp("s_acctbal", 0.0, 9000.0).alias("score"), F.lit(0.0).alias("weight")))).alias("s"))
+    got = A.weighted_score(rows.select("s_suppkey", "s.*"), "s_suppkey", "score", "weight", signal="signal")
+    return got.withColumn("signals", F.array_join(F.transform("signals", lambda s: s["signal"]), ","))
+
+
 @demo("""WITH m AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) SELECT a.c_nationkey, a.n, median(b.n) AS peer, round(a.n / median(b.n), 9) AS ratio FROM m a JOIN m b ON a.c_nationkey <> b.c_nationkey GROUP BY 1, 2""")
 def agg6_peer_median(t):
     counts = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n"))
@@ -122,13 +129,6 @@ def agg16_progress_curve(t):
     return A.progress_curve(t.orders, ["o_orderdate", "o_orderkey"], "o_totalprice").withColumn("mean", F.round("mean", 4))
 
 
-@demo("""SELECT p_brand, count(DISTINCT p_type) AS kinds, count(*) AS members FROM (SELECT p_brand, p_type, p_size, 50 AS whole FROM part WHERE p_size <= 50 AND p_partkey % 9 = 0) GROUP BY 1
-HAVING count(DISTINCT p_type) >= 2 AND count(*) <= 3 * count(DISTINCT p_type) AND max(p_size - whole) <= 0 AND min(p_size - whole) < 0""")
-def agg17_decomposition(t):
-    parts = t.part.filter("p_size <= 50 and p_partkey % 9 = 0").withColumn("whole", F.lit(50))
-    return A.decomposition_filter(parts, "p_brand", "p_type", "p_size", "whole")
-
-
 @demo("""SELECT part_group, count(DISTINCT p_type) AS kinds, count(*) AS members FROM (SELECT concat(p_brand, '/', CAST(p_size // 10 AS VARCHAR)) AS part_group, p_type, p_size, 50 AS whole FROM part) GROUP BY 1
 HAVING count(DISTINCT p_type) >= 2 AND count(*) <= 3 * count(DISTINCT p_type) AND max(p_size - whole) <= 0 AND min(p_size - whole) < 0""")
 def agg17_decomposition_of_all_parts(t):

@@ -239,13 +239,13 @@ def agg7_vote(t):
     return A.vote(rows, "l_suppkey", "day", "l_quantity").withColumn("share", F.round("share", 9))
 
 
-@demo("""WITH p AS (SELECT c_nationkey, regexp_replace(c_name, '[0-9]+', '#', 'g') || '/' || substr(c_mktsegment, 1, 1) || '#' AS pattern, c_name || '/' || substr(c_mktsegment, 1, 1) || '1' AS name, c_custkey, c_acctbal FROM customer),
-g AS (SELECT c_nationkey, pattern, count(*) AS n, min(name) AS example FROM p GROUP BY 1, 2 HAVING count(*) >= 4), h AS (SELECT pattern, count(*) AS folders, CAST(sum(n) AS BIGINT) AS n, min(example) AS example FROM g GROUP BY 1 HAVING sum(n) >= 12),
-f AS (SELECT p.pattern, bool_or(c_acctbal > 0) AS ok FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY c_custkey) AS r FROM p WHERE (c_nationkey, pattern) IN (SELECT (c_nationkey, pattern) FROM g)) p WHERE r <= 3 GROUP BY 1)
-SELECT h.* FROM h JOIN f USING (pattern) WHERE ok ORDER BY n DESC, pattern LIMIT 6""")
+@demo("""WITH p AS (SELECT c_nationkey, '.' || lower(substr(c_mktsegment, 1, 1)) AS extension, c_name || '.' || substr(c_mktsegment, 1, 1) AS name, c_acctbal FROM customer),
+h AS (SELECT c_nationkey, extension, bool_and(c_acctbal > -900) AS ok FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, extension ORDER BY name) AS r FROM p) WHERE r <= 3 GROUP BY 1, 2),
+g AS (SELECT c_nationkey, extension, regexp_replace(regexp_replace(name, '[.][^.]*$', ''), '[0-9]+', '#', 'g') || extension AS pattern, count(*) AS n, min(name) AS example FROM p GROUP BY ALL)
+SELECT c_nationkey, extension, pattern, n, (SELECT count(*) FROM p WHERE p.c_nationkey = g.c_nationkey AND p.extension = g.extension) AS files, example, n >= 12 AS corpus FROM g JOIN h USING (c_nationkey, extension) WHERE ok AND n >= 4 AND contains(pattern, '#') ORDER BY n DESC, c_nationkey, pattern LIMIT 60""")
 def agg13_corpora(t):
-    rows = t.customer.withColumn("name", F.concat("c_name", F.lit("/"), F.substring("c_mktsegment", 1, 1), F.lit("1")))
-    return A.corpora(rows, "c_nationkey", "name", "c_custkey", sample=F.col("c_acctbal") > 0)
+    rows = t.customer.withColumn("name", F.concat("c_name", F.lit("."), F.substring("c_mktsegment", 1, 1)))
+    return A.corpora(rows, "c_nationkey", "name", sample=F.col("c_acctbal") > -900, most=60)
 
 
 @demo(f"""WITH r AS (SELECT array_to_string(string_split({PATH_SQL}, '/')[1:2], '/') AS root, {PATH_SQL} AS p, length(html) AS s, split_part(url, ':', 1) AS k FROM pages), d AS (SELECT root, p, row_number() OVER (PARTITION BY root ORDER BY p) AS r FROM (SELECT DISTINCT root, p FROM r))
@@ -305,7 +305,7 @@ def job2_label_ladder(t):
 
 
 @demo("""WITH l AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 40), g AS (SELECT l_partkey, count(*) AS n, bool_and(regexp_matches(CAST(l_suppkey AS VARCHAR), '[0-4]$')) AS a FROM l GROUP BY 1)
-SELECT p_partkey, CASE WHEN coalesce(a, regexp_matches(p_name, '^[a-m]')) THEN 'engine' ELSE 'game' END AS origin, coalesce(n, 0) AS hold_count FROM part LEFT JOIN g ON l_partkey = p_partkey""")
+SELECT p_partkey, CASE WHEN coalesce(a, false) OR regexp_matches(p_name, '^[a-m]') THEN 'engine' ELSE 'game' END AS origin, coalesce(n, 0) AS hold_count FROM part LEFT JOIN g ON l_partkey = p_partkey""")
 def job4_mark_origin_by_holders(t):
     holds = t.lineitem.filter("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").cast("string").alias("holder"))
     return C.mark_origin(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", holds, "holder", "[0-4]$", "^[a-m]")

@@ -36,13 +36,22 @@ def grf3_nearest_label(t):
     return G.nearest_label(t.sql(EDGES), roots.unionByName(more), "k", "label", 4)
 
 
-@demo("""WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 97 + 10000000 AS b FROM orders WHERE o_orderkey % 11 = 0), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
-w(node, c) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.node) SELECT node, min(c) AS component FROM w GROUP BY node""")
+@demo("""WITH RECURSIVE p AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 97 + 10000000 AS b FROM orders), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+w(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION
+SELECT e.b, min(w.component) FROM w JOIN e ON e.a = w.node JOIN recurring.w AS r ON r.node = e.b WHERE w.component < r.component GROUP BY e.b) SELECT node, component FROM w""")
 def grf4_components(t):
-    pairs = t.orders.filter("o_orderkey % 11 = 0").select("o_custkey", (F.col("o_orderkey") % 97 + 10000000).alias("hub"))
+    pairs = t.orders.select("o_custkey", (F.col("o_orderkey") % 97 + 10000000).alias("hub"))
     return G.connected_components(pairs, "o_custkey", "hub")
 
 
+@demo("""WITH RECURSIVE p AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem WHERE l_quantity >= 48), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+w(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION
+SELECT e.b, min(w.component) FROM w JOIN e ON e.a = w.node JOIN recurring.w AS r ON r.node = e.b WHERE w.component < r.component GROUP BY e.b) SELECT node, component FROM w""")
+def grf4_components_of_large_lines(t):
+    pairs = t.lineitem.filter("l_quantity >= 48").select("l_orderkey", (-F.col("l_partkey")).alias("part"))
+    return G.connected_components(pairs, "l_orderkey", "part")
+
+
 @demo(f"""WITH RECURSIVE f AS ({FOREST_SQL}), w(node, up, depth) AS (SELECT id, coalesce(parent, id), CASE WHEN parent IS NULL THEN 0 ELSE 1 END FROM f
 UNION ALL SELECT w.node, f.parent, w.depth + 1 FROM w JOIN f ON f.id = w.up WHERE f.parent IS NOT NULL AND w.depth > 0), b AS (SELECT node, max(depth) AS depth FROM w GROUP BY node)
 SELECT w.node, w.up AS root, CAST(w.depth AS INTEGER) AS depth FROM w JOIN b ON w.node = b.node AND w.depth = b.depth""")
@@ -85,9 +94,3 @@ SELECT src, dst FROM e UNION SELECT b.src, e.dst FROM b JOIN e ON e.src = b.base
 def grf10_one_hop_closure(t):
     bases = t.nation.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("base"))
     return G.one_hop_closure(t.sql(EDGES), bases)
-
-
-@demo()
-def grf4_components_of_all_orders(t):
-    pairs = t.orders.select("o_custkey", (F.col("o_orderkey") % 97 + 10000000).alias("hub"))
-    return G.connected_components(pairs, "o_custkey", "hub")

@@ -13,11 +13,6 @@ VOCABULARY, VOCABULARY_SQL = both("""SELECT DISTINCT replace(k, ' ', '') AS key,
 FROM (SELECT p_name AS k FROM {part} GROUP BY p_name HAVING count(*) >= 30 UNION SELECT split_part(p_name, ' ', 2) FROM {part}) u""")
 BOXES, BOXES_SQL = both("""SELECT l_orderkey AS grp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS box,
  l_quantity AS x0, l_discount * 400 AS y0, l_quantity + 8 AS x1, l_discount * 400 + 8 AS y1 FROM {lineitem}""")
-TIMES_SQL = """SELECT r.entity, s.event_id AS t FROM (SELECT user_id AS entity, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id) r
-JOIN (SELECT event_id FROM events WHERE event_id % 500 = 0) s ON s.event_id BETWEEN r.lo AND r.hi"""
-#: The same rows from each user's own range of times.
-TIMES = """SELECT g.entity, g.t FROM (SELECT entity, explode(sequence(CAST(ceil(lo / 500) * 500 AS BIGINT), hi, CAST(500 AS BIGINT))) AS t
-FROM (SELECT user_id AS entity, min(event_id) AS lo, max(event_id) AS hi FROM {events} GROUP BY user_id) r WHERE ceil(lo / 500) * 500 <= hi) g JOIN {events} e ON e.event_id = g.t"""
 NEEDS, NEEDS_SQL = both("SELECT DISTINCT l_orderkey AS entry, l_partkey AS needs, CASE WHEN l_partkey % 50 = 0 THEN 0 ELSE 1 END AS shipped FROM {lineitem}")
 
 
@@ -86,12 +81,6 @@ ASOF_SQL = """SELECT w.entity, w.t, round(CASE WHEN l.t IS NULL THEN h.v WHEN h.
 FROM w ASOF LEFT JOIN k l ON w.entity = l.entity AND w.t >= l.t ASOF LEFT JOIN k h ON w.entity = h.entity AND w.t <= h.t"""
 
 
-@demo(f"WITH k AS (SELECT user_id AS entity, event_id AS t, value AS v FROM events), w AS ({TIMES_SQL}) {ASOF_SQL}")
-def jon12_asof_interpolate(t):
-    keys = t.events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("v"))
-    return J.asof_interpolate(keys, t.sql(TIMES), "entity", "t", "v").withColumn("v", F.round("v", 9))
-
-
 @demo(f"WITH k AS (SELECT user_id AS entity, event_id AS t, value AS v FROM events), w AS (SELECT o_custkey AS entity, o_orderkey AS t FROM orders WHERE o_custkey IN (SELECT user_id FROM events)) {ASOF_SQL}")
 def jon12_asof_of_all_orders(t):
     keys = t.events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("t"), F.col("value").alias("v"))

@@ -25,9 +25,9 @@ def src5_sniff_role(t):
 
 
 @demo("""SELECT p_name, p_partkey, p_size, copies, conflict FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size > 25, p_partkey) AS r, count(*) OVER (PARTITION BY p_name) AS copies,
-min(p_size) OVER (PARTITION BY p_name) < max(p_size) OVER (PARTITION BY p_name) AS conflict FROM part) WHERE r = 1""")
+min(p_size) OVER (PARTITION BY p_name) < max(p_size) OVER (PARTITION BY p_name) AS conflict FROM part WHERE p_size % 3 = 0) WHERE r = 1""")
 def src8_resolve_packages(t):
-    rows = t.part.select("p_name", "p_size", "p_partkey", F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("path"))
+    rows = t.part.select("p_name", "p_size", "p_partkey", F.concat(F.repeat(F.lit("d/"), F.col("p_size") % 3 + 1), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("path"))
     return P.resolve_packages(rows, "p_name", "path", F.col("p_size") > 25, "p_size").select("p_name", "p_partkey", "p_size", "copies", "conflict")
 
 
@@ -160,3 +160,26 @@ def str1_stream_inventory(t):
     key = F.col("c_custkey").cast("string")
     rows = stream.select(F.concat(F.lit("path/"), key).alias("rel_path"), F.concat(F.lit("g"), key).alias("guid"), F.col("c_acctbal").alias("size"))
     return T.stream_upsert(rows, f"{shared_folder(t.spark)}/inventory-{uuid.uuid4().hex}", "row_id", "rel_path", "guid").select("rel_path", "guid", "size", "row_id")
+
+
+@demo(r"""WITH l AS (SELECT l_orderkey, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q, l_partkey % 3 AS p, l_linenumber % 4 <> 3 AS tile,
+ CASE l_linenumber % 4 WHEN 0 THEN 'Shelf' WHEN 1 THEN 'Layer' || l_linenumber WHEN 2 THEN 'Paper' ELSE 'spawn' END AS name FROM lineitem),
+w AS (SELECT l_orderkey, bool_or(tile AND regexp_matches(name, '^Layer[5-9]$')) AS named, max_by(name, struct_pack(k := 1 + CAST(p <> 0 AS INTEGER), m := -n)) FILTER (tile) AS fullest FROM l GROUP BY 1),
+c AS (SELECT l.*, CASE WHEN NOT tile THEN 'group' WHEN name = 'Shelf' THEN 'shelf' WHEN CASE WHEN named THEN regexp_matches(name, '^Layer[5-9]$') ELSE name = fullest END THEN 'board' ELSE 'other' END AS kind FROM l JOIN w USING (l_orderkey)),
+v AS (SELECT l_orderkey, kind, n, q AS v FROM c UNION ALL SELECT l_orderkey, kind, n, p FROM c WHERE p <> 0),
+g AS (SELECT l_orderkey, count(*) FILTER (kind = 'board') AS item_tiles, count(DISTINCT v) FILTER (kind = 'board') AS distinct_items, count(*) FILTER (kind = 'other') AS obstacle_tiles, count(*) FILTER (kind = 'shelf') AS shelf_tiles FROM v GROUP BY 1)
+SELECT l_orderkey, count(*) AS layers, count(*) FILTER (kind = 'board') AS depth_layers, item_tiles, distinct_items, coalesce(string_agg(name, ',' ORDER BY n) FILTER (kind = 'other'), '') AS obstacle_layers, obstacle_tiles, shelf_tiles,
+ count(*) FILTER (kind = 'group') AS object_groups, count(*) AS time_limit, l_orderkey % 7 AS move_limit FROM c JOIN g USING (l_orderkey) GROUP BY ALL""")
+def src15_tilemaps(t):
+    """A map in JSON for each order, written from its lines, with properties of either shape."""
+    kind = lambda *names: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in names]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    name = kind("Shelf", F.concat(F.lit("Layer"), F.col("l_linenumber").cast("string")), "Paper", "spawn")
+    cells = F.array(F.col("l_quantity").cast("long"), F.lit(0).cast("long"), (F.col("l_partkey") % 3).cast("long"))
+    layer = F.struct(F.col("l_linenumber").alias("n"), name.alias("name"), kind("tilelayer", "tilelayer", "tilelayer", "objectgroup").alias("type"), cells.alias("data"))
+    maps = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(layer)).alias("layers"))  # an order has a few lines
+    time, moves = F.concat(F.size("layers").cast("string"), F.lit(".0")), (F.col("l_orderkey") % 7).cast("string")
+    old = F.to_json(F.struct("layers", F.struct(time.alias("Time"), moves.alias("Moves")).alias("properties")))
+    new = F.to_json(F.struct("layers", F.array(F.struct(F.lit("time").alias("name"), time.alias("value")), F.struct(F.lit("moves").alias("name"), moves.alias("value"))).alias("properties")))
+    rows = maps.select("l_orderkey", F.when(F.col("l_orderkey") % 2 == 0, old).otherwise(new).alias("text"))
+    got = R.parse_tilemaps(rows, "l_orderkey", "text", "^Layer[5-9]$", "^Shelf", {"time_limit": ["limit", "time"], "move_limit": ["moves"]})
+    return got.drop("width", "height", "shelf_types", "object_layers", "properties").withColumn("obstacle_layers", F.array_join("obstacle_layers", ","))

@@ -22,15 +22,16 @@ def src18_expand_prefixed(t):
     return t.part.select("p_partkey", R.expand_prefixed(code, ["art/", "ui/"]).alias("full_id"))
 
 
-@demo("""SELECT * FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, unnest(regexp_extract_all(html, '<li>([^<]*)</li>', 1)) AS member FROM pages) WHERE member NOT IN ('None', 'Count')""")
+@demo("""SELECT * FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, unnest(regexp_extract_all(html, '(?:href|lang)="([^"]*)"', 1)) AS member FROM pages) WHERE member NOT IN ('en', 'None')""")
 def src22_harvest_enums(t):
-    return R.harvest_members(t.pages, "page_id", "html", "<h1>([^<]*)</h1>", "<li>([^<]*)</li>", ["None", "Count"])
+    return R.harvest_members(t.pages, "page_id", "html", "<title>([^<]*)</title>", '(?:href|lang)="([^"]*)"', ["en", "None"])
 
 
-@demo("SELECT p_partkey, replace(lower(p_name), ' ', '_') AS stem, CASE p_size % 3 WHEN 0 THEN 'tl' WHEN 1 THEN 'b' ELSE '' END AS position FROM part")
+@demo("SELECT p_partkey, CASE WHEN p_size % 5 <> 3 THEN p_partkey || '_' || replace(lower(p_name), ' ', '_') END AS stem, CASE p_size % 5 WHEN 0 THEN 'tl' WHEN 1 THEN 'b' WHEN 2 THEN 'l' WHEN 4 THEN 't' END AS position FROM part")
 def prj16_position_code(t):
-    place = F.when(F.col("p_size") % 3 == 0, " top left ").when(F.col("p_size") % 3 == 1, " bottom ").otherwise(" ")
-    stem, position = S.position_code(F.concat("p_name", place, F.col("p_size").cast("string")), {"top": "t", "left": "l", "bottom": "b"})
+    place = F.element_at(F.array(*map(F.lit, (" top left ", " bottom ", " left top ", " ", " top bottom left "))), (F.col("p_size") % 5 + 1).cast("int"))
+    name = F.concat(F.col("p_partkey").cast("string"), F.lit(" "), "p_name", place, F.col("p_size").cast("string"))
+    stem, position = S.position_code(name, {"top": "t", "left": "l", "bottom": "b", "topleft": "tl"})
     return t.part.select("p_partkey", stem.alias("stem"), position.alias("position"))
 
 

@@ -76,9 +76,9 @@ def prj5_first_keyword(t):
 
 
 @demo("""WITH w AS (SELECT p_partkey, regexp_extract(lower(p_name), '^([a-z][a-z0-9]{2,}) ', 1) AS w FROM part)
-SELECT p_partkey, CASE WHEN w <> '' AND w NOT IN ('the', 'new') AND NOT regexp_matches(w, '^[0-9a-f]{8,}$') AND NOT regexp_matches(w, '^((level|levelset|stage|scene|chapter|part|page)[0-9]*|[a-z][0-9]+)$') THEN w END AS label FROM w""")
+SELECT p_partkey, CASE WHEN w <> '' AND w NOT IN ('the', 'new') AND NOT regexp_matches(w, '^[0-9a-f]{8,}$') AND NOT regexp_matches(w, '^((lot|small)[0-9]*|[a-z][0-9]+)$') THEN w END AS label FROM w""")
 def prj6_prefix_label(t):
-    return t.part.select("p_partkey", S.prefix_label("p_name", ["the", "new"], " ").alias("label"))
+    return t.part.select("p_partkey", S.prefix_label("p_name", ["the", "new"], ["lot", "small"], " ").alias("label"))
 
 
 @demo("SELECT c_custkey, regexp_replace(c_name, '[0-9]+', '#', 'g') AS pattern FROM customer")

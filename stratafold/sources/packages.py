@@ -96,14 +96,15 @@ def explode_archives(df: DataFrame, path: str, content: str, nested: int = 0, la
 
 
 def resolve_packages(df: DataFrame, name: str, path: str, container: Column, size: str, deepest: int = 4) -> DataFrame:
-    """One row for each package name: of the shallowest folder level, a loose copy before one in a container, then by path.
+    """One row for each package name of a tree: a loose copy before one in a container, then by path.
 
-    conflict tells whether the copies of a name differ in size. Paths below ``deepest`` folders do not count.
+    Only the shallowest folder level that holds any package is read; deeper ones are copies put aside. Levels
+    are numbered from 0, and only the first ``deepest`` ones count. conflict tells whether the copies of a name differ in size.
     """
-    depth = F.size(F.split(path, "/")) - 1
-    rows = df.withColumn("__depth", depth).filter(F.col("__depth") <= deepest).withColumn("__in", container)
+    deep = df.withColumn("__depth", F.size(F.split(path, "/")) - 1).filter(F.col("__depth") < deepest)
+    rows = deep.filter(F.col("__depth") == deep.agg(F.min("__depth")).first()[0]).withColumn("__in", container)
     sizes = rows.groupBy(name).agg((F.min(size) < F.max(size)).alias("conflict"), F.count("*").alias("copies"))
-    order = Window.partitionBy(name).orderBy("__depth", "__in", path)
+    order = Window.partitionBy(name).orderBy("__in", path)
     best = rows.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__depth", "__in")
     return best.join(sizes, name)
 

@@ -13,24 +13,62 @@ NUMBER = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
 NODE, TRANSFORMS, RENDERERS, LEVELS_OF_DETAIL = 1, (4, 224), (23, 137, 212), 205
 
 
-def parse_tilemaps(df: DataFrame, id_col: str, text: str, board: str, limits: list[str]) -> DataFrame:
-    """(id, width, height, layers, board, tiles, limit) of each map in JSON; maps that do not parse are left out.
-
-    The board is the layer with most filled cells among those named like ``board``, else among all.
-    Properties are an object or a list of names with values; limit is the first of ``limits``, in any
-    letter case, that reads as a whole number.
+def parse_tilemaps(df: DataFrame, id_col: str, text: str, board: str, shelf: str, limits: dict[str, list[str]]) -> DataFrame:
+    """One row of counts for each map in JSON that is an object; texts that are none are left out.
+
+    Of the layers of type ``tilelayer``, those whose name matches ``shelf`` are shelves; those that match
+    ``board`` are the board, or if none does, those named like the first fullest one; the rest are obstacles.
+    Empty cells (0, null) do not count. Layers of other types are groups of objects. Columns:
+    width, height, layers, depth_layers (of the board), item_tiles and distinct_items (on the board),
+    obstacle_layers (names, in order), obstacle_tiles, shelf_tiles, shelf_types (distinct tiles of the last shelf),
+    object_layers (distinct names, in order), object_groups, properties, and a column for each of ``limits``.
+
+    Properties of the layers and then the map's own, an object or a list of names with values, are put
+    together; of equal names the last counts. A limit is the first of its keys, in any letter case, that reads as a number, cut to an integer.
     """
-    schema = "width int, height int, layers array<struct<name: string, data: array<long>>>, properties string"
-    rows = df.select(F.col(id_col).alias("id"), F.from_json(text, schema).alias("m")).filter("m.layers is not null").select("id", "m.*")
-    counted = F.transform("layers", lambda x: F.struct(F.size(F.filter(F.coalesce(x["data"], F.array().cast("array<long>")), lambda c: c != 0)).alias("tiles"), x["name"].alias("name")))
-    named = F.filter(counted, lambda x: F.rlike(x["name"], F.lit(board)))
-    best = F.array_max(F.when(F.size(named) > 0, named).otherwise(counted))
-    listed = F.map_from_entries(F.from_json("properties", "array<struct<name: string, value: string>>"))
-    mapped = F.when(F.startswith(F.ltrim("properties"), F.lit("[")), listed).otherwise(F.from_json("properties", "map<string, string>"))
-    entries = F.transform(F.map_entries(mapped), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].try_cast("int").alias("value")))
-    one = lambda k: F.get(F.filter(entries, lambda e: (e["key"] == k.lower()) & e["value"].isNotNull()), F.lit(0))["value"]
-    limit = F.coalesce(*[one(k) for k in limits]) if limits else F.lit(None).cast("int")
-    return rows.select(F.col("id").alias(id_col), "width", "height", F.size("layers").alias("layers"), best["name"].alias("board"), best["tiles"].alias("tiles"), limit.alias("limit"))
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+
+    def entries(owner: Column) -> Column:
+        mapped = F.transform(F.map_entries(get(owner, "$.properties", "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+        listed = F.transform(get(owner, "$.properties", "array<variant>"), lambda p: F.struct(get(p, "$.name", "string").alias("key"), get(p, "$.value", "string").alias("value")))
+        return F.coalesce(mapped, listed, empty("struct<key:string,value:string>"))
+
+    def layer(x: Column) -> Column:
+        cells = F.filter(F.coalesce(get(x, "$.data", "array<bigint>"), empty("bigint")), lambda c: c != 0)
+        return F.struct(F.coalesce(get(x, "$.name", "string"), F.lit("")).alias("name"), get(x, "$.type", "string").eqNullSafe(F.lit("tilelayer")).alias("tile"), cells.alias("cells"), entries(x).alias("own"))
+
+    rows = df.select(F.col(id_col), F.try_parse_json(text).alias("m")).filter(F.startswith(F.schema_of_variant("m"), F.lit("OBJECT")))
+    rows = rows.select(id_col, get("m", "$.width", "int").alias("width"), get("m", "$.height", "int").alias("height"), F.coalesce(get("m", "$.layers", "array<variant>"), empty("variant")).alias("ls"), entries(F.col("m")).alias("own"))
+    rows = rows.withColumn("ls", F.transform("ls", layer)).withColumn("tiled", F.filter("ls", lambda x: x["tile"]))
+    # The first fullest layer: the largest size, then the smallest place.
+    fullest = F.array_max(F.transform("tiled", lambda x, k: F.struct(F.size(x["cells"]).alias("n"), (-k).alias("k"), x["name"].alias("name"))))["name"]
+    rows = rows.withColumn("named", F.exists("tiled", lambda x: F.rlike(x["name"], F.lit(board)))).withColumn("fullest", fullest)
+    zero = F.lit(0)
+    start = F.struct(zero.alias("depth_layers"), zero.alias("item_tiles"), empty("bigint").alias("items"), empty("string").alias("obstacle_layers"), zero.alias("obstacle_tiles"), zero.alias("shelf_tiles"), zero.alias("shelf_types"), empty("string").alias("object_layers"), zero.alias("object_groups"))
+
+    def count(s: Column, x: Column) -> Column:
+        n = F.size(x["cells"])
+        on_shelf = x["tile"] & F.rlike(x["name"], F.lit(shelf))
+        on_board = x["tile"] & ~on_shelf & F.when(F.col("named"), F.rlike(x["name"], F.lit(board))).otherwise(x["name"] == F.col("fullest"))
+        other, group = x["tile"] & ~on_shelf & ~on_board, ~x["tile"]
+        more = lambda name, when, by: (s[name] + F.when(when, by).otherwise(zero)).alias(name)
+        return F.struct(
+            more("depth_layers", on_board, F.lit(1)), more("item_tiles", on_board, n), F.when(on_board, F.array_union(s["items"], x["cells"])).otherwise(s["items"]).alias("items"),
+            F.when(other, F.array_append(s["obstacle_layers"], x["name"])).otherwise(s["obstacle_layers"]).alias("obstacle_layers"), more("obstacle_tiles", other, n), more("shelf_tiles", on_shelf, n),
+            F.when(on_shelf, F.size(F.array_distinct(x["cells"]))).otherwise(s["shelf_types"]).alias("shelf_types"),
+            F.when(group & (x["name"] != ""), F.array_union(s["object_layers"], F.array(x["name"]))).otherwise(s["object_layers"]).alias("object_layers"), more("object_groups", group, F.lit(1)),
+        )
+
+    rows = rows.withColumn("s", F.aggregate("ls", start, count)).withColumn("all", F.concat(F.flatten(F.transform("ls", lambda x: x["own"])), "own")).withColumn("all", F.filter("all", lambda e: e["key"].isNotNull()))
+    last = F.filter("all", lambda e, k: ~F.exists(F.slice("all", k + 2, F.size("all")), lambda o: o["key"] == e["key"]))
+    numeric = lambda e: F.coalesce(e["value"].try_cast("double"), e["value"].try_cast("boolean").cast("double"))
+    keyed = lambda k: F.try_element_at(F.filter("all", lambda e: F.lower(e["key"]) == k.lower()), F.lit(-1))
+    limit = lambda keys: F.coalesce(*[numeric(keyed(k)).try_cast("int") for k in keys]) if keys else F.lit(None).cast("int")
+    counts = [F.col("s")[c].alias(c) for c in ("depth_layers", "item_tiles", "obstacle_layers", "obstacle_tiles", "shelf_tiles", "shelf_types", "object_layers", "object_groups")]
+    return rows.select(
+        id_col, "width", "height", F.size("ls").alias("layers"), *counts, F.size(F.col("s")["items"]).alias("distinct_items"), F.map_from_entries(last).alias("properties"), *[limit(keys).alias(name) for name, keys in limits.items()]
+    )
 
 
 def fit_schema(samples: DataFrame, candidates: DataFrame, hint: str = "", least: float = 0.9) -> DataFrame:
@@ -106,7 +144,7 @@ def hierarchy_tables(docs: DataFrame) -> dict[str, DataFrame]:
     nodes = docs.filter(F.col("class_id") == NODE).select("path", F.col("file_id").alias("node"), field("m_Name").alias("name"), (field("m_IsActive") != "0").alias("active"))
     transforms = docs.filter(F.col("class_id").isin(*TRANSFORMS)).select("path", F.col("file_id").alias("transform"), ref("m_GameObject").alias("node"), ref("m_Father").alias("parent"))
     # Each "renderers:" list of a detail document is one level; the first is the finest.
-    levels = docs.filter(F.col("class_id") == LEVELS_OF_DETAIL).select("path", F.posexplode(F.slice(F.split("body", "renderers:"), 2, 1000)).alias("level", "list"))
+    levels = docs.filter(F.col("class_id") == LEVELS_OF_DETAIL).select("path", F.posexplode(F.slice(F.split("body", "renderers:"), F.lit(2), F.size(F.split("body", "renderers:")))).alias("level", "list"))
     lower = levels.select("path", "level", F.explode(F.regexp_extract_all("list", F.lit(r"renderer: \{fileID: (-?\d+)"), 1)).alias("renderer"))
     shown = lower.groupBy("path", F.col("renderer").cast("long").alias("renderer")).agg(F.min("level").alias("level")).filter("level > 0")
     renderers = docs.filter(F.col("class_id").isin(*RENDERERS)).select("path", F.col("file_id").alias("renderer"), ref("m_GameObject").alias("node"))

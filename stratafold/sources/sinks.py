@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 def write_catalogue(tables: dict[str, DataFrame], folder: str, build: str = "build_id") -> None:
     """Each table as Parquet below ``folder``, by build; only the builds that a table holds are replaced."""
     for name, df in tables.items():
-        # Rows of a build meet before the write, so that a build has few files; a large build takes several tasks.
-        dealt = df.repartition(F.col(build), F.pmod(F.xxhash64(*[c for c in df.columns if c != build]), F.lit(16)))
+        # Rows of a build meet before the write; adaptive execution splits large builds and joins small ones by their bytes.
+        dealt = df.sparkSession.sql(f"SELECT /*+ REBALANCE(`{build}`) */ * FROM {{df}}", df=df)
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(build).parquet(f"{folder}/{name}")
 
 

@@ -43,11 +43,29 @@ def test_text_of_older_encodings(spark):
 
 
 def test_tilemaps(spark):
-    a = {"width": 2, "height": 2, "layers": [{"name": "deco", "data": [1, 1, 1, 1]}, {"name": "Board", "data": [0, 1, 0, 2]}], "properties": [{"name": "Moves", "value": "20"}]}
-    b = {"width": 1, "height": 1, "layers": [{"name": "x", "data": [0]}, {"name": "y", "data": [3]}], "properties": {"time": "soon", "moves": 7}}
-    df = spark.createDataFrame([(1, json.dumps(a)), (2, json.dumps(b)), (3, "no"), (4, None)], "id long, text string")
-    got = {r["id"]: (r["layers"], r["board"], r["tiles"], r["limit"]) for r in R.parse_tilemaps(df, "id", "text", "(?i)board", ["time", "moves"]).collect()}
-    assert got == {1: (2, "Board", 2, 20), 2: (2, "y", 1, 7)}
+    tile = lambda name, *data, **more: {"type": "tilelayer", "name": name, "data": list(data), **more}
+    several = {
+        "width": 2, "height": 2, "properties": [{"name": "MaxMoves", "value": "20"}, {"name": "Time", "value": "12.0"}],
+        "layers": [
+            tile("Layer1", 5, 0, None, 7), tile("Layer2", 7, 7, 0, 0), tile("Paper", 1, 0), tile("Shelf", 3, 3, 4), tile("Shelf_b", 9, 9),
+            {"type": "objectgroup", "name": "Spawner"}, {"type": "objectgroup", "name": "Spawner"}, {"type": "objectgroup"}, {"type": "imagelayer", "name": "Back", "properties": {"time": 3, "Wind": True}},
+        ],
+    }
+    fullest = {"width": 1, "layers": [tile("x", 0), tile("y", 3, 1), tile("z", 3, 4), tile("y", 8)], "properties": {"time": "soon", "duration": 7.9, "moves": 7}}
+    texts = [json.dumps(several), json.dumps(fullest), "no", None, "[1]", "{}", json.dumps({"layers": [tile("Grid", 1), {"type": "tilelayer"}]})]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    limits = {"time_limit": ["time", "duration"], "move_limit": ["maxmoves", "moves"]}
+    got = {r["id"]: r.asDict() for r in R.parse_tilemaps(df, "id", "text", r"(?i)^(layer\d*|grid)$", "(?i)^shelf", limits).collect()}
+    assert sorted(got) == [0, 1, 5, 6]
+    one = {k: v for k, v in got[0].items() if k not in ("id", "properties")}
+    assert one == {
+        "width": 2, "height": 2, "layers": 9, "depth_layers": 2, "item_tiles": 4, "distinct_items": 2, "obstacle_layers": ["Paper"], "obstacle_tiles": 1, "shelf_tiles": 5, "shelf_types": 1,
+        "object_layers": ["Spawner", "Back"], "object_groups": 4, "time_limit": 12, "move_limit": 20,
+    }
+    assert got[0]["properties"] == {"time": "3", "Wind": "true", "MaxMoves": "20", "Time": "12.0"} or got[0]["properties"]["Time"] in ("12", "12.0")
+    assert (got[1]["depth_layers"], got[1]["item_tiles"], got[1]["obstacle_layers"], got[1]["time_limit"], got[1]["move_limit"], got[1]["height"]) == (2, 3, ["x", "z"], 7, 7, None)
+    assert (got[5]["layers"], got[5]["depth_layers"], got[5]["time_limit"]) == (0, 0, None)
+    assert (got[6]["depth_layers"], got[6]["item_tiles"], got[6]["obstacle_layers"]) == (1, 1, [""])
 
 
 def test_region_descriptors(spark):
@@ -182,10 +200,12 @@ def test_hierarchy_details(spark):
 
 
 def test_packages_keep_the_shallowest_and_loose(spark):
-    rows = [("a", "x/y/a.zip", True, 3), ("a", "x/a", False, 3), ("b", "b.zip", True, 1), ("b", "q/b", False, 2), ("c", "1/2/3/4/5/c", False, 1)]
-    df = spark.createDataFrame(rows, "name string, path string, packed boolean, size long")
-    got = {r["name"]: (r["path"], r["conflict"], r["copies"]) for r in P.resolve_packages(df, "name", "path", F.col("packed"), "size").collect()}
-    assert got == {"a": ("x/a", False, 2), "b": ("b.zip", True, 2)}
+    rows = [("a", "x/a.zip", True, 3), ("a", "x/a", False, 3), ("b", "y/b.zip", True, 1), ("b", "z/b", False, 2), ("b", "z/b2", False, 2), ("d", "x/y/d", False, 1), ("c", "1/2/3/4/5/c", False, 1)]
+    found = lambda rows: {r["name"]: (r["path"], r["conflict"], r["copies"]) for r in P.resolve_packages(spark.createDataFrame(rows, "name string, path string, packed boolean, size long"), "name", "path", F.col("packed"), "size").collect()}
+    # The first level that holds anything is read alone, and only four levels are looked at.
+    assert found(rows) == {"a": ("x/a", False, 2), "b": ("z/b", True, 3)}
+    assert found([("base", "base.apk", False, 1), *rows]) == {"base": ("base.apk", False, 1)}
+    assert found(rows[-2:]) == {"d": ("x/y/d", False, 1)} and found(rows[-1:]) == {}
 
 
 def test_empty_files_are_added(spark, tmp_path):

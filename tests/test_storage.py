@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 
 from stratafold.operators import storage
-from stratafold.plans import registry
+from stratafold.plans import catalogue, registry
 
 
 def test_a_cluster_needs_a_shared_folder():
@@ -23,6 +23,6 @@ def test_stored_tables_are_deleted(spark):
 
 
 def test_query_names_are_unique():
-    name = next(iter(registry.QUERIES))
+    name = next(iter(catalogue.queries()))
     with pytest.raises(ValueError, match=name):
         registry.demo()(SimpleNamespace(__name__=name))
