@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import functools
-import gc
+import itertools
 import json
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.llm.merging import PairTable, merge_ragged
 from stratafold.llm.storage import stored
+from stratafold.llm.tokens import byte_letters
 
 #: Tokens that a queue gives at a time; a window's share of a source is right to within one such unit, and what is owed is carried on.
 UNIT = 64
@@ -24,63 +26,103 @@ UNIT = 64
 ROUNDS, SEGMENT = 1024, 1 << 18
 #: Weights are whole numbers that add up to about this.
 SCALE = 1 << 20
-#: Distinct chunks that a worker's table keeps before it starts anew, and characters that are looked up at once.
-TABLE_ENTRIES, SLICE_CHARS = 400_000, 2_000_000
-
-
-class ChunkTable:
-    """Ids of whole texts by the tokenizers library, which is asked once for each distinct chunk.
-
-    Chunks lie between spaces and line ends. That is exact for vocabularies whose pre-tokens hold no
-    white space, which texts with a double space and a line end are probed for at the start.
+#: Bytes of text that a task takes apart at once; a longer text is taken whole.
+SLICE_BYTES = 6_000_000
+#: Chunks of composed Latin letters with one small letter each, with a comma or a stop or without.
+LATIN = "^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[,.]?$"
+#: Texts that tell whether words are merged as the library does it.
+PROBES = ["The quick Brown fox's jumping, over. Ärger ÉTÉ straße naïveté, don't zzxqj a I antidisestablishmentarianism.", "ŒUVRE ﬁn Σίσυφος İstanbul x2, Ǆ ŉ a,. b.. .c", "", "é"]
+
+
+class WordVocabulary:
+    """Ids of whole texts as the tokenizers library gives them, found once for each distinct chunk of some texts.
+
+    Chunks lie between spaces and line ends. That is exact for vocabularies whose pre-tokens hold no white
+    space, which texts with a double space and a line end are probed for at the start. Chunks of Latin
+    letters, with a comma or a stop behind them or not, are single words to such vocabularies; if these end
+    words with a suffix, the lower-case words are merged together in one ragged array, which is probed
+    against the library too. All other chunks are asked of the library.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.breaks = re.compile("[ \n]")
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
-            specials = [t["content"] for t in json.load(f)["added_tokens"]]
-        for probe in ("One  two\nthree's 4 .", *(f"a {s}b\n{s} {s}" for s in specials)):
-            whole = self.library.encode(probe, add_special_tokens=False).ids
-            if any(" " in s or "\n" in s for s in specials) or next(iter(self.encode([probe]))) != self._packed(whole):
-                raise ValueError("this vocabulary has tokens across spaces")
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def _slice(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.chunks) > TABLE_ENTRIES:
-            self.chunks = {"": b""}
-        parts = [self.breaks.split(t) for t in texts]
-        new = list({c for p in parts for c in p if c not in self.chunks})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            self.chunks.update(zip(some, [self._packed(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False)], strict=True))
-        for p in parts:
-            yield b"".join(map(self.chunks.__getitem__, p))
-
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned integers of ``width`` bytes."""
-        held: list[str] = []
-        size = 0
-        for t in texts:
-            held.append(t)
-            size += len(t)
-            if size >= SLICE_CHARS:
-                yield from self._slice(held)
-                held, size = [], 0
-        yield from self._slice(held)
+            spec = json.load(f)
+        specials = [t["content"] for t in spec["added_tokens"]]
+        self.pairs = self._word_pairs(spec["model"])
+        self.stops = [self.library.encode(c, add_special_tokens=False).ids for c in ",."]
+        probes = ["One  two\nthree's 4 .", *(f"a {s}b\n{s} {s}" for s in specials), *PROBES]
+        ids, lengths = self.encode(pa.array(probes))
+        whole = [self.library.encode(p, add_special_tokens=False).ids for p in probes]
+        if any(" " in s or "\n" in s for s in specials) or ids.tolist() != sum(whole, []) or lengths.tolist() != list(map(len, whole)):
+            raise ValueError("this vocabulary has tokens across spaces, or words of another form")
+
+    def _word_pairs(self, model: dict) -> PairTable | None:
+        """The merges of words whose last symbol carries the model's suffix; None where it has no suffix."""
+        vocab, end = model["vocab"], model.get("end_of_word_suffix")
+        if not end:
+            return None
+        letters = byte_letters()
+        self.inner, self.last = (np.array([vocab[c + s] for c in letters], np.int64) for s in ("", end))
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        return PairTable([(vocab[a], vocab[b], r, vocab[a + b]) for r, (a, b) in enumerate(pairs)])
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each of the distinct lower-case words."""
+        edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        held = np.frombuffer(words.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        lengths, ends = np.diff(edges).astype(np.int64), edges[1:] - edges[0]
+        symbols = self.inner[held]
+        symbols[ends - 1] = self.last[held[ends - 1]]
+        return merge_ragged(symbols, lengths, self.pairs)
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each of the distinct chunks."""
+        plain = pc.match_substring_regex(chunks, LATIN).to_numpy(zero_copy_only=False) if self.pairs else np.zeros(len(chunks), bool)
+        words = chunks.filter(pa.array(plain))
+        stop = np.full(len(words), -1)
+        for k, c in enumerate(",."):
+            stop[pc.ends_with(words, c).to_numpy(zero_copy_only=False)] = k
+        some = pc.utf8_lower(pc.utf8_rtrim(words, ",.")).dictionary_encode()
+        ids, counts = self._words(some.dictionary) if len(words) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        which = some.indices.to_numpy(zero_copy_only=False)
+        # Words, then the two stops, are parts of chunks; the library's chunks follow.
+        asked = [e.ids for e in self.library.encode_batch_fast(chunks.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        parts = np.concatenate([ids, *map(np.array, self.stops), np.array(sum(asked, []) if len(asked) < 100 else list(itertools.chain.from_iterable(asked)))]).astype(np.int64)
+        sizes = np.concatenate([counts, [len(s) for s in self.stops], np.fromiter(map(len, asked), np.int64, len(asked))]).astype(np.int64)
+        n = len(counts)
+        first, second = np.empty(len(chunks), np.int64), np.full(len(chunks), -1)
+        first[plain], first[~plain] = which, n + 2 + np.arange(len(asked))
+        second[plain] = np.where(stop >= 0, n + stop, -1)
+        order = np.stack([first, second], 1).ravel()
+        order, own = order[order >= 0], np.repeat(np.arange(len(chunks)), 1 + (second >= 0))
+        return ragged(parts, sizes, order), np.bincount(own, sizes[order], len(chunks)).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and the number of each text's ids."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids, sizes = self._chunks(coded.dictionary)
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        before = np.r_[0, np.cumsum(sizes[which])]
+        return ragged(ids, sizes, which).astype(self.kind), np.diff(np.r_[0, before[ends]])
+
+
+def ragged(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The rows ``which`` of ragged ``values`` with rows of ``sizes``, one after the other."""
+    n = sizes[which]
+    starts = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n)
+    return values[np.repeat(starts, n) + np.arange(n.sum())]
 
 
 @functools.cache
-def chunk_table(path: str) -> ChunkTable:
+def word_vocabulary(path: str) -> WordVocabulary:
     """The vocabulary at ``path``, read once by each Python worker."""
-    gc.set_threshold(200_000, 20, 100)
-    return ChunkTable(path)
+    return WordVocabulary(path)
 
 
 def queued_tokens(df: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str, end_id: int, segment: int = SEGMENT) -> DataFrame:
@@ -88,24 +130,34 @@ def queued_tokens(df: DataFrame, id_col: str, text_col: str, source_col: str, vo
 
     A queue is a source, with a mark so that a null source has one of its own. Each task is a block
     and cuts each of its queues into cells of about ``segment`` ids; ``at`` counts the ids before a
-    document in its cell. ``ids`` has 2 or 4 bytes for each id.
+    document in its cell. ``id`` is a string; ``ids`` has 2 or 4 bytes for each id.
     """
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
     names = ["queue", "block", "cell", "at", "id", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, block = chunk_table(vocabulary), TaskContext.get().partitionId()
-        end = np.array([end_id], f"<u{table.width}").tobytes()
+        words, block = word_vocabulary(vocabulary), TaskContext.get().partitionId()
         filled: dict[str, tuple[int, int]] = {}
         for b in batches:
-            rows = []
-            for queue, doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), table.encode(b.column(2).to_pylist()), strict=True):
-                cell, at = filled.get(queue, (0, 0))
-                rows.append((queue, block, cell, at, doc, ids + end))
-                at += len(rows[-1][5]) // table.width
-                filled[queue] = (cell, at) if at < segment else (cell + 1, 0)
-            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+            edges = np.unique(np.r_[0, np.searchsorted(size, np.arange(SLICE_BYTES, size[-1] if len(size) else 0, SLICE_BYTES)), b.num_rows])
+            for start, stop in itertools.pairwise(edges.tolist()):
+                part = b.slice(start, stop - start)
+                ids, lengths = words.encode(part.column(2))
+                ends = np.cumsum(lengths + 1)
+                whole = np.empty(ends[-1], ids.dtype)
+                last = np.zeros(len(whole), bool)
+                last[ends - 1] = True
+                whole[last], whole[~last] = end_id, ids
+                cells, at = [], []
+                for queue, n in zip(part.column(0).to_pylist(), (lengths + 1).tolist(), strict=True):
+                    cell, before = filled.get(queue, (0, 0))
+                    cells.append(cell)
+                    at.append(before)
+                    filled[queue] = (cell, before + n) if before + n < segment else (cell + 1, 0)
+                offsets = np.r_[0, ends].astype(np.int32) * ids.itemsize
+                held = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
+                columns = [part.column(0), pa.array([block] * len(ends), pa.int32()), pa.array(cells, pa.int32()), pa.array(at, pa.int64()), part.column(1), held]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     queue = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     rows = df.select(queue.alias("queue"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -225,7 +277,7 @@ def pack_mixture(
     repeated rows are packed as they are; an empty table gives an empty result; other columns are not read.
     """
     ids = stored(queued_tokens(df, id_col, text_col, source_col, vocabulary, end_id, segment), "queued")
-    width = chunk_table(vocabulary).width
+    width = word_vocabulary(vocabulary).kind.itemsize
     cells = ids.groupBy("queue", "block", "cell").agg(F.sum(F.octet_length("ids") / width).cast("long").alias("n"))
     cells = stored(with_total_before(cells, ["queue"], F.expr("block div 256"), ["block", "cell"], "n", "before"), "cells")
     weights = stored(queue_weights(cells.groupBy("queue").agg(F.sum("n").alias("tokens")), targets), "weights")

@@ -26,7 +26,7 @@ SLICE_CHARS = 2_000_000
 WHOLE = b"?"
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary file: printable ones for themselves."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
@@ -47,7 +47,7 @@ class ByteBpe:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.byte_ids = np.array([vocab[c] for c in _byte_letters()], np.int64)
+        self.byte_ids = np.array([vocab[c] for c in byte_letters()], np.int64)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.pairs = PairTable([(vocab[a], vocab[b], r, vocab[a + b]) for r, (a, b) in enumerate(pairs)])
         self.pattern = regex.compile(PATTERN)

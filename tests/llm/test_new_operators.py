@@ -82,7 +82,7 @@ def test_blocks_of_rounds_carry_their_deficits(spark):
 
 def test_chunks_of_a_vocabulary_across_spaces_are_refused():
     with pytest.raises(ValueError, match="across spaces"):
-        mixture.ChunkTable(queries.BPE)
+        mixture.WordVocabulary(queries.BPE)
 
 
 def plain_manifest(rows):
