@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.operators import trees
 from stratafold.operators.storage import cut
 
 
@@ -112,54 +113,13 @@ def path_of(nodes: DataFrame, node: str, parent: str, name: str, separator: str
     return state.filter("up is null").select("node", F.array_join("path", separator).alias("path"))
 
 
-def compose(outer: Column, inner: Column) -> Column:
-    """The affine map (a, b, c, d, e, f), x' = a x + b y + c and y' = d x + e y + f, that applies ``inner`` first."""
-    o, i = [outer[k] for k in range(6)], [inner[k] for k in range(6)]
-    row = lambda p, q, r: [p * i[0] + q * i[3], p * i[1] + q * i[4], p * i[2] + q * i[5] + r]
-    return F.array(*row(*o[:3]), *row(*o[3:]))
-
-
-def _inherit(how: str, above: Column, own: Column) -> Column:
-    """A node's value from its parent's and its own."""
-    if how == "all":
-        return above & own
-    if how == "nearest":
-        return F.coalesce(own, above)
-    if how == "affine":
-        return compose(above, own)
-    if how == "span":
-        length = above["length"] * (own["high"] - own["low"]) + own["size"]
-        start = above["start"] + above["length"] * (own["low"] + (own["high"] - own["low"]) * own["pivot"]) + own["at"] - length * own["pivot"]
-        return F.struct(start.alias("start"), length.alias("length"))
-    raise ValueError(f"unknown way to inherit: {how}")
-
-
 def walk_down(nodes: DataFrame, node: str, parent: str, name: str, inherit: dict[str, str] | None = None) -> DataFrame:
-    """(node, path, level, inherited columns): names joined from the root; each level's nodes join their parents' results.
+    """(node, path, level, inherited columns): names joined from the root, and values that nodes have from their ancestors.
 
-    ``inherit`` names columns and how a node's value follows from its parent's: ``all`` (true where it and
-    all ancestors are), ``nearest`` (the nearest value that is not null, its own first), ``affine`` (maps of
-    six numbers, the node's own applied first), ``span`` (start and length on one axis; a root's own struct
-    has these, other nodes' low, high, size, at and pivot, and start counts from the root).
-
-    Levels go on until one is empty. A walk longer than the number of nodes is a cycle, and raises.
+    See ``trees.handed_down`` for ``inherit`` and for nodes without a root above them.
     """
-    inherit = inherit or {}
-    base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).alias("name"), *inherit)
-    root = lambda c: F.struct(F.col(c)["start"].alias("start"), F.col(c)["length"].alias("length")).alias(c) if inherit[c] == "span" else F.col(c)
-    front = cut(base.filter("parent is null").select("node", F.col("name").alias("path"), F.lit(0).alias("level"), *map(root, inherit)))
-    parts, total = [front], base.count()
-    for level in range(1, total + 1):
-        above = front.select(F.col("node").alias("parent"), F.col("path").alias("above"), *[F.col(c).alias(f"above_{c}") for c in inherit])
-        values = [_inherit(how, F.col(f"above_{c}"), F.col(c)).alias(c) for c, how in inherit.items()]
-        front = cut(base.join(above, "parent").select("node", F.concat_ws("/", "above", "name").alias("path"), F.lit(level).alias("level"), *values))
-        if front.isEmpty():
-            return _all(parts)
-        # A long walk's levels are put together now and then, so that no plan names thousands of tables.
-        parts = [cut(_all([*parts, front]))] if len(parts) >= 32 else [*parts, front]
-    if total:
-        raise ValueError("nodes below a root form a cycle")
-    return _all(parts)
+    rows = nodes.withColumn("__path", F.col(name))
+    return trees.handed_down(rows, node, parent, {"__path": "path", **(inherit or {})}).select("node", F.col("__path").alias("path"), "level", *(inherit or {}))
 
 
 def one_hop_closure(edges: DataFrame, bases: DataFrame) -> DataFrame:
@@ -169,8 +129,15 @@ def one_hop_closure(edges: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 def multiset_signature(items: DataFrame, owner: str, item: str) -> DataFrame:
-    """(owner, n, signature): the number of items and a digest of their sorted list."""
-    return items.groupBy(owner).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(item)), ",")).alias("signature"))
+    """(owner, n, signature): the number of items, and a digest of which they are and how often each occurs.
+
+    Items are counted first and added up as hashes, so neither their number nor their order matters to memory.
+    """
+    counted = items.groupBy(owner, item).agg(F.count("*").alias("__n"))
+    # Values below 2^40 add up without overflow over 2^23 distinct items of one owner.
+    sums = [F.sum(F.pmod(F.xxhash64(item, "__n", F.lit(k)), F.lit(1 << 40))).alias(f"__h{k}") for k in range(3)]
+    whole = counted.groupBy(owner).agg(F.sum("__n").alias("n"), *sums)
+    return whole.select(owner, "n", F.md5(F.concat_ws(",", "n", *[f"__h{k}" for k in range(3)])).alias("signature"))
 
 
 def repeated_units(signatures: DataFrame, owner: str, least: int = 2) -> DataFrame:
@@ -180,54 +147,17 @@ def repeated_units(signatures: DataFrame, owner: str, least: int = 2) -> DataFra
 
 
 def subtree_signature(nodes: DataFrame, node: str, parent: str, item: str) -> DataFrame:
-    """(node, size, signature): bottom-up, of the own item and the sorted signatures of the children.
-
-    Levels run from the deepest; each needs only the signatures of the level below.
-    """
-    level = flatten_to_root(nodes, node, parent).select("node", "depth")
-    base = cut(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(item).alias("item")).join(level, "node"))
-    deepest = base.agg(F.max("depth")).first()[0] or 0
-    below = None
-    parts = []
-    for depth in range(deepest, -1, -1):
-        own = base.filter(F.col("depth") == depth)
-        if below is None:
-            rows = own.select("node", "parent", "item", F.lit(None).cast("array<string>").alias("kids"), F.lit(0).cast("long").alias("under"))
-        else:
-            kids = below.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("signature")).alias("kids"), F.sum("size").alias("under"))
-            rows = own.join(kids, "node", "left").select("node", "parent", "item", "kids", F.coalesce("under", F.lit(0)).alias("under"))
-        sign = F.md5(F.concat_ws("|", "item", F.coalesce(F.array_join("kids", ","), F.lit(""))))
-        below = cut(rows.select("node", "parent", (F.col("under") + 1).alias("size"), sign.alias("signature")))
-        parts.append(below)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("node", "size", "signature")
+    """(node, size, signature): the number of nodes of a subtree, and a digest of its items and their nesting, whatever the order of children."""
+    got = trees.subtree_totals(nodes, node, parent, item, {"size": F.lit(1).cast("long")})
+    return got.select("node", "size", F.col("shape").alias("signature"))
 
 
 def subtree_shapes(nodes: DataFrame, node: str, parent: str, item: str) -> DataFrame:
-    """(node, parent, depth, drawn, shape): items in a node's subtree, and a hash of what these are and how they nest.
+    """(node, parent, drawn, shape): items in a node's subtree, and a hash of what these are and how they nest.
 
-    Bottom-up by levels. Children add up as hashes, so neither their order nor their number matters to
-    memory. A null item draws nothing. Nodes of a cycle are left out.
+    A null item draws nothing. Nodes of a cycle are left out. See ``trees.subtree_totals``.
     """
-    level = flatten_to_root(nodes, node, parent).select("node", "depth")
-    base = cut(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(item).cast("string").alias("item")).join(level, "node"))
-    own = F.col("item").isNotNull().cast("long")
-    below, parts = None, []
-    for depth in range(base.agg(F.max("depth")).first()[0] or 0, -1, -1):
-        rows = base.filter(F.col("depth") == depth)
-        if below is None:
-            rows = rows.select("*", F.lit(0).cast("long").alias("under"), *[F.lit(0).cast("long").alias(f"h{k}") for k in (0, 1)])
-        else:
-            # Values below 2^40 add up without overflow over 2^23 children of one node.
-            sums = [F.sum(F.pmod(F.xxhash64("shape", F.lit(k)), F.lit(1 << 40))).alias(f"h{k}") for k in (0, 1)]
-            kids = below.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.sum("drawn").alias("under"), *sums)
-            rows = rows.join(kids, "node", "left").fillna(0, ["under", "h0", "h1"])
-        shape = F.concat(*[F.hex(F.xxhash64("item", F.lit(k), "h0", "h1")) for k in (0, 1)])
-        below = cut(rows.select("node", "parent", "depth", (F.col("under") + own).alias("drawn"), shape.alias("shape")))
-        parts = [cut(_all([*parts, below]))] if len(parts) >= 32 else [*parts, below]
-    return _all(parts)
+    return trees.subtree_totals(nodes, node, parent, item, {"drawn": F.col(item).isNotNull().cast("long")})
 
 
 def repeated_subtrees(nodes: DataFrame, node: str, parent: str, item: str, name: str, most: int = 16) -> DataFrame:
@@ -236,28 +166,19 @@ def repeated_subtrees(nodes: DataFrame, node: str, parent: str, item: str, name:
     From the roots down, a subtree is one object if its shape occurs again, or if it draws ``most`` items
     at most and no shape below it occurs again; else its children are looked at. Subtrees without items
     are left out. Of each shape the node with the shortest name, then the smaller one, then the smaller
-    id speaks for the others; placements counts them.
+    id speaks for the others; placements counts them. The number of jobs does not grow with the depth.
     """
     shapes = subtree_shapes(nodes, node, parent, item).filter("drawn > 0")
     again = shapes.groupBy("shape").agg(F.count("*").alias("__n"))
-    shapes = cut(shapes.join(again, "shape").withColumn("again", F.col("__n") > 1).drop("__n"))
-    front = cut(shapes.filter("again and parent is not null").select(F.col("parent").alias("node")).distinct())
-    above = [front]
-    while not front.isEmpty():
-        up = shapes.join(front, "node", "left_semi").filter("parent is not null").select(F.col("parent").alias("node")).distinct()
-        front = cut(up.join(_all(above), "node", "left_anti"))
-        above = [cut(_all([*above, front]))] if len(above) >= 32 else [*above, front]
-    marked = cut(shapes.join(_all(above).withColumn("below", F.lit(True)), "node", "left").withColumn("whole", F.col("again") | ((F.col("drawn") <= most) & F.col("below").isNull())))
-    front, found = marked.filter("parent is null"), []
-    while True:
-        found.append(front.filter("whole").select("node", "shape", "drawn"))
-        open_ = front.filter("not whole").select(F.col("node").alias("parent"))
-        front = cut(marked.join(open_, "parent", "left_semi"))
-        if front.isEmpty():
-            break
-        found = [cut(_all(found))] if len(found) >= 32 else found
+    shapes = cut(shapes.join(again, "shape").withColumn("again", (F.col("__n") > 1).cast("long")).drop("__n"))
+    under = trees.subtree_totals(shapes, "node", "parent", "shape", {"below": F.col("again")}).select("node", "below")
+    whole = (F.col("again") > 0) | ((F.col("drawn") <= most) & (F.col("below") == F.col("again")))
+    marked = cut(shapes.join(under, "node").withColumn("whole", whole))
+    # A subtree is cut off where it is whole and nothing above it is.
+    open_ = trees.handed_down(marked.withColumn("open", ~F.col("whole")), "node", "parent", {"open": "all"}).filter("open").select(F.col("node").alias("parent"))
+    found = marked.filter("whole and parent is null").unionByName(marked.filter("whole").join(open_, "parent", "left_semi").select(marked.columns))
     names = nodes.select(F.col(node).alias("node"), F.coalesce(F.col(name), F.lit("")).alias("name"))
-    g = _all(found).join(names, "node").groupBy("shape").agg(F.min(F.struct(F.length("name").alias("n"), "name", "node")).alias("s"), F.max("drawn").alias("drawn"), F.count("*").alias("placements"))
+    g = found.join(names, "node").groupBy("shape").agg(F.min(F.struct(F.length("name").alias("n"), "name", "node")).alias("s"), F.max("drawn").alias("drawn"), F.count("*").alias("placements"))
     return g.select("shape", F.col("s.name").alias("name"), F.col("s.node").alias("speaker"), "drawn", "placements")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.operators import graph, joins
+from stratafold.operators import graph, joins, trees
 from stratafold.operators.storage import cut
 
 
@@ -32,33 +32,20 @@ def resolve_candidate(wanted: DataFrame, want: str, files: DataFrame, file: str,
     return joined.select(F.col(f"x.{want}"), F.col("y.r.file").alias(file), (~F.col("y.r.inexact")).alias("exact"), (~F.col("y.r.apart")).alias("beside"))
 
 
-def nearest_ancestor(nodes: DataFrame, node: str, parent: str, flag: str, depth: int = 64) -> DataFrame:
+def nearest_ancestor(nodes: DataFrame, node: str, parent: str, flag: str) -> DataFrame:
     """(node, holder) of every node below a root: its nearest flagged ancestor, else the nearest flagged sibling of an ancestor.
 
-    Of several flagged siblings the smallest counts. Each level's nodes join their parents' results.
-    Trees deeper than ``depth`` raise an error; nodes of a cycle are left out.
+    Of several flagged siblings the smallest counts. Trees may have any depth; nodes of a cycle are left out.
     """
     base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.coalesce(F.col(flag), F.lit(False)).alias("flag"))
     # The two smallest flagged children of each parent are enough to name a flagged sibling other than oneself.
-    flagged = base.filter("flag and parent is not null").withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("node"))).filter("r <= 2")
-    pair = flagged.groupBy("parent").agg(F.min("node").alias("one"), F.max("node").alias("two"))
+    pair = base.filter("flag and parent is not null").groupBy("parent").agg(F.min("node").alias("one"), F.count("*").alias("__n"))
+    rest = base.filter("flag").join(pair.filter("__n > 1").select("parent", "one"), "parent").filter("node <> one").groupBy("parent").agg(F.min("node").alias("two"))
     side = F.when(F.col("one") != F.col("node"), F.col("one")).when(F.col("two") != F.col("node"), F.col("two"))
-    base = cut(base.join(pair, "parent", "left").select("node", "parent", "flag", side.alias("sibling")))
-    none = F.lit(None).cast(base.schema["node"].dataType)
-    front = cut(base.filter("parent is null").select("node", "flag", "sibling", none.alias("mask"), none.alias("side")))
-    parts = [front]
-    for _ in range(depth):
-        above = front.select(F.col("node").alias("parent"), F.when(F.col("flag"), F.col("node")).otherwise(F.col("mask")).alias("mask"), F.coalesce("sibling", "side").alias("side"))
-        front = cut(base.join(above, "parent").select("node", "flag", "sibling", "mask", "side"))
-        if front.isEmpty():
-            break
-        parts.append(front)
-    else:
-        raise ValueError(f"a tree is deeper than {depth} levels")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("node", F.coalesce("mask", "side").alias("holder"))
+    base = cut(base.join(pair.select("parent", "one"), "parent", "left").join(rest, "parent", "left").select("node", "parent", F.when(F.col("flag"), F.col("node")).alias("mask"), side.alias("side")))
+    above = trees.handed_down(base, "node", "parent", {"mask": "nearest", "side": "nearest"}).select(F.col("node").alias("parent"), F.coalesce("mask", "side").alias("holder"))
+    none = F.lit(None).cast(base.schema["node"].dataType).alias("holder")
+    return base.filter("parent is null").select("node", none).unionByName(base.join(above, "parent").select("node", "holder"))
 
 
 def bind_clips(candidates: DataFrame, clip: str, holder: str, most: int = 8) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _STORED: set[str] = set()
 
@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "cut")
 
 
+def cut_and_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``df`` stored, and the number of its stored rows for which ``condition`` holds."""
+    rows = cut(df)
+    return rows, rows.filter(condition).count()
+
+
 def clear_stored(spark: SparkSession) -> int:
     """Deletes all tables that this process has stored so far, and returns their number.
 

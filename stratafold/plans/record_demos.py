@@ -11,6 +11,7 @@ from stratafold.operators import objects as O
 from stratafold.operators import windows as W
 from stratafold.operators.storage import shared_folder
 from stratafold.plans.join_demos import NAMES, NAMES_SQL
+from stratafold.plans.graph_demos import with_speaker
 from stratafold.plans.registry import both, demo
 from stratafold.sources import packages as P
 from stratafold.sources import records as R
@@ -78,13 +79,13 @@ def win7_dense_labels(t):
 @demo("""WITH c AS (SELECT 'C' || c_custkey AS node, 'N' || c_nationkey AS parent, 1 AS size, md5(c_mktsegment || '|') AS s FROM customer),
 n AS (SELECT 'N' || n_nationkey AS node, 'R' || n_regionkey AS parent, 1 + count(c.node) AS size, md5('nation|' || coalesce(string_agg(c.s, ',' ORDER BY c.s), '')) AS s FROM nation LEFT JOIN c ON c.parent = 'N' || n_nationkey GROUP BY n_nationkey, n_regionkey),
 r AS (SELECT 'R' || r_regionkey AS node, 1 + sum(n.size) AS size, md5('region|' || coalesce(string_agg(n.s, ',' ORDER BY n.s), '')) AS s FROM region LEFT JOIN n ON n.parent = 'R' || r_regionkey GROUP BY r_regionkey)
-SELECT node, CAST(size AS BIGINT) AS size, s AS signature FROM c UNION ALL SELECT node, CAST(size AS BIGINT), s FROM n UNION ALL SELECT node, CAST(size AS BIGINT), s FROM r""")
+SELECT node, CAST(size AS BIGINT) AS size, min(node) OVER (PARTITION BY s) AS speaker FROM (SELECT node, size, s FROM c UNION ALL SELECT node, size, s FROM n UNION ALL SELECT node, size, s FROM r)""")
 def grf7_subtree_signature(t):
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     nodes = t.region.select(key("R", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit("region").alias("item"))
     nodes = nodes.unionByName(t.nation.select(key("N", "n_nationkey").alias("node"), key("R", "n_regionkey").alias("parent"), F.lit("nation").alias("item")))
     nodes = nodes.unionByName(t.customer.select(key("C", "c_custkey").alias("node"), key("N", "c_nationkey").alias("parent"), F.col("c_mktsegment").alias("item")))
-    return G.subtree_signature(nodes, "node", "parent", "item")
+    return with_speaker(G.subtree_signature(nodes, "node", "parent", "item"), "node")
 
 
 FAMILY, FAMILY_SQL = both("""SELECT o_orderkey AS node, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(floor(o_orderkey / 2) AS BIGINT) END AS parent, o_orderpriority LIKE '1%' AS flag FROM {orders}""")

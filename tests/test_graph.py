@@ -107,13 +107,6 @@ def test_dense_labels_stay_distinct_beyond_four_digits(spark):
     assert {r["id"]: r["label"] for r in got} == {k: f"dup_{k + 1:04d}" for k in range(12_000)}
 
 
-def test_walk_down_passes_64_levels(spark, monkeypatch):
-    monkeypatch.setattr(G, "cut", lambda df: spark.createDataFrame(df.collect(), df.schema))
-    nodes = [(k, k - 1 if k else None, "n") for k in range(70)]
-    got = G.walk_down(spark.createDataFrame(nodes, "n long, p long, name string"), "n", "p", "name").collect()
-    assert {r["node"]: r["level"] for r in got} == {k: k for k in range(70)}
-
-
 def test_contains_join_finds_stems_of_any_length(spark):
     names = spark.createDataFrame([(1, "old red oak tall tree house wall"), (2, "red oak")], "id long, name string")
     stems = spark.createDataFrame([("red oak tall tree house", 1), ("red oak", 2)], "stem string, k long")
@@ -133,7 +126,7 @@ def test_queries_over_whole_tables(spark):
     for r in orders:
         a, b = find(r[0]), find(r[1] % 97 + 10000000)
         root[max(a, b)] = min(a, b)
-    got = catalogue.queries()["grf4_components_of_all_orders"](spark, sf).collect()
+    got = catalogue.queries()["grf4_components"](spark, sf).collect()
     assert {r["node"]: r["component"] for r in got} == {x: find(x) for x in root}
     users = {r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
     wanted = sum(r[0] in users for r in orders)
