@@ -43,6 +43,8 @@ def mark_origin(assets: DataFrame, asset: str, name: str, holds: DataFrame, hold
 def duplicate_links(df: DataFrame, id_col: str, digest: str, hash_col: str, bucket: list[str], most: int = 4, bits: int = 64) -> DataFrame:
     """(a, b, kind) of links that join duplicates: exact between equal digests, near between hashes of one bucket.
 
+    Near links span their groups and need not be all pairs; see ``joins.hamming_links``.
+
     Rows with equal digests, and with equal bucket and hash, are linked with the smallest id of them; only
     one row of each distinct hash is compared with other hashes, so copies do not meet in pairs. Rows
     without a digest, or without a hash or a part of the bucket, take no part in that side.
@@ -53,7 +55,7 @@ def duplicate_links(df: DataFrame, id_col: str, digest: str, hash_col: str, buck
     hashed = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), *bucket).na.drop()
     reps = cut(hashed.groupBy("h", *bucket).agg(F.min("id").alias("a")).withColumn("__bucket", F.struct(*bucket)))
     same = hashed.join(reps, ["h", *bucket]).filter("a < id").select("a", F.col("id").alias("b"), F.lit("near").alias("kind"))
-    near = joins.hamming_join(reps, "a", "h", "__bucket", most, bits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit("near").alias("kind"))
+    near = joins.hamming_links(reps, "a", "h", "__bucket", most, bits).select("a", "b", F.lit("near").alias("kind"))
     return exact.unionByName(same).unionByName(near)
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.operators import ranges
 from stratafold.operators.scalar import name_tokens
+from stratafold.operators.storage import cut
 
 
 def live_rows(child: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
@@ -72,18 +76,96 @@ def suffix_join(paths: DataFrame, path: str, suffixes: DataFrame, suffix: str) -
     return paths.select(F.explode(ends).alias("e")).select("e.*").join(suffixes.select(F.col(suffix).alias("end")).distinct(), "end").groupBy("prefix").agg(F.count("*").alias("n"))
 
 
+#: Rows of one band's value from which its rows are banded again, and from which one task looks for links that span them.
+CROWDED, DENSE = 256, 64
+
+
+def _bands(h: Column | str, bits: list[int], parts: int) -> list[Column]:
+    """The hash's bits at the places ``bits``, cut into ``parts`` bands."""
+    width = -(-len(bits) // parts)
+    cut_ = [bits[k * width : (k + 1) * width] for k in range(parts)]
+    run = lambda own: F.shiftrightunsigned(h, own[0]).bitwiseAND(F.lit((1 << len(own)) - 1 if len(own) < 64 else -1)) if own else F.lit(0).cast("long")
+    return [run(own) for own in cut_]
+
+
+def _keyed(df: DataFrame, id_col: str, hash_col: str, bucket: str, most: int, bits: int) -> DataFrame:
+    """(id, h, bucket, band, value, sub, subvalue, n): a row for each key of a hash; hashes within ``most`` bits share a key.
+
+    A band and its value are a key. Where more than ``CROWDED`` hashes share one, the bits outside the band
+    are cut into bands too, of which two such hashes again share one, and the key has both.
+    """
+    parts, width = most + 1, -(-bits // (most + 1))
+    rows = df.filter(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.col(bucket).alias("bucket"))
+    banded = rows.select("*", F.posexplode(F.array(*_bands("h", list(range(bits)), parts))).alias("band", "value"))
+    full = banded.groupBy("bucket", "band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    met = banded.join(full, ["bucket", "band", "value"])
+    light = met.filter(F.col("n") <= CROWDED).select("*", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subvalue"))
+    # The other bits in order: those above the band follow those below it.
+    shift = F.col("band") * width
+    low = F.col("h").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1)
+    high = F.when(shift + width < 64, F.call_function("shiftrightunsigned", F.col("h"), shift + width)).otherwise(F.lit(0).cast("long"))
+    rest = low.bitwiseOR(F.call_function("shiftleft", high, shift))
+    heavy = met.filter(F.col("n") > CROWDED).withColumn("rest", rest)
+    heavy = heavy.select(*met.columns, F.posexplode(F.array(*_bands("rest", list(range(bits - width if parts > 1 else bits)), parts))).alias("sub", "subvalue"))
+    return light.unionByName(heavy)
+
+
+def _first_shared(most: int, bits: int) -> Column:
+    """Whether a pair's band is the first of those it shares, so that it is claimed once."""
+    parts = most + 1
+    both = F.col("h").bitwiseXOR(F.col("h_b"))
+    own = _bands(both, list(range(bits)), parts)
+    return reduce(lambda rest, k: F.when(own[k] == 0, F.lit(k)).otherwise(rest), reversed(range(parts)), F.lit(-1)) == F.col("band")
+
+
 def hamming_join(df: DataFrame, id_col: str, hash_col: str, bucket: str, most: int, bits: int = 64) -> DataFrame:
     """(id_a, id_b, distance) of pairs of one bucket whose hashes differ in at most ``most`` bits.
 
-    The hash is cut into ``most`` + 1 bands, of which such a pair shares one.
+    The hash is cut into ``most`` + 1 bands, of which such a pair shares one; crowded bands are cut again.
+    A pair counts in the first band that it shares.
     """
-    bands, width = most + 1, -(-bits // (most + 1))
-    cut = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(hash_col, k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k in range(bands)])
-    keyed = df.filter(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.col(bucket).alias("bucket"), F.explode(cut).alias("b")).select("id", "h", "bucket", "b.*")
-    other = keyed.select(F.col("id").alias("id_b"), F.col("h").alias("h_b"), "bucket", "band", "value")
+    keyed = _keyed(df, id_col, hash_col, bucket, most, bits).drop("n")
+    other = keyed.select(F.col("id").alias("id_b"), F.col("h").alias("h_b"), "bucket", "band", "value", "sub", "subvalue")
     distance = F.bit_count(F.col("h").bitwiseXOR(F.col("h_b")))
-    pairs = keyed.join(other, ["bucket", "band", "value"]).filter((F.col("id") < F.col("id_b")) & (distance <= most))
-    return pairs.select(F.col("id").alias("id_a"), "id_b", distance.cast("long").alias("distance")).distinct()
+    pairs = keyed.join(other, ["bucket", "band", "value", "sub", "subvalue"]).filter((F.col("id") < F.col("id_b")) & (distance <= most) & _first_shared(most, bits))
+    out = pairs.select(F.col("id").alias("id_a"), "id_b", distance.cast("long").alias("distance"), (F.col("sub") >= 0).alias("__again"))
+    # Only pairs of crowded bands can meet in several sub-bands.
+    return out.filter("not __again").unionByName(out.filter("__again").distinct()).drop("__again")
+
+
+def hamming_links(df: DataFrame, id_col: str, hash_col: str, bucket: str, most: int, bits: int = 64) -> DataFrame:
+    """(a, b) of links between hashes of one bucket within ``most`` bits that join the same rows as all such pairs would.
+
+    Keys as in ``hamming_join``. Of more than ``DENSE`` rows with one key a task links each to another one
+    only as long as they are not joined yet, so a key of a dense crowd has fewer links than rows.
+    """
+    keys = ["bucket", "band", "value", "sub", "subvalue"]
+    keyed = cut(_keyed(df, id_col, hash_col, bucket, most, bits).drop("n"))
+    sized = keyed.groupBy(*keys).agg(F.count("*").alias("n"))
+    few = keyed.join(sized.filter(F.col("n").between(2, DENSE)).drop("n"), keys)
+    other = few.select(F.col("id").alias("id_b"), F.col("h").alias("h_b"), *keys)
+    near = F.bit_count(F.col("h").bitwiseXOR(F.col("h_b"))) <= most
+    pairs = few.join(other, keys).filter((F.col("id") < F.col("id_b")) & near & _first_shared(most, bits)).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+    def span(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, h = rows["id"].to_numpy(), rows["h"].to_numpy().view(np.uint64)
+        left, found = np.arange(len(rows)), []
+        # Breadth first: rows near the front leave the pool, joined to one row of the front.
+        while len(left):
+            front, left = left[:1], left[1:]
+            while len(front) and len(left):
+                hit = np.full(len(left), -1)
+                for f in front:
+                    free = np.flatnonzero(hit < 0)
+                    hit[free[np.bitwise_count(h[left[free]] ^ h[f]) <= most]] = f
+                took = hit >= 0
+                found += zip(ids[hit[took]].tolist(), ids[left[took]].tolist())
+                front, left = left[took], left[~took]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    kind = dict(df.dtypes)[id_col]
+    crowd = keyed.join(sized.filter(F.col("n") > DENSE).drop("n"), keys).groupBy(*keys).applyInPandas(span, f"a {kind}, b {kind}")
+    return pairs.unionByName(crowd).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def box_overlap_join(df: DataFrame, group: str, box: str, gap: float = 0.0) -> DataFrame:
@@ -110,41 +192,38 @@ def box_overlap_join(df: DataFrame, group: str, box: str, gap: float = 0.0) -> D
     return pairs.select(group, F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b"))
 
 
-def asof_interpolate(keys: DataFrame, times: DataFrame, entity: str, t: str, v: str) -> DataFrame:
-    """(entity, t, v) at each wanted time: straight between the keys around it, clamped outside them.
+def _share(t: str) -> Column:
+    """How far a wanted time is from the key below it to the key above."""
+    low, high = F.col("__low"), F.col("__high")
+    return F.coalesce(F.try_divide(F.col(t) - low["t"], high["t"] - low["t"]), F.lit(0.0))
+
 
-    keys hold one value for each entity and time.
+def asof_interpolate(keys: DataFrame, times: DataFrame, entity: str, t: str, v: str | list[str]) -> DataFrame:
+    """(entity, t, v) at each wanted time: straight between the keys around it, clamped outside them; several columns ``v`` at once.
+
+    keys hold one row for each entity and time. An entity's rows are dealt into ranges of time, so a
+    hot entity is no one task; the keys next to a range's borders are handed over.
     """
-    rows = keys.select(entity, t, v, F.lit(0).alias("__wanted")).unionByName(times.select(entity, t, F.lit(None).cast("double").alias(v), F.lit(1).alias("__wanted")))
-    back = Window.partitionBy(entity).orderBy(t, "__wanted").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(entity).orderBy(F.desc(t), "__wanted").rowsBetween(Window.unboundedPreceding, 0)
-    key = F.when(F.col("__wanted") == 0, F.struct(F.col(t).alias("t"), F.col(v).alias("v")))
-    rows = rows.withColumn("__low", F.last(key, True).over(back)).withColumn("__high", F.last(key, True).over(ahead)).filter("__wanted = 1")
+    columns = [v] if isinstance(v, str) else v
+    rows = ranges.keys_around(keys, times, entity, t, columns)
     low, high = F.col("__low"), F.col("__high")
-    span = high["t"] - low["t"]
-    between = low["v"] + (high["v"] - low["v"]) * (F.col(t) - low["t"]) / span
-    value = F.when(low.isNull(), high["v"]).when(high.isNull(), low["v"]).when(span == 0, low["v"]).otherwise(between)
-    return rows.select(entity, t, value.alias(v))
+    between = lambda c: low[c] + (high[c] - low[c]) * _share(t)
+    return rows.select(entity, t, *[F.when(low.isNull(), high[c]).when(high.isNull(), low[c]).otherwise(between(c)).alias(c) for c in columns])
 
 
 def asof_rotation(keys: DataFrame, times: DataFrame, entity: str, t: str, rotation: str) -> DataFrame:
     """(entity, t, rotation) at each wanted time: rotations are arrays of four, mixed straight over the shorter arc and normalised.
 
-    Clamped outside the keys; keys hold one rotation for each entity and time.
+    Clamped outside the keys; keys hold one rotation for each entity and time. Ranges as in ``asof_interpolate``.
     """
-    rows = keys.select(entity, t, rotation, F.lit(0).alias("__wanted")).unionByName(times.select(entity, t, F.lit(None).cast("array<double>").alias(rotation), F.lit(1).alias("__wanted")))
-    back = Window.partitionBy(entity).orderBy(t, "__wanted").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(entity).orderBy(F.desc(t), "__wanted").rowsBetween(Window.unboundedPreceding, 0)
-    key = F.when(F.col("__wanted") == 0, F.struct(F.col(t).alias("t"), F.col(rotation).alias("q")))
-    rows = rows.withColumn("__low", F.last(key, True).over(back)).withColumn("__high", F.last(key, True).over(ahead)).filter("__wanted = 1")
+    rows = ranges.keys_around(keys, times, entity, t, [rotation])
     low, high = F.col("__low"), F.col("__high")
-    share = F.coalesce(F.try_divide(F.col(t) - low["t"], high["t"] - low["t"]), F.lit(0.0))
-    dot = reduce(lambda a, b: a + b, [low["q"][k] * high["q"][k] for k in range(4)])
+    a, b = low[rotation], high[rotation]
+    dot = reduce(lambda x, y: x + y, [a[k] * b[k] for k in range(4)])
     side = F.when(dot < 0, -1.0).otherwise(1.0)
-    mixed = [low["q"][k] + (high["q"][k] * side - low["q"][k]) * share for k in range(4)]
-    length = F.sqrt(reduce(lambda a, b: a + b, [m * m for m in mixed]))
-    between = F.array(*[m / length for m in mixed])
-    value = F.when(low.isNull(), high["q"]).when(high.isNull(), low["q"]).otherwise(between)
+    mixed = [a[k] + (b[k] * side - a[k]) * _share(t) for k in range(4)]
+    length = F.sqrt(reduce(lambda x, y: x + y, [m * m for m in mixed]))
+    value = F.when(low.isNull(), b).when(high.isNull(), a).otherwise(F.array(*[m / length for m in mixed]))
     return rows.select(entity, t, value.alias(rotation))
 
 
@@ -169,11 +248,35 @@ def name_lookup(df: DataFrame, name: str, names: DataFrame, other: str) -> DataF
     return df.join(names, fold(F.col(name)) == fold(F.col(other)))
 
 
+def _overlaps(left: DataFrame, right: DataFrame, least: int, same: bool) -> DataFrame:
+    """(a, b, shared) of holders of (a, i) and (b, i), both distinct, with ``least`` items in common; of one table, with a < b.
+
+    Of ``least`` common items one at least is not among the ``least`` - 1 most frequent items of either
+    holder, so only the others are joined, and no pair is written that has no more than an item on very
+    many holders in common. Of the candidates the side with fewer items is looked up in the other.
+    """
+    counted = (left if same else left.select("i").unionByName(right.select("i"))).groupBy("i").agg(F.count("*").alias("f"))
+
+    def rare(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        sizes = rows.groupBy(side).agg(F.count("*").alias(f"n_{side}")).filter(F.col(f"n_{side}") >= least)
+        rows = cut(rows.join(sizes, side).join(counted, "i"))
+        order = Window.partitionBy(side).orderBy(F.desc("f"), F.desc("i"))
+        top = rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") < least).select(side, "i")
+        return rows, rows.join(top, [side, "i"], "left_anti").select(side, "i", f"n_{side}")
+
+    a_rows, a_rare = rare(left, "a")
+    b_rows, b_rare = (a_rows.withColumnsRenamed({"a": "b", "n_a": "n_b"}), a_rare.withColumnsRenamed({"a": "b", "n_a": "n_b"})) if same else rare(right, "b")
+    met = a_rare.join(b_rare, "i")
+    pairs = cut((met.filter("a < b") if same else met).select("a", "b", (F.col("n_a") <= F.col("n_b")).alias("__a")).distinct())
+    by_a = pairs.filter("__a").join(a_rows.select("a", "i"), "a").join(b_rows.select("b", "i"), ["b", "i"])
+    by_b = pairs.filter("not __a").join(b_rows.select("b", "i"), "b").join(a_rows.select("a", "i"), ["a", "i"])
+    both = by_a.select("a", "b").unionByName(by_b.select("a", "b"))
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+
+
 def sharing_pairs(df: DataFrame, holder: str, item: str, least: int = 2) -> DataFrame:
-    """(a, b, shared) of holders with ``least`` distinct items in common at least."""
-    rows = df.select(F.col(holder).alias("a"), F.col(item).alias("i")).distinct()
-    pairs = rows.join(rows.withColumnRenamed("a", "b"), "i").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    """(a, b, shared) of holders with ``least`` distinct items in common at least; an item on very many holders joins none of them by itself."""
+    return _overlaps(df.select(F.col(holder).alias("a"), F.col(item).alias("i")).na.drop().distinct(), None, least, True)
 
 
 def declared_states(declared: DataFrame, bundle: str, remote: Column, files: DataFrame, file: str) -> DataFrame:
@@ -196,6 +299,7 @@ def clip_candidates(objects: DataFrame, obj: str, clips: DataFrame, clip: str, i
     """
     a, b = objects.select(obj, item).distinct(), clips.select(clip, item).distinct()
     held, used = a.groupBy(obj).agg(F.count("*").alias("__a")), b.groupBy(clip).agg(F.count("*").alias("__b"))
-    both = a.join(b, item).groupBy(obj, clip).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    sides = a.select(F.col(obj).alias("a"), F.col(item).alias("i")), b.select(F.col(clip).alias("b"), F.col(item).alias("i"))
+    both = _overlaps(sides[0].na.drop(), sides[1].na.drop(), least, False).withColumnsRenamed({"a": obj, "b": clip})
     share = F.round(F.col("shared") / F.col("__b") * 20) / 20
     return both.join(held, obj).join(used, clip).select(obj, clip, "shared", (F.round(F.col("shared") / F.col("__a") * 20) / 20).alias("covers"), share.alias("share"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratafold.operators import ranges
+from stratafold.operators.storage import cut
+
 
 def gated_best(df: DataFrame, group: str, gate: str, order: list, share: float = 0.5) -> DataFrame:
     """The best row of each group by ``order`` among those with ``share`` of the group's highest gate value."""
@@ -19,10 +22,18 @@ def round_robin(df: DataFrame, group: str, order: list, turn: str = "turn") -> D
 
 
 def unwrap_angle(df: DataFrame, group: str, order: str, angle: str) -> DataFrame:
-    """Adds ``unwrapped``: the angle moved by whole turns so that no step exceeds half a turn."""
-    w = Window.partitionBy(group).orderBy(order)
-    step = F.coalesce(-360 * F.round((F.col(angle) - F.lag(angle).over(w)) / 360), F.lit(0.0))
-    return df.withColumn("__s", step).withColumn("unwrapped", F.col(angle) + F.sum("__s").over(w)).drop("__s")
+    """Adds ``unwrapped``: the angle moved by whole turns so that no step exceeds half a turn.
+
+    A group's rows are dealt into ranges; the last angle and the turns so far cross their borders.
+    """
+    rows = ranges.in_ranges(df, group, [order])
+    rows = ranges.from_other_ranges(rows, group, {"__before": (F.max_by(F.struct(angle), order), "last")})
+    w = ranges.within(group, order)
+    before = F.coalesce(F.lag(F.struct(angle)).over(w), "__before")[angle]
+    rows = cut(rows.withColumn("__s", F.coalesce(-360 * F.round((F.col(angle) - before) / 360), F.lit(0.0))).drop("__before"))
+    rows = ranges.from_other_ranges(rows, group, {"__turned": (F.sum("__s"), "sum")})
+    turned = F.sum("__s").over(w) + F.coalesce("__turned", F.lit(0.0))
+    return rows.withColumn("unwrapped", F.col(angle) + turned).drop("__s", "__turned", "__range")
 
 
 def even_sample(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
@@ -83,9 +94,9 @@ def median_instant(keys: DataFrame, entity: str, t: str, axes: list[str], sizes:
     step = F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
     times = ends.select(entity, "__a", "__b", step.alias("__k")).select(entity, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__k") / (samples - 1)).alias(t), "__k")
     rows = times.select(entity, t).distinct()
-    for c in [*axes, *sizes]:
-        own = keys.select(entity, F.col(t).cast("double").alias(t), F.col(c).cast("double").alias(c))
-        rows = rows.join(asof_interpolate(own, times.select(entity, t).distinct(), entity, t, c), [entity, t])
+    columns = [*axes, *sizes]
+    own = keys.select(entity, F.col(t).cast("double").alias(t), *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = asof_interpolate(own, rows, entity, t, columns)
     rows = times.join(rows, [entity, t]).withColumn("area", F.col(sizes[0]) * F.col(sizes[1]))
     w = Window.partitionBy(entity)
     travel = [F.max(c).over(w) - F.min(c).over(w) > F.col(s) for c, s in zip(axes, sizes, strict=True)]
@@ -94,8 +105,12 @@ def median_instant(keys: DataFrame, entity: str, t: str, axes: list[str], sizes:
 
 
 def carry_down(df: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
-    """Adds the last non-null value so far in each group."""
-    return df.withColumn(name, F.last(value, True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """Adds the last non-null value so far in each group; a range of a group's rows takes over the last value of those before it."""
+    rows = ranges.in_ranges(df.withColumn(name, value), group, [order])
+    last = F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order)))
+    rows = ranges.from_other_ranges(rows, group, {"__before": (last, "last")})
+    so_far = F.last(name, True).over(ranges.within(group, order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, F.coalesce(so_far, "__before")).drop("__before", "__range")
 
 
 def page_of(df: DataFrame, order: list, page: int, size: int) -> DataFrame:

@@ -211,11 +211,11 @@ def job15_reach_states(t):
     return C.reach_report(bundle_states(t), "bundle", t.lineitem.select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("bundle")), "entry")
 
 
-@demo("""WITH a AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_linenumber <= 4), b AS (SELECT DISTINCT l_suppkey AS c, l_partkey AS p FROM lineitem),
+@demo("""WITH a AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), b AS (SELECT DISTINCT l_suppkey AS c, l_partkey AS p FROM lineitem),
 s AS (SELECT o, c, count(*) AS shared FROM a JOIN b USING (p) GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT o, c, shared, round(round(shared / (SELECT count(*) FROM a x WHERE x.o = s.o) * 20) / 20, 6) AS covers, round(round(shared / (SELECT count(*) FROM b y WHERE y.c = s.c) * 20) / 20, 6) AS share FROM s""")
 def jon16_clip_candidates(t):
-    objects = t.lineitem.filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
+    objects = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
     return J.clip_candidates(objects, "o", t.lineitem.select(F.col("l_suppkey").alias("c"), F.col("l_partkey").alias("p")), "c", "p").select("o", "c", "shared", F.round("covers", 6).alias("covers"), F.round("share", 6).alias("share"))
 
 

@@ -1,0 +1,68 @@
+"""Joins whose hot items and crowded hashes must not meet pair by pair, against brute force."""
+
+import random
+from collections import defaultdict
+from itertools import combinations
+
+import pytest
+
+from stratafold.operators import catalog as C
+from stratafold.operators import graph as G
+from stratafold.operators import joins as J
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_overlaps_equal_brute_force(spark, least):
+    rnd = random.Random(least)
+    rows = [(h, f"i{int(rnd.paretovariate(0.7))}") for h in range(80) for _ in range(rnd.randrange(7))] + [(h, "hot") for h in range(80)] + [(3, None), (None, "hot"), (5, "hot")]
+    held = defaultdict(set)
+    for h, i in rows:
+        if h is not None and i is not None:
+            held[h].add(i)
+    want = {(a, b, len(held[a] & held[b])) for a, b in combinations(sorted(held), 2) if len(held[a] & held[b]) >= least}
+    df = spark.createDataFrame(rows, "h long, i string")
+    assert {tuple(r) for r in J.sharing_pairs(df, "h", "i", least).collect()} == want
+    objects, clips = df.filter("h < 40"), df.filter("h >= 30").withColumnRenamed("h", "c")
+    got = {(r["h"], r["c"], r["shared"]): (r["covers"], r["share"]) for r in J.clip_candidates(objects, "h", clips, "c", "i", least).collect()}
+    pairs = {(a, b, len(held[a] & held[b])) for a in range(40) for b in range(30, 80) if len(held[a] & held[b]) >= least}
+    assert set(got) == pairs
+    assert J.sharing_pairs(df.filter("1 = 0"), "h", "i", least).count() == 0
+
+
+def test_one_item_on_a_million_holders_joins_none(spark):
+    hot = spark.range(1_000_000).selectExpr("id AS h", "'hot' AS i")
+    rare = spark.range(1_000_000).selectExpr("id AS h", "concat('r', id div 2) AS i")
+    got = J.sharing_pairs(hot.unionByName(rare), "h", "i").selectExpr("count(*) AS n", "count_if(a div 2 = b div 2 AND shared = 2) AS good").first()
+    assert tuple(got) == (500_000, 500_000)
+
+
+@pytest.mark.parametrize(("crowded", "dense"), [(256, 64), (3, 4)])
+def test_crowded_hashes_equal_brute_force(spark, monkeypatch, crowded, dense):
+    monkeypatch.setattr(J, "CROWDED", crowded)
+    monkeypatch.setattr(J, "DENSE", dense)
+    rnd = random.Random(crowded + dense)
+    for bits, most in ((16, 2), (64, 4), (64, 0)):
+        base = [rnd.getrandbits(bits) for _ in range(12)]
+        hashes = [b ^ sum(1 << k for k in rnd.sample(range(bits), rnd.randrange(0, most + 2))) for b in base for _ in range(15)]
+        rows = [(k, h - (1 << 64) if h >> 63 else h, k % 2) for k, h in enumerate(hashes)] + [(900, None, 0)]
+        want = {(a[0], b[0], d) for a, b in combinations(rows[:-1], 2) if a[2] == b[2] and (d := ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count()) <= most}
+        df = spark.createDataFrame(rows, "id long, h long, g long")
+        got = J.hamming_join(df, "id", "h", "g", most, bits).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+        links = J.hamming_links(df, "id", "h", "g", most, bits)
+        assert {tuple(r) for r in links.collect()} <= {w[:2] for w in want}
+        groups = {r["node"]: r["component"] for r in G.connected_components(links, "a", "b").collect()}
+        label = {r[0]: r[0] for r in rows}
+        for _ in rows:
+            for a, b, _d in want:
+                label[a] = label[b] = min(label[a], label[b])
+        linked = {x for w in want for x in w[:2]}
+        assert groups == {k: label[k] for k in linked}
+
+
+def test_a_dense_crowd_is_spanned(spark, monkeypatch):
+    monkeypatch.setattr(J, "CROWDED", 50)
+    monkeypatch.setattr(J, "DENSE", 10)
+    rows = [(k, (1 << (k % 20)) | (1 << (20 + k // 20 % 20)), str(k), 1) for k in range(400)]  # 79,800 pairs, all of them near
+    links = C.duplicate_links(spark.createDataFrame(rows, "id long, h long, digest string, g long"), "id", "digest", "h", ["g"], 4, 64)
+    assert links.count() <= 79_800 // 10 and C.duplicate_groups(links).agg(G.F.count("*"), G.F.count_distinct("component")).first()[:] == (400, 1)
