@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,15 +73,86 @@ def duplicate_stats(groups: DataFrame, links: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("component").alias("groups"), *counts)
 
 
-def figure_stats(boxes: DataFrame, group: str, box: str, gap: float, least: int = 2, share: float = 0.25) -> DataFrame:
-    """(group, clusters, figures, main): clusters of boxes that overlap or nearly touch; see ``cluster_share``.
+#: Boxes of a group from which it is cut into tiles, and boxes of many groups that one task sweeps together.
+HUGE_GROUP, SWEPT = 50_000, 100_000
 
-    Boxes are known by a 64-bit hash of group and box while they are joined, and none is linked across groups.
+
+def touching_clusters(group: np.ndarray, boxes: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """A label for each box (x0, y0, x1, y1): equal for boxes of a group that overlap or lie within its gap, directly or over others.
+
+    One sweep along x in all groups at once: each box is held against the next ones by x0 until they begin
+    beyond it. The links' ends take the smaller label until none changes.
+    """
+    order = np.lexsort((boxes[:, 0], group))
+    g, (x0, y0, x1, y1), gap = group[order], boxes[order].T, gap[order]
+    at, step, links = np.arange(len(g)), 1, []
+    while len(at := at[at + step < len(g)]):
+        to = at + step
+        near = (g[at] == g[to]) & (x0[to] - gap[at] <= x1[at])
+        at, to = at[near], to[near]
+        met = (x0[at] - gap[at] <= x1[to]) & (y0[at] - gap[at] <= y1[to]) & (y0[to] - gap[at] <= y1[at])
+        links.append((at[met], to[met]))
+        step += 1
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.empty(0, int),) * 2
+    label = np.arange(len(g))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label, new)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.empty(len(g), np.int64)
+    out[order] = order[label]
+    return out
+
+
+def figure_stats(boxes: DataFrame, group: str, box: str, touch: float = 0.02, least: int = 2, share: float = 0.25) -> DataFrame:
+    """(group, clusters, figures, main): clusters of a group's boxes that overlap or lie within ``touch`` of the group's longer span.
+
+    figures are clusters of max(``least``, ``share`` of the boxes) at least, main is the largest one's share.
+    Boxes without a width or a height do not count; a group of such alone has no cluster and a share of 0. A null
+    group is left out.
+
+    Groups are swept in memory, many in a task, after one shuffle. Only groups of more than ``HUGE_GROUP`` boxes
+    meet on tiles and are joined by components; equal in result but for the last digit of a gap.
     """
-    key = lambda c: F.xxhash64(group, c)
-    joined = graph.connected_components(joins.box_overlap_join(boxes, group, box, gap).select(key("a").alias("a"), key("b").alias("b")), "a", "b")
-    nodes = boxes.select(group, key(box).alias("node")).join(joined, "node", "left").select(group, F.coalesce("component", "node").alias("cluster"))
-    return aggs.cluster_share(nodes, group, "cluster", least, share)
+    good = F.coalesce((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")), F.lit(False))
+    rows = boxes.select(F.col(group).alias("g"), F.col(box).alias("box"), *[F.when(good, F.col(c).cast("double")).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    span = F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0"))
+    sized = cut(rows.filter("g is not null").groupBy("g").agg(F.count("x0").alias("n"), (touch * span).alias("gap")))
+    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = rows.filter("x0 is not null")
+    met = known.join(sized.filter(F.col("n").between(1, HUGE_GROUP)), "g")
+
+    def sweep(part: pd.DataFrame) -> pd.DataFrame:
+        code, names = pd.factorize(part["g"])
+        label = touching_clusters(code, part[["x0", "y0", "x1", "y1"]].to_numpy(), part["gap"].to_numpy())
+        sizes = pd.DataFrame({"g": code, "label": label}).groupby(["g", "label"]).size().reset_index(name="n")
+        whole = sizes.groupby("g")["n"].transform("sum")
+        sizes["figure"] = sizes["n"] >= np.maximum(least, share * whole)
+        got = sizes.groupby("g").agg(clusters=("n", "size"), figures=("figure", "sum"), most=("n", "max"), n=("n", "sum"))
+        return pd.DataFrame({"g": names[got.index], "clusters": got["clusters"], "figures": got["figures"], "main": got["most"] / got["n"]})
+
+    kind = dict(rows.dtypes)["g"]
+    dealt = met.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(max(1, -(-total // SWEPT)))))
+    swept = dealt.groupBy("part").applyInPandas(lambda part: sweep(part), f"g {kind}, clusters long, figures long, main double")
+    huge = known.join(sized.filter(F.col("n") > HUGE_GROUP), "g")
+    half = F.col("gap") / 2
+    tiled = _tiled_figures(huge.select("g", "box", *[(F.col(c) + (half if c[1] == "1" else -half)).alias(c) for c in ("x0", "y0", "x1", "y1")]), least, share)
+    none = sized.filter("n = 0").select("g", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0.0))
+    return swept.union(tiled).union(none).withColumnRenamed("g", group)
+
+
+def _tiled_figures(boxes: DataFrame, least: int, share: float) -> DataFrame:
+    """``figure_stats`` of huge groups: boxes are known by a 64-bit hash of group and box while they are joined."""
+    key = lambda c: F.xxhash64("g", c)
+    boxes = cut(boxes)
+    joined = graph.connected_components(joins.box_overlap_join(boxes, "g", "box").select(key("a").alias("a"), key("b").alias("b")), "a", "b")
+    nodes = boxes.select("g", key("box").alias("node")).join(joined, "node", "left").select("g", F.coalesce("component", "node").alias("cluster"))
+    return aggs.cluster_share(nodes, "g", "cluster", least, share).select("g", "clusters", "figures", "main")
 
 
 def families(items: DataFrame, family: Column, obj: str, size: Column) -> DataFrame:

@@ -123,15 +123,16 @@ def job5_duplicate_groups(t):
     return C.duplicate_groups(C.duplicate_links(duplicate_rows(t), "id", "digest", "h", ["grp"], 2, 16))
 
 
-FIGURES_SQL = f"""WITH RECURSIVE b AS ({BOXES_SQL}), k AS (SELECT CAST(grp AS VARCHAR) || '/' || CAST(box AS VARCHAR) AS k, * FROM b),
-e AS (SELECT p.k AS a, q.k AS b FROM k p JOIN k q ON p.grp = q.grp AND p.box <> q.box AND p.x0 - 1 <= q.x1 AND q.x0 - 1 <= p.x1 AND p.y0 - 1 <= q.y1 AND q.y0 - 1 <= p.y1),
+FIGURES_SQL = f"""WITH RECURSIVE b AS ({BOXES_SQL}), k AS (SELECT CAST(grp AS VARCHAR) || '/' || CAST(box AS VARCHAR) AS k, *,
+ 0.02 * greatest(max(x1) OVER (PARTITION BY grp) - min(x0) OVER (PARTITION BY grp), max(y1) OVER (PARTITION BY grp) - min(y0) OVER (PARTITION BY grp)) AS gap FROM b),
+e AS (SELECT p.k AS a, q.k AS b FROM k p JOIN k q ON p.grp = q.grp AND p.box <> q.box AND p.x0 - p.gap <= q.x1 AND q.x0 - p.gap <= p.x1 AND p.y0 - p.gap <= q.y1 AND q.y0 - p.gap <= p.y1),
 w(node, c) AS (SELECT k, k FROM k UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.node), r AS (SELECT node, min(c) AS c FROM w GROUP BY node), s AS (SELECT split_part(node, '/', 1) AS grp, c, count(*) AS n FROM r GROUP BY 1, 2)
 SELECT CAST(grp AS BIGINT) AS grp, CAST(count(*) FILTER (n >= greatest(2, 0.25 * t)) AS BIGINT) AS figures, round(max(n) / max(t), 9) AS main FROM (SELECT *, sum(n) OVER (PARTITION BY grp) AS t FROM s) GROUP BY 1"""
 
 
 @demo(FIGURES_SQL)
 def job8_figure_stats(t):
-    return C.figure_stats(t.sql(BOXES), "grp", "box", 1.0).withColumn("main", F.round("main", 9)).drop("clusters")
+    return C.figure_stats(t.sql(BOXES), "grp", "box").withColumn("main", F.round("main", 9)).drop("clusters")
 
 
 @demo("""SELECT coalesce(p_brand, 'unlabelled') AS family, count(*) AS n, count(DISTINCT p_name) AS objects, max(p_size) AS largest FROM part GROUP BY 1""")
