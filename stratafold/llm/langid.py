@@ -21,8 +21,8 @@ HIDDEN = 8
 LANES = 2048
 #: Texts of each language that the network is fitted on, about, and windows taken from each text.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 600, 8
-#: Languages that are learned at most: those of most texts, ties by name. It bounds the labelled rows in one task.
-MOST_LANGUAGES = 200
+#: Labelled texts in the one task that fits, about: beyond 200 languages each has fewer texts, and none is left out.
+MOST_TEXTS = 120_000
 #: Optimiser steps and windows in each.
 STEPS, BATCH = 500, 128
 #: Bytes of text that a task holds as windows at once.
@@ -188,19 +188,22 @@ def scrambled(texts: list[str], rng: np.random.Generator) -> list[bytes]:
 def train_language_model(df: DataFrame, id_col: str, text_col: str, lang_col: str, noise: bool = False) -> tuple[list[str], bytes]:
     """Languages in order and the fitted weights, from rows whose text and language are not null.
 
-    Of each language, ``MOST_LANGUAGES`` at most, about ``TEXTS_PER_LANGUAGE`` texts are drawn by a hash of
+    Of each language about ``TEXTS_PER_LANGUAGE`` texts, and of all ``MOST_TEXTS``, are drawn by a hash of
     the id, and from each ``WINDOWS_PER_TEXT`` windows spread over its whole length. One task fits the
     network on these. With ``noise`` one label more is learned, of the same windows scrambled.
     Without any such row there are no languages and no weights.
     """
     known = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {k: n for k, n in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}  # noqa: C416
-    languages = sorted(counts)
+    scale = 1 << 30
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(scale))
+    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()  # one row for each label
+    languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], b""
-    scale = 1 << 30
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(scale, scale * TEXTS_PER_LANGUAGE // n + 1)))])
-    drawn = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(scale)) < F.coalesce(share[F.col(lang_col)], F.lit(0)))
+    texts = max(1, min(TEXTS_PER_LANGUAGE, MOST_TEXTS // len(languages)))
+    # The first text by hash is always drawn, so that no label is without one.
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(max(r["first"] + 1, min(scale, scale * texts // r["n"] + 1))))])
+    drawn = known.filter(place < F.coalesce(share[F.col(lang_col)], F.lit(0)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

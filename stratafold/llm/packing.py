@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafold.llm.storage import stored
 from stratafold.llm.tokens import byte_bpe
 
 #: Pieces that one group packs; groups are drawn by hash, so each sees the same mix of lengths.
@@ -102,16 +103,26 @@ def pack_pieces(pieces: DataFrame, capacity: int, groups: int) -> DataFrame:
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
         return rows.drop(columns="part")
 
-    part = F.pmod(F.xxhash64("id", "piece"), F.lit(groups))
-    return pieces.withColumn("part", part).groupBy("part").applyInPandas(pack, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # The row's own number spreads rows of one id, and equal rows, over the groups.
+    part = F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(groups))
+    # Ids travel as text, for an integer with nulls would turn into a float.
+    packed = pieces.withColumn("part", part).withColumn("id", F.col("id").cast("string")).groupBy("part").applyInPandas(pack, PLACED)
+    return packed.withColumn("id", F.col("id").cast("long"))
+
+
+PLACED = "id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def pack_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int = 2, capacity: int = 1024, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Packs every document into sequences of at most ``capacity`` ids; a row for each piece.
 
-    Groups of about ``group_pieces`` documents are drawn by a hash and packed apart, so one task holds
-    a bounded number of lengths and never a text; each group can leave one sequence unfilled. Null
-    texts are packed as their end id; an empty table gives an empty result; other columns are not read.
+    Pieces of ``capacity`` ids are sequences by themselves. The others are dealt by a hash into groups of about
+    ``group_pieces`` and packed apart, so one task holds a bounded number of lengths and never a text;
+    each group can leave one sequence unfilled. Null texts are packed as their end id; repeated rows are
+    packed each; an empty table gives an empty result; other columns are not read.
     """
-    groups = max(1, -(-df.count() // group_pieces))
-    return pack_pieces(token_pieces(df, id_col, text_col, vocabulary, end_id, capacity), capacity, groups).withColumnRenamed("id", id_col)
+    pieces = stored(token_pieces(df, id_col, text_col, vocabulary, end_id, capacity), "pieces")
+    part = pieces.filter(F.col("length") < capacity)
+    full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    packed = pack_pieces(part, capacity, max(1, -(-part.count() // group_pieces)))
+    return packed.unionByName(full).withColumnRenamed("id", id_col)

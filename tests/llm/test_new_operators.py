@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratafold.llm import lexical, merkle, mixture, queries
+from stratafold.llm import langid, lexical, merkle, mixture, packing, queries
 
 WORDS = ["the", "of", "Thand", "érable", "ét", "x1,", "don't", "\n", "  ", "<|endoftext|>", "naïve.", "123", "😀", "\t", "ΣΑΣ", " "]
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, queue string, at long, tree string, block string, term string, score long"
@@ -190,3 +190,22 @@ def test_accumulators_are_limited_and_results_whole():
         want = sorted((-whole[d], ids[d], d) for d in range(n) if whole[d] > 0)[:k]
         best, score = lexical.best_of_block(lists, gains, n, ids, k)
         assert [(-s, ids[d], d) for d, s in zip(best, score, strict=True)] == want
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_TEXTS", 30)
+    monkeypatch.setattr(langid, "STEPS", 2)
+    rows = [(k, f"word{k % 40} text", f"l{k % 40:02d}") for k in range(80)]
+    languages, _ = langid.train_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert languages == [f"l{k:02d}" for k in range(40)]
+
+
+def test_packing_groups_count_pieces(spark):
+    # Four documents of many pieces, without ids and equal: the groups hold pieces, not documents.
+    df = spark.createDataFrame([(None, "word other " * 3000)] * 4, "doc_id long, text string")
+    got = packing.pack_documents(df, "doc_id", "text", queries.BPE, capacity=64, group_pieces=2).collect()
+    full = [r for r in got if r["length"] == 64]
+    part = [r for r in got if r["length"] < 64]
+    assert len({r["sequence_id"] for r in full}) == len(full) > 100 and all(r["offset"] == 0 for r in full)
+    assert len(part) == 4 and len({r["sequence_id"] for r in part} & {r["sequence_id"] for r in full}) == 0
+    assert Counter(r["piece"] for r in got) == dict.fromkeys(range(max(r["piece"] for r in got) + 1), 4)
