@@ -245,3 +245,39 @@ def visibility_at(items: DataFrame, item: str, unit: str, flag: str, alpha: str,
     rows = rows.withColumn("__lit", F.col("__low") >= 0.5).withColumn("__alpha", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(alpha) * F.least(F.lit(1.0), F.col("__low")))))
     u = rows.groupBy(unit, t).agg(F.count("*").alias("items"), F.count_if(F.col("__lit") & F.col(flag)).alias("shown"), F.count_if("__lit").alias("could"), F.avg("__alpha").alias("alpha"))
     return u.withColumn("woken", F.col("shown") < least * F.col("could"))
+
+
+def interned_sets(rows: DataFrame, owner: str, place: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """((owner, set), (set, place, item)): each distinct list of items once, under a dense number, and which list an owner has.
+
+    Lists are told apart by 128 bits of hashes of their items and places, added up, so no list is gathered.
+    """
+    hashes = [F.sum(F.pmod(F.xxhash64(place, item, F.lit(k)), F.lit(1 << 40))).alias(f"__h{k}") for k in range(3)]
+    own = cut(rows.groupBy(owner).agg(F.count("*").alias("__n"), *hashes))
+    keys = ["__n", "__h0", "__h1", "__h2"]
+    speakers = aggs.numbered_rows(own.groupBy(*keys).agg(F.min(owner).alias("__speaker")), ["__speaker"], "set")
+    lists = rows.join(speakers.select(F.col("__speaker").alias(owner), "set"), owner).select("set", place, item)
+    return own.join(speakers.drop("__speaker"), keys).select(owner, "set"), lists
+
+
+def browse_table(
+    assets: DataFrame, asset: str, name: str, kind: str, image: str, usage: DataFrame, holder: str, duplicates: DataFrame, sets: DataFrame | None = None, details: dict[str, DataFrame] | None = None, most: int = 25
+) -> DataFrame:
+    """One row for each asset as a browser shows it, those with an image first, then by kind and name.
+
+    Beside the asset's own columns: used (how many distinct holders), used_by (the first ``most`` of them by name), copies (rows
+    of its duplicate group, itself included; 1 without one) and duplicate, set (from ``interned_sets``), and a
+    struct for each of ``details``, tables of one row an asset at most, such as its clip or its place on a page; null without one.
+    usage: (asset, holder); duplicates: (asset, component). Sorted by ranges, so that a file holds few kinds.
+    """
+    links = usage.select(asset, holder).na.drop().distinct()
+    first = links.withColumn("__r", F.row_number().over(Window.partitionBy(asset).orderBy(holder))).filter(F.col("__r") <= most)
+    listed = first.groupBy(asset).agg(F.array_sort(F.collect_list(holder)).alias("used_by"))
+    counts = links.groupBy(asset).agg(F.count("*").alias("used"))
+    sizes = duplicates.groupBy("component").agg(F.count("*").alias("copies"))
+    rows = assets.join(counts, asset, "left").join(listed, asset, "left").join(duplicates.select(asset, "component").join(sizes, "component").select(asset, "copies"), asset, "left")
+    rows = rows.withColumns({"used": F.coalesce("used", F.lit(0)), "used_by": F.coalesce("used_by", F.array().cast("array<string>")), "copies": F.coalesce("copies", F.lit(1))}).withColumn("duplicate", F.col("copies") > 1)
+    rows = rows.join(sets, asset, "left") if sets is not None else rows
+    for title, table in (details or {}).items():
+        rows = rows.join(table.select(asset, F.struct(*[c for c in table.columns if c != asset]).alias(title)), asset, "left")
+    return rows.orderBy(F.col(image).isNull(), kind, name, asset)

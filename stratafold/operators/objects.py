@@ -55,6 +55,39 @@ def bind_clips(candidates: DataFrame, clip: str, holder: str, most: int = 8) ->
     return g.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
+def bind_clip_paths(clips: DataFrame, holders: DataFrame, rigs: DataFrame, animators: DataFrame, most: int = 8) -> DataFrame:
+    """(clip, holder, prefix, bound, matched): the one holder that explains most of a clip's paths, and where in it these begin.
+
+    clips: (clip, path); holders: (clip, holder, place), of which the first ``most`` by place and name count; rigs: (holder,
+    path) of all nodes of a holder; animators: (clip, holder, root) where a holder plays the clip itself.
+
+    A holder with such a root beats all without, and explains the paths that exist below it. Others explain
+    the paths that they have from their own root. Then the number of paths counts, the place and the root.
+    Where no root is given, paths are ends of the holder's paths: the prefix that makes most of them whole is taken,
+    the shortest of equals, then the smaller; it is empty if none does. Nulls take no part.
+    """
+    paths, rigs = cut(clips.select("clip", "path").na.drop().distinct()), cut(rigs.select("holder", "path").na.drop().distinct())
+    order = Window.partitionBy("clip").orderBy("place", "holder")
+    first = holders.groupBy("clip", "holder").agg(F.min("place").alias("place")).na.drop(subset=["clip", "holder"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    first = cut(first.join(animators.select("clip", "holder", "root").na.drop().distinct(), ["clip", "holder"], "left"))
+    # An empty path is the root itself, and an empty root puts nothing before.
+    whole = F.when(F.coalesce("root", F.lit("")) == "", F.col("path")).when(F.col("path") == "", F.col("root")).otherwise(F.concat_ws("/", "root", "path"))
+    hit = first.join(paths, "clip").withColumn("path", whole).join(rigs, ["holder", "path"], "left_semi")
+    matched = hit.groupBy("clip", "holder", F.coalesce("root", F.lit("")).alias("r"), F.col("root").isNotNull().alias("b")).agg(F.count("*").alias("matched"))
+    scored = first.withColumn("r", F.coalesce("root", F.lit(""))).withColumn("b", F.col("root").isNotNull()).join(matched, ["clip", "holder", "r", "b"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    best = Window.partitionBy("clip").orderBy(F.desc("b"), F.desc("matched"), "place", "r")
+    chosen = cut(scored.withColumn("k", F.row_number().over(best)).filter("k = 1").select("clip", "holder", "r", F.col("b").alias("bound"), "matched"))
+    # All ways to cut a path of a chosen holder in two.
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    cuts = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("prefix"), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/").alias("path")))
+    loose = chosen.filter("not bound").select("clip", "holder")
+    ends = rigs.join(loose.select("holder").distinct(), "holder", "left_semi").select("holder", F.explode(cuts).alias("e")).select("holder", "e.*").distinct()
+    met = loose.join(paths, "clip").join(ends, ["holder", "path"]).groupBy("clip", "prefix").agg(F.count("*").alias("n"), F.bool_or((F.col("path") != "") | (F.col("prefix") == "")).alias("real")).filter("real")
+    prefix = met.groupBy("clip").agg(F.min(F.struct((-F.col("n")).alias("n"), F.length("prefix").alias("l"), "prefix")).alias("p")).select("clip", "p.prefix", (-F.col("p.n")).alias("explained"))
+    out = chosen.join(prefix, "clip", "left")
+    return out.select("clip", "holder", F.when(F.col("bound"), F.col("r")).otherwise(F.coalesce("prefix", F.lit(""))).alias("prefix"), "bound", F.when(F.col("bound"), F.col("matched")).otherwise(F.coalesce("explained", F.lit(0))).alias("matched"))
+
+
 def visibility(toggles: DataFrame, unit: str, item: str, toggle: str, flag: str, least: float = 0.4) -> DataFrame:
     """(unit, items, shown, could, woken): items that all their toggles (on from 0.5) and any flag show.
 

@@ -99,6 +99,28 @@ def snk3_browse_table(t):
     return rows.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "c_name", "n_name", F.coalesce("lines", F.lit(0)).alias("lines"), "quantity")
 
 
+@demo("""WITH u AS (SELECT DISTINCT l_partkey AS p, CAST(l_suppkey AS VARCHAR) AS h FROM lineitem), r AS (SELECT p, h, row_number() OVER (PARTITION BY p ORDER BY h) AS r, count(*) OVER (PARTITION BY p) AS used FROM u),
+l AS (SELECT p, max(used) AS used, string_agg(h, ',' ORDER BY h) FILTER (r <= 25) AS used_by FROM r GROUP BY 1)
+SELECT p_partkey, p_name, p_brand, CASE WHEN p_size % 3 > 0 THEN 'img/' || p_partkey END AS image, coalesce(used, 0) AS used, coalesce(used_by, '') AS used_by, count(*) OVER (PARTITION BY p_name) AS copies,
+ count(*) OVER (PARTITION BY p_name) > 1 AS duplicate, CASE WHEN p_size > 10 THEN p_size END AS w FROM part LEFT JOIN l ON p = p_partkey""")
+def snk3_browse_records(t):
+    assets = t.part.select("p_partkey", "p_name", "p_brand", F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("img/"), F.col("p_partkey").cast("string"))).alias("image"))
+    usage = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").cast("string").alias("holder"))
+    copies = t.part.select("p_partkey", F.col("p_name").alias("component"))
+    rects = t.part.filter("p_size > 10").select("p_partkey", F.col("p_size").alias("w"))
+    rows = C.browse_table(assets, "p_partkey", "p_name", "p_brand", "image", usage, "holder", copies, details={"rect": rects})
+    return rows.select("p_partkey", "p_name", "p_brand", "image", "used", F.array_join("used_by", ",").alias("used_by"), "copies", "duplicate", F.col("rect.w").alias("w"))
+
+
+LISTS_SQL = "SELECT l_orderkey, string_agg(l_linenumber || l_returnflag || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS s FROM lineitem GROUP BY 1"
+
+
+@demo(f"WITH l AS ({LISTS_SQL}), m AS (SELECT l_orderkey, min(l_orderkey) OVER (PARTITION BY s) AS first FROM l) SELECT l_orderkey, dense_rank() OVER (ORDER BY first) AS set FROM m")
+def snk3_interned_sets(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("item"))
+    return C.interned_sets(rows, "l_orderkey", "l_linenumber", "item")[0]
+
+
 @demo("""SELECT o_custkey, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'engine' ELSE 'game' END AS origin, count(*) AS hold_count FROM orders GROUP BY 1""")
 def job4_mark_origin(t):
     return t.orders.groupBy("o_custkey").agg(F.when(F.bool_and(F.col("o_orderstatus") == "F"), "engine").otherwise("game").alias("origin"), F.count("*").alias("hold_count"))

@@ -149,9 +149,21 @@ def snk2_write_report(t):
     return t.spark.read.schema("status string, n long").json(folder)
 
 
-@demo("""SELECT 'documents' AS input, count(*) AS n, min(sha256(text)) AS low, max(sha256(text)) AS high FROM documents UNION ALL SELECT 'benchmark', count(*), min(sha256(text)), max(sha256(text)) FROM benchmark""")
+def _digest_sql(table):
+    sums = " || ',' || ".join(f"CAST(sum(CAST('0x' || substr(d, {8 * k + 1}, 8) AS BIGINT)) AS VARCHAR)" for k in range(8))
+    return f"SELECT '{table}' AS input, count(*) AS n, sha256(count(*) || ',' || {sums}) AS digest, min(d) AS low, max(d) AS high, 'v1' AS code FROM (SELECT sha256(text) AS d FROM {table})"
+
+
+@demo(f"{_digest_sql('documents')} UNION ALL {_digest_sql('benchmark')}")
 def gat10_provenance(t):
-    return K.provenance({"documents": (t.documents, "text"), "benchmark": (t.benchmark, "text")})
+    return K.provenance({"documents": (t.documents, "text"), "benchmark": (t.benchmark, "text")}, "v1")
+
+
+@demo("""WITH f AS (SELECT c_nationkey, 'n' || c_nationkey || '/lvl_' || c_custkey || '.json' AS path, count(*) OVER (PARTITION BY c_nationkey) AS files, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r FROM customer)
+SELECT c_nationkey, path, files FROM f WHERE files >= 12 AND r % greatest(files // 8, 1) = 0 AND r // greatest(files // 8, 1) < 8""")
+def src16_corpus_samples(t):
+    path = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("/lvl_"), F.col("c_custkey").cast("string"), F.lit(".json"))
+    return R.corpus_samples(t.customer.select("c_nationkey", path.alias("path")), "c_nationkey", "path")
 
 
 @demo("SELECT 'path/' || c_custkey AS rel_path, 'g' || c_custkey AS guid, c_acctbal AS size, row_number() OVER (ORDER BY 'path/' || c_custkey) AS row_id FROM customer")

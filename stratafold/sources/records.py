@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratafold.operators import windows
+
 NUMBER = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
 #: Class numbers of the documents that a hierarchy is read from.
 NODE, TRANSFORMS, RENDERERS, LEVELS_OF_DETAIL = 1, (4, 224), (23, 137, 212), 205
@@ -71,6 +73,25 @@ def parse_tilemaps(df: DataFrame, id_col: str, text: str, board: str, shelf: str
     )
 
 
+def corpus_samples(files: DataFrame, folder: str, path: str, least: int = 12, n: int = 8) -> DataFrame:
+    """Of each folder with ``least`` numbered files at least, ``n`` evenly spaced ones, in order of their number, as (folder, path, files).
+
+    The number is the first one in the file's name without its extension. Only names are looked at.
+    """
+    number = F.regexp_extract(F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1), r"(\d+)", 1).try_cast("decimal(38,0)")
+    rows = files.select(folder, path, number.alias("__k")).filter("__k is not null")
+    big = rows.groupBy(folder).agg(F.count("*").alias("files")).filter(F.col("files") >= least)
+    return windows.even_sample(rows.join(big, folder), folder, ["__k", path], n).select(folder, path, "files")
+
+
+def read_samples(spark: SparkSession, samples: DataFrame, path: str) -> DataFrame:
+    """(path, text) of the sampled files alone; there are a few for each folder, so their paths go through the driver."""
+    paths = [r[0] for r in samples.select(path).distinct().collect()]
+    if not paths:
+        return spark.createDataFrame([], "path string, text string")
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def fit_schema(samples: DataFrame, candidates: DataFrame, hint: str = "", least: float = 0.9) -> DataFrame:
     """(schema, score, fields, chosen) of each candidate (schema, field, kind) against samples (sample, field, value).
 

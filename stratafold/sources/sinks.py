@@ -23,9 +23,20 @@ def write_report(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
-def provenance(inputs: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(input, n, low, high): rows of each input, and the smallest and largest digest of its content column."""
-    one = lambda name, df, c: df.agg(F.count("*").alias("n"), F.min(F.sha2(c, 256)).alias("low"), F.max(F.sha2(c, 256)).alias("high")).select(F.lit(name).alias("input"), "n", "low", "high")
+def provenance(inputs: dict[str, tuple[DataFrame, str]], code: str | None = None) -> DataFrame:
+    """(input, n, digest, low, high, code): rows of each input, one digest of all its contents, the smallest and largest of a row's, and the version that read it.
+
+    The digest is that of the sums of the rows' digests, taken as eight numbers of 32 bits, so it tells any change, and
+    neither the order of the rows nor how they are split matters; a repeated row counts each time.
+    """
+
+    def one(name: str, df: DataFrame, c: str) -> DataFrame:
+        rows = df.select(F.sha2(c, 256).alias("d"))
+        sums = [F.sum(F.conv(F.substring("d", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(8)]
+        whole = rows.agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), *sums)
+        digest = F.sha2(F.concat_ws(",", "n", *[f"s{k}" for k in range(8)]), 256)
+        return whole.select(F.lit(name).alias("input"), "n", digest.alias("digest"), "low", "high", F.lit(code).cast("string").alias("code"))
+
     return reduce(DataFrame.unionByName, [one(name, df, c) for name, (df, c) in inputs.items()])
 
 
