@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from stratafold.operators.aggs import numbered_rows
 
 
-def upsert(old: DataFrame, new: DataFrame, row_id: str, path: str, guid: str) -> DataFrame:
-    """``new`` with row ids: the same path keeps its id, else the same guid keeps its id, else a new one."""
+def upsert(old: DataFrame, new: DataFrame, row_id: str, path: str, guid: str, top: int | None = None) -> DataFrame:
+    """``new`` with row ids: the same path keeps its id, else the same guid keeps its id, else a new one.
+
+    ``top`` is the highest id given so far; by default that of ``old``.
+    """
     by_path = old.select(path, F.col(row_id).alias("__by_path"))
     first = new.join(by_path, path, "left")
     taken = first.filter(F.col("__by_path").isNotNull()).select(F.col("__by_path").alias(row_id))
@@ -19,7 +22,7 @@ def upsert(old: DataFrame, new: DataFrame, row_id: str, path: str, guid: str) ->
     named = first.filter(F.col("__by_path").isNotNull()).withColumn("__by_guid", F.lit(None).cast("long"))
     rest = first.filter(F.col("__by_path").isNull()).join(free, guid, "left")
     known = named.unionByName(rest).withColumn(row_id, F.coalesce("__by_path", "__by_guid")).drop("__by_path", "__by_guid")
-    top = old.agg(F.coalesce(F.max(row_id), F.lit(0))).first()[0]
+    top = old.agg(F.coalesce(F.max(row_id), F.lit(0))).first()[0] if top is None else top
     fresh = numbered_rows(known.filter(F.col(row_id).isNull()).drop(row_id), [path], "__k")
     fresh = fresh.withColumn(row_id, (F.col("__k") + top).cast("long")).drop("__k")
     return known.filter(F.col(row_id).isNotNull()).unionByName(fresh)
