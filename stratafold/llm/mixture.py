@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm.merging import PairTable, merge_ragged
 from stratafold.llm.storage import stored
-from stratafold.llm.tokens import byte_letters
+from stratafold.llm.tokens import byte_letters, ragged, slices
 
 #: Tokens that a queue gives at a time; a window's share of a source is right to within one such unit, and what is owed is carried on.
 UNIT = 64
@@ -112,13 +112,6 @@ class WordVocabulary:
         return ragged(ids, sizes, which).astype(self.kind), np.diff(np.r_[0, before[ends]])
 
 
-def ragged(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The rows ``which`` of ragged ``values`` with rows of ``sizes``, one after the other."""
-    n = sizes[which]
-    starts = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n)
-    return values[np.repeat(starts, n) + np.arange(n.sum())]
-
-
 @functools.cache
 def word_vocabulary(path: str) -> WordVocabulary:
     """The vocabulary at ``path``, read once by each Python worker."""
@@ -138,9 +131,7 @@ def queued_tokens(df: DataFrame, id_col: str, text_col: str, source_col: str, vo
         words, block = word_vocabulary(vocabulary), TaskContext.get().partitionId()
         filled: dict[str, tuple[int, int]] = {}
         for b in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
-            edges = np.unique(np.r_[0, np.searchsorted(size, np.arange(SLICE_BYTES, size[-1] if len(size) else 0, SLICE_BYTES)), b.num_rows])
-            for start, stop in itertools.pairwise(edges.tolist()):
+            for start, stop in slices(b.column(2), SLICE_BYTES):
                 part = b.slice(start, stop - start)
                 ids, lengths = words.encode(part.column(2))
                 ends = np.cumsum(lengths + 1)

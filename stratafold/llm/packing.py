@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm.storage import stored
-from stratafold.llm.tokens import byte_bpe
+from stratafold.llm.tokens import byte_bpe, slices
 
 #: Pieces that one group packs; groups are drawn by hash, so each sees the same mix of lengths.
 GROUP_PIECES = 20_000
+#: Bytes of text that a task takes apart at once; a longer text is taken whole.
+SLICE_BYTES = 6_000_000
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -77,17 +79,25 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = byte_bpe(vocabulary), np.array([end_id], "<u4").tobytes()
+        bpe, names = byte_bpe(vocabulary), ["id", "piece", "start", "length", "ids_crc32"]
         for b in batches:
-            rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), bpe.encode(b.column(1).to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                rows += [(doc, k, s, e - s, zlib.crc32(ids[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(edges, edges[1:]))]
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
+            for start, stop in slices(b.column(1), SLICE_BYTES):
+                ids, lengths = bpe.encode_arrow(b.column(1).slice(start, stop - start))
+                whole = np.empty(len(ids) + len(lengths), "<u4")
+                last = np.zeros(len(whole), bool)
+                last[np.cumsum(lengths + 1) - 1] = True
+                whole[last], whole[~last] = end_id, ids
+                # The first piece of a text takes what is over.
+                n, number = lengths + 1, lengths // capacity + 1
+                doc = np.repeat(np.arange(len(n)), number)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+                head = lengths % capacity + 1
+                begin = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+                length = np.where(piece == 0, head[doc], capacity)
+                at, view = (np.cumsum(n) - n)[doc] + begin, memoryview(whole.tobytes())
+                crc = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [b.column(0).take(pa.array(doc + start)), pa.array(piece, pa.int32()), pa.array(begin), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")

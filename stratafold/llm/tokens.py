@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TABLE_ENTRIES = 200_000
 #: Characters of text that are split at once, which bounds a task's memory.
 SLICE_CHARS = 2_000_000
+#: Chunks of letters that the pattern takes as one word with the space before them, with a comma or a stop or without.
+PLAIN = r"^\p{L}+[,.]?$"
 #: Stands for a chunk whose text must be split as a whole; no ids have one byte.
 WHOLE = b"?"
 
@@ -136,6 +139,99 @@ class ByteBpe:
         return [b"".join(ids[x] if k % 2 else next(plain) for k, x in enumerate(p)) for p in pieces]
 
 
+    def encode_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, none null, one after the other, and the number of each text's ids, as ``encode`` gives them.
+
+        Distinct chunks are found by Arrow. Those of plain letters, with a comma or a stop behind them or not, are words
+        that are merged together; other chunks, and texts that must be split as a whole, go the way of ``encode``.
+        """
+        if self.special:
+            for s in self.specials:
+                if pc.any(pc.match_substring(texts, s)).as_py():
+                    return self._listed(list(self.encode(texts.to_pylist())))
+        lists = pc.split_pattern(texts, " ")
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.cumsum(lengths) - lengths
+        flat = lists.flatten()
+        # A text's first chunk has no space before it, and gets a mark that no other chunk has.
+        first = np.zeros(len(flat), bool)
+        first[begins] = True
+        coded = pc.if_else(pa.array(first), pc.binary_join_element_wise(pa.scalar(" "), flat, pa.scalar("")), flat).dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, sizes, odd = self._distinct(coded.dictionary)
+        rows = np.flatnonzero(np.logical_or.reduceat(odd[which], begins)) if len(begins) else np.empty(0, np.int64)
+        if len(rows):
+            whole, n = self._listed(self._whole(texts.take(pa.array(rows)).to_pylist()))
+            # Such a text is one chunk of its own, behind all others.
+            keep = np.ones(len(flat), bool)
+            keep[np.repeat(np.isin(np.arange(len(lengths)), rows), lengths)] = False
+            keep[begins[rows]] = True
+            which[begins[rows]] = len(sizes) + np.arange(len(rows))
+            ids, sizes, which = np.concatenate([ids, whole]), np.concatenate([sizes, n]), which[keep]
+            lengths[rows] = 1
+        before = np.r_[0, np.cumsum(sizes[which])]
+        return ragged(ids, sizes, which).astype("<u4"), np.diff(before[np.r_[0, np.cumsum(lengths)]])
+
+    @staticmethod
+    def _listed(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(packed), "<u4"), np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t in texts:
+            if len(self.words) > TABLE_ENTRIES:
+                self.words.clear()
+            words = self.pattern.findall(t)
+            self._learn_words(words)
+            out.append(b"".join(map(self.words.__getitem__, words)))
+        return out
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their number for each distinct chunk, and whether it needs its whole text."""
+        plain = pc.match_substring_regex(chunks, PLAIN).to_numpy(zero_copy_only=False)
+        held = chunks.filter(pa.array(plain))
+        stop = np.full(len(held), -1)
+        for k, c in enumerate(",."):
+            stop[pc.ends_with(held, c).to_numpy(zero_copy_only=False)] = k
+        # In the pattern's words the space before a chunk is its first letter.
+        words = pc.binary_join_element_wise(pa.scalar(" "), pc.utf8_rtrim(held, ",."), pa.scalar("")).dictionary_encode()
+        edges = np.frombuffer(words.dictionary.buffers()[1], np.int32)[: len(words.dictionary) + 1] if len(held) else np.zeros(1, np.int32)
+        raw = np.frombuffer(words.dictionary.buffers()[2], np.uint8)[: edges[-1]] if len(held) else np.empty(0, np.uint8)
+        ids, counts = merge_ragged(self.byte_ids[raw], np.diff(edges).astype(np.int64), self.pairs)
+        self._learn_words([",", "."])
+        asked = chunks.filter(pa.array(~plain)).to_pylist()
+        if len(self.chunks) > TABLE_ENTRIES or len(self.words) > TABLE_ENTRIES:
+            self.chunks.clear()
+            self.words.clear()
+            self._learn_words([",", "."])
+        self._learn_chunks([k for k in asked if k not in self.chunks])
+        found = [self.chunks[k] for k in asked]
+        other, n = self._listed([self.words[","], self.words["."], *(b"" if x == WHOLE else x for x in found)])
+        first, second = np.empty(len(chunks), np.int64), np.full(len(chunks), -1)
+        first[plain], first[~plain] = words.indices.to_numpy(zero_copy_only=False), len(counts) + 2 + np.arange(len(asked))
+        second[plain] = np.where(stop >= 0, len(counts) + stop, -1)
+        order = np.stack([first, second], 1).ravel()
+        order, own = order[order >= 0], np.repeat(np.arange(len(chunks)), 1 + (second >= 0))
+        sizes = np.concatenate([counts, n]).astype(np.int64)
+        odd = np.zeros(len(chunks), bool)
+        odd[~plain] = [x == WHOLE for x in found]
+        return ragged(np.concatenate([ids, other]), sizes, order), np.bincount(own, sizes[order], len(chunks)).astype(np.int64), odd
+
+
+def ragged(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The rows ``which`` of ragged ``values`` with rows of ``sizes``, one after the other."""
+    n = sizes[which]
+    starts = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n)
+    return values[np.repeat(starts, n) + np.arange(n.sum())]
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches (start, stop) of ``texts``, none null, of about ``size`` bytes; a longer text is one alone or ends one."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = np.unique(np.r_[0, np.searchsorted(total, np.arange(size, total[-1] if len(total) else 0, size)), len(texts)])
+    return itertools.pairwise(edges.tolist())
+
+
 @functools.cache
 def byte_bpe(path: str) -> ByteBpe:
     """The vocabulary at ``path``, read once by each Python worker.

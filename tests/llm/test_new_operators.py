@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratafold.llm import langid, lexical, merkle, mixture, packing, queries
+from stratafold.llm import langid, lexical, merkle, mixture, packing, queries, tokens
 
 WORDS = ["the", "of", "Thand", "érable", "ét", "x1,", "don't", "\n", "  ", "<|endoftext|>", "naïve.", "123", "😀", "\t", "ΣΑΣ", " "]
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, queue string, at long, tree string, block string, term string, score long"
@@ -209,3 +210,15 @@ def test_packing_groups_count_pieces(spark):
     assert len({r["sequence_id"] for r in full}) == len(full) > 100 and all(r["offset"] == 0 for r in full)
     assert len(part) == 4 and len({r["sequence_id"] for r in part} & {r["sequence_id"] for r in full}) == 0
     assert Counter(r["piece"] for r in got) == dict.fromkeys(range(max(r["piece"] for r in got) + 1), 4)
+
+
+def test_arrow_ids_equal_the_plain_way():
+    rnd = random.Random(1)
+    words = [*WORDS, "'s", "é.", "Ⅻ", "ª", " a", "a,.", "日本", "", ".", ","]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", "", "\n"]) for _ in range(rnd.randrange(12))) for _ in range(1500)]
+    bpe = tokens.ByteBpe(queries.BPE)
+    for group in (texts, [t for t in texts if "<|" not in t], [], [""], ["", " ", "x" * 5000 + " " * 9]):
+        for start, stop in tokens.slices(pa.array(group, pa.string()), 4000):
+            ids, n = bpe.encode_arrow(pa.array(group, pa.string()).slice(start, stop - start))
+            want = list(bpe.encode(group[start:stop]))
+            assert b"".join(want) == ids.tobytes() and [len(x) // 4 for x in want] == n.tolist()
