@@ -14,8 +14,8 @@ from stratafold.llm.storage import stored
 
 #: Vectors that divide the space into regions, classes of equal vectors in one tree, entries of a page.
 PIVOTS, CELL_CLASSES, PAGE = 64, 4096, 64
-#: Queries that one task holds beside one tree, and parts by which copies of one vector are first gathered.
-BLOCK_QUERIES, COPY_PARTS = 1024, 64
+#: Queries that one task holds beside one tree.
+BLOCK_QUERIES = 1024
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -184,8 +184,10 @@ def top_inner_products(df: DataFrame, id_col: str, vector_col: str, is_query: ob
     """
     spark = df.sparkSession
     rows = quantised(df, id_col, vector_col)
-    part = rows.groupBy("v", F.pmod("id", F.lit(COPY_PARTS)).alias("part")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
-    classes = part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    # Spark keeps the first k + 1 rows of a vector in each partition before it shuffles them.
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    first = rows.select("v", "id").distinct().withColumn("place", place).filter(F.col("place") <= k + 1)
+    classes = first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     norm = F.aggregate("v", F.lit(0).cast("double"), lambda a, e: a + e.cast("double") * e.cast("double"))
     classes = stored(classes.select(F.col("ids")[0].alias("id"), "v", "ids", norm.alias("norm"), F.size("v").alias("width")), "classes")
     top, width = classes.agg(F.max("norm"), F.max("width")).first()

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratafold.llm import langid, lexical, merkle, mixture, packing, queries, tokens
+from stratafold.llm import langid, lexical, merkle, mixture, packing, queries, tokens, topk
 
 WORDS = ["the", "of", "Thand", "érable", "ét", "x1,", "don't", "\n", "  ", "<|endoftext|>", "naïve.", "123", "😀", "\t", "ΣΑΣ", " "]
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, queue string, at long, tree string, block string, term string, score long"
@@ -222,3 +222,12 @@ def test_arrow_ids_equal_the_plain_way():
             ids, n = bpe.encode_arrow(pa.array(group, pa.string()).slice(start, stop - start))
             want = list(bpe.encode(group[start:stop]))
             assert b"".join(want) == ids.tobytes() and [len(x) // 4 for x in want] == n.tolist()
+
+
+def test_a_vector_common_to_most_rows(spark):
+    rows = [(k, [0.5, 0.25]) for k in range(3000, 0, -1)] + [(k, [0.5, k / 5000]) for k in range(3001, 3200)] + [(7, [0.5, 0.25])] * 20
+    got = topk.top_inner_products(spark.createDataFrame(rows, "v long, ids array<double>"), "v", "ids", F.col("id") % 1000 == 0, 4).collect()
+    scores = {k: np.floor(np.array(x) * 1024) for k, x in rows}
+    for q in (1000, 2000, 3000):
+        best = sorted((-int(scores[q] @ scores[k]), k) for k in scores if k != q)[:4]
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(k, -s) for s, k in best]
