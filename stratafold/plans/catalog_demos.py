@@ -204,6 +204,14 @@ def jon14_declared_states(t):
     return bundle_states(t)
 
 
+@demo("""WITH s AS (SELECT l_partkey AS bundle FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1 HAVING max(l_quantity) < 49)
+SELECT l_orderkey, count(DISTINCT l_partkey) AS missing FROM lineitem JOIN s ON bundle = l_partkey GROUP BY 1 ORDER BY 1 LIMIT 200""")
+def jon14_unreachable_entries(t):
+    declared = t.lineitem.select(F.col("l_partkey").alias("bundle"), "l_quantity")
+    states = J.declared_states(declared, "bundle", F.col("l_quantity") >= 49, t.part.filter("p_partkey % 3 <> 0"), "p_partkey")
+    return J.unreachable_entries(t.lineitem.withColumnRenamed("l_partkey", "bundle"), "l_orderkey", "bundle", states)
+
+
 @demo(f"""WITH s AS ({STATES_SQL}), n AS (SELECT DISTINCT l_orderkey AS entry, l_partkey AS bundle FROM lineitem), g AS (SELECT entry, bool_or(state = 'missing') AS gone FROM n JOIN s USING (bundle) GROUP BY 1)
 SELECT (SELECT count(*) FROM s WHERE state = 'local') AS local, (SELECT count(*) FROM s WHERE state = 'remote') AS remote, (SELECT count(*) FROM s WHERE state = 'missing') AS missing, CAST(0 AS BIGINT) AS unread,
 count(*) FILTER (gone) AS unreachable, count(*) AS entries FROM g""")

@@ -53,6 +53,16 @@ def prj13_placing(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", foot_w.alias("foot_w"), foot_h.alias("foot_h"), inside.alias("inside"))
 
 
+@demo("""SELECT l_orderkey, l_linenumber, round((0.5 * l_quantity - l_linenumber) / (l_quantity - l_linenumber), 9) AS share, round(1 - (0.5 * l_quantity - l_linenumber) / (l_quantity - l_linenumber), 9) AS flipped,
+CASE WHEN abs(l_quantity / (l_quantity - l_linenumber) - 2) <= 0.01 * greatest(l_quantity / (l_quantity - l_linenumber), 2) THEN round(l_quantity / (l_quantity - l_linenumber), 9) END AS scale
+FROM (SELECT l_orderkey, l_linenumber, l_quantity + 8 AS l_quantity FROM lineitem)""")
+def prj13_anchors(t):
+    full, off = F.col("l_quantity").cast("double") + 8, F.col("l_linenumber").cast("double")
+    share, flipped = (E.anchor(F.lit(0.5), full, off, full - off, flip) for flip in (False, True))
+    scale = E.fit_scale(full - off, F.lit(1.0), full, F.lit(2.0))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(share, 9).alias("share"), F.round(flipped, 9).alias("flipped"), F.round(scale, 9).alias("scale"))
+
+
 @demo("""SELECT p_partkey, p_size * least(100 / p_size, 40 / (p_size + 10)) AS w, (p_size + 10) * least(100 / p_size, 40 / (p_size + 10)) AS h, CAST(p_size + 45 AS DOUBLE) AS start, CAST(110 AS DOUBLE) AS length FROM part""")
 def prj19_layout(t):
     size = F.col("p_size").cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,11 +56,11 @@ def header_words(content: str, n: int = 4) -> Column:
     return F.when(F.length(content) >= 4 * n, F.array(*[word(k) for k in range(n)]))
 
 
-def _members(where: str, raw: bytes | None, depth: int, largest: int) -> Iterator[tuple]:
-    """Rows of one archive; those of archives inside it follow their own row, as ``archive!member``."""
+def archive_members(where: str, archive: BinaryIO, depth: int, largest: int, start: int = 0, stop: int | None = None) -> Iterator[tuple]:
+    """Rows of the members ``start`` to ``stop`` of an archive that can be sought in; those of archives inside it follow their own row, as ``archive!member``."""
     try:
-        with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
-            for m in z.infolist():
+        with zipfile.ZipFile(archive) as z:
+            for m in z.infolist()[start:stop]:
                 if m.is_dir():
                     continue
                 steps = m.filename.replace("\\", "/").split("/")
@@ -70,7 +71,7 @@ def _members(where: str, raw: bytes | None, depth: int, largest: int) -> Iterato
                 warning = f"an archive of more than {largest} bytes is not opened" if inner and body is None else None
                 yield where, m.filename, m.file_size, m.CRC, head, ".." in steps or steps[0] == "" or ":" in steps[0], warning
                 if body is not None:
-                    yield from _members(f"{where}!{m.filename}", body, depth - 1, largest)
+                    yield from archive_members(f"{where}!{m.filename}", io.BytesIO(body), depth - 1, largest)
     except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError) as e:
         yield where, None, None, None, None, None, str(e)
 
@@ -81,13 +82,13 @@ def explode_archives(df: DataFrame, path: str, content: str, nested: int = 0, la
     A member escapes if its path is absolute or climbs out of its archive. Only the head of a member is
     unpacked, but members that are archives themselves are opened down to ``nested`` levels, unless they
     are larger than ``largest`` bytes, which a warning tells. A null content is unreadable; an archive
-    without files gives no row.
+    without files gives no row. Whole archives are rows here; ``archives.read_archives`` reads files by seeking.
     """
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "member", "size", "crc", "head", "escapes", "warning"]
         for b in batches:
-            out = [row for where, raw in zip(b["path"], b["content"], strict=True) for row in _members(where, raw, nested, largest)]
+            out = [row for where, raw in zip(b["path"], b["content"], strict=True) for row in archive_members(where, io.BytesIO(raw or b""), nested, largest)]
             got = pd.DataFrame(out, columns=columns)
             yield got.astype({"size": "Int64", "crc": "Int64", "escapes": "boolean"})
 
