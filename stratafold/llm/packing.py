@@ -17,7 +17,7 @@ from stratafold.llm.tokens import byte_bpe, slices
 #: Pieces that one group packs; groups are drawn by hash, so each sees the same mix of lengths.
 GROUP_PIECES = 20_000
 #: Bytes of text that a task takes apart at once; a longer text is taken whole.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 1_000_000
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
