@@ -13,7 +13,8 @@ OLD, OLD_SQL = both("SELECT c_custkey AS row_id, concat('path/', CAST(c_custkey
 NEW, NEW_SQL = both("""SELECT concat('path/', CAST(c_custkey + CASE WHEN c_custkey % 10 = 2 THEN 100000 ELSE 0 END AS STRING)) AS rel_path, concat('g', CAST(c_custkey AS STRING)) AS guid, c_acctbal + 1 AS size FROM {customer} WHERE c_custkey % 10 <> 1""")
 
 
-@demo(f"""WITH o AS ({OLD_SQL}), n AS ({NEW_SQL}), j AS (SELECT n.rel_path, n.guid, coalesce(p.row_id, g.row_id) AS row_id FROM n LEFT JOIN o p ON n.rel_path = p.rel_path LEFT JOIN o g ON n.guid = g.guid)
+@demo(f"""WITH o AS ({OLD_SQL}), n AS ({NEW_SQL}), p AS (SELECT n.*, o.row_id FROM n LEFT JOIN o ON n.rel_path = o.rel_path),
+g AS (SELECT guid, min(row_id) AS row_id FROM o WHERE row_id NOT IN (SELECT row_id FROM p WHERE row_id IS NOT NULL) GROUP BY guid), j AS (SELECT p.rel_path, p.guid, coalesce(p.row_id, g.row_id) AS row_id FROM p LEFT JOIN g ON p.row_id IS NULL AND p.guid = g.guid)
 SELECT rel_path, guid, coalesce(row_id, (SELECT max(row_id) FROM o) + row_number() OVER (PARTITION BY row_id IS NULL ORDER BY rel_path)) AS row_id FROM j""")
 def set1_upsert(t):
     return I.upsert(t.sql(OLD), t.sql(NEW), "row_id", "rel_path", "guid").select("rel_path", "guid", "row_id")
