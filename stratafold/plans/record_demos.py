@@ -81,7 +81,7 @@ def jon9_resolve_candidate(t):
     return O.resolve_candidate(wanted, "want", files, "file")
 
 
-@demo("SELECT o_orderkey, o_custkey, 'cust_' || lpad(CAST(dense_rank() OVER (ORDER BY o_custkey) AS VARCHAR), 4, '0') AS label FROM orders")
+@demo("SELECT o_orderkey, o_custkey, 'cust_' || lpad(CAST(k AS VARCHAR), CAST(greatest(4, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS label FROM (SELECT *, dense_rank() OVER (ORDER BY o_custkey) AS k FROM orders)")
 def win7_dense_labels(t):
     return W.dense_labels(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", "cust_")
 

@@ -27,3 +27,8 @@ def both(spark, wide, name):
 def test_upsert_gives_no_id_twice(spark, wide):
     got, want = both(spark, wide, "set1_upsert")
     assert got == want and len({r[2] for r in want}) == len(want)
+
+
+def test_labels_of_more_than_9999_roots_differ(spark, wide):
+    got, want = both(spark, wide, "win7_dense_labels")
+    assert got == want and len({r[2] for r in want}) == 11_000
