@@ -32,3 +32,8 @@ def test_upsert_gives_no_id_twice(spark, wide):
 def test_labels_of_more_than_9999_roots_differ(spark, wide):
     got, want = both(spark, wide, "win7_dense_labels")
     assert got == want and len({r[2] for r in want}) == 11_000
+
+
+def test_packages_of_all_sizes_are_resolved(spark, wide):
+    got, want = both(spark, wide, "src8_resolve_packages")
+    assert got == want and sum(r[3] for r in want) == 300
