@@ -140,6 +140,13 @@ def multiset_signature(items: DataFrame, owner: str, item: str) -> DataFrame:
     return whole.select(owner, "n", F.md5(F.concat_ws(",", "n", *[f"__h{k}" for k in range(3)])).alias("signature"))
 
 
+def listed_digest(items: DataFrame, owner: str, item: str, owners: DataFrame) -> DataFrame:
+    """(owner, signature): md5 of the sorted items, joined by commas, of each of ``owners``; distinct items are gathered, with their numbers."""
+    counted = items.join(owners.select(owner).distinct(), owner, "left_semi").filter(F.col(item).isNotNull()).groupBy(owner, item).agg(F.count("*").cast("int").alias("__n"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col("__n").alias("n"))))
+    return counted.groupBy(owner).agg(F.md5(F.array_join(F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["i"], p["n"]))), ",")).alias("signature"))
+
+
 def repeated_units(signatures: DataFrame, owner: str, least: int = 2) -> DataFrame:
     """(signature, placements, speaker): signatures that repeat; the smallest owner speaks for them."""
     g = signatures.groupBy("signature").agg(F.count("*").alias("placements"), F.min(owner).alias("speaker"))

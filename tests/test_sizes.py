@@ -1,5 +1,8 @@
 """Queries against their SQL on keys beyond those of the smallest scales."""
 
+import hashlib
+from collections import defaultdict
+
 import duckdb
 import pytest
 
@@ -37,3 +40,22 @@ def test_labels_of_more_than_9999_roots_differ(spark, wide):
 def test_packages_of_all_sizes_are_resolved(spark, wide):
     got, want = both(spark, wide, "src8_resolve_packages")
     assert got == want and sum(r[3] for r in want) == 300
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def digests(spark):
+    """Orders of each digest of their sorted items."""
+    items, found = defaultdict(list), defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_returnflag", "l_linestatus").collect():
+        items[r[0]].append(r[1] + r[2])
+    for k, v in items.items():
+        found[hashlib.md5(",".join(sorted(v)).encode()).hexdigest()].append(k)
+    return found
+
+
+def test_repeated_units_have_their_signature(spark, digests):
+    got = catalogue.queries()["grf8_repeated_units"](spark, SF).collect()
+    assert {(r["signature"], r["placements"], r["speaker"]) for r in got} == {(d, len(v), min(v)) for d, v in digests.items() if len(v) > 1}
