@@ -189,6 +189,10 @@ def repeated_subtrees(nodes: DataFrame, node: str, parent: str, item: str, name:
     return g.select("shape", F.col("s.name").alias("name"), F.col("s.node").alias("speaker"), "drawn", "placements")
 
 
-def merge_units(units: DataFrame, file: str, signature: str = "signature", placements: str = "placements") -> DataFrame:
-    """(signature, placements, files, first): units of several files that share a signature add up; the smallest file keeps them."""
-    return units.groupBy(signature).agg(F.sum(placements).alias("placements"), F.count_distinct(file).alias("files"), F.min(file).alias("first"))
+def merge_units(units: DataFrame, file: str, signature: str = "signature", placements: str = "placements", speaker: str | None = None) -> DataFrame:
+    """(signature, placements, files, first): units of several files that share a signature add up; the smallest file keeps them.
+
+    With ``speaker`` the smallest of these is added.
+    """
+    more = [F.min(speaker).alias(speaker)] if speaker else []
+    return units.groupBy(signature).agg(F.sum(placements).alias("placements"), F.count_distinct(file).alias("files"), F.min(file).alias("first"), *more)

@@ -11,7 +11,8 @@ from stratafold.operators import joins as J
 from stratafold.operators import objects as O
 from stratafold.operators import scalar as S
 from stratafold.operators import windows as W
-from stratafold.plans.graph_demos import EDGES, EDGES_SQL
+from stratafold.operators.storage import cut
+from stratafold.plans.graph_demos import EDGES, EDGES_SQL, with_digest
 from stratafold.plans.job_demos import DUPLICATES_SQL, duplicate_rows
 from stratafold.plans.join_demos import ASOF_SQL, BOXES, NAMES
 from stratafold.plans.registry import demo
@@ -80,11 +81,12 @@ def grf8_repeated_subtrees(t):
 
 
 @demo("""WITH s AS (SELECT l_orderkey, md5(string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus)) AS signature FROM lineitem GROUP BY 1),
-u AS (SELECT o_custkey, signature, count(*) AS n FROM s JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) SELECT CAST(sum(n) AS BIGINT) AS placements, count(*) AS files, min(o_custkey) AS first FROM u GROUP BY signature""")
+u AS (SELECT o_custkey, signature, count(*) AS n FROM s JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) SELECT signature, CAST(sum(n) AS BIGINT) AS placements, count(*) AS files, min(o_custkey) AS first FROM u GROUP BY 1""")
 def grf9_merge_units_across(t):
     signed = G.multiset_signature(t.lineitem.withColumn("item", F.concat("l_returnflag", "l_linestatus")), "l_orderkey", "item")
-    units = signed.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "signature").agg(F.count("*").alias("placements"))
-    return G.merge_units(units, "o_custkey").drop("signature")
+    units = signed.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "signature").agg(F.count("*").alias("placements"), F.min("l_orderkey").alias("speaker"))
+    merged = cut(G.merge_units(units, "o_custkey", speaker="speaker").drop("signature"))
+    return with_digest(t, merged).select("signature", "placements", "files", "first")
 
 
 @demo(f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^?#]*)', 1) AS p, html FROM pages), q AS (SELECT *, lower(regexp_extract(p, '[.]([^./]*)$', 1)) AS ext, list_filter(string_split(lower(p), '/')[1:-2], lambda x: x IN ('en', 'fr')) AS f FROM p)

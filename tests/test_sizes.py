@@ -59,3 +59,10 @@ def digests(spark):
 def test_repeated_units_have_their_signature(spark, digests):
     got = catalogue.queries()["grf8_repeated_units"](spark, SF).collect()
     assert {(r["signature"], r["placements"], r["speaker"]) for r in got} == {(d, len(v), min(v)) for d, v in digests.items() if len(v) > 1}
+
+
+def test_units_of_several_files_have_their_signature(spark, digests):
+    owner = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect()}
+    got = catalogue.queries()["grf9_merge_units_across"](spark, SF).collect()
+    want = {d: [k for k in v if k in owner] for d, v in digests.items()}
+    assert {tuple(r) for r in got} == {(d, len(v), len({owner[k] for k in v}), min(owner[k] for k in v)) for d, v in want.items() if v}
