@@ -13,7 +13,7 @@ from stratafold.operators import scalar as S
 from stratafold.operators import windows as W
 from stratafold.operators.storage import cut
 from stratafold.plans.graph_demos import EDGES, EDGES_SQL, with_digest
-from stratafold.plans.job_demos import DUPLICATES_SQL, duplicate_rows
+from stratafold.plans.job_demos import DUPLICATES_SQL, FIGURES_SQL, duplicate_rows
 from stratafold.plans.join_demos import ASOF_SQL, BOXES, NAMES
 from stratafold.plans.registry import demo
 from stratafold.sources import files as D
@@ -265,9 +265,14 @@ def agg22_described_roots(t):
     return A.described_roots(rows, "path", "size", "scheme")
 
 
+@demo(FIGURES_SQL.replace("SELECT CAST(grp AS BIGINT) AS grp, ", "SELECT CAST(grp AS BIGINT) AS grp, count(*) AS clusters, "))
+def agg25_cluster_share(t):
+    return C.figure_stats(t.sql(BOXES), "grp", "box").withColumn("main", F.round("main", 9))
+
+
 @demo("""WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n, sum(count(*)) OVER (PARTITION BY l_suppkey) AS t FROM lineitem GROUP BY 1, 2)
 SELECT l_suppkey, count(*) AS clusters, count(*) FILTER (n >= greatest(2, 0.25 * t)) AS figures, round(max(n) / max(t), 9) AS main FROM c GROUP BY 1""")
-def agg25_cluster_share(t):
+def agg25_group_share(t):
     return A.cluster_share(t.lineitem, "l_suppkey", "l_returnflag").withColumn("main", F.round("main", 9))
 
 

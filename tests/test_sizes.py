@@ -66,3 +66,9 @@ def test_units_of_several_files_have_their_signature(spark, digests):
     got = catalogue.queries()["grf9_merge_units_across"](spark, SF).collect()
     want = {d: [k for k in v if k in owner] for d, v in digests.items()}
     assert {tuple(r) for r in got} == {(d, len(v), len({owner[k] for k in v}), min(owner[k] for k in v)) for d, v in want.items() if v}
+
+
+def test_cluster_shares_are_of_touching_boxes(spark):
+    shares = {r["grp"]: (r["clusters"], r["figures"], r["main"]) for r in catalogue.queries()["agg25_cluster_share"](spark, SF).collect()}
+    figures = {r["grp"]: (r["figures"], r["main"]) for r in catalogue.queries()["job8_figure_stats"](spark, SF).collect()}
+    assert {k: v[1:] for k, v in shares.items()} == figures and max(v[0] for v in shares.values()) > 2
