@@ -175,15 +175,18 @@ def repeated_subtrees(nodes: DataFrame, node: str, parent: str, item: str, name:
     are left out. Of each shape the node with the shortest name, then the smaller one, then the smaller
     id speaks for the others; placements counts them. The number of jobs does not grow with the depth.
     """
-    shapes = subtree_shapes(nodes, node, parent, item).filter("drawn > 0")
-    again = shapes.groupBy("shape").agg(F.count("*").alias("__n"))
-    shapes = cut(shapes.join(again, "shape").withColumn("again", (F.col("__n") > 1).cast("long")).drop("__n"))
-    under = trees.subtree_totals(shapes, "node", "parent", "shape", {"below": F.col("again")}).select("node", "below")
-    whole = (F.col("again") > 0) | ((F.col("drawn") <= most) & (F.col("below") == F.col("again")))
-    marked = cut(shapes.join(under, "node").withColumn("whole", whole))
-    # A subtree is cut off where it is whole and nothing above it is.
-    open_ = trees.handed_down(marked.withColumn("open", ~F.col("whole")), "node", "parent", {"open": "all"}).filter("open").select(F.col("node").alias("parent"))
-    found = marked.filter("whole and parent is null").unionByName(marked.filter("whole").join(open_, "parent", "left_semi").select(marked.columns))
+    shapes = cut(subtree_shapes(nodes, node, parent, item).filter("drawn > 0"))
+    again = cut(shapes.groupBy("shape").agg(F.count("*").alias("__n")).filter("__n > 1").select("shape"))
+    # All below a shape that occurs again occurs again, so only small shapes that occur once are looked through.
+    once = shapes.join(again, "shape", "left_anti").select("node", "parent", "drawn")
+    small = once.filter(F.col("drawn") <= most).select("node", "parent")
+    held = shapes.join(again, "shape", "left_semi").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("again"))
+    counted = small.join(held, "node", "left").withColumn("again", F.coalesce("again", F.lit(0).cast("long"))).withColumn("item", F.lit(None).cast("string"))
+    below = trees.subtree_totals(counted, "node", "parent", "item", {"below": F.col("again")}).filter("below = 0").select("node")
+    # Likewise all below a whole subtree is whole, so a subtree is cut off where it is whole and what it hangs on is not.
+    open_ = cut(once.join(below, "node", "left_anti").select("node"))
+    above = open_.select(F.col("node").alias("parent"))
+    found = shapes.filter("parent is null").join(open_, "node", "left_anti").unionByName(shapes.join(above, "parent", "left_semi").join(open_, "node", "left_anti"))
     names = nodes.select(F.col(node).alias("node"), F.coalesce(F.col(name), F.lit("")).alias("name"))
     g = found.join(names, "node").groupBy("shape").agg(F.min(F.struct(F.length("name").alias("n"), "name", "node")).alias("s"), F.max("drawn").alias("drawn"), F.count("*").alias("placements"))
     return g.select("shape", F.col("s.name").alias("name"), F.col("s.node").alias("speaker"), "drawn", "placements")

@@ -6,6 +6,8 @@ from collections import defaultdict
 import duckdb
 import pytest
 
+from stratafold.operators import graph as G
+from stratafold.operators import trees
 from stratafold.plans import catalogue
 
 
@@ -72,3 +74,11 @@ def test_cluster_shares_are_of_touching_boxes(spark):
     shares = {r["grp"]: (r["clusters"], r["figures"], r["main"]) for r in catalogue.queries()["agg25_cluster_share"](spark, SF).collect()}
     figures = {r["grp"]: (r["figures"], r["main"]) for r in catalogue.queries()["job8_figure_stats"](spark, SF).collect()}
     assert {k: v[1:] for k, v in shares.items()} == figures and max(v[0] for v in shares.values()) > 2
+
+
+def test_subtrees_that_repeat_are_not_looked_through(spark, monkeypatch):
+    read, plain = [], trees.subtree_totals
+    monkeypatch.setattr(trees, "subtree_totals", lambda nodes, *more: read.append(nodes.count()) or plain(nodes, *more))
+    rows = [(f"r{k}", None, f"own{k}") for k in range(3)] + [(f"r{k}.{j}", f"r{k}", "leaf") for k in range(3) for j in range(40)]
+    got = G.repeated_subtrees(spark.createDataFrame(rows, "node string, parent string, item string").selectExpr("*", "node AS name"), "node", "parent", "item", "name").collect()
+    assert read == [123, 0] and [(r["name"], r["placements"]) for r in got] == [("r0.0", 120)]
