@@ -158,12 +158,13 @@ def numbered_rows(df: DataFrame, order: list[str], number: str) -> DataFrame:
     ranged = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     sizes = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one number for each range
     before, starts = 0, []
-    for p in sorted(sizes):
-        starts.append((p, before))
-        before += sizes[p]
-    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "__p int, __o long")
+    for p in range(max(sizes, default=0) + 1):
+        starts.append(before)
+        before += sizes.get(p, 0)
+    # A literal, not a table of unknown size, so that joins with few numbered rows are planned as broadcasts.
+    offset = F.get(F.array(*[F.lit(o).cast("long") for o in starts]), F.col("__p"))
     ranked = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    return ranked.join(F.broadcast(offsets), "__p").withColumn(number, F.col("__o") + F.col("__r")).drop("__p", "__r", "__o")
+    return ranked.withColumn(number, offset + F.col("__r")).drop("__p", "__r")
 
 
 def progress_curve(df: DataFrame, order: list[str], metric: str, least_block: int = 20, parts: int = 20) -> DataFrame:

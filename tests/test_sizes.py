@@ -6,6 +6,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
+from stratafold.operators import aggs as A
 from stratafold.operators import graph as G
 from stratafold.operators import trees
 from stratafold.plans import catalogue
@@ -82,3 +83,11 @@ def test_subtrees_that_repeat_are_not_looked_through(spark, monkeypatch):
     rows = [(f"r{k}", None, f"own{k}") for k in range(3)] + [(f"r{k}.{j}", f"r{k}", "leaf") for k in range(3) for j in range(40)]
     got = G.repeated_subtrees(spark.createDataFrame(rows, "node string, parent string, item string").selectExpr("*", "node AS name"), "node", "parent", "item", "name").collect()
     assert read == [123, 0] and [(r["name"], r["placements"]) for r in got] == [("r0.0", 120)]
+
+
+def test_few_interned_values_are_broadcast(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 3 AS v")
+    values, got = A.intern_values(rows, ["v"])
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {tuple(r) for r in got.collect()} == {(k, k % 3, k % 3 + 1) for k in range(1000)}
