@@ -217,17 +217,21 @@ def position_code(name: str | Column, words: dict[str, str]) -> tuple[Column, Co
     Two neighbouring words that make a position word together, such as ``top_left`` where ``topleft`` is
     one, count as that if the first is one by itself. Numbers at the end of the stem go; others tell names apart and stay.
     """
-    tokens, codes = name_tokens(name), F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    codes = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
     known = list(words)
     state = lambda code, stem: F.struct(code.alias("code"), stem.alias("stem"))
 
-    def step(s: Column, k: Column) -> Column:
-        word, pair = F.get(tokens, k), F.concat(F.get(tokens, k), F.coalesce(F.get(tokens, k + 1), F.lit("")))
+    def step(s: Column, x: Column) -> Column:
+        word, pair = x["word"], x["pair"]
         code = F.when(s["code"].isNotNull(), s["code"]).when(word.isin(known) & pair.isin(known), codes[pair]).otherwise(codes[word])
         return state(code, F.when(word.isin(known), s["stem"]).otherwise(F.array_append(s["stem"], word)))
 
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    end = F.aggregate(places, state(F.lit(None).cast("string"), F.array().cast("array<string>")), step)
-    stem = F.regexp_replace(F.array_join(end["stem"], "_"), "(^|_)[0-9]+(_[0-9]+)*$", "")
-    good = end["code"].isNotNull() & (stem != "")
-    return F.when(good, stem), F.when(good, end["code"])
+    def coded(tokens: Column) -> Column:
+        words = F.transform(tokens, lambda w, k: F.struct(w.alias("word"), F.concat(w, F.coalesce(F.get(tokens, k + 1), F.lit(""))).alias("pair")))
+        end = F.aggregate(words, state(F.lit(None).cast("string"), F.array().cast("array<string>")), step)
+        return F.transform(F.array(end), lambda e: state(e["code"], F.regexp_replace(F.array_join(e["stem"], "_"), "(^|_)[0-9]+(_[0-9]+)*$", "")))[0]
+
+    # Bound by a lambda, the words are made once for a name, not once for each mention.
+    found = F.transform(F.array(name_tokens(name)), coded)[0]
+    good = found["code"].isNotNull() & (found["stem"] != "")
+    return F.when(good, found["stem"]), F.when(good, found["code"])

@@ -8,6 +8,7 @@ import pytest
 
 from stratafold.operators import aggs as A
 from stratafold.operators import graph as G
+from stratafold.operators import scalar as S
 from stratafold.operators import trees
 from stratafold.plans import catalogue
 
@@ -91,3 +92,10 @@ def test_few_interned_values_are_broadcast(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert {tuple(r) for r in got.collect()} == {(k, k % 3, k % 3 + 1) for k in range(1000)}
+
+
+def test_position_words_are_made_once_for_a_name(spark):
+    stem, position = S.position_code("name", {"top": "t", "left": "l", "topleft": "tl"})
+    df = spark.createDataFrame([("Crate_top_left_2",), ("crate",), ("top",), (None,), ("a left b top",)], "name string").select("name", stem.alias("stem"), position.alias("position"))
+    assert [tuple(r)[1:] for r in df.collect()] == [("crate", "tl"), (None, None), (None, None), (None, None), ("a_b", "l")]
+    assert df.select("stem")._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4  # one for each mention of the finished record
