@@ -184,7 +184,9 @@ def model_table(draws: DataFrame, obj: str, mesh: str, slot: str, material: str,
     names the texture that a material binds, if any; textured tells whether one of the mesh's does.
     """
     bound = materials.groupBy(material).agg(F.max(texture).alias("__t"))
-    rows = draws.join(bound, material, "left")
+    # Dealt into all partitions before lists are made, so that a task sorts few rows for its lists.
+    parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = draws.join(bound, material, "left").repartition(parts, obj, mesh)
     sets = rows.groupBy(obj, mesh, "placement").agg(F.array_sort(F.collect_list(F.struct(slot, material))).alias("__m"), F.bool_or(F.col("__t").isNotNull()).alias("textured"))
     named = sets.withColumn("materials", F.array_join(F.transform("__m", lambda x: x[material].cast("string")), ","))
     return named.groupBy(obj, mesh, "materials", "textured").agg(F.count("*").alias("placements"))

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from stratafold.operators import aggs as A
+from stratafold.operators import catalog as C
 from stratafold.operators import graph as G
 from stratafold.operators import joins as J
 from stratafold.operators import scalar as S
@@ -110,3 +111,10 @@ def test_rows_of_one_name_meet_the_vocabulary_once(spark):
     assert {tuple(r) for r in got.collect()} == {(k, "Red oak") for k in range(5000) if k % 5 and k != 7}
     # Nothing is grouped by row: the runs of 4,000 rows of a name are never sorted.
     assert not re.search(r"Aggregate \[id#", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_models_are_dealt_before_lists_are_made(spark):
+    draws = spark.createDataFrame([(o, m, p, s, (o + s) % 3) for o in range(20) for m in range(2) for p in range(3) for s in range(2)], "obj long, mesh long, placement long, slot long, material long")
+    got = C.model_table(draws, "obj", "mesh", "slot", "material", spark.createDataFrame([(0, "t"), (1, None)], "material long, texture string"), "texture")
+    assert {tuple(r) for r in got.collect()} == {(o, m, f"{o % 3},{(o + 1) % 3}", 0 in (o % 3, (o + 1) % 3), 3) for o in range(20) for m in range(2)}
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
