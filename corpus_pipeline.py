@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm import langid, lines, neardup, packing
 from stratafold.llm.storage import shared_folder, stored
+from stratafold.llm.urls import maybe_listed
 
 #: A text is rejected as letters without a language if that has this probability at least, averaged over its bytes,
 #: and a higher one than in this share of the labelled texts that are held out of learning and labelled rightly.
@@ -46,17 +47,21 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One row of each group of near duplicates, the one with the smallest id; a null id is the largest.
 
     Rows are told apart by a hash of id and text, so null ids and ids of several texts do no harm. Of rows
-    that repeat both, one stays. Texts without words are in no group and stay.
+    that repeat both, one stays. Texts without words are in no group and stay. Texts that stay for
+    certain, by a filter of all rows that go or repeat, are not moved.
     """
     rows = docs.withColumn("row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
     near = stored(neardup.near_duplicates(rows, "row", "text", width=5, percent=80).select("row", "component_id", "n_shingles"), "near")
     copies = rows.groupBy("row", "doc_id").agg(F.count("*").alias("copies")).join(near.filter("n_shingles > 0").distinct(), "row")
     best = copies.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "copies")).alias("b")).select("b.row", "b.copies")
     wordless = near.filter("n_shingles = 0").select("row", F.lit(1).cast("long").alias("copies")).distinct()
-    kept = rows.join(stored(best.unionByName(wordless), "kept"), "row")
+    chosen = stored(best.unionByName(wordless), "kept")
+    odd = stored(near.select("row").distinct().join(chosen.filter("copies = 1"), "row", "left_anti").select(F.col("row").alias("key")), "odd")
+    asked = maybe_listed(odd, "row")
+    kept = rows.filter(asked).join(chosen, "row")
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     one = kept.filter("copies > 1").groupBy("row").agg(F.min(F.struct(*columns)).alias("r")).select("r.*")
-    return kept.filter("copies = 1").select(*columns).unionByName(one)
+    return rows.filter(~asked).select(*columns).unionByName(kept.filter("copies = 1").select(*columns)).unionByName(one)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

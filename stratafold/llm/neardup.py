@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm.components import components, without_repeats
 from stratafold.llm.storage import stored
+from stratafold.llm.urls import maybe_listed
 
 #: A signature: chunks of 16-bit minima. A chunk may hold one error, so signatures that differ in at
 #: most 2 * CHUNKS - 1 places have a chunk with one error at most, and share a key.
@@ -263,8 +264,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
     bucket = Window.partitionBy("key")
     shared = chunk_keys(classes).withColumn("lead", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket))
     shared = stored(shared.filter(F.col("lead") < F.col("last")).select("key", "id", "lead"), "buckets")
-    # Texts of documents that no bucket joins with another are not moved again.
-    texts = stored(texts.join(shared.select("id").distinct(), "id", "left_semi"), "texts")
+    # Texts of documents that no bucket joins with another are not moved, but for the few that pass the filter.
+    met = stored(shared.select("id").distinct(), "met")
+    texts = stored(texts.filter(maybe_listed(met.select(F.col("id").alias("key")), "id")).join(met, "id", "left_semi"), "texts")
     first = shared.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     first = stored(_agreement(first, classes), "candidates")
     links = stored(confirmed(first, texts, width, percent), "links")

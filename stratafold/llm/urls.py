@@ -68,6 +68,15 @@ def _contains(key: Column, level: int, bloom: Level) -> Column:
     return F.forall(_positions(key, level, bloom.size), bit)
 
 
+def maybe_listed(keys: DataFrame, column: str) -> Column:
+    """Whether ``column`` may be one of the distinct ``keys`` (key): true for each of them, and for few other values.
+
+    A filter of ``FILTER_BYTES`` at most is made, so of very many keys more values pass; an exact join follows where it matters.
+    """
+    count = min(keys.count(), FILTER_BYTES * 8 // BITS_PER_KEY)
+    return _contains(F.col(column), 0, bloom_level(keys, 0, count))
+
+
 def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """Filters that tell the keys of ``listed`` from all other keys of ``universe`` (both: key), exactly.
 

@@ -446,3 +446,27 @@ def test_near_dedup_keeps_null_ids_and_one_row_of_each(spark):
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.minhash_near_dedup(spark, df, SF).collect())
     want = [(None, text(0)), (1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (None, text(5)), (5, None), (None, "")]
     assert got == Counter(want)
+
+
+def test_near_dedup_moves_few_texts(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(f"{rnd.getrandbits(32):x}" for _ in range(400)) for _ in range(1500)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts + texts[:5])] + [(7, texts[7], "en", "s", len(texts[7]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sc = spark.sparkContext
+    bus, store = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore()
+
+    def written():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before, limit = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with more rows than are broadcast
+    try:
+        got = corpus_pipeline.minhash_near_dedup(spark, df, SF).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(map(tuple, got)) == rows[:1500]
+    # The rest are 84 keys of each text; before, each text was written twice.
+    assert sum(n for k, n in written().items() if k not in before) < 0.6 * sum(map(len, texts))
