@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import io
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ FEW_LANES, FIT_LANES, LEAST_STEPS, RATES = 16, 512, 500, (0.02, 0.008)
 #: Bytes of text that are scored together, about.
 BLOCK_BYTES = 24_000_000
 LANES = 1024
+#: Symbols whose probabilities are made together, so that these stay in a core's cache.
+SCORED = 8192
 
 Weights = dict[str, np.ndarray]
 
@@ -40,6 +43,18 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
+def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """The words of all texts as ``words_of`` has them, in order, and their number in each text."""
+    words, sizes = [], [np.empty(0, np.int64)]
+    for own in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(own))
+        found, text = lists.flatten(), pc.list_parent_indices(lists)
+        full = pc.greater(pc.binary_length(found), 0)  # white space at an end leaves an empty word
+        words.append(found.filter(full).cast(pa.binary()))
+        sizes.append(np.bincount(text.filter(full).to_numpy(zero_copy_only=False), minlength=len(own)))
+    return pa.chunked_array(words, pa.binary()), np.concatenate(sizes)
+
+
 def tail_class(first: int) -> int:
     """The class of a word outside the head, by its first byte."""
     return first - 97 if 97 <= first <= 122 else 26 if first < 128 else 27
@@ -65,130 +80,142 @@ def _start(rng: np.random.Generator, classes: int) -> Weights:
     }
 
 
-def _softsign(a: np.ndarray) -> None:
-    a /= np.abs(a) + 1
+def _softsign(a: np.ndarray, room: np.ndarray) -> None:
+    np.abs(a, out=room)
+    room += 1
+    a /= room
 
 
-def _window(w: Weights, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, tape: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States (time, hidden, lanes) before each symbol of x (time, lanes), and the state after the last.
+def _window(w: Weights, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, tape: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """States (hidden, time, lanes) before each symbol of x (time, lanes), and the state after the last.
 
-    A lane starts from zero where ``fresh`` holds, which is at each text's first symbol.
+    A lane starts from zero where ``fresh`` holds, which is at each text's first symbol. A ``tape`` takes
+    the gates and the candidates (rows, time, lanes).
     """
-    before = np.empty((len(x), HIDDEN, x.shape[1]), np.float32)
-    pre = np.empty((3 * HIDDEN, x.shape[1]), np.float32)
+    before, lanes = np.empty((HIDDEN, *x.shape), np.float32), x.shape[1]
+    pre, room, more = (np.empty((k * HIDDEN, lanes), np.float32) for k in (3, 2, 2))
+    zr, c, broken = pre[: 2 * HIDDEN], pre[2 * HIDDEN :], fresh.any(axis=1)
     for t in range(len(x)):
-        if fresh[t].any():
+        if broken[t]:
             h = h * ~fresh[t]
-        before[t] = h
+        before[:, t] = h
         np.take(w["x"], x[t], axis=1, out=pre, mode="clip")
-        zr, c = pre[: 2 * HIDDEN], pre[2 * HIDDEN :]
-        zr += w["g"] @ h
-        _softsign(zr)
+        zr += np.matmul(w["g"], h, out=more)
+        _softsign(zr, room)
         zr *= 0.5
         zr += 0.5
-        c += w["c"] @ (zr[HIDDEN:] * h)
-        _softsign(c)
+        np.multiply(zr[HIDDEN:], h, out=room[:HIDDEN])
+        c += np.matmul(w["c"], room[:HIDDEN], out=more[:HIDDEN])
+        _softsign(c, room[:HIDDEN])
         if tape is not None:
-            tape.append((zr.copy(), c.copy()))
-        h = h + zr[:HIDDEN] * (c - h)
+            tape[0][:, t], tape[1][:, t] = zr, c
+        np.subtract(c, h, out=room[:HIDDEN])
+        room[:HIDDEN] *= zr[:HIDDEN]
+        h = h + room[:HIDDEN]
     return before, h
 
 
-def _picked(logits: np.ndarray, rows: np.ndarray, chances: bool) -> np.ndarray:
-    """Log probability of one row in each column; with ``chances``, logits become probabilities, else they are spoilt."""
+def _picked(logits: np.ndarray, rows: np.ndarray, share: float | None) -> np.ndarray:
+    """Log probability of one row in each column; with ``share``, logits become their gradients times it, else they are spoilt."""
     at = np.arange(logits.shape[1])
     logits -= logits.max(axis=0)
     got = logits[rows, at]
     total = np.exp(logits, out=logits).sum(axis=0)
-    if chances:
-        logits /= total
+    if share is not None:
+        logits *= np.float32(share) / total
+        logits[rows, at] -= np.float32(share)
     return got - np.log(total)
 
 
-def _log_probability(w: Weights, states: np.ndarray, symbols: np.ndarray, grads: Weights | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probability of each symbol (a tail symbol stands for its class) after its state (hidden, n).
+def _log_probability(w: Weights, states: np.ndarray, places: np.ndarray, symbols: np.ndarray, grads: Weights | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of each symbol (a tail symbol stands for its class) after the state (hidden, n) at its place.
 
     With ``grads``, adds the gradients of their negative mean and returns those of the states as well.
     """
-    classes, n = len(w["word"]), len(symbols)
-    label = np.where(symbols < HEAD, symbols // CLASS_WORDS, symbols - HEAD + classes)
+    classes, share = len(w["word"]), None if grads is None else 1 / len(symbols)
+    label = np.where(symbols < HEAD, symbols // CLASS_WORDS, symbols - HEAD + classes).astype(np.uint8)
     # Symbols of one class lie side by side, so that each class is a slice.
     order = np.argsort(label, kind="stable")
-    label, own, at = label[order], states[:, order], np.arange(n)
+    label, own = label[order], np.take(states, places[order], axis=1, mode="clip")
     logits = w["out"] @ own
     logits += w["out_b"]
-    got = np.empty(n)
-    got[order] = _picked(logits, label, grads is not None)
+    sorted_ = _picked(logits, label, share)
     d_own = np.empty(0)
     if grads is not None:
-        p = logits
-        p[label, at] -= 1
-        p /= n
-        grads["out"] += p @ own.T
-        grads["out_b"] += p.sum(axis=1, keepdims=True)
-        d_own = w["out"].T @ p
+        grads["out"] += logits @ own.T
+        grads["out_b"] += logits.sum(axis=1, keepdims=True)
+        d_own = w["out"].T @ logits
     edges = np.searchsorted(label, np.arange(classes + 1))
     inside = symbols[order] % CLASS_WORDS
     for k in np.flatnonzero(np.diff(edges)):
         rows = slice(edges[k], edges[k + 1])
-        mine, word, at = own[:, rows], inside[rows], np.arange(edges[k + 1] - edges[k])
+        mine = own[:, rows]
         logits = w["word"][k] @ mine
         logits += w["word_b"][k]
-        got[order[rows]] += _picked(logits, word, grads is not None)
+        sorted_[rows] += _picked(logits, inside[rows], share)
         if grads is not None:
-            p = logits
-            p[word, at] -= 1
-            p /= n
-            grads["word"][k] += p @ mine.T
-            grads["word_b"][k] += p.sum(axis=1, keepdims=True)
-            d_own[:, rows] += w["word"][k].T @ p
+            grads["word"][k] += logits @ mine.T
+            grads["word_b"][k] += logits.sum(axis=1, keepdims=True)
+            d_own[:, rows] += w["word"][k].T @ logits
+    got = np.empty(len(symbols))
+    got[order] = sorted_
     if grads is None:
         return got, d_own
-    d_states = np.empty_like(d_own)
-    d_states[:, order] = d_own
+    back = np.zeros(states.shape[1], np.int64)
+    back[places[order]] = np.arange(len(symbols))
+    d_states = np.take(d_own, back, axis=1, mode="clip")
+    if len(symbols) < states.shape[1]:
+        there = np.zeros(states.shape[1], bool)
+        there[places] = True
+        d_states *= there
     return got, d_states
 
 
 def _gradients(w: Weights, x: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[float, Weights, np.ndarray]:
     """Mean loss of one window, its gradients (truncated at its start), and the state after it."""
-    tape: list = []
-    before, after = _window(w, x, fresh, h, tape)
+    zr, c = np.empty((2 * HIDDEN, *x.shape), np.float32), np.empty((HIDDEN, *x.shape), np.float32)
+    before, after = _window(w, x, fresh, h, (zr, c))
     g = {k: np.zeros_like(a) for k, a in w.items()}
-    states = before.transpose(1, 0, 2)[:, live]
-    got, d = _log_probability(w, states, x[live], g)
-    d_before = np.zeros_like(before)
-    d_before.transpose(1, 0, 2)[:, live] = d
-    zr, c = np.stack([t[0] for t in tape]), np.stack([t[1] for t in tape])
-    slope = 0.5 * np.square(1 - np.abs(2 * zr - 1))
-    keep, r = 1 - zr[:, :HIDDEN], zr[:, HIDDEN:]
+    flat, states, places = x.ravel(), before.reshape(HIDDEN, -1), np.flatnonzero(live)
+    got, d = _log_probability(w, states, places, flat[places], g)
+    d_before = d.reshape(before.shape)
     # What a step's gradient is multiplied by on its way to the candidate, and to the gates.
-    to_c, to_zr = zr[:, :HIDDEN] * np.square(1 - np.abs(c)), slope
-    to_zr[:, :HIDDEN] *= c - before
-    to_zr[:, HIDDEN:] *= before
-    d_pre = np.empty((len(x), 3 * HIDDEN, x.shape[1]), np.float32)
+    to_zr = zr - 0.5
+    np.abs(to_zr, out=to_zr)
+    np.subtract(0.5, to_zr, out=to_zr)
+    np.square(to_zr, out=to_zr)
+    to_zr *= 2
+    to_zr[:HIDDEN] *= c - before
+    to_zr[HIDDEN:] *= before
+    to_c = np.abs(c, out=c)
+    np.subtract(1, to_c, out=to_c)
+    np.square(to_c, out=to_c)
+    to_c *= zr[:HIDDEN]
+    keep, r = 1 - zr[:HIDDEN], zr[HIDDEN:]
+    d_pre = np.empty((3 * HIDDEN, *x.shape), np.float32)
     back_c, back_zr, dh, open_ = np.ascontiguousarray(w["c"].T), np.ascontiguousarray(w["g"].T), np.zeros_like(h), ~fresh
     broken = fresh.any(axis=1)
+    d_rh, more = np.empty_like(dh), np.empty_like(dh)
     for t in range(len(x) - 1, -1, -1):
-        dzr, dc = d_pre[t, : 2 * HIDDEN], d_pre[t, 2 * HIDDEN :]
-        np.multiply(dh, to_c[t], out=dc)
-        d_rh = back_c @ dc
-        np.multiply(dh, to_zr[t, :HIDDEN], out=dzr[:HIDDEN])
-        np.multiply(d_rh, to_zr[t, HIDDEN:], out=dzr[HIDDEN:])
-        d_rh *= r[t]
-        dh = dh * keep[t]
+        dzr, dc = d_pre[: 2 * HIDDEN, t], d_pre[2 * HIDDEN :, t]
+        np.multiply(dh, to_c[:, t], out=dc)
+        np.matmul(back_c, dc, out=d_rh)
+        np.multiply(dh, to_zr[:HIDDEN, t], out=dzr[:HIDDEN])
+        np.multiply(d_rh, to_zr[HIDDEN:, t], out=dzr[HIDDEN:])
+        d_rh *= r[:, t]
+        dh *= keep[:, t]
         dh += d_rh
-        dh += back_zr @ dzr
-        dh += d_before[t]
+        dh += np.matmul(back_zr, dzr, out=more)
+        dh += d_before[:, t]
         if broken[t]:
             dh *= open_[t]
-    rows = lambda a: a.transpose(1, 0, 2).reshape(a.shape[1], -1)
-    flat, wide = x.ravel(), rows(d_pre)
-    g["g"] += wide[: 2 * HIDDEN] @ rows(before).T
-    g["c"] += wide[2 * HIDDEN :] @ rows(r * before).T
-    order = np.argsort(flat, kind="stable")
+    wide = d_pre.reshape(3 * HIDDEN, -1)
+    g["g"] += wide[: 2 * HIDDEN] @ states.T
+    g["c"] += wide[2 * HIDDEN :] @ (r * before).reshape(HIDDEN, -1).T
+    order = np.argsort(flat.astype(np.int16), kind="stable")
     symbols = flat[order]
     first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
-    g["x"][:, symbols[first]] = np.add.reduceat(wide[:, order], first, axis=1)
+    g["x"][:, symbols[first]] = np.add.reduceat(np.take(wide, order, axis=1, mode="clip"), first, axis=1)
     return float(-got.mean()), g, after
 
 
@@ -249,18 +276,18 @@ def fit_network(texts: list[np.ndarray], seed: int = 11, start: Weights | None =
             live = owner[rows, lanes] >= 0
             _, g, h = _gradients(w, x[rows, lanes], fresh[rows, lanes], live, h[:, lanes])
             n = int(live.sum())
-            held, seen = ({k: a * n for k, a in g.items()} if held is None else {k: held[k] + a * n for k, a in g.items()}), seen + n
+            held, seen = (g if held is None else {k: (held[k] * seen + a * n) / (seen + n) for k, a in g.items()}), seen + n
             if seen < full // 2 and rows.stop < ends[0]:
                 continue
             step += 1
-            g = {k: a / seen for k, a in held.items()}
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            rate = top_rate * max(0.1, 1 - 0.9 * step / (passes * each)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, a in g.items():
-                a = a * min(1.0, 1.0 / (norm + 1e-9))
+            # Plain numbers, so that arrays stay of 32 bits.
+            norm = math.sqrt(sum(float(np.vdot(a, a)) for a in held.values()))
+            rate = top_rate * max(0.1, 1 - 0.9 * step / (passes * each)) * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            for k, a in held.items():
+                a *= min(1.0, 1.0 / (norm + 1e-9))
                 m[k] += 0.1 * (a - m[k])
                 v[k] += 0.001 * (a * a - v[k])
-                w[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
+                w[k] -= rate * m[k] / (np.sqrt(v[k]) + 1e-8)
             held, seen = None, 0
     return w
 
@@ -273,9 +300,12 @@ def network_scores(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     h = np.zeros((HIDDEN, x.shape[1]), np.float32)
     for rows, lanes in _windows(ends):
         before, h = _window(w, x[rows, lanes], fresh[rows, lanes], h[:, lanes])
-        live = owner[rows, lanes] >= 0
-        got, _ = _log_probability(w, before.transpose(1, 0, 2)[:, live], x[rows, lanes][live])
-        out += np.bincount(owner[rows, lanes][live], got, len(texts))
+        own, symbols = owner[rows, lanes].ravel(), x[rows, lanes].ravel()
+        places = np.flatnonzero(own >= 0)
+        for s in range(0, len(places), SCORED):
+            at = places[s : s + SCORED]
+            got, _ = _log_probability(w, before.reshape(HIDDEN, -1), at, symbols[at])
+            out += np.bincount(own[at], got, len(texts))
     return out
 
 
@@ -287,10 +317,21 @@ def _symbol(word: bytes, head: dict[bytes, int]) -> int:
     return _TAIL_OF[word[0]] if k is None else k
 
 
-def _symbols(text: str, head: dict[bytes, int]) -> np.ndarray:
-    """The symbols of a text's words and of its end."""
-    get = head.get
-    return np.array([*(_TAIL_OF[x[0]] if (k := get(x)) is None else k for x in words_of(text)), 0], np.int32)
+def _symbols(words: pa.ChunkedArray, head: dict[bytes, int]) -> np.ndarray:
+    """The symbols of many words; the head's numbers are those of its words in order."""
+    known = pc.fill_null(pc.index_in(words, value_set=pa.array(head, pa.binary())), -1).to_numpy()
+    # The empty word is in the head, so its place in this table does not matter.
+    first = pc.index_in(pc.binary_slice(words, 0, 1), value_set=pa.array([bytes([b]) for b in range(256)], pa.binary()))
+    return np.where(known < 0, np.asarray(_TAIL_OF)[pc.fill_null(first, 0).to_numpy()], known).astype(np.int32)
+
+
+def _with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts' words with ``end`` after each text, and where each text starts."""
+    ends = np.cumsum(sizes) + np.arange(len(sizes))
+    out, inside = np.full(len(ids) + len(sizes), end, ids.dtype), np.ones(len(ids) + len(sizes), bool)
+    inside[ends] = False
+    out[inside] = ids
+    return out, ends - sizes
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -298,10 +339,9 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c: Counter[bytes] = Counter({END: len(b)})
-            for text in b.column(0).to_pylist():
-                c.update(words_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+            c = split_words(b.column(0))[0].value_counts()
+            word, n = pa.concat_arrays([c.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([c.field(1), pa.array([len(b)], pa.int64())])
+            yield pa.RecordBatch.from_arrays([word, n], names=["word", "n"])
 
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -337,7 +377,9 @@ def train_model(train: DataFrame, counts: DataFrame, id_col: str, text_col: str)
 
     def fitting(start: bytes, rate: float) -> object:
         def fit_block(rows: pd.DataFrame) -> pd.DataFrame:
-            own = [_symbols(t, head) for t in rows["text"].sort_values()]
+            words, sizes = split_words(pa.array(rows["text"].sort_values(), pa.string()))
+            symbols, starts = _with_ends(_symbols(words, head), sizes, 0)
+            own = np.split(symbols, starts[1:])
             np.savez(held := io.BytesIO(), **fit_network(own, start=dict(np.load(io.BytesIO(start))), top_rate=rate))
             return pd.DataFrame({"part": [int(rows["block"].iloc[0]) // AVERAGED], "n": [sum(map(len, own))], "weights": [held.getvalue()]})
 
@@ -378,37 +420,33 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, counts: DataFrame
     block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)) if id_col else F.xxhash64(text_col), F.lit(blocks))
     rows = df.select(F.col(id_col).alias("id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"), block.alias("block"))
 
-    def vocabulary(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        seen: set[bytes] = {END}
-        for text in part["text"]:
-            seen.update(words_of(text))
-        return pd.DataFrame({"block": key[0], "word": list(seen)})
+    def vocabulary(key: tuple, part: pa.Table) -> pa.Table:
+        seen = pa.concat_arrays([split_words(part["text"])[0].unique(), pa.array([END], pa.binary())])
+        return pa.table({"block": pa.repeat(key[0], len(seen)), "word": seen})
 
-    def score(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def score(part: pa.Table, known: pa.Table) -> pa.Table:
         w = dict(np.load(io.BytesIO(model.weights)))
-        place = {x: i for i, x in enumerate(known["word"])}
-        n = known["n"].to_numpy(np.float64)
-        symbol = np.fromiter((_symbol(x, model.head) for x in place), np.int32, len(place))
+        place = known["word"].combine_chunks()
+        n = known["n"].to_numpy().astype(np.float64)
+        symbol = _symbols(known["word"], model.head)
         base = np.log10(n + 1)
         tail = np.where(symbol >= HEAD, base - np.log10(model.mass[np.maximum(symbol - HEAD, 0)]), 0.0)
         bottom = np.log10(model.tokens + model.distinct + 1)
-        out, texts = [], []
-        for text in part["text"]:
-            own = words_of(text)
-            own.append(END)
-            ids = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-            texts.append(symbol[ids])
-            out.append((len(ids), int((n[ids] > 0).sum()), base[ids].sum() - len(ids) * bottom, tail[ids].sum()))
-        a = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
-        a["score"] += network_scores(w, texts) / np.log(10)
-        return pd.concat([part.drop(columns=["text", "block"]).reset_index(drop=True), a], axis=1)
-
-    words = rows.groupBy("block").applyInPandas(vocabulary, "block long, word binary")
+        words, sizes = split_words(part["text"])
+        ids, starts = _with_ends(pc.index_in(words, value_set=place).to_numpy(), sizes, place.index(END).as_py())
+        sums = lambda a: np.add.reduceat(a[ids], starts)
+        network = network_scores(w, np.split(symbol[ids], starts[1:])) / np.log(10)
+        got = part.drop_columns(["text", "block"])
+        for name, value in (("n_tokens", sizes + 1), ("n_known", sums((n > 0).astype(np.int64))), ("base_score", sums(base) - (sizes + 1) * bottom), ("score", sums(tail) + network)):
+            got = got.append_column(name, pa.array(value))
+        return got
+
+    words = rows.groupBy("block").applyInArrow(vocabulary, "block long, word binary")
     known = words.join(counts, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"))
     schema = df.select(F.col(id_col).alias("id"), *keep).schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
         schema.add(name, kind)
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(score, schema).withColumnRenamed("id", id_col)
+    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
 def lm_scores(df: DataFrame, id_col: str, text_col: str, folds: int = 7, fold: int = 2) -> DataFrame:

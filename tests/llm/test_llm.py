@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -470,3 +471,16 @@ def test_near_dedup_moves_few_texts(spark):
     assert sorted(map(tuple, got)) == rows[:1500]
     # The rest are 84 keys of each text; before, each text was written twice.
     assert sum(n for k, n in written().items() if k not in before) < 0.6 * sum(map(len, texts))
+
+
+def test_model_words_are_found_by_arrow(spark):
+    rnd = random.Random(1)
+    letters = [chr(k) for k in range(128)] + ["é", "\x85", "\xa0", " ", "日", "İ"] + list(" \t\n\x0b\x0c\r") * 6
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 60))) for _ in range(3000)] + ["", " ", "  a", "a  "]
+    want = [lm.words_of(t) for t in texts]
+    words, sizes = lm.split_words(pa.chunked_array([texts[:7], [], texts[7:]], pa.string()))
+    head = {lm.END: 0, b"a": 1, b"\xc3\xa9": 2}
+    assert words.to_pylist() == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+    assert lm._symbols(words, head).tolist() == [lm._symbol(w, head) for t in want for w in t]
+    got = lm.lm_scores(spark.createDataFrame(list(enumerate(texts[-40:])), "doc_id long, text string"), "doc_id", "text").collect()
+    assert [r["n_tokens"] for r in sorted(got)] == [len(t) + 1 for t in want[-40:]]
