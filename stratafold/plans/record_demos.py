@@ -199,7 +199,7 @@ def src15_tilemaps(t):
     name = kind("Shelf", F.concat(F.lit("Layer"), F.col("l_linenumber").cast("string")), "Paper", "spawn")
     cells = F.array(F.col("l_quantity").cast("long"), F.lit(0).cast("long"), (F.col("l_partkey") % 3).cast("long"))
     layer = F.struct(F.col("l_linenumber").alias("n"), name.alias("name"), kind("tilelayer", "tilelayer", "tilelayer", "objectgroup").alias("type"), cells.alias("data"))
-    maps = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(layer)).alias("layers"))  # an order has a few lines
+    maps = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(layer)).alias("layers"))  # an order has a few lines
     time, moves = F.concat(F.size("layers").cast("string"), F.lit(".0")), (F.col("l_orderkey") % 7).cast("string")
     old = F.to_json(F.struct("layers", F.struct(time.alias("Time"), moves.alias("Moves")).alias("properties")))
     new = F.to_json(F.struct("layers", F.array(F.struct(F.lit("time").alias("name"), time.alias("value")), F.struct(F.lit("moves").alias("name"), moves.alias("value"))).alias("properties")))

@@ -40,20 +40,25 @@ def parse_tilemaps(df: DataFrame, id_col: str, text: str, board: str, shelf: str
         cells = F.filter(F.coalesce(get(x, "$.data", "array<bigint>"), empty("bigint")), lambda c: c != 0)
         return F.struct(F.coalesce(get(x, "$.name", "string"), F.lit("")).alias("name"), get(x, "$.type", "string").eqNullSafe(F.lit("tilelayer")).alias("tile"), cells.alias("cells"), entries(x).alias("own"))
 
-    rows = df.select(F.col(id_col), F.try_parse_json(text).alias("m")).filter(F.startswith(F.schema_of_variant("m"), F.lit("OBJECT")))
+    # Exploded, so that the filter is not pushed below it, where each text would be made and parsed again.
+    rows = df.select(F.col(id_col), F.explode(F.array(F.try_parse_json(text))).alias("m")).filter(get(F.col("m"), "$", "map<string,variant>").isNotNull())
     rows = rows.select(id_col, get("m", "$.width", "int").alias("width"), get("m", "$.height", "int").alias("height"), F.coalesce(get("m", "$.layers", "array<variant>"), empty("variant")).alias("ls"), entries(F.col("m")).alias("own"))
     rows = rows.withColumn("ls", F.transform("ls", layer)).withColumn("tiled", F.filter("ls", lambda x: x["tile"]))
     # The first fullest layer: the largest size, then the smallest place.
     fullest = F.array_max(F.transform("tiled", lambda x, k: F.struct(F.size(x["cells"]).alias("n"), (-k).alias("k"), x["name"].alias("name"))))["name"]
     rows = rows.withColumn("named", F.exists("tiled", lambda x: F.rlike(x["name"], F.lit(board)))).withColumn("fullest", fullest)
-    zero = F.lit(0)
+    zero, (shelves, boards, others, groups) = F.lit(0), range(4)
+
+    def kinds(x: Column) -> Column:
+        on_board = F.when(F.col("named"), F.rlike(x["name"], F.lit(board))).otherwise(x["name"] == F.col("fullest"))
+        kind = F.when(~x["tile"], groups).when(F.rlike(x["name"], F.lit(shelf)), shelves).when(on_board, boards).otherwise(others)
+        return F.struct(x["name"].alias("name"), x["cells"].alias("cells"), F.size(x["cells"]).alias("n"), kind.alias("kind"), x["own"].alias("own"))
+
+    rows = rows.withColumn("ls", F.transform("ls", kinds))
     start = F.struct(zero.alias("depth_layers"), zero.alias("item_tiles"), empty("bigint").alias("items"), empty("string").alias("obstacle_layers"), zero.alias("obstacle_tiles"), zero.alias("shelf_tiles"), zero.alias("shelf_types"), empty("string").alias("object_layers"), zero.alias("object_groups"))
 
     def count(s: Column, x: Column) -> Column:
-        n = F.size(x["cells"])
-        on_shelf = x["tile"] & F.rlike(x["name"], F.lit(shelf))
-        on_board = x["tile"] & ~on_shelf & F.when(F.col("named"), F.rlike(x["name"], F.lit(board))).otherwise(x["name"] == F.col("fullest"))
-        other, group = x["tile"] & ~on_shelf & ~on_board, ~x["tile"]
+        n, (on_shelf, on_board, other, group) = x["n"], [x["kind"] == k for k in (shelves, boards, others, groups)]
         more = lambda name, when, by: (s[name] + F.when(when, by).otherwise(zero)).alias(name)
         return F.struct(
             more("depth_layers", on_board, F.lit(1)), more("item_tiles", on_board, n), F.when(on_board, F.array_union(s["items"], x["cells"])).otherwise(s["items"]).alias("items"),
@@ -63,10 +68,12 @@ def parse_tilemaps(df: DataFrame, id_col: str, text: str, board: str, shelf: str
         )
 
     rows = rows.withColumn("s", F.aggregate("ls", start, count)).withColumn("all", F.concat(F.flatten(F.transform("ls", lambda x: x["own"])), "own")).withColumn("all", F.filter("all", lambda e: e["key"].isNotNull()))
+    numeric = lambda e: F.coalesce(e["value"].try_cast("double"), e["value"].try_cast("boolean").cast("double")).try_cast("int")
+    # Letter case and number of an entry are found once, not once for each limit.
+    rows = rows.withColumn("numbers", F.transform("all", lambda e: F.struct(F.lower(e["key"]).alias("key"), numeric(e).alias("number"))))
     last = F.filter("all", lambda e, k: ~F.exists(F.slice("all", k + 2, F.size("all")), lambda o: o["key"] == e["key"]))
-    numeric = lambda e: F.coalesce(e["value"].try_cast("double"), e["value"].try_cast("boolean").cast("double"))
-    keyed = lambda k: F.try_element_at(F.filter("all", lambda e: F.lower(e["key"]) == k.lower()), F.lit(-1))
-    limit = lambda keys: F.coalesce(*[numeric(keyed(k)).try_cast("int") for k in keys]) if keys else F.lit(None).cast("int")
+    keyed = lambda k: F.try_element_at(F.filter("numbers", lambda e: e["key"] == k.lower()), F.lit(-1))["number"]
+    limit = lambda keys: F.coalesce(*[keyed(k) for k in keys]) if keys else F.lit(None).cast("int")
     counts = [F.col("s")[c].alias(c) for c in ("depth_layers", "item_tiles", "obstacle_layers", "obstacle_tiles", "shelf_tiles", "shelf_types", "object_layers", "object_groups")]
     return rows.select(
         id_col, "width", "height", F.size("ls").alias("layers"), *counts, F.size(F.col("s")["items"]).alias("distinct_items"), F.map_from_entries(last).alias("properties"), *[limit(keys).alias(name) for name, keys in limits.items()]

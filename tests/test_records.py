@@ -263,3 +263,11 @@ def test_objects_are_assembled(spark):
     assert {got[k][0] for k in (4, 5, 6)} == {"alone:4", "alone:5", "alone:6"} and got[20] == got[21] == ("set:A", True, None)
     # 101 takes 10 and 11; 102 then shows that object; 103 takes what is still loose.
     assert got[10] == got[11] == ("clip:101", True, 101) and got[12] == got[13] == ("clip:103", True, 103)
+
+
+def test_maps_are_parsed_once(spark):
+    df = spark.createDataFrame([(1, '{"layers": [], "properties": {"Time": "3.0"}}'), (2, "[1]"), (3, "{}"), (4, "{")], "id long, made string").selectExpr("id", "translate(made, '~', '') AS text")
+    got = R.parse_tilemaps(df, "id", "text", "^a", "^b", {"time": ["limit", "TIME"], "moves": ["moves"]}).select("id", "time", "moves")
+    assert {tuple(r) for r in got.collect()} == {(1, 3, None), (3, None, None)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and plan.count(" lower(") + plan.count("(lower(") <= 1
