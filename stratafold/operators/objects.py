@@ -19,14 +19,19 @@ def resolve_candidate(wanted: DataFrame, want: str, files: DataFrame, file: str,
     Both tables have base, dir, w, h. Of several, one in the same folder wins, then the smallest file id.
     Wants that no file fits are left out.
     """
-    # Equal shapes of a name meet once; rows of a hot name do not meet in pairs.
-    shape = ["base", "a_dir", "a_w", "a_h"]
+    # Equal shapes meet once: those of one folder there, and sizes of a name without their folders.
+    shape, size = ["base", "a_dir", "a_w", "a_h"], ["base", "a_w", "a_h"]
     a = wanted.select(want, "base", *[F.col(c).alias(f"a_{c}") for c in ("dir", "w", "h")])
-    b = files.groupBy("base", *[F.col(c).alias(f"b_{c}") for c in ("dir", "w", "h")]).agg(F.min(file).alias("file"))
+    b = files.select("base", file, *[F.col(c).alias(f"b_{c}") for c in ("dir", "w", "h")])
+    b = b.groupBy("base", "b_dir", "b_w", "b_h").agg(F.min(file).alias("file"))
     exact = (F.col("a_w") == F.col("b_w")) & (F.col("a_h") == F.col("b_h"))
     aspect = F.abs(F.col("a_w") * F.col("b_h") - F.col("a_h") * F.col("b_w")) <= slack * F.col("a_w") * F.col("b_h")
-    fits = a.select(shape).distinct().join(b, "base").filter(exact | aspect)
-    best = fits.groupBy(shape).agg(F.min(F.struct((~exact).alias("inexact"), (~F.equal_null("a_dir", "b_dir")).alias("apart"), "file")).alias("r"))
+    shapes, least = a.select(shape).distinct(), F.min(F.struct((~exact).alias("inexact"), "file")).alias("f")
+    inside = shapes.join(b.withColumnRenamed("base", "b_base"), (F.col("base") == F.col("b_base")) & F.equal_null("a_dir", "b_dir")).filter(exact | aspect).groupBy(shape).agg(least)
+    anywhere = shapes.select(size).distinct().join(b.groupBy("base", "b_w", "b_h").agg(F.min("file").alias("file")), "base").filter(exact | aspect).groupBy(size).agg(least)
+    # Where the best file of all folders lies in the wanted one, that folder's own best file wins over it.
+    found = inside.select(*shape, "f", F.lit(False).alias("apart")).unionByName(shapes.join(anywhere, size).select(*shape, "f", F.lit(True).alias("apart")))
+    best = found.groupBy(shape).agg(F.min(F.struct("f.inexact", "apart", "f.file")).alias("r"))
     same = [F.equal_null(F.col(f"x.{c}"), F.col(f"y.{c}")) for c in shape]
     joined = a.alias("x").join(best.alias("y"), same)
     return joined.select(F.col(f"x.{want}"), F.col("y.r.file").alias(file), (~F.col("y.r.inexact")).alias("exact"), (~F.col("y.r.apart")).alias("beside"))

@@ -11,6 +11,7 @@ from stratafold.operators import aggs as A
 from stratafold.operators import catalog as C
 from stratafold.operators import graph as G
 from stratafold.operators import joins as J
+from stratafold.operators import objects as O
 from stratafold.operators import scalar as S
 from stratafold.operators import trees
 from stratafold.plans import catalogue
@@ -118,3 +119,18 @@ def test_models_are_dealt_before_lists_are_made(spark):
     got = C.model_table(draws, "obj", "mesh", "slot", "material", spark.createDataFrame([(0, "t"), (1, None)], "material long, texture string"), "texture")
     assert {tuple(r) for r in got.collect()} == {(o, m, f"{o % 3},{(o + 1) % 3}", 0 in (o % 3, (o + 1) % 3), 3) for o in range(20) for m in range(2)}
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_of_a_name_meet_by_folder(spark):
+    rows = spark.range(6000).selectExpr("id", "'crate' AS base", "IF(id % 61 = 0, NULL, concat('d', id % 60)) AS dir", "id % 13 AS w", "(id * 7) % 11 AS h")
+    got = O.resolve_candidate(rows.filter("id < 900").withColumnRenamed("id", "want"), "want", rows.filter("id >= 900"), "id")
+    files = [tuple(r) for r in rows.filter("id >= 900").collect()]
+
+    def best(r):
+        fits = [((r.w, r.h) != (w, h), r.dir != d, i) for i, _, d, w, h in files if (r.w, r.h) == (w, h) or abs(r.w * h - r.h * w) <= 0.01 * r.w * h]
+        return [(r.id, i, not inexact, not apart) for inexact, apart, i in [min(fits)]] if fits else []
+
+    assert sorted(map(tuple, got.collect())) == sorted(x for r in rows.filter("id < 900").collect() for x in best(r))
+    # Sizes meet within a folder, not with those of all folders of a name.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "<=>" in line and "abs(" in line for line in plan.splitlines())
