@@ -6,6 +6,7 @@ import io
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ FEW_LANES, FIT_LANES, LEAST_STEPS, RATES = 16, 512, 500, (0.02, 0.008)
 #: Bytes of text that are scored together, about.
 BLOCK_BYTES = 24_000_000
 LANES = 1024
+#: Bytes of text that are split into words together, about; stretches of so many bytes whose words are looked up together.
+SPLIT_BYTES, LOOKED_UP = 1_000_000, 8
 #: Symbols whose probabilities are made together, so that these stay in a core's cache.
 SCORED = 8192
 
@@ -43,15 +46,32 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.ChunkedArray, np.ndarray]:
-    """The words of all texts as ``words_of`` has them, in order, and their number in each text."""
-    words, sizes = [], [np.empty(0, np.int64)]
+def _stretches(texts: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
+    """All texts in order, about ``SPLIT_BYTES`` at a time."""
     for own in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        number = np.cumsum(pc.fill_null(pc.binary_length(own), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SPLIT_BYTES
+        for start, end in pairwise([0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(own)]):
+            yield own.slice(start, end - start)
+
+
+def split_stretches(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The words of all texts as ``words_of`` has them, in order, and their number in each text, a stretch of texts at a time.
+
+    What is made on the way takes several times the texts, so it is not made for a whole block at once.
+    """
+    for own in _stretches(texts):
         lists = pc.ascii_split_whitespace(pc.ascii_lower(own))
         found, text = lists.flatten(), pc.list_parent_indices(lists)
         full = pc.greater(pc.binary_length(found), 0)  # white space at an end leaves an empty word
-        words.append(found.filter(full).cast(pa.binary()))
-        sizes.append(np.bincount(text.filter(full).to_numpy(zero_copy_only=False), minlength=len(own)))
+        yield found.filter(full).cast(pa.binary()), np.bincount(text.filter(full).to_numpy(zero_copy_only=False), minlength=len(own))
+
+
+def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """``split_stretches`` of all texts together."""
+    words, sizes = [], [np.empty(0, np.int64)]
+    for own, n in split_stretches(texts):
+        words.append(own)
+        sizes.append(n)
     return pa.chunked_array(words, pa.binary()), np.concatenate(sizes)
 
 
@@ -232,29 +252,31 @@ def _lanes(sizes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     return lane, start
 
 
-def _grid(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols and text numbers (-1: none) as (time, lanes), and each lane's length; the longest lanes come first."""
+def _laid(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and text numbers of all texts, lane after lane, and each lane's length; the longest lanes come first."""
     sizes = np.array([len(t) for t in texts])
     lane, start = _lanes(sizes, lanes)
     ends = np.zeros(lanes, np.int64)
     np.maximum.at(ends, lane, start + sizes)
     place = np.empty(lanes, np.int64)
     place[np.argsort(-ends, kind="stable")] = np.arange(lanes)
-    x, owner = np.zeros((int(ends.max()), lanes), np.int32), np.full((int(ends.max()), lanes), -1, np.int32)
-    for i, t in enumerate(texts):
-        rows, k = slice(start[i], start[i] + len(t)), place[lane[i]]
-        x[rows, k], owner[rows, k] = t, i
-    return x, owner, -np.sort(-ends)
+    order = np.lexsort((start, place[lane])).astype(np.int32)
+    return np.concatenate([texts[i] for i in order]), np.repeat(order, sizes[order]), -np.sort(-ends)
 
 
-def _windows(ends: np.ndarray) -> Iterator[tuple[slice, slice]]:
-    """(rows, lanes) of each window: only lanes that are not over yet take part."""
-    for s in range(0, int(ends[0]), WINDOW):
-        yield slice(s, s + WINDOW), slice(0, int((ends > s).sum()))
-
+def _windows(symbols: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(end, symbols, text numbers (-1: none), fresh) of each window as (time, lanes): only lanes that are not over yet take part.
 
-def _fresh(owner: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((1, owner.shape[1]), bool), owner[1:] != owner[:-1]])
+    Windows are made one by one, as lanes filled up to the longest would take several times the texts.
+    """
+    begin = np.cumsum(ends) - ends
+    for s in range(0, int(ends[0]), WINDOW):
+        time, lanes = np.arange(s, min(s + WINDOW, int(ends[0])))[:, None], int((ends > s).sum())
+        live = time < ends[:lanes]
+        at = np.where(live, begin[:lanes] + time, 0)
+        own = np.where(live, owner[at], -1)
+        last = owner[begin[:lanes] + s - 1] if s else np.full(lanes, -1, own.dtype)
+        yield s + len(time), np.where(live, symbols[at], 0), own, own != np.concatenate([last[None], own[:-1]])
 
 
 def fit_network(texts: list[np.ndarray], seed: int = 11, start: Weights | None = None, top_rate: float = 0.02) -> Weights:
@@ -266,18 +288,18 @@ def fit_network(texts: list[np.ndarray], seed: int = 11, start: Weights | None =
     w = {k: a.copy() for k, a in start.items()} if start else _start(np.random.default_rng(seed), HEAD // CLASS_WORDS)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     total = sum(map(len, texts))
-    x, owner, ends = _grid(texts, min(len(texts), max(FEW_LANES, min(FIT_LANES, total // (WINDOW * LEAST_STEPS)))))
-    fresh, full, step = _fresh(owner), x.shape[1] * WINDOW, 0
+    symbols, owner, ends = _laid(texts, min(len(texts), max(FEW_LANES, min(FIT_LANES, total // (WINDOW * LEAST_STEPS)))))
+    full, step = len(ends) * WINDOW, 0
     each = -(-total // full)
     passes = -(-LEAST_STEPS // each)
     for _ in range(passes):
-        h, held, seen = np.zeros((HIDDEN, x.shape[1]), np.float32), None, 0
-        for rows, lanes in _windows(ends):
-            live = owner[rows, lanes] >= 0
-            _, g, h = _gradients(w, x[rows, lanes], fresh[rows, lanes], live, h[:, lanes])
+        h, held, seen = np.zeros((HIDDEN, len(ends)), np.float32), None, 0
+        for end, x, own, fresh in _windows(symbols, owner, ends):
+            live = own >= 0
+            _, g, h = _gradients(w, x, fresh, live, h[:, : x.shape[1]])
             n = int(live.sum())
             held, seen = (g if held is None else {k: (held[k] * seen + a * n) / (seen + n) for k, a in g.items()}), seen + n
-            if seen < full // 2 and rows.stop < ends[0]:
+            if seen < full // 2 and end < ends[0]:
                 continue
             step += 1
             # Plain numbers, so that arrays stay of 32 bits.
@@ -295,16 +317,15 @@ def fit_network(texts: list[np.ndarray], seed: int = 11, start: Weights | None =
 def network_scores(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each symbol sequence, the state carried from its first symbol to its last."""
     total, longest = sum(map(len, texts)), max(map(len, texts))
-    x, owner, ends = _grid(texts, int(min(len(texts), LANES, max(32, 4 * total // longest))))
-    fresh, out = _fresh(owner), np.zeros(len(texts))
-    h = np.zeros((HIDDEN, x.shape[1]), np.float32)
-    for rows, lanes in _windows(ends):
-        before, h = _window(w, x[rows, lanes], fresh[rows, lanes], h[:, lanes])
-        own, symbols = owner[rows, lanes].ravel(), x[rows, lanes].ravel()
+    symbols, owner, ends = _laid(texts, int(min(len(texts), LANES, max(32, 4 * total // longest))))
+    h, out = np.zeros((HIDDEN, len(ends)), np.float32), np.zeros(len(texts))
+    for _, x, own, fresh in _windows(symbols, owner, ends):
+        before, h = _window(w, x, fresh, h[:, : x.shape[1]])
+        own, x = own.ravel(), x.ravel()
         places = np.flatnonzero(own >= 0)
         for s in range(0, len(places), SCORED):
             at = places[s : s + SCORED]
-            got, _ = _log_probability(w, before.reshape(HIDDEN, -1), at, symbols[at])
+            got, _ = _log_probability(w, before.reshape(HIDDEN, -1), at, x[at])
             out += np.bincount(own[at], got, len(texts))
     return out
 
@@ -317,7 +338,7 @@ def _symbol(word: bytes, head: dict[bytes, int]) -> int:
     return _TAIL_OF[word[0]] if k is None else k
 
 
-def _symbols(words: pa.ChunkedArray, head: dict[bytes, int]) -> np.ndarray:
+def _symbols(words: pa.Array | pa.ChunkedArray, head: dict[bytes, int]) -> np.ndarray:
     """The symbols of many words; the head's numbers are those of its words in order."""
     known = pc.fill_null(pc.index_in(words, value_set=pa.array(head, pa.binary())), -1).to_numpy()
     # The empty word is in the head, so its place in this table does not matter.
@@ -334,6 +355,13 @@ def _with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray
     return out, ends - sizes
 
 
+def symbols_of(texts: pa.Array | pa.ChunkedArray, head: dict[bytes, int]) -> list[np.ndarray]:
+    """The symbols of each text, its end included; the words are not held."""
+    got = [(_symbols(words, head), sizes) for words, sizes in split_stretches(texts)]
+    symbols, starts = _with_ends(*map(np.concatenate, zip(*got, strict=True)), 0)
+    return np.split(symbols, starts[1:])
+
+
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     """(word binary, n) over all rows; the end of each text is the empty word. Null texts are empty."""
 
@@ -376,12 +404,10 @@ def train_model(train: DataFrame, counts: DataFrame, id_col: str, text_col: str)
     )
 
     def fitting(start: bytes, rate: float) -> object:
-        def fit_block(rows: pd.DataFrame) -> pd.DataFrame:
-            words, sizes = split_words(pa.array(rows["text"].sort_values(), pa.string()))
-            symbols, starts = _with_ends(_symbols(words, head), sizes, 0)
-            own = np.split(symbols, starts[1:])
+        def fit_block(key: tuple, rows: pa.Table) -> pa.Table:
+            own = symbols_of(rows["text"].take(pc.sort_indices(rows["text"])), head)
             np.savez(held := io.BytesIO(), **fit_network(own, start=dict(np.load(io.BytesIO(start))), top_rate=rate))
-            return pd.DataFrame({"part": [int(rows["block"].iloc[0]) // AVERAGED], "n": [sum(map(len, own))], "weights": [held.getvalue()]})
+            return pa.table({"part": [key[0].as_py() // AVERAGED], "n": [sum(map(len, own))], "weights": pa.array([held.getvalue()], pa.binary())})
 
         return fit_block
 
@@ -397,7 +423,7 @@ def train_model(train: DataFrame, counts: DataFrame, id_col: str, text_col: str)
     schema = "part long, n long, weights binary"
     for number in range(rounds):
         own = dealt.filter(F.col("round") == number)
-        fitted = stored(own.groupBy("block").applyInPandas(fitting(weights, RATES[min(number, len(RATES) - 1)]), schema), "weights")
+        fitted = stored(own.groupBy("block").applyInArrow(fitting(weights, RATES[min(number, len(RATES) - 1)]), schema), "weights")
         left = blocks
         while left > 1:
             left = -(-left // AVERAGED)
@@ -421,7 +447,8 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, counts: DataFrame
     rows = df.select(F.col(id_col).alias("id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"), block.alias("block"))
 
     def vocabulary(key: tuple, part: pa.Table) -> pa.Table:
-        seen = pa.concat_arrays([split_words(part["text"])[0].unique(), pa.array([END], pa.binary())])
+        distinct = pa.chunked_array([words.unique() for words, _ in split_stretches(part["text"])], pa.binary()).unique()
+        seen = pa.concat_arrays([distinct, pa.array([END], pa.binary())])
         return pa.table({"block": pa.repeat(key[0], len(seen)), "word": seen})
 
     def score(part: pa.Table, known: pa.Table) -> pa.Table:
@@ -432,12 +459,19 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, counts: DataFrame
         base = np.log10(n + 1)
         tail = np.where(symbol >= HEAD, base - np.log10(model.mass[np.maximum(symbol - HEAD, 0)]), 0.0)
         bottom = np.log10(model.tokens + model.distinct + 1)
-        words, sizes = split_words(part["text"])
-        ids, starts = _with_ends(pc.index_in(words, value_set=place).to_numpy(), sizes, place.index(END).as_py())
-        sums = lambda a: np.add.reduceat(a[ids], starts)
-        network = network_scores(w, np.split(symbol[ids], starts[1:])) / np.log(10)
+        symbols, figures = [], []
+        for some in batched(split_stretches(part["text"]), LOOKED_UP):
+            words, sizes = zip(*some, strict=True)
+            sizes = np.concatenate(sizes)
+            ids = pc.index_in(pa.chunked_array(words, pa.binary()), value_set=place).to_numpy()
+            ids, starts = _with_ends(ids, sizes, place.index(END).as_py())
+            symbols.append(np.split(symbol[ids], starts[1:]))
+            figures.append((sizes + 1, *(np.add.reduceat(a[ids], starts) for a in ((n > 0).astype(np.int64), base, tail))))
+        del words, ids  # the network's arrays take their place
+        n_tokens, n_known, base_sums, tail_sums = map(np.concatenate, zip(*figures, strict=True))
+        network = network_scores(w, list(chain.from_iterable(symbols))) / np.log(10)
         got = part.drop_columns(["text", "block"])
-        for name, value in (("n_tokens", sizes + 1), ("n_known", sums((n > 0).astype(np.int64))), ("base_score", sums(base) - (sizes + 1) * bottom), ("score", sums(tail) + network)):
+        for name, value in (("n_tokens", n_tokens), ("n_known", n_known), ("base_score", base_sums - n_tokens * bottom), ("score", tail_sums + network)):
             got = got.append_column(name, pa.array(value))
         return got
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -484,3 +485,29 @@ def test_model_words_are_found_by_arrow(spark):
     assert lm._symbols(words, head).tolist() == [lm._symbol(w, head) for t in want for w in t]
     got = lm.lm_scores(spark.createDataFrame(list(enumerate(texts[-40:])), "doc_id long, text string"), "doc_id", "text").collect()
     assert [r["n_tokens"] for r in sorted(got)] == [len(t) + 1 for t in want[-40:]]
+
+
+def test_splitting_words_takes_little_more_than_the_words():
+    texts = pa.array([" ".join(f"w{k}" for k in range(j, j + 300)) for j in range(8000)])
+    usual, pool = pa.default_memory_pool(), pa.system_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        words, _ = lm.split_words(texts)
+    finally:
+        pa.set_memory_pool(usual)
+    assert len(words) == 8000 * 300
+    # The words themselves, and some stretches of texts; before, 81 MB beside words of 21 MB.
+    assert pool.max_memory() < pool.bytes_allocated() + 15 * lm.SPLIT_BYTES
+
+
+def test_a_long_text_does_not_fill_up_the_other_lanes(monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_STEPS", 1)
+    w, rng = random_network(5), np.random.default_rng(6)
+    texts = [rng.integers(0, lm.HEAD + lm.TAIL, n).astype(np.int32) for n in [12_000, *[40] * 300]]
+    # 24,000 symbols; before, lanes filled up to the longest took 3.9 and 43 MB. A window of all lanes and its gradients take most of the rest.
+    for run, most in ((lambda: lm.network_scores(w, texts), 2e6), (lambda: lm.fit_network(texts, start=w), 20e6)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
