@@ -361,6 +361,26 @@ def test_crowded_keys_go_on_as_buckets(spark, monkeypatch):
     assert {r["class_id"] for r in media.media_copies(df, "image_id").collect()} == {0}
 
 
+def test_tables_and_groups_of_pictures_take_turns(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    a, b = (np.kron(rng.uniform(0, 255, (24, 24)), np.ones((4, 4))) for _ in "ab")
+    images = [np.clip((a, b)[k % 2] + rng.normal(0, 2, a.shape), 0, 255).astype(np.uint8) for k in range(80)]
+    df = spark.createDataFrame([(i, *x.shape, bytearray(x.tobytes())) for i, x in enumerate([*images, images[1]])], "image_id long, height int, width int, pixels binary")
+    written, plain = [], media.stored
+    monkeypatch.setattr(media, "stored", lambda rows, name: written.append((name, plain(rows, name))) or written[-1][1])
+    monkeypatch.setattr(media, "dropped", lambda *rows: None, raising=False)
+    monkeypatch.setattr(media, "ROUND_KEYS", 1, raising=False)
+    monkeypatch.setattr(media, "ROUND_IMAGES", 40, raising=False)
+    assert {r["image_id"]: r["class_id"] for r in media.media_copies(df, "image_id").collect()} == {k: k % 2 for k in range(80)} | {80: 1}
+    # Only the keys of one table, and the descriptors of about 40 images, are moved at a time.
+    assert [n for n, _ in written].count("matches") == media.FEW_TABLES and [n for n, _ in written].count("links") > 2
+    # A bucket holds the members of one key: keys of different buckets are not put together.
+    found = [r for n, d in written if n == "buckets" for r in d.select("key").distinct().collect()]
+    points = media.describe(df, "image_id")
+    keys = {r["key"] for r in media.table_keys(points, range(media.FEW_TABLES), media.FEW_BITS).select("key").distinct().collect()}
+    assert found and {r["key"] for r in found} <= keys
+
+
 def test_network_learns_from_all_training_texts(spark, monkeypatch):
     monkeypatch.setattr(lm, "FIT_BYTES", 1500)
     rows = [(k, " ".join(f"w{(k + j) % 50}" for j in range(60))) for k in range(16)]
