@@ -164,7 +164,7 @@ def subtree_shapes(nodes: DataFrame, node: str, parent: str, item: str) -> DataF
 
     A null item draws nothing. Nodes of a cycle are left out. See ``trees.subtree_totals``.
     """
-    return trees.subtree_totals(nodes, node, parent, item, {"drawn": F.col(item).isNotNull().cast("long")})
+    return trees.subtree_totals(nodes, node, parent, item, {"drawn": F.col(item).isNotNull().cast("long")}).select("node", "parent", "drawn", "shape")
 
 
 def repeated_subtrees(nodes: DataFrame, node: str, parent: str, item: str, name: str, most: int = 16) -> DataFrame:
@@ -175,20 +175,32 @@ def repeated_subtrees(nodes: DataFrame, node: str, parent: str, item: str, name:
     are left out. Of each shape the node with the shortest name, then the smaller one, then the smaller
     id speaks for the others; placements counts them. The number of jobs does not grow with the depth.
     """
-    shapes = cut(subtree_shapes(nodes, node, parent, item).filter("drawn > 0"))
-    again = cut(shapes.groupBy("shape").agg(F.count("*").alias("__n")).filter("__n > 1").select("shape"))
+    label = F.coalesce(F.col(name), F.lit(""))
+    # A name that is the node's own id is not kept twice.
+    other = F.when(label != F.col(node).cast("string"), label)
+    shapes = trees.subtree_totals(nodes, node, parent, item, {"drawn": F.col(item).isNotNull().cast("long")}, {"other": other}).filter("drawn > 0")
+    leaves, inner = shapes.filter("leaves is null"), shapes.filter("leaves is not null")
+    counts = cut(shapes.groupBy("shape").agg(F.count("*").alias("__n")))
+    again = cut(counts.filter("__n > 1").select("shape"))
+    lone = cut(counts.filter("__n = 1").select("shape"))
     # All below a shape that occurs again occurs again, so only small shapes that occur once are looked through.
-    once = shapes.join(again, "shape", "left_anti").select("node", "parent", "drawn")
-    small = once.filter(F.col("drawn") <= most).select("node", "parent")
-    held = shapes.join(again, "shape", "left_semi").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("again"))
+    once = cut((shapes.join(lone, "shape", "left_semi") if lone.count() < again.count() else shapes.join(again, "shape", "left_anti")).select("node", "parent", "drawn", "leaves"))
+
+    def below_any(owners: DataFrame) -> DataFrame:
+        # Most nodes are leaves, and most owners have none, so leaves are looked up among the others alone.
+        own = owners.filter("leaves is not null").select(F.col("node").alias("parent"), "leaves")
+        bare = cut(own.filter("leaves > 0").select("parent"))
+        return inner.join(own.select("parent"), "parent", "left_semi").unionByName(leaves.join(bare, "parent", "left_semi"))
+
+    small = cut(once.filter(F.col("drawn") <= most).select("node", "parent", "leaves"))
+    held = below_any(small).join(again, "shape", "left_semi").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("again"))
     counted = small.join(held, "node", "left").withColumn("again", F.coalesce("again", F.lit(0).cast("long"))).withColumn("item", F.lit(None).cast("string"))
     below = trees.subtree_totals(counted, "node", "parent", "item", {"below": F.col("again")}).filter("below = 0").select("node")
     # Likewise all below a whole subtree is whole, so a subtree is cut off where it is whole and what it hangs on is not.
-    open_ = cut(once.join(below, "node", "left_anti").select("node"))
-    above = open_.select(F.col("node").alias("parent"))
-    found = shapes.filter("parent is null").join(open_, "node", "left_anti").unionByName(shapes.join(above, "parent", "left_semi").join(open_, "node", "left_anti"))
-    names = nodes.select(F.col(node).alias("node"), F.coalesce(F.col(name), F.lit("")).alias("name"))
-    g = found.join(names, "node").groupBy("shape").agg(F.min(F.struct(F.length("name").alias("n"), "name", "node")).alias("s"), F.max("drawn").alias("drawn"), F.count("*").alias("placements"))
+    open_ = cut(once.join(below, "node", "left_anti").select("node", "leaves"))
+    found = shapes.filter("parent is null").join(open_, "node", "left_anti").unionByName(below_any(open_).join(open_, "node", "left_anti"))
+    named = found.withColumn("name", F.coalesce("other", F.col("node").cast("string")))
+    g = named.groupBy("shape").agg(F.min(F.struct(F.length("name").alias("n"), "name", "node")).alias("s"), F.max("drawn").alias("drawn"), F.count("*").alias("placements"))
     return g.select("shape", F.col("s.name").alias("name"), F.col("s.node").alias("speaker"), "drawn", "placements")
 
 

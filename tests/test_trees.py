@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratafold.operators import graph as G
 from stratafold.operators import objects as O
@@ -112,3 +113,28 @@ def test_signatures_count_repeated_items(spark):
     rows = [(1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "a"), (2, "a"), (3, "a"), (3, "b"), (3, "b"), (4, None)]
     got = {r["owner"]: (r["n"], r["signature"]) for r in G.multiset_signature(spark.createDataFrame(rows, "owner long, item string"), "owner", "item").collect()}
     assert got[1] == got[2] and got[1] != got[3] and Counter(v[0] for v in got.values()) == {3: 3, 1: 1}
+
+
+def test_subtrees_are_joined_in_rounds_and_little_stays_stored(spark, monkeypatch):
+    monkeypatch.setattr(trees, "ROUND_ROWS", 100, raising=False)
+    rnd = random.Random(4)
+    rows = [(k, None if k % 41 == 0 else 900 if k % 37 == 0 else rnd.randrange(max(0, k - 60), k), f"i{rnd.randrange(2)}" if k % 5 else None) for k in range(200)]
+    rows += [(400, 401, "a"), (401, 400, "b"), (402, 400, "i0"), (None, 3, "i1")]
+    below = {}
+    for n, p, _ in rows:
+        if n is not None:
+            below.setdefault(p, []).append(n)
+    items = {n: i for n, _, i in rows}
+    plain = lambda n: (items[n] or "", sorted(plain(k) for k in below.get(n, [])))
+    size = lambda n: 1 + sum(map(size, below.get(n, [])))
+    before = set(storage._STORED)
+    got = trees.subtree_totals(spark.createDataFrame(rows, "node long, parent long, item string"), "node", "parent", "item", {"size": F.lit(1).cast("long")})
+    # The marked nodes and the named ones stay; neither rounds nor what they read does.
+    assert len(set(storage._STORED) - before) <= 2
+    got = {r["node"]: r for r in got.collect()}
+    assert set(got) == {*range(200), 402}
+    assert all(got[n]["size"] == size(n) and got[n]["parent"] == (None if p == 900 else p) for n, p, _ in rows if n in got)
+    shapes = {}
+    for n in got:
+        shapes.setdefault(got[n]["shape"], set()).add(str(plain(n)))
+    assert all(len(v) == 1 for v in shapes.values()) and len(shapes) == len({str(plain(n)) for n in got})
